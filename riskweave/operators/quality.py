@@ -11,3 +11,203 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
     out = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
              .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col("value")))
     return out.limit(n) if n is not None else out
+
+
+# A7 / A8 / A13 / A14 -------------------------------------------------------------
+def rate_by_group(df: DataFrame, group: str, label: str) -> DataFrame:
+    """n_total, n_morosos, tasa per group, rate desc then group asc."""
+    y = F.col(label).cast("int")
+    return (df.groupBy(group).agg(F.count(F.lit(1)).alias("n_total"), F.sum(y).cast("long").alias("n_morosos"),
+                                  F.avg(y.cast("double")).alias("tasa"))
+              .orderBy(F.col("tasa").desc(), F.col(group)))
+
+
+def rate_summary(rates: DataFrame) -> DataFrame:
+    """Global (weighted), max, min rate and range over a rate_by_group table."""
+    return rates.agg((F.sum("n_morosos") / F.sum("n_total")).alias("tasa_global"),
+                     F.max("tasa").alias("tasa_max"), F.min("tasa").alias("tasa_min"),
+                     (F.max("tasa") - F.min("tasa")).alias("rango"))
+
+
+def cluster_sizes(df: DataFrame, group: str, top: int | None = 10) -> DataFrame:
+    """Size and share of total per group, largest first (group breaks ties)."""
+    total = df.agg(F.count(F.lit(1)).alias("_tot"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    out = (sizes.crossJoin(F.broadcast(total))  # one-row table
+                .select(group, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct"))
+                .orderBy(F.col("n").desc(), F.col(group)))
+    return out.limit(top) if top else out
+
+
+def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
+    """Nunique (nulls excluded); HyperLogLog only when asked for."""
+    f = F.approx_count_distinct(col) if approx else F.count_distinct(col)
+    return df.agg(f.alias("n_distinct"))
+
+
+def profile_stats(members: DataFrame, group: str, features: list[str]) -> DataFrame:
+    """Per group and feature: mean, min, max (unpivot then one aggregate)."""
+    long = members.unpivot([group], features, "feature", "value")
+    return long.groupBy(group, "feature").agg(F.avg("value").alias("mean"), F.min("value").alias("min"),
+                                               F.max("value").alias("max"))
+
+
+# A9 / A10 -----------------------------------------------------------------------------
+def quantiles_by_group(df: DataFrame, cols: list[str], group: str, positive_only: bool = False,
+                       probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Exact P25/P50/P75 (linear interpolation, as numpy) per group and column.
+
+    With ``positive_only`` only values > 0 count, and the dropped count and
+    share are reported. Long output: (group, variable, n, n_dropped,
+    pct_dropped, p25, p50, p75).
+    """
+    long = df.unpivot([group], cols, "variable", "value").withColumn("value", F.col("value").cast("double"))
+    keep = (F.col("value") > 0) if positive_only else F.col("value").isNotNull()
+    q = F.percentile(F.when(keep, F.col("value")), list(probs))
+    return (long.groupBy(group, "variable").agg(
+        F.count_if(keep).alias("n"), F.count_if(~keep | F.col("value").isNull()).alias("n_dropped"),
+        (F.count_if(~keep | F.col("value").isNull()) * 100.0 / F.count(F.lit(1))).alias("pct_dropped"),
+        q.alias("_q"))
+        .select(group, "variable", "n", "n_dropped", "pct_dropped",
+                *[F.col("_q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(probs)]))
+
+
+def box_stats(df: DataFrame, col: str, group: str, whis: float = 1.5) -> DataFrame:
+    """A10: quartiles, whiskers (furthest values within whis*IQR) and flier count."""
+    x = F.col(col).cast("double")
+    q = df.groupBy(group).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
+    q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), F.col("_q")[2].alias("q3"))
+    j = df.select(group, x.alias("_x")).join(q, group)
+    lo = F.col("q1") - whis * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + whis * (F.col("q3") - F.col("q1"))
+    return j.groupBy(group, "q1", "med", "q3").agg(
+        F.min(F.when(F.col("_x") >= lo, F.col("_x"))).alias("whislo"),
+        F.max(F.when(F.col("_x") <= hi, F.col("_x"))).alias("whishi"),
+        F.count_if((F.col("_x") < lo) | (F.col("_x") > hi)).alias("n_fliers"))
+
+
+# O2 / O3 ------------------------------------------------------------------------------
+def top_k_groups(rates: DataFrame, group: str, k: int = 3, exclude_noise: bool = True,
+                 noise=-1) -> DataFrame:
+    """O2: top-k groups by rate; noise is dropped *before* the limit."""
+    r = rates.filter(F.col(group) != F.lit(noise)) if exclude_noise else rates
+    return r.orderBy(F.col("tasa").desc(), F.col(group)).limit(k)
+
+
+def pure_groups(rates: DataFrame, group: str, k: int = 5, noise=-1) -> DataFrame:
+    """O3: groups whose rate is exactly 1.0, non-noise, top k (largest first)."""
+    return (rates.filter((F.col("tasa") == 1.0) & (F.col(group) != F.lit(noise)))
+                 .orderBy(F.col("n_total").desc(), F.col(group)).limit(k))
+
+
+# M1-M4 --------------------------------------------------------------------------------
+def silhouette(df: DataFrame, label: str, features: str = "features", noise=None,
+               max_eval: int = 50_000, sample_ids: DataFrame | None = None, id_col: str | None = None
+               ) -> DataFrame:
+    """M1: mean silhouette, plain Euclidean distance (MLlib's is squared).
+
+    The evaluated points (all rows, or ``sample_ids``) are checked against
+    ``max_eval`` and shipped to every task; each task streams its partition
+    once and emits, per evaluated point and cluster, the sum of distances and
+    the count (m x k rows per task, never pairs). A ``groupBy`` adds them up;
+    a and b follow exactly, singletons score 0; fewer than 2 clusters -> null.
+    Output: one row (silhouette, n_evaluated, sampled).
+    """
+    import numpy as np
+    import pandas as pd
+    spark = df.sparkSession
+    pts = df.select(label, features)
+    if noise is not None:
+        pts = pts.filter(F.col(label) != F.lit(noise))
+    ev = pts if sample_ids is None else df.join(sample_ids, id_col, "left_semi").select(label, features)
+    if noise is not None and sample_ids is not None:
+        ev = ev.filter(F.col(label) != F.lit(noise))
+    m = ev.count()
+    if m > max_eval:
+        raise ValueError(f"{m} evaluated points exceed max_eval={max_eval}; pass sample_ids")
+    e = ev.toPandas()
+    E = np.array(e[features].tolist(), dtype=float) if m else np.zeros((0, 0))
+    lab_e = e[label].to_numpy()
+    bc = spark.sparkContext.broadcast(E)
+    lab_type = df.schema[label].dataType.simpleString()
+
+    def partial(it):
+        E_ = bc.value
+        e2 = (E_ * E_).sum(axis=1)
+        for pdf in it:
+            if len(pdf) == 0 or len(E_) == 0:
+                continue
+            X = np.array(pdf[features].tolist(), dtype=float)
+            labs = pdf[label].to_numpy()
+            x2 = (X * X).sum(axis=1)
+            D = np.sqrt(np.maximum(e2[:, None] + x2[None, :] - 2 * E_ @ X.T, 0.0))
+            uniq = pd.unique(labs)
+            rows_e, rows_l, sums, cnts = [], [], [], []
+            for lv in uniq:
+                msk = labs == lv
+                rows_e.append(np.arange(len(E_)))
+                rows_l.append(np.repeat(lv, len(E_)))
+                sums.append(D[:, msk].sum(axis=1))
+                cnts.append(np.full(len(E_), int(msk.sum())))
+            yield pd.DataFrame({"e": np.concatenate(rows_e), "lab": np.concatenate(rows_l),
+                                "s": np.concatenate(sums), "c": np.concatenate(cnts)})
+
+    agg = (pts.mapInPandas(partial, f"e long, lab {lab_type}, s double, c long")
+              .groupBy("e", "lab").agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
+    own = spark.createDataFrame(pd.DataFrame({"e": np.arange(m, dtype=np.int64), "own": lab_e}),
+                                f"e long, own {lab_type}") if m else None
+    if own is None:
+        return spark.createDataFrame([(None, 0, sample_ids is not None)], "silhouette double, n_evaluated long, sampled boolean")
+    j = agg.join(own, "e")
+    per = j.groupBy("e").agg(
+        F.max(F.when(F.col("lab") == F.col("own"), F.col("c"))).alias("n_own"),
+        F.max(F.when(F.col("lab") == F.col("own"), F.col("s"))).alias("s_own"),
+        F.min(F.when(F.col("lab") != F.col("own"), F.col("s") / F.col("c"))).alias("b"))
+    a = F.col("s_own") / (F.col("n_own") - 1)
+    s = F.when(F.col("n_own") <= 1, F.lit(0.0)).otherwise((F.col("b") - a) / F.greatest(a, F.col("b")))
+    n_clusters = pts.select(label).distinct().count()
+    res = per.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_evaluated"))
+    if n_clusters < 2:
+        res = res.select(F.lit(None).cast("double").alias("silhouette"), "n_evaluated")
+    return res.withColumn("sampled", F.lit(sample_ids is not None))
+
+
+def _centroid_table(df, label, features):
+    from riskweave.operators.cluster import centroids
+    return centroids(df.select(label, features), label, features)
+
+
+def davies_bouldin(df: DataFrame, label: str, features: str = "features", noise=None) -> DataFrame:
+    """M2: mean over clusters of max_j (S_i + S_j) / d(c_i, c_j); S = mean distance to centroid."""
+    from riskweave.operators.neighbors import sq_dist
+    pts = df.select(label, features)
+    if noise is not None:
+        pts = pts.filter(F.col(label) != F.lit(noise))
+    c = _centroid_table(pts, label, features).select(label, "centroid")
+    s = (pts.join(c, label).groupBy(label)
+            .agg(F.avg(F.sqrt(sq_dist(F.col(features), F.col("centroid")))).alias("S")))
+    cs = c.join(s, label)
+    a = cs.select(F.col(label).alias("i"), F.col("centroid").alias("ci"), F.col("S").alias("si"))
+    b = cs.select(F.col(label).alias("j"), F.col("centroid").alias("cj"), F.col("S").alias("sj"))
+    # k x k pairs of centroids: bounded by the number of clusters, not by rows
+    r = (a.join(b, F.col("i") != F.col("j"))
+          .select("i", ((F.col("si") + F.col("sj")) / F.sqrt(sq_dist(F.col("ci"), F.col("cj")))).alias("r")))
+    return r.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def calinski_harabasz(df: DataFrame, label: str, features: str = "features", noise=None) -> DataFrame:
+    """M3: (SSB / SSW) * ((n - k) / (k - 1))."""
+    from riskweave.operators.neighbors import sq_dist
+    pts = df.select(label, features)
+    if noise is not None:
+        pts = pts.filter(F.col(label) != F.lit(noise))
+    c = _centroid_table(pts, label, features)
+    g = (pts.select(F.lit(0).alias("_g"), features))
+    gm = _centroid_table(g, "_g", features).select(F.col("centroid").alias("gc"), F.col("n").alias("_ntot"))
+    ssb = c.crossJoin(F.broadcast(gm)).agg(  # gm is one row
+        F.sum(F.col("n") * sq_dist(F.col("centroid"), F.col("gc"))).alias("ssb"), F.count(F.lit(1)).alias("k"),
+        F.max("_ntot").alias("_ntot"))
+    ssw = pts.join(c.select(label, "centroid"), label).agg(
+        F.sum(sq_dist(F.col(features), F.col("centroid"))).alias("ssw"))
+    return ssb.crossJoin(ssw).select(
+        (F.col("ssb") / F.col("ssw") * ((F.col("_ntot") - F.col("k")) / (F.col("k") - 1))).alias("calinski_harabasz"))

@@ -28,4 +28,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from riskweave.plans import queries_cleaning, queries_features, queries_ledger  # noqa: F401
+    from riskweave.plans import queries_cleaning, queries_cluster, queries_features, queries_ledger  # noqa: F401
