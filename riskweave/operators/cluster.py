@@ -23,7 +23,7 @@ def noise_label(dtype: T.DataType):
 
 # D1 --------------------------------------------------------------------------------
 def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: str = "features",
-           axes: int = 2) -> DataFrame:
+           axes: int = 2, by: str | None = None) -> DataFrame:
     """DBSCAN with exact semantics, distributed.
 
     1. identical vectors collapse to one weighted point (exact: they are
@@ -35,12 +35,17 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
     5. a border point joins the smallest cluster label among its core
        neighbours (the reference's choice depended on scan order);
     6. cluster label = least id among the cluster's core points; noise = -1.
-    Output: (id, cluster, is_core).
+    ``by`` runs an independent DBSCAN per group value (Mapper cubes) in the
+    same jobs: the group is part of every key.
+    Output: ([by,] id, cluster, is_core).
     """
     id_type = df.schema[id_col].dataType
-    pts = df.select(id_col, features)
-    u = cut_lineage(pts.groupBy(features).agg(F.min(id_col).alias("uid"), F.count(F.lit(1)).alias("w")))
-    pairs = cut_lineage(eps_join(u, "uid", eps, features, axes, carry=["w"]))
+    keys = [by] if by else []
+    pts = df.select(*keys, id_col, features)
+    u = pts.groupBy(*keys, features).agg(F.min(id_col).alias("_m"), F.count(F.lit(1)).alias("w"))
+    uid = F.struct(F.col(by).alias("g"), F.col("_m").alias("i")) if by else F.col("_m")
+    u = cut_lineage(u.select(*keys, features, uid.alias("uid"), "w"))
+    pairs = cut_lineage(eps_join(u, "uid", eps, features, axes, carry=["w"], by=by))
     nbw = (pairs.select(F.col("src").alias("v"), F.col("dst_w").alias("nw"))
                 .unionByName(pairs.select(F.col("dst").alias("v"), F.col("src_w").alias("nw")))
                 .groupBy("v").agg(F.sum("nw").alias("nw")))
@@ -56,13 +61,15 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
                 .unionByName(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b"))))
     border = (directed.join(comp, directed["b"] == comp["id"])
                       .groupBy("a").agg(F.min("component").alias("bcl")))
+    comp_lab = F.col("component")["i"] if by else F.col("component")
+    bord_lab = F.col("bcl")["i"] if by else F.col("bcl")
     lab = (core.join(comp, core["uid"] == comp["id"], "left")
                .join(border, core["uid"] == border["a"], "left")
                .select("uid", "is_core",
-                       F.when(F.col("is_core"), F.col("component"))
-                        .otherwise(F.coalesce(F.col("bcl"), noise_label(id_type))).alias("cluster")))
-    return (pts.join(u.select(features, "uid"), features)
-               .join(lab, "uid").select(id_col, "cluster", "is_core"))
+                       F.when(F.col("is_core"), comp_lab)
+                        .otherwise(F.coalesce(bord_lab, noise_label(id_type))).alias("cluster")))
+    return (pts.join(u.select(*keys, features, "uid"), [*keys, features])
+               .join(lab, "uid").select(*keys, id_col, "cluster", "is_core"))
 
 
 # K2 / M4 ---------------------------------------------------------------------------

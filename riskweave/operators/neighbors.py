@@ -60,11 +60,16 @@ def with_cells(df: DataFrame, axes: np.ndarray, eps: float, features: str = "fea
 
 
 def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features", axes: int = 2,
-             carry: Sequence[str] = (), axes_matrix: np.ndarray | None = None) -> DataFrame:
+             carry: Sequence[str] = (), axes_matrix: np.ndarray | None = None, by: str | None = None) -> DataFrame:
     """All pairs (src < dst) with Euclidean distance <= eps (inclusive).
 
+    ``by`` restricts pairs to equal values of a group column (e.g. the
+    Mapper cube), which becomes part of the equi-join key: every group is
+    joined in the same distributed pass.
     Output: src, dst, dist, plus ``src_<c>`` / ``dst_<c>`` for each carried column.
     """
+    if by is not None:
+        carry = [*carry, by]
     pts = df.select(id_col, features, *carry)
     A = principal_axes(pts, features, axes) if axes_matrix is None else axes_matrix
     home = with_cells(pts, A, eps, features)
@@ -77,7 +82,10 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
          .alias("_pcell"))
     target = home.select(F.col(id_col).alias("dst"), F.col(features).alias("_fb"),
                          *[F.col(c).alias(f"dst_{c}") for c in carry], F.col("_cell"))
-    cand = probe.join(target, (probe["_pcell"] == target["_cell"]) & (probe["src"] < target["dst"]))
+    cond = (probe["_pcell"] == target["_cell"]) & (probe["src"] < target["dst"])
+    if by is not None:
+        cond = cond & (probe[f"src_{by}"] == target[f"dst_{by}"])
+    cand = probe.join(target, cond)
     d2 = sq_dist(F.col("_fa"), F.col("_fb"))
     return (cand.withColumn("_d2", d2).filter(F.col("_d2") <= F.lit(float(eps) * float(eps)))
                 .select("src", "dst", F.sqrt("_d2").alias("dist"),

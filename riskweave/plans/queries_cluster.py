@@ -12,6 +12,7 @@ from riskweave.operators import quality as Q
 from riskweave.plans import oracle as O
 from riskweave.plans import testbed as T
 from riskweave.plans.catalog import register
+from riskweave.session import cut_lineage
 
 EMB_EPS, EMB_MIN = 1.18, 5
 LOWD_EPS, LOWD_MIN = 0.5, 5
@@ -22,8 +23,10 @@ def lowd(spark, sf):
     cr = T.customer_risk(spark, sf).select("cif_nif", "es_moroso", *FE.NUMERIC_FEATURES)
     z = FE.zscore(cr, FE.NUMERIC_FEATURES)
     z = z.withColumns({c: F.round(F.col(c), 6) for c in FE.NUMERIC_FEATURES})
-    return FE.assemble(z, FE.NUMERIC_FEATURES).select(F.col("cif_nif").alias("id"),
-                                                      F.col("es_moroso").alias("label"), "features")
+    out = FE.assemble(z, FE.NUMERIC_FEATURES).select(F.col("cif_nif").alias("id"),
+                                                     F.col("es_moroso").alias("label"), "features")
+    # reused by several actions (stats, cover bounds, PCA axes): materialise once
+    return cut_lineage(out)
 
 
 def emb(spark, sf):

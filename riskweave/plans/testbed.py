@@ -179,3 +179,120 @@ def rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.customer_risk(master(spark, sf_dir), invoices(spark, sf_dir), crm(spark, sf_dir),
                            rating(spark, sf_dir))
+
+
+# --- rating schema for Q5 / Q6 (k = o_orderkey) -------------------------------------
+def rating_schema(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The rating tables of the rating-feature query, derived from TESTDATA.
+
+    evaluation = orders; request = lineitem lines (ids not unique: the
+    duplicate (order, line) pairs make ties on MAX(id)); limits = lineitem;
+    statements: one per order with k%3=0 plus a newer one when k%6=0;
+    Portuguese statements for k%9=0 (a newer one when k%18=0); live risk =
+    orders by month (ties kept); offers from events.
+    """
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    d = F.to_date("o_orderdate")
+    c = customers(spark, sf_dir)
+    seg = F.col("c_mktsegment")
+    t = {}
+    t["evaluation"] = o.select(k.alias("id_evaluacion"), F.col("o_orderdate").alias("fecha_creacion"),
+                               (k % 13).cast("int").alias("id_estado_moroso"))
+    t["request"] = (li.join(o.select("o_orderkey", "o_custkey"), li.l_orderkey == o.o_orderkey)
+                      .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id_rating_request"),
+                              F.col("l_orderkey").alias("id_evaluacion"), F.col("o_custkey").alias("id_cliente"),
+                              F.col("l_partkey").alias("rating_id"), F.col("l_returnflag").alias("estado"),
+                              F.col("l_linestatus").alias("estado_detalle"),
+                              F.when(F.col("l_linestatus") == "O", "TRUE").otherwise("FALSE").alias("last_request"),
+                              F.when(F.col("l_linenumber") == 7, F.col("l_suppkey")).alias("id_input_custom_data"),
+                              F.round(F.col("l_tax") * 100).cast("int").alias("grade"),
+                              F.col("l_discount").alias("pd")))
+    t["client"] = c.select(F.col("no_").alias("id_cliente"), F.col("vat_registration_no_").alias("cif_nif"),
+                           F.col("county").alias("zona_geografica"),
+                           F.when(seg == "BUILDING", "PERSON").when(seg == "AUTOMOBILE", "CORPORATE")
+                            .when(seg == "MACHINERY", "UNKNOWN").alias("tipo_persona"))
+    t["model_response"] = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("rating_id"), (F.col("p_size").cast("double") / 1000.0).alias("pd_new"))
+    t["limits_neg"] = li.select(F.col("l_orderkey").alias("id_evaluacion"),
+                                (F.col("l_linenumber") % 3).cast("int").alias("id_tramo"),
+                                F.col("l_returnflag").alias("id_negocio"), F.col("l_quantity").alias("volumen"),
+                                F.col("l_extendedprice").alias("volumen_maximo"), F.col("l_discount").alias("precio"))
+    t["limits_ge"] = o.filter(k % 2 == 0).select(k.alias("id_evaluacion"),
+                                                 F.col("o_totalprice").alias("limite_total_concedido"),
+                                                 (F.col("o_totalprice") / 4).alias("limite_disponible_ge"))
+    n = table(spark, sf_dir, "nation")
+    t["estado_moroso"] = n.filter(F.col("n_nationkey") < 13).select(
+        F.col("n_nationkey").cast("int").alias("id_estado_moroso"), (F.col("n_regionkey") == 0).alias("concurso"),
+        (F.col("n_regionkey") == 1).alias("burofax"), (F.col("n_nationkey") * 100.0).alias("deuda_asnef"),
+        (F.col("n_regionkey") > 2).alias("asnef"))
+
+    def eeff(s: int, cond: Column) -> DataFrame:
+        p = F.col("o_totalprice")
+        return o.filter(cond).select(
+            (k * 10 + s).alias("id_eeff"), k.alias("id_evaluacion"),
+            F.concat(_pad((k + s) % 97 + 1, 2), F.lit("20")).alias("codigo_cnae"),
+            (p / (8 * s)).alias("gastos_financieros"), (p * s).alias("ing_explotacion"),
+            (p / 2 - 100 * s).alias("result_antes_imp"), p.alias("importe_neto"), (p * 3).alias("total_pasivo"),
+            (p - 1000 * s).alias("fondos_propios"), F.date_add(d, 30 * s).alias("fecha_balance"),
+            F.date_sub(d, (F.col("o_custkey") % 3650).cast("int")).alias("fecha_constitucion"),
+            F.date_add(d, s).alias("fecha_contratacion"))
+    t["eeff"] = eeff(1, k % 3 == 0).unionByName(eeff(2, k % 6 == 0))
+
+    def eeff_pt(s: int, cond: Column) -> DataFrame:
+        p = F.col("o_totalprice")
+        accts = ["capital_realizado", "acoes_propias", "outros_inst_cap_propio", "premios_emissao",
+                 "reservas_legais", "outras_reservas", "result_transitados", "resultado_liquido",
+                 "dividendos_antecipados"]
+        return o.filter(cond).select(
+            (k * 10 + 4 + s).alias("id_eeff_pt"), (k * 10 + 1).alias("id_eeff"),
+            (p / 4).alias("result_antes_imp_pt"), d.alias("fecha_balance_pt"), (p * 2).alias("total_pasivo_pt"),
+            F.date_sub(d, 400 * s).alias("fecha_constitucion_pt"), (p * 10).alias("importe_neto_pt"),
+            *[(p * (j + s)).alias(a) for j, a in enumerate(accts)],
+            (p * 10).alias("vendas_e_serv_prestados"), F.lit(5.0 * s).alias("outros_rendimentos"),
+            F.lit(1.5).alias("juros_e_rend_obtidos"), (p / 16).alias("juros_e_gastos_suport"))
+    t["eeff_pt"] = eeff_pt(1, k % 9 == 0).unionByName(eeff_pt(2, k % 18 == 0))
+    t["risk"] = o.select(F.col("o_custkey").alias("id_cliente"), F.trunc(d, "month").alias("fecha_creacion"),
+                         F.col("o_totalprice").alias("riesgo_power"), (F.col("o_totalprice") / 2).alias("riesgo_gas"),
+                         (k % 1000).cast("double").alias("volumen"))
+    crm_q, falcon_q = quote_sources(spark, sf_dir)
+    from riskweave.operators.rating import offers
+    t["offers"] = offers(crm_q, falcon_q)
+    return t
+
+
+def quote_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two offer sources from events (one quote line per event)."""
+    e = table(spark, sf_dir, "events")
+    eid, et, v = F.col("event_id"), F.col("event_type"), F.col("value")
+    base = [eid.cast("string").alias("oferta"), F.col("ts").alias("fecha_oferta"),
+            F.col("user_id").alias("rating_id_crm_falcon"),
+            F.when(v > 50, F.concat(F.lit("ES"), (eid % 97).cast("string"))).alias("cups"),
+            F.when(et == "purchase", F.concat(F.lit("C"), eid.cast("string"))).alias("contrato"),
+            F.col("user_id").cast("string").alias("id_cliente_falcon_crm")]
+    crm = e.filter(et.isin("purchase", "click")).select(
+        *base, F.lit(None).cast("string").alias("ciudad_oferta"), F.lit(None).cast("string").alias("codigo_postal_oferta"),
+        (F.floor(v).cast("long") % 40).cast("string").alias("estado"))
+    falcon = e.filter(et.isin("view", "signup")).select(
+        *base, F.concat(F.lit("CITY_"), (F.col("user_id") % 7).cast("string")).alias("ciudad_oferta"),
+        F.lpad((F.col("user_id") % 100).cast("string"), 5, "0").alias("codigo_postal_oferta"),
+        F.lpad((F.floor(v).cast("long") % 10).cast("string"), 2, "0").alias("estado"))
+    return crm, falcon
+
+
+def payment_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Ledger entries (ledger A), customers, invoice and credit-memo headers."""
+    ent = ledger_entries(spark, sf_dir).filter(F.col("fuente") == "A")
+    cus = customers(spark, sf_dir).select("no_", "vat_registration_no_", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").join(cus, F.col("o_custkey") == F.col("no_"))
+    d = F.to_date("o_orderdate")
+    inv = o.filter(F.col("o_orderkey") % 2 == 0).select(
+        F.col("o_orderkey").cast("string").alias("factura"), F.col("vat_registration_no_").alias("nif"),
+        F.date_add(d, 1).cast("string").alias("hdr_posting_date"))
+    memo = o.filter(F.col("o_orderkey") % 50 == 0).select(
+        F.col("o_orderkey").cast("string").alias("factura"), F.col("vat_registration_no_").alias("nif"),
+        F.date_add(d, 2).cast("string").alias("hdr_posting_date"))
+    ids = cus.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("vat_registration_no_").alias("nif"))
+    return {"entries": ent, "customers": cus.select("no_", "vat_registration_no_"), "invoices": inv,
+            "memos": memo, "ids": ids}
