@@ -258,16 +258,21 @@ def persistence_h0(df: DataFrame, id_col: str, thresh: float, features: str = "f
         cd = comp.select(F.col("id").alias("_d"), F.col("component").alias("cd"))
         cross = (edges.join(cs, edges["src"] == cs["_s"]).join(cd, edges["dst"] == cd["_d"])
                       .filter(F.col("cs") != F.col("cd")))
-        e = F.struct("dist", "src", "dst")
+        e = F.struct("dist", "src", "dst", "cs", "cd")
         best = (cross.select(F.col("cs").alias("c"), e.alias("e"))
                      .unionByName(cross.select(F.col("cd").alias("c"), e.alias("e")))
                      .groupBy("c").agg(F.min("e").alias("e"))
-                     .select("e.dist", "e.src", "e.dst").distinct())
+                     .select("e.dist", "e.src", "e.dst", "e.cs", "e.cd").distinct())
         best = cut_lineage(best)
         if best.limit(1).count() == 0:
             break
-        forest = best if forest is None else cut_lineage(forest.unionByName(best))
-        comp = connected_components(verts, forest.select("src", "dst"), "id")
+        picked = best.select("dist", "src", "dst")
+        forest = picked if forest is None else cut_lineage(forest.unionByName(picked))
+        # contract: components of the (small, shrinking) graph of merged components
+        cverts = comp.select(F.col("component").alias("id")).distinct()
+        merged = connected_components(cverts, best.select(F.col("cs").alias("src"), F.col("cd").alias("dst")), "id")
+        comp = cut_lineage(comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("nc")),
+                                     "component").select("id", F.col("nc").alias("component")))
     else:
         raise RuntimeError("Boruvka did not converge")
     n_comp = comp.select("component").distinct().count()
