@@ -32,7 +32,7 @@ def pca_project(df: DataFrame, k: int = 2, features: str = "features", out: str
     from pyspark.ml.functions import array_to_vector
     from riskweave.operators.neighbors import dot
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(df.select(array_to_vector(F.col(features)).alias("_v")))
-    axes = model.pc.toArray().T
+    axes = np.array(model.pc.toArray().T)  # writable copy for the sign fix
     for i in range(len(axes)):
         j = int(np.argmax(np.abs(axes[i])))
         if axes[i][j] < 0:
