@@ -45,13 +45,25 @@ def sq_dist(a: Column, b: Column) -> Column:
 
 
 def principal_axes(df: DataFrame, features: str = "features", k: int = 2) -> np.ndarray:
-    """k orthonormal principal axes (k x d) from a distributed covariance (MLlib PCA)."""
+    """k orthonormal principal axes (k x d) from a distributed covariance (MLlib PCA).
+
+    Any orthonormal axes keep the grid exact (projection is contractive);
+    principal ones prune best. Degenerate input (one row, zero variance)
+    falls back to the first k coordinate axes.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    d = len(df.select(features).first()[0])
+    first = df.select(features).first()
+    d = len(first[0]) if first is not None else 1
     k = max(1, min(k, d))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(df.select(array_to_vector(F.col(features)).alias("_v")))
-    return model.pc.toArray().T  # k x d
+    try:
+        model = PCA(k=k, inputCol="_v", outputCol="_p").fit(df.select(array_to_vector(F.col(features)).alias("_v")))
+        axes = np.array(model.pc.toArray().T)
+        if np.all(np.isfinite(axes)):
+            return axes
+    except Exception:  # noqa: BLE001 - fewer than two rows
+        pass
+    return np.eye(d)[:k]
 
 
 def with_cells(df: DataFrame, axes: np.ndarray, eps: float, features: str = "features") -> DataFrame:
