@@ -88,14 +88,21 @@ def argmax_rejoin(df: DataFrame, key: str, id_col: str) -> DataFrame:
     return agg.select(key, "_row.*")
 
 
+def sample_key(id_col: str, seed: int) -> Column:
+    """Partition-independent pseudo-random order: md5 of 'id|seed' (a native
+    function in Spark and in SQL engines, so a sample can be re-derived)."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+
+
 def stratified_quotas(df: DataFrame, label_col: str, n: int) -> tuple[int, int]:
-    """``round(n * p)`` positives and the rest negatives (two scalars)."""
+    """``round(n * p)`` positives (half away from zero) and the rest negatives (two scalars)."""
+    import math
     row = df.agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.col(label_col).cast("long")).alias("pos")).first()
     total, pos = int(row["n"] or 0), int(row["pos"] or 0)
     if total == 0:
         return 0, 0
-    q_pos = min(pos, int(round(n * pos / total)))
+    q_pos = min(pos, int(math.floor(n * pos / total + 0.5)))
     q_neg = min(total - pos, n - q_pos)
     return q_pos, max(q_neg, 0)
 
@@ -106,13 +113,13 @@ def stratified_sample(df: DataFrame, id_col: str, label_col: str, n: int,
 
     Stratum quotas are ``round(n * p)`` positives and the rest negatives
     (one tiny aggregate, two scalars to the driver). Each stratum is then a
-    top-q by ``xxhash64(id, seed)`` (id breaks ties): Spark plans it as
+    top-q by ``md5(id|seed)`` (id breaks ties): Spark plans it as
     ``TakeOrderedAndProject``, where every task keeps at most q rows, so no
     stratum is ever gathered in one task and the result does not depend on
     partitioning. ``sampleBy`` would be neither exact nor partition-stable.
     """
     q_pos, q_neg = stratified_quotas(df, label_col, n)
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    h = sample_key(id_col, seed)
     lab = F.col(label_col).cast("int")
     pos = df.filter(lab == 1).withColumn("_h", h).orderBy("_h", id_col).limit(q_pos)
     neg = df.filter(lab != 1).withColumn("_h", h).orderBy("_h", id_col).limit(q_neg)
@@ -125,5 +132,5 @@ def uniform_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFr
     The global top-n is a ``TakeOrderedAndProject``: each task keeps only its
     own n best rows, so no task ever holds more than n rows per partition.
     """
-    return (df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    return (df.withColumn("_h", sample_key(id_col, seed))
               .orderBy("_h", id_col).limit(n).drop("_h"))

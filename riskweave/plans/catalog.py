@@ -77,5 +77,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from riskweave.plans import (queries_cleaning, queries_cluster, queries_features,  # noqa: F401
-                                 queries_ledger, queries_privacy, queries_rating, queries_report,
+                                 queries_ledger, queries_misc, queries_privacy, queries_rating, queries_report,
                                  queries_topology)
