@@ -180,6 +180,10 @@ def feature_set(df: DataFrame, variant: str = "cluster", id_col: str = "cif_nif"
     if variant == "mapper" and exclude_label_features:
         numeric = [c for c in numeric if c not in LABEL_DERIVED]
     base = df.select(id_col, label_col, *numeric, "fecha_creacion", "provincia", "cnae", "tipo", "pais")
+    # several small actions follow (top-n per category, medians): materialise
+    # the input once instead of recomputing its whole lineage for each
+    from riskweave.session import cut_lineage
+    base = cut_lineage(base)
     if variant in ("cluster", "mapper"):
         base, temporal = cyclic_date_features(base, "fecha_creacion")
     elif variant == "homology":

@@ -229,7 +229,11 @@ def risk_colour(rate_pct) -> Column:
 
 # V1 ------------------------------------------------------------------------------------
 def distance_percentile(sample: DataFrame, id_col: str, q: float = 0.5, features: str = "features") -> DataFrame:
-    """Percentile of pairwise distances of a (bounded) sample: self-join a < b."""
+    """Percentile of pairwise distances of a bounded sample (self-join a < b).
+
+    Pass a sample (e.g. ``uniform_sample``): the pair count is quadratic in
+    the input, so this operator is not meant for whole tables.
+    """
     from riskweave.operators.neighbors import sq_dist
     a = sample.select(F.col(id_col).alias("a"), F.col(features).alias("fa"))
     b = sample.select(F.col(id_col).alias("b"), F.col(features).alias("fb"))

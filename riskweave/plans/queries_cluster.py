@@ -20,13 +20,13 @@ LOWD_EPS, LOWD_MIN = 0.5, 5
 
 def lowd(spark, sf):
     """Six numeric customer columns, z-scored (population std), rounded to 6 places."""
-    cr = T.customer_risk(spark, sf).select("cif_nif", "es_moroso", *FE.NUMERIC_FEATURES)
+    # materialise the customer columns once: the z-score statistics and every
+    # later action (cover bounds, PCA axes, grid joins) read this copy
+    cr = cut_lineage(T.customer_risk(spark, sf).select("cif_nif", "es_moroso", *FE.NUMERIC_FEATURES))
     z = FE.zscore(cr, FE.NUMERIC_FEATURES)
     z = z.withColumns({c: F.round(F.col(c), 6) for c in FE.NUMERIC_FEATURES})
-    out = FE.assemble(z, FE.NUMERIC_FEATURES).select(F.col("cif_nif").alias("id"),
-                                                     F.col("es_moroso").alias("label"), "features")
-    # reused by several actions (stats, cover bounds, PCA axes): materialise once
-    return cut_lineage(out)
+    return FE.assemble(z, FE.NUMERIC_FEATURES).select(F.col("cif_nif").alias("id"),
+                                                      F.col("es_moroso").alias("label"), "features")
 
 
 def emb(spark, sf):

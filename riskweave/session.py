@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint dir)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back.
+
+    A reliable ``checkpoint()`` would also survive a lost executor, but it
+    carries the pre-checkpoint size estimate forward; in iterative joins
+    (components, Boruvka) that estimate is squared every round and the
+    driver ends up multiplying enormous integers while planning. A written
+    table restarts the estimate from its real size, cuts the lineage, and
+    lives in the folder the cluster names in ``spark.checkpoint.dir``.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/riskweave-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
