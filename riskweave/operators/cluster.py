@@ -75,7 +75,10 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
 # K2 / M4 ---------------------------------------------------------------------------
 def nearest_centre(features: str, centres: np.ndarray):
     """Index of the nearest centre (ties -> lowest index), as a column expression."""
-    d = F.array(*[sq_dist(F.col(features), F.array(*[F.lit(float(x)) for x in c])) for c in centres])
+    # spell the distances out only while the expression stays small enough to
+    # compile quickly; beyond that the higher-order form is cheaper overall
+    dim = len(centres[0]) if len(centres) * len(centres[0]) <= 256 else None
+    d = F.array(*[sq_dist(F.col(features), F.array(*[F.lit(float(x)) for x in c]), dim) for c in centres])
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
@@ -100,9 +103,10 @@ def wcss(df: DataFrame, group: str, features: str = "features") -> DataFrame:
     The centroid table has one row per group (bounded by k) and is joined
     on the group key; AQE broadcasts it when small.
     """
+    from riskweave.operators.neighbors import vector_dim
     c = centroids(df, group, features).select(group, "centroid")
     j = df.select(group, features).join(c, group)
-    return j.agg(F.sum(sq_dist(F.col(features), F.col("centroid"))).alias("wcss"))
+    return j.agg(F.sum(sq_dist(F.col(features), F.col("centroid"), vector_dim(df, features))).alias("wcss"))
 
 
 # K1 / K3 / K4 ----------------------------------------------------------------------

@@ -35,13 +35,34 @@ from riskweave.session import cut_lineage
 
 
 def dot(vec: Column, weights: Sequence[float]) -> Column:
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(vec, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    """Projection on a fixed axis as explicit element arithmetic (codegen'd;
+    the dimension is known when the plan is built)."""
+    terms = [vec[i] * F.lit(float(w)) for i, w in enumerate(weights)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
 
 
-def sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two equal-length arrays (summed left to right)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+def sq_dist(a: Column, b: Column, d: int | None = None) -> Column:
+    """Squared Euclidean distance of two equal-length arrays, summed left to right.
+
+    With the dimension ``d`` known the sum is spelled out element by element,
+    which whole-stage codegen compiles; without it a higher-order
+    ``aggregate`` over ``zip_with`` is used (interpreted, slower).
+    """
+    if d is None:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
+    out = None
+    for i in range(d):
+        t = (a[i] - b[i]) * (a[i] - b[i])
+        out = t if out is None else out + t
+    return out
+
+
+def vector_dim(df: DataFrame, features: str = "features") -> int:
+    first = df.select(F.size(features)).first()
+    return int(first[0]) if first is not None else 0
 
 
 def principal_axes(df: DataFrame, features: str = "features", k: int = 2) -> np.ndarray:
@@ -98,7 +119,7 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
     if by is not None:
         cond = cond & (probe[f"src_{by}"] == target[f"dst_{by}"])
     cand = probe.join(target, cond)
-    d2 = sq_dist(F.col("_fa"), F.col("_fb"))
+    d2 = sq_dist(F.col("_fa"), F.col("_fb"), A.shape[1])
     return (cand.withColumn("_d2", d2).filter(F.col("_d2") <= F.lit(float(eps) * float(eps)))
                 .select("src", "dst", F.sqrt("_d2").alias("dist"),
                         *[f"src_{c}" for c in carry], *[f"dst_{c}" for c in carry]))

@@ -184,14 +184,16 @@ def davies_bouldin(df: DataFrame, label: str, features: str = "features", noise=
     if noise is not None:
         pts = pts.filter(F.col(label) != F.lit(noise))
     c = _centroid_table(pts, label, features).select(label, "centroid")
+    from riskweave.operators.neighbors import vector_dim
+    dim = vector_dim(pts, features)
     s = (pts.join(c, label).groupBy(label)
-            .agg(F.avg(F.sqrt(sq_dist(F.col(features), F.col("centroid")))).alias("S")))
+            .agg(F.avg(F.sqrt(sq_dist(F.col(features), F.col("centroid"), dim))).alias("S")))
     cs = c.join(s, label)
     a = cs.select(F.col(label).alias("i"), F.col("centroid").alias("ci"), F.col("S").alias("si"))
     b = cs.select(F.col(label).alias("j"), F.col("centroid").alias("cj"), F.col("S").alias("sj"))
     # k x k pairs of centroids: bounded by the number of clusters, not by rows
     r = (a.join(b, F.col("i") != F.col("j"))
-          .select("i", ((F.col("si") + F.col("sj")) / F.sqrt(sq_dist(F.col("ci"), F.col("cj")))).alias("r")))
+          .select("i", ((F.col("si") + F.col("sj")) / F.sqrt(sq_dist(F.col("ci"), F.col("cj"), dim))).alias("r")))
     return r.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
@@ -207,7 +209,8 @@ def calinski_harabasz(df: DataFrame, label: str, features: str = "features", noi
     ssb = c.crossJoin(F.broadcast(gm)).agg(  # gm is one row
         F.sum(F.col("n") * sq_dist(F.col("centroid"), F.col("gc"))).alias("ssb"), F.count(F.lit(1)).alias("k"),
         F.max("_ntot").alias("_ntot"))
+    from riskweave.operators.neighbors import vector_dim
     ssw = pts.join(c.select(label, "centroid"), label).agg(
-        F.sum(sq_dist(F.col(features), F.col("centroid"))).alias("ssw"))
+        F.sum(sq_dist(F.col(features), F.col("centroid"), vector_dim(pts, features))).alias("ssw"))
     return ssb.crossJoin(ssw).select(
         (F.col("ssb") / F.col("ssw") * ((F.col("_ntot") - F.col("k")) / (F.col("k") - 1))).alias("calinski_harabasz"))

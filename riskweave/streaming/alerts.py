@@ -59,8 +59,10 @@ def fit_alert_model(df: DataFrame, id_col: str, label_col: str, columns: list |
                 .groupBy("cluster").agg(F.avg(F.col(label_col).cast("int").cast("double")).alias("tasa")))
     A = principal_axes(z, "features", axes)
     cells = F.array(*[F.floor(dot(F.col("features"), a) / F.lit(float(eps))).cast("long") for a in A])
+    # identical core vectors collapse to one (least core id wins, as in a tie)
     cores = (lab.filter("is_core").join(rates, "cluster")
-                .select(F.col(id_col).alias("core_id"), "features", "cluster", "tasa", cells.alias("_cell")))
+                .groupBy("features").agg(F.min(F.struct(F.col(id_col).alias("core_id"), "cluster", "tasa")).alias("_c"))
+                .select("_c.core_id", "features", "_c.cluster", "_c.tasa", cells.alias("_cell")))
     return AlertModel(stats, list(columns) if columns else None, float(eps), A, cut_lineage(cores))
 
 
@@ -79,15 +81,18 @@ def risk_alerts(new: DataFrame, model: AlertModel, id_col: str) -> DataFrame:
     else:
         z = FE.assemble(FE.zscore(new.select(id_col, *model.columns), model.columns, model.stats), model.columns)
     m = len(model.axes)
+    dim = model.axes.shape[1]
     offs = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
     cells = F.array(*[F.floor(dot(F.col("features"), a) / F.lit(model.eps)).cast("long") for a in model.axes])
-    probe = z.select(id_col, F.col("features").alias("_f"),
-                     F.explode(F.transform(offs, lambda off: F.zip_with(cells, off, lambda x, y: x + y))).alias("_pc"))
+    # score each distinct vector once; rows join back on the vector
+    uniq = z.select("features").distinct()
+    probe = uniq.select(F.col("features").alias("_f"),
+                        F.explode(F.transform(offs, lambda off: F.zip_with(cells, off, lambda x, y: x + y))).alias("_pc"))
     cand = probe.join(model.cores, probe["_pc"] == model.cores["_cell"])
-    d2 = sq_dist(F.col("_f"), F.col("features"))
+    d2 = sq_dist(F.col("_f"), F.col("features"), dim)
     near = (cand.withColumn("_d2", d2).filter(F.col("_d2") <= F.lit(model.eps * model.eps))
-                .groupBy(id_col).agg(F.min(F.struct("_d2", "core_id", "cluster", "tasa")).alias("_b")))
-    out = z.select(id_col).join(near, id_col, "left")
+                .groupBy("_f").agg(F.min(F.struct("_d2", "core_id", "cluster", "tasa")).alias("_b")))
+    out = z.join(near, z["features"] == near["_f"], "left")
     rate = F.col("_b.tasa")
     acts = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
     return out.select(id_col, F.col("_b.cluster").alias("cluster"), rate.alias("tasa"),
