@@ -77,7 +77,7 @@ def nearest_centre(features: str, centres: np.ndarray):
     """Index of the nearest centre (ties -> lowest index), as a column expression."""
     # spell the distances out only while the expression stays small enough to
     # compile quickly; beyond that the higher-order form is cheaper overall
-    dim = len(centres[0]) if len(centres) * len(centres[0]) <= 256 else None
+    dim = len(centres[0]) if len(centres) * len(centres[0]) <= 64 else None
     d = F.array(*[sq_dist(F.col(features), F.array(*[F.lit(float(x)) for x in c]), dim) for c in centres])
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 

@@ -34,9 +34,15 @@ from pyspark.sql import functions as F
 from riskweave.session import cut_lineage
 
 
+EXPLICIT_MAX_DIM = 16  # above this a spelled-out sum makes methods too large for the JIT
+
+
 def dot(vec: Column, weights: Sequence[float]) -> Column:
-    """Projection on a fixed axis as explicit element arithmetic (codegen'd;
-    the dimension is known when the plan is built)."""
+    """Projection on a fixed axis. Low dimensions are spelled out element by
+    element (compiled by whole-stage codegen); high ones use ``aggregate``."""
+    if len(weights) > EXPLICIT_MAX_DIM:
+        w = F.array(*[F.lit(float(x)) for x in weights])
+        return F.aggregate(F.zip_with(vec, w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     terms = [vec[i] * F.lit(float(w)) for i, w in enumerate(weights)]
     out = terms[0]
     for t in terms[1:]:
@@ -47,11 +53,12 @@ def dot(vec: Column, weights: Sequence[float]) -> Column:
 def sq_dist(a: Column, b: Column, d: int | None = None) -> Column:
     """Squared Euclidean distance of two equal-length arrays, summed left to right.
 
-    With the dimension ``d`` known the sum is spelled out element by element,
-    which whole-stage codegen compiles; without it a higher-order
-    ``aggregate`` over ``zip_with`` is used (interpreted, slower).
+    With a known, small dimension ``d`` the sum is spelled out element by
+    element, which whole-stage codegen compiles to straight-line code; in
+    high dimensions (or unknown ``d``) a higher-order ``aggregate`` over
+    ``zip_with`` is used, which keeps generated methods small enough to JIT.
     """
-    if d is None:
+    if d is None or d > EXPLICIT_MAX_DIM:
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
     out = None
     for i in range(d):
@@ -93,12 +100,20 @@ def with_cells(df: DataFrame, axes: np.ndarray, eps: float, features: str = "fea
 
 
 def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features", axes: int = 2,
-             carry: Sequence[str] = (), axes_matrix: np.ndarray | None = None, by: str | None = None) -> DataFrame:
+             carry: Sequence[str] = (), axes_matrix: np.ndarray | None = None, by: str | None = None,
+             max_cell: int = 512) -> DataFrame:
     """All pairs (src < dst) with Euclidean distance <= eps (inclusive).
 
     ``by`` restricts pairs to equal values of a group column (e.g. the
     Mapper cube), which becomes part of the equi-join key: every group is
     joined in the same distributed pass.
+
+    Hot cells are salted: cell sizes come from one partial aggregate; a cell
+    with more than ``max_cell`` points is split into ceil(size / max_cell)
+    buckets by a hash of the id on the target side, and each probe into that
+    cell is replicated once per bucket. A cell holding a third of all points
+    therefore spreads over many tasks instead of one, and no pair is lost
+    (every target row sits in exactly one bucket, every probe visits all).
     Output: src, dst, dist, plus ``src_<c>`` / ``dst_<c>`` for each carried column.
     """
     if by is not None:
@@ -106,6 +121,11 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
     pts = df.select(id_col, features, *carry)
     A = principal_axes(pts, features, axes) if axes_matrix is None else axes_matrix
     home = with_cells(pts, A, eps, features)
+    key = ["_cell"] + ([by] if by is not None else [])
+    # buckets per cell (one row per non-empty cell; AQE broadcasts it when small)
+    sizes = (home.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+                 .select(*key, F.ceil(F.col("_n") / F.lit(max_cell)).cast("int").alias("_nb")))
+    home = home.join(sizes, key)
     m = len(A)
     offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
     probe = home.select(
@@ -113,9 +133,15 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
         *[F.col(c).alias(f"src_{c}") for c in carry],
         F.explode(F.transform(offsets, lambda off: F.zip_with(F.col("_cell"), off, lambda x, y: x + y)))
          .alias("_pcell"))
+    psizes = sizes.select(F.col("_cell").alias("_pcell"), *([F.col(by).alias(f"src_{by}")] if by else []),
+                          F.col("_nb").alias("_pnb"))
+    probe = (probe.join(psizes, ["_pcell"] + ([f"src_{by}"] if by else []))
+                  .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pnb") - 1))).drop("_pnb"))
     target = home.select(F.col(id_col).alias("dst"), F.col(features).alias("_fb"),
-                         *[F.col(c).alias(f"dst_{c}") for c in carry], F.col("_cell"))
-    cond = (probe["_pcell"] == target["_cell"]) & (probe["src"] < target["dst"])
+                         *[F.col(c).alias(f"dst_{c}") for c in carry], F.col("_cell"),
+                         F.pmod(F.xxhash64(F.col(id_col)), F.col("_nb")).cast("int").alias("_tsalt"))
+    cond = ((probe["_pcell"] == target["_cell"]) & (probe["_salt"] == target["_tsalt"])
+            & (probe["src"] < target["dst"]))
     if by is not None:
         cond = cond & (probe[f"src_{by}"] == target[f"dst_{by}"])
     cand = probe.join(target, cond)

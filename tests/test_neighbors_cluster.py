@@ -109,3 +109,19 @@ def test_nearest_labelled_ties_lowest_id(spark):
                                    "sid long, features array<double>, label int")
     out = {r.id: r.label for r in N.nearest_labelled(pts, sample, "id", "label", sample_id="sid").collect()}
     assert out == {0: 30, 1: 50}
+
+
+def test_eps_join_salted_hot_cells(spark):
+    # every point in a handful of cells; a tiny cell bound forces the salting path
+    X = _blobs(8, n=100, d=5)
+    got = {(r.src, r.dst) for r in N.eps_join(_points(spark, X), "id", 1.5, max_cell=7).collect()}
+    want, _ = pairs_within(X, 1.5)
+    assert got == want
+
+
+def test_eps_join_by_group_salted(spark):
+    X = _blobs(9, n=60, d=3)
+    df = _points(spark, X).withColumn("g", (F.col("id") % 3).cast("int"))
+    got = {(r.src, r.dst) for r in N.eps_join(df, "id", 1.0, by="g", max_cell=4).collect()}
+    want = {(i, j) for i, j in pairs_within(X, 1.0)[0] if i % 3 == j % 3}
+    assert got == want
