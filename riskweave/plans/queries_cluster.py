@@ -82,7 +82,7 @@ def _first_k_centres(e, k):
 
 
 @register("lloyd_step", O.with_testbed(
-    "SELECT c AS cluster, CAST(max(n) AS BIGINT) AS n, list(round(m, 6) ORDER BY p) AS centroid "
+    "SELECT CAST(c AS INTEGER) AS cluster, CAST(max(n) AS BIGINT) AS n, list(round(m, 6) ORDER BY p) AS centroid "
     "FROM dims GROUP BY c", _LLOYD_CTES))
 def q_lloyd_step(spark, sf):
     e = emb(spark, sf)
