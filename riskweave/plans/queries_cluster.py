@@ -283,5 +283,5 @@ def q_merge_tree(spark, sf):
 @register("pca")
 def q_pca(spark, sf):
     from riskweave.operators.topology import pca_project
-    proj, ratio = pca_project(lowd(spark, sf), 2)
+    proj, _, _ = pca_project(lowd(spark, sf), 2)
     return proj.select("id", F.round(F.col("pc")[0], 6).alias("pc1"), F.round(F.col("pc")[1], 6).alias("pc2"))
