@@ -175,13 +175,27 @@ def q_mapper_sensitivity(spark, sf):
     return TP.mapper_sensitivity(d, "id", d.select("id", "label"), "label")
 
 
-@register("mapper_without_label_features")
+_CTRL = ["saldo_pendiente_total", "n_facturas_totales", "n_facturas_vencidas"]
+_CTRL_CTES = ("zc AS (SELECT " + ", ".join(
+    f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in _CTRL)
+    + " FROM customer_risk), ctl AS (SELECT cif_nif AS id, [" + ", ".join(
+    f"round((CAST({c} AS DOUBLE) - m_{c}) / (CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END), 6)"
+    for c in _CTRL) + "] AS f FROM customer_risk, zc), "
+    "lzc AS (SELECT id, f, f[1] AS l0, f[2] AS l1 FROM ctl), "
+    + O.cover_sql("lzc", ["l0", "l1"], N_CUBES, OVERLAP)
+    + ", mp AS (SELECT cov.cube AS g, lzc.id, lzc.f FROM cov JOIN lzc ON cov.id = lzc.id), "
+    + O.dbscan_grouped_sql("mp", M_EPS, M_MIN).strip())
+
+
+@register("mapper_without_label_features", O.with_risk("SELECT node_id, cube, id FROM members", _CTRL_CTES))
 def q_mapper_control(spark, sf):
     """Mapper on the numeric features without the label-derived columns."""
     from riskweave.operators import features as FE
     from riskweave.plans.testbed import customer_risk
+    from riskweave.session import cut_lineage
     keep = [c for c in FE.NUMERIC_FEATURES if c not in FE.LABEL_DERIVED]
-    cr = customer_risk(spark, sf).select("cif_nif", *keep)
-    z = FE.assemble(FE.zscore(cr, keep), keep).select(F.col("cif_nif").alias("id"), "features")
+    cr = cut_lineage(customer_risk(spark, sf).select("cif_nif", *keep))
+    z = FE.zscore(cr, keep).withColumns({c: F.round(F.col(c), 6) for c in keep})
+    z = FE.assemble(z, keep).select(F.col("cif_nif").alias("id"), "features")
     lens = z.select("id", "features", F.col("features")[0].alias("l0"), F.col("features")[1].alias("l1"))
     return TP.mapper(lens, "id", ["l0", "l1"], N_CUBES, OVERLAP, M_EPS, M_MIN)
