@@ -158,23 +158,31 @@ def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src",
                          dst: str = "dst", max_rounds: int = 100) -> DataFrame:
-    """(vertex, component) with component = least vertex id of its component."""
-    e = both_directions(edges, src, dst)
-    e = cut_lineage(e)
+    """(vertex, component) with component = least vertex id of its component.
+
+    One round: each vertex takes the least label among itself and its
+    neighbours (one join and one partial ``min`` aggregate), then jumps to
+    its label's label. The round's table is written once; the number of
+    vertices whose label dropped in the min step is read from it. When none
+    dropped every edge joins equal labels, so each component carries its
+    least id and the loop stops.
+    """
+    e = cut_lineage(both_directions(edges, src, dst))
     labels = cut_lineage(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")))
     for _ in range(max_rounds):
         nb = (e.join(labels.withColumnRenamed("v", "b"), "b")
-               .groupBy("a").agg(F.min("label").alias("cand")))
-        step = (labels.join(nb, labels["v"] == nb["a"], "left")
-                      .select("v", F.least("label", F.coalesce("cand", "label")).alias("label")))
+               .select(F.col("a").alias("v"), F.col("label").alias("cand")))
+        own = labels.select("v", F.col("label").alias("cand"), F.col("label").alias("old"))
+        step = (own.unionByName(nb.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)))
+                   .groupBy("v").agg(F.min("cand").alias("label"), F.max("old").alias("old")))
         # pointer jumping: label <- label(label)
         look = step.select(F.col("v").alias("lv"), F.col("label").alias("ll"))
         jumped = (step.join(look, step["label"] == look["lv"], "left")
-                      .select("v", F.least("label", F.coalesce("ll", "label")).alias("label")))
+                      .select("v", F.least("label", F.coalesce("ll", "label")).alias("label"),
+                              (F.col("label") < F.col("old")).alias("_moved")))
         jumped = cut_lineage(jumped)
-        changed = (jumped.join(labels.withColumnRenamed("label", "old"), "v")
-                         .filter(F.col("label") != F.col("old")).limit(1).count())
-        labels = jumped
+        changed = jumped.filter("_moved").limit(1).count()
+        labels = jumped.drop("_moved")
         if changed == 0:
             return labels.select(F.col("v").alias(vertex), F.col("label").alias("component"))
     raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
