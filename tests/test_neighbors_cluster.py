@@ -125,3 +125,13 @@ def test_eps_join_by_group_salted(spark):
     got = {(r.src, r.dst) for r in N.eps_join(df, "id", 1.0, by="g", max_cell=4).collect()}
     want = {(i, j) for i, j in pairs_within(X, 1.0)[0] if i % 3 == j % 3}
     assert got == want
+
+
+def test_eps_join_blocked_high_dim(spark):
+    rng = np.random.default_rng(11)
+    X = np.round(np.vstack([rng.normal(0, 0.3, (70, 20)), rng.normal(0.5, 0.3, (50, 20))]), 6)
+    df = _points(spark, X).withColumn("w", F.col("id") % 3)
+    out = N.eps_join(df, "id", 1.3, carry=["w"], max_cell=16).collect()
+    want, D = pairs_within(X, 1.3)
+    assert {(r.src, r.dst) for r in out} == want
+    assert all(r.src_w == r.src % 3 and r.dst_w == r.dst % 3 and abs(r.dist - D[r.src, r.dst]) < 1e-9 for r in out)
