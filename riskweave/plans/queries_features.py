@@ -14,7 +14,10 @@ R = 6  # derived doubles are rounded to 6 places in both engines
 
 
 def customers_clean(spark, sf):
-    return C.clean_customer_table(T.customer_risk(spark, sf))
+    """The cleaned customer table, materialised once: the feature queries make
+    two passes over it (statistics or category choice, then the output)."""
+    from riskweave.session import cut_lineage
+    return cut_lineage(C.clean_customer_table(T.customer_risk(spark, sf)))
 
 
 def _round(df, cols):
