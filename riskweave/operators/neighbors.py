@@ -13,13 +13,12 @@ eps_join
     weighted points first (``dbscan`` does).
 
 connected_components
-    Min-label propagation with pointer jumping: each round takes the least
-    label among neighbours (partial ``min`` aggregate, so hot vertices are
-    combined map-side), then replaces every label by its label's label. The
-    round count grows with log of the component diameter rather than the
-    diameter. Each round's labels are a reliable checkpoint in the shared
-    checkpoint folder, so a lost executor recomputes one round, not the
-    whole history. Stops at no change; raises if ``max_rounds`` is hit.
+    Randomised contraction: every vertex with edges picks the first of its
+    closed neighbourhood in a random order drawn per round, edges are
+    rewritten to the picks and loops dropped. The edge table shrinks by a
+    constant factor per round whatever the diameter, and the loop runs until
+    no edge is left. Each round's tables lie in the shared checkpoint folder,
+    so a lost executor recomputes one round, and are deleted after use.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.session import cut_lineage
+from riskweave.session import cut_lineage, drop_scratch
 
 
 EXPLICIT_MAX_DIM = 16  # above this a spelled-out sum makes methods too large for the JIT
@@ -228,35 +227,57 @@ def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src",
-                         dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+                         dst: str = "dst") -> DataFrame:
     """(vertex, component) with component = least vertex id of its component.
 
-    One round: each vertex takes the least label among itself and its
-    neighbours (one join and one partial ``min`` aggregate), then jumps to
-    its label's label. The round's table is written once; the number of
-    vertices whose label dropped in the min step is read from it. When none
-    dropped every edge joins equal labels, so each component carries its
-    least id and the loop stops.
+    Randomised contraction. In each round every vertex that still has edges
+    picks, from itself and its neighbours, the one that comes first in an
+    order drawn anew for the round (a hash of round and id), the edges are
+    rewritten to the picked vertices, and loops and repeats are dropped. A
+    vertex with an edge survives only if some vertex picks it, so the graph
+    shrinks by a constant factor per round whatever its diameter: a path of
+    n vertices takes about log2(n) rounds. The loop ends when no edge is
+    left; there is no round limit. The per-round maps are then composed from
+    the last to the first, and each component takes its least id.
+
+    A hub with very many edges costs one row per map task in the partial
+    aggregate; the joins that rewrite edges read written tables on both
+    sides, so AQE can split a hub's rows. Rows with a null end and loops are
+    ignored; every vertex of ``vertices`` comes back once.
     """
-    e = cut_lineage(both_directions(edges, src, dst))
-    labels = cut_lineage(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")))
-    for _ in range(max_rounds):
-        nb = (e.join(labels.withColumnRenamed("v", "b"), "b")
-               .select(F.col("a").alias("v"), F.col("label").alias("cand")))
-        own = labels.select("v", F.col("label").alias("cand"), F.col("label").alias("old"))
-        step = (own.unionByName(nb.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)))
-                   .groupBy("v").agg(F.min("cand").alias("label"), F.max("old").alias("old")))
-        # pointer jumping: label <- label(label)
-        look = step.select(F.col("v").alias("lv"), F.col("label").alias("ll"))
-        jumped = (step.join(look, step["label"] == look["lv"], "left")
-                      .select("v", F.least("label", F.coalesce("ll", "label")).alias("label"),
-                              (F.col("label") < F.col("old")).alias("_moved")))
-        jumped = cut_lineage(jumped)
-        changed = jumped.filter("_moved").limit(1).count()
-        labels = jumped.drop("_moved")
-        if changed == 0:
-            return labels.select(F.col("v").alias(vertex), F.col("label").alias("component"))
-    raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+    e = (edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
+              .filter(F.col("a") != F.col("b"))
+              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    e = cut_lineage(e)
+    maps: list[DataFrame] = []
+    while not e.isEmpty():
+        rnd = F.lit(len(maps))
+        near = both_directions(e, "a", "b")
+        pick = (near.groupBy("a").agg(F.min(F.struct(F.xxhash64(rnd, "b").alias("h"), F.col("b").alias("v"))).alias("m"))
+                    .select(F.col("a").alias("v"),
+                            F.least("m", F.struct(F.xxhash64(rnd, "a").alias("h"), F.col("a").alias("v")))["v"].alias("to")))
+        pick = cut_lineage(pick)
+        maps.append(pick)
+        left = e.join(pick.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+        both = left.join(pick.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").select("x", "y")
+        shrunk = cut_lineage(both.filter(F.col("x") != F.col("y"))
+                                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        drop_scratch(e)
+        e = shrunk
+    verts = vertices.select(F.col(vertex).alias("v")).distinct()
+    if not maps:
+        return verts.select(F.col("v").alias(vertex), F.col("v").alias("component"))
+    roots = maps[-1]
+    for m in reversed(maps[:-1]):
+        later = roots.select(F.col("v").alias("to"), F.col("to").alias("root"))
+        roots = m.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+    roots = cut_lineage(roots)
+    least = cut_lineage(roots.groupBy("to").agg(F.min("v").alias("component")))
+    named = roots.join(least, "to").select("v", "component")
+    out = cut_lineage(verts.join(named, "v", "left")
+                           .select(F.col("v").alias(vertex), F.coalesce("component", "v").alias("component")))
+    drop_scratch(e, roots, least, *maps)
+    return out
 
 
 def nearest_labelled(points: DataFrame, sample: DataFrame, id_col: str, label_col: str,

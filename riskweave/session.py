@@ -69,4 +69,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/riskweave-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables written by ``cut_lineage`` that nothing will read again.
+
+    Only call it once everything derived from them has itself been written:
+    a lazy plan over a deleted table fails.
+    """
+    for t in tables:
+        path = getattr(t, "_scratch_path", None)
+        if path is None:
+            continue
+        jvm = t.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
