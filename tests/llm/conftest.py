@@ -1,0 +1,14 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from riskweave.session import build_session
+    s = build_session(master="local[4]", shuffle_partitions=6)
+    yield s
+    s.stop()
