@@ -280,6 +280,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                        num: int = 75, den: int = 100, sketch_bits: int = 20) -> DataFrame:
     """(id, n_shingles, component_id), one row per row of ``docs``."""
+    tb.bound_batches(docs)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = src.filter(F.col("id").isNotNull())
     feats = cut_lineage(_features(src, size, sketch_bits))

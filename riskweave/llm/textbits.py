@@ -105,6 +105,16 @@ def chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, np.nd
         row = stop
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(df):
+    """Bounds the Arrow batches between Spark and the tasks' Python by bytes (rows of
+    10,000 long texts or sets would not fit); returns ``df``. Results never depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def lower_ascii() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
