@@ -14,14 +14,14 @@ Method (rare-first prefix filtering):
    same total order everywhere. Two similar sets must share a shingle among
    their first ``n - ceil(t n) + 1``; only these are emitted. Any total order
    gives exact results; the sketch only makes the lists short.
-3. The prefix rows are partitioned by shingle and sorted by size. Streaming the
-   sorted rows drops shingles of a single class and names, per shingle and
-   size band, a leader. Frequent shingles are dealt over several blocks.
-4. First round: every class is compared with its leaders only, so a large group
-   of near copies costs a star and not all pairs. Pairs pass the length and
-   positional filters, are made distinct, and are verified once, on whole sets,
-   after a suffix filter (lower bound of the Hamming distance from the counts
-   in fixed hash ranges).
+3. The prefix rows are partitioned by shingle (frequent shingles over several
+   blocks) and sorted; streaming them drops shingles of a single class.
+4. First round: per shingle and size band, every class is compared only with the
+   class that shares most shingles with others, so a large group of near copies
+   costs a star around its least changed text and not all pairs. Pairs pass the
+   length and positional filters, are made distinct, and are verified once, on
+   whole sets, after a suffix filter (lower bound of the Hamming distance from
+   the counts in fixed hash ranges).
 5. Second round: shingles whose classes are still in different components are
    joined with themselves, and every pair of classes in different components
    that passes the filters and was not verified before is verified. What stays
@@ -167,40 +167,26 @@ def _prefixes(docs: DataFrame, sketch, bits: int, size: int, num: int, den: int)
     return docs.mapInArrow(run, "token long, salt int, np long, sid long")
 
 
-def _postings(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Streams rows sorted by (token, salt, np, sid): drops repeats and shingles of
-    one class only; adds the leader (first row of the shingle's size band)."""
-    step = np.log(den / num)
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """Streams rows sorted by (token, salt, np, sid); drops repeats and shingles of one class only."""
+    names = ["token", "np", "sid"]
 
     def run(batches):
         held = None                                        # the last row, undecided until the next one is seen
-        prev = None                                        # the row before it
-        leader = None                                      # (token, salt, band, np, sid)
-        names = ["token", "salt", "np", "sid", "lnp", "lsid"]
+        prev = None                                        # shingle block of the row before it
 
-        def settle(cols, last):
-            """Rows of ``cols`` whose neighbours are known; ``last``: the final row too."""
-            nonlocal prev, leader
+        def settle(cols, stop):
+            """Of the first ``stop`` rows, those with a neighbour in their shingle block."""
+            nonlocal prev
             tok, salt, npos, sid = cols
             m = len(tok)
-            band = np.floor(np.log(np.maximum(npos >> 32, 1)) / step + 1e-9).astype(np.int64)
-            same = np.zeros(m + 1, dtype=bool)             # row i and row i - 1 belong to one shingle block
+            same = np.zeros(m + 1, dtype=bool)             # row i and row i - 1 belong to one block
             same[1:m] = (tok[1:] == tok[:-1]) & (salt[1:] == salt[:-1])
             same[0] = prev is not None and prev == (tok[0], salt[0])
-            fresh = np.ones(m, dtype=bool)
-            fresh[1:] = ~same[1:m] | (band[1:] != band[:-1])
-            if leader is not None and leader[:3] == (tok[0], salt[0], band[0]):
-                fresh[0] = False
-            at = np.maximum.accumulate(np.where(fresh, np.arange(m), -1))
-            lnp = np.where(at >= 0, npos[np.maximum(at, 0)], leader[3] if leader else 0)
-            lsid = np.where(at >= 0, sid[np.maximum(at, 0)], leader[4] if leader else 0)
-            stop = m if last else m - 1
-            keep = np.flatnonzero((same[:stop] | same[1:stop + 1] | (salt[:stop] > 0)))
+            keep = np.flatnonzero(same[:stop] | same[1:stop + 1] | (salt[:stop] > 0))
             if stop:
                 prev = (tok[stop - 1], salt[stop - 1])
-                leader = (tok[stop - 1], salt[stop - 1], band[stop - 1], lnp[stop - 1], lsid[stop - 1])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c[:stop][keep]) for c in (tok, salt, npos, sid, lnp, lsid)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c[:stop][keep]) for c in (tok, npos, sid)], names=names)
 
         for b in batches:
             cols = [np.asarray(b.column(i)) for i in range(4)]
@@ -212,18 +198,30 @@ def _postings(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             once = np.ones(len(tok), dtype=bool)
             once[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1]) | (npos[1:] != npos[:-1])
             cols = [c[once] for c in cols]
-            out = settle(cols, False)
+            out = settle(cols, len(cols[0]) - 1)
             held = [c[-1:] for c in cols]
             if out.num_rows:
                 yield out
         if held is not None:
-            out = settle(held, True)
+            out = settle(held, 1)
             if out.num_rows:
                 yield out
 
     order = ["token", "salt", "np", "sid"]
     return (prefixes.repartition("token", "salt").sortWithinPartitions(*order)
-                    .mapInArrow(run, "token long, salt int, np long, sid long, lnp long, lsid long"))
+                    .mapInArrow(run, "token long, np long, sid long"))
+
+
+def _stars(post: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of every row with the leader of its shingle and size band: the class that
+    shares most shingles with others, which among near copies is the least changed one."""
+    band = F.floor(F.log(F.shiftright("np", 32).cast("double")) / float(np.log(den / num)) + 1e-9)
+    degree = post.groupBy("sid").agg(F.count("*").alias("degree"))
+    ranked = cut_lineage(post.join(degree, "sid").withColumn("band", band))
+    top = ranked.groupBy("token", "band").agg(F.max(F.struct("degree", "sid", "np")).alias("m"))
+    pairs = ranked.join(top, ["token", "band"]).select(
+        F.col("m.sid").alias("sa"), F.col("m.np").alias("na"), F.col("sid").alias("sb"), F.col("np").alias("nb"))
+    return pairs.filter((F.col("sa") != F.col("sb")) & _may_match(F.col("na"), F.col("nb"), num, den))
 
 
 def _may_match(np_a, np_b, num: int, den: int):
@@ -288,7 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = feats.filter(F.col("block").isNull()).select("id", "n", "s1", "s2")
     full = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut_lineage(full.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
-    post = cut_lineage(_postings(_prefixes(known, sketch, sketch_bits, size, num, den), num, den))
+    post = cut_lineage(_postings(_prefixes(known, sketch, sketch_bits, size, num, den)))
 
     # rows of one id in several classes make these one document
     shared = (full.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
@@ -304,13 +302,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return (p.join(ca, ["sa", "na"]).join(cb, ["sb", "nb"]).filter("ra != rb")
                  .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
 
-    own = post.filter("sid != lsid").select(F.col("lsid").alias("sa"), F.col("lnp").alias("na"),
-                                            F.col("sid").alias("sb"), F.col("np").alias("nb"))
-    heads = post.filter("salt > 0 and sid = lsid").select("token", "np", "sid")
-    top = heads.groupBy("token").agg(F.min(F.struct("np", "sid")).alias("m")).select(
-        "token", F.col("m.sid").alias("sa"), F.col("m.np").alias("na"))
-    across = heads.join(top, "token").filter("sid != sa").select("sa", "na", F.col("sid").alias("sb"), F.col("np").alias("nb"))
-    first = cut_lineage(named(own.unionByName(across).filter(_may_match(F.col("na"), F.col("nb"), num, den))))
+    first = cut_lineage(named(_stars(post, num, den)))
     links = _verify(known, first, size, num, den)
     reps = classes.select(F.col("rep").alias("id")).unionByName(torn.select(F.col("a").alias("id")))
     comps = connected_components(reps, links.unionByName(torn), src="a", dst="b")
