@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import jaccardjoin, linededup
+from riskweave.llm import bpe, jaccardjoin, langid, linededup, quality, sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,38 @@ JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) m USI
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccardjoin.jaccard_components(docs)
+
+
+def _with_fold(scored: DataFrame, mod: int, held: int, *cols: str) -> DataFrame:
+    return scored.select("doc_id", (sampling.fold("doc_id", mod) == held).alias("held_out"), *cols)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang", folds=4, held=2)
+    return _with_fold(langid.identify(docs, model), 4, 2, "lang_pred", "score", "ambiguous")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", folds=3, held=1)
+    return _with_fold(toxicity.score(docs, model), 3, 1, "score", "predicted")
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "doc_id", "text", "quality", folds=5, held=0)
+    return _with_fold(quality.score(docs, model, keep=["doc_id"]), 5, 0, "score", "predicted")
+
+
+def byte_bpe() -> bpe.Codec:
+    import public_tokenizers
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_report(table(spark, sf_dir, "documents"), byte_bpe())

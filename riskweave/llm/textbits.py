@@ -65,14 +65,42 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2 ** 64 - 1)], dtype=np.uint64))[0])
 
 
+class RangeHasher:
+    """Hashes of byte ranges of one buffer; the prefix sum is made once."""
+
+    def __init__(self, buf: np.ndarray, seed: int = 1):
+        n = len(buf)
+        self.acc = np.zeros(n + 1, dtype=np.uint64)
+        if n:
+            np.cumsum(byte_values(seed)[buf] * powers(n), out=self.acc[1:])
+        self.back = powers(n + 1, inverse=True)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.acc[end] - self.acc[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
 def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """Hash of ``buf[start:end]`` for each pair; equal bytes give equal hashes."""
-    n = len(buf)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    if n:
-        np.cumsum(byte_values(seed)[buf] * powers(n), out=acc[1:])
-    back = powers(n + 1, inverse=True)
-    return mix((acc[end] - acc[start]) * back[start] + (end - start).astype(np.uint64))
+    return RangeHasher(buf, seed)(start, end)
+
+
+def byte_grams(buf: np.ndarray, offsets: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hashed gram) of every window of ``width`` (at most 4) bytes inside one text."""
+    n = len(buf) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    g = buf[:n].astype(np.uint32)
+    for k in range(1, width):
+        g |= buf[k:n + k].astype(np.uint32) << np.uint32(8 * k)
+    h = ((g * np.uint32(0x9E3779B1) + np.uint32(width * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(32 - bits)).astype(np.int64)
+    lens = np.diff(offsets)
+    text = np.repeat(np.arange(len(lens)), lens)[:n]
+    inside = np.ones(n, dtype=bool)
+    for k in range(1, width):                       # windows that begin in a text's last width - 1 bytes
+        last = offsets[1:] - k
+        last = last[(last >= 0) & (last < n)]
+        inside[last] = False
+    return text[inside], h[inside]
 
 
 def chunks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
