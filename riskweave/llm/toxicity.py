@@ -11,7 +11,9 @@ gradient steps (Adam) on the class-prior-corrected risk
 
 with the logistic loss; where the second part turns negative the step goes the
 other way, which keeps the model from fitting hidden positives of the
-unlabelled text as negatives. Scores depend on which words occur, not on how
+unlabelled text as negatives. The margin is then calibrated so that a score of
+0.7 marks the least margin with a high precision, itself estimated from the
+confirmed and the unlabelled texts and the class prior. Scores depend on which words occur, not on how
 long the text is, so a toxic passage in a very long text counts in full.
 
 The fit takes at most about ``positives`` and ``unlabelled`` whole texts by a
@@ -74,11 +76,30 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
+def copy_weights(texts: list[np.ndarray], tables: int = 6, depth: int = 5) -> np.ndarray:
+    """A weight per text, small for one of many near copies: one over the number of
+    texts that agree with it in all ``depth`` minimum hashes of one of ``tables``."""
+    most = np.ones(len(texts))
+    empty = np.arange(len(texts), dtype=np.uint64)
+    for k in range(tables):
+        key = np.zeros(len(texts), dtype=np.uint64)
+        for j in range(depth):
+            seed = np.uint64(0x51ED27 * (k * depth + j + 1))
+            low = np.array([tb.mix(t ^ seed).min() if len(t) else e for t, e in zip(texts, empty)], dtype=np.uint64)
+            key = tb.mix(key * np.uint64(3) + low)
+        _, place, n = np.unique(key, return_inverse=True, return_counts=True)
+        most = np.maximum(most, n[place])
+    return 1.0 / most
+
+
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, keep: int = 4096, least_ratio: float = 2.5,
-          least_z: float = 5.0, rounds: int = 1200, batch: int = 512) -> Model:
-    n_p, n_u = len(pos), len(unl)
-    feat_p, df_p = np.unique(np.concatenate(pos), return_counts=True)
-    feat_u, df_u = np.unique(np.concatenate(unl), return_counts=True)
+          least_z: float = 5.5, rounds: int = 1200, batch: int = 512) -> Model:
+    weight_p, weight_u = copy_weights(pos), copy_weights(unl)
+    n_p, n_u = weight_p.sum(), weight_u.sum()
+    feat_p, at_p = np.unique(np.concatenate(pos), return_inverse=True)
+    df_p = np.bincount(at_p, weights=np.repeat(weight_p, [len(t) for t in pos]))
+    feat_u, at_u = np.unique(np.concatenate(unl), return_inverse=True)
+    df_u = np.bincount(at_u, weights=np.repeat(weight_u, [len(t) for t in unl]))
     at = np.minimum(np.searchsorted(feat_u, feat_p), len(feat_u) - 1)
     in_u = np.where(feat_u[at] == feat_p, df_u[at], 0)
     rate_p, rate_u = df_p / n_p, in_u / n_u
@@ -103,8 +124,8 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, keep: int
     rng = np.random.default_rng(13)
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, rounds + 1):
-        xp = all_p[rng.integers(0, n_p, min(batch, n_p))].astype(np.float32)
-        xu = all_u[rng.integers(0, n_u, min(batch, n_u))].astype(np.float32)
+        xp = all_p[rng.choice(len(pos), min(batch, len(pos)), p=weight_p / n_p)].astype(np.float32)
+        xu = all_u[rng.choice(len(unl), min(batch, len(unl)), p=weight_u / n_u)].astype(np.float32)
         zp, zu = xp @ w, xu @ w
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -114,7 +135,25 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, keep: int
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (1 - step / (rounds + 1)) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w[:d] = np.maximum(w[:d], 0.0)                    # features were chosen as signs of toxicity
-    return Model(feats, w[:d].astype(np.float64), float(w[d]))
+    scale, shift = calibrate(all_p @ w, all_u @ w, prior)
+    return Model(feats, scale * w[:d].astype(np.float64), float(scale * w[d] + shift))
+
+
+def calibrate(zp: np.ndarray, zu: np.ndarray, prior: float, precision: float = 0.95, at: float = 0.7) -> tuple[float, float]:
+    """(scale, shift) that move the least margin with an estimated precision of
+    ``precision`` to the score ``at``. The precision above a margin is estimated
+    without negatives: prior * share of the positives above / share of the
+    unlabelled above."""
+    cut = np.unique(zp)
+    above_p = 1 - np.searchsorted(np.sort(zp), cut) / len(zp)
+    above_u = np.maximum(1 - np.searchsorted(np.sort(zu), cut) / len(zu), 1 / len(zu))
+    fine = np.flatnonzero(prior * above_p >= precision * above_u)
+    edge = cut[fine[0]] if len(fine) else cut[-1]
+    below = zu[zu < edge]
+    floor = below.max() if len(below) else edge - 1.0
+    line, logit = (edge + floor) / 2, float(np.log(at / (1 - at)))
+    scale = max(1.0, (logit + 3.0) / max(line - min(zu.min(), floor), 1e-3))
+    return scale, logit - scale * line
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int,
