@@ -6,8 +6,8 @@ each remaining part into pieces by the byte-level split pattern, and each piece
 at its forced boundaries: a pair of neighbouring bytes that occurs inside no
 token of the vocabulary can never be merged across, so a cut there is certain.
 The fragments are encoded independently by merging the pair of least rank first
-(leftmost on ties), and the ids are concatenated. Fragments and pieces repeat
-often, so each worker keeps a bounded table of those it has encoded. Decoding
+(leftmost on ties), and the ids are concatenated. Pieces repeat often, so each
+worker keeps a bounded table of those it has encoded. Decoding
 joins the tokens' bytes and reads them as UTF-8.
 
 Short fragments are merged by scanning, long ones with a heap over a linked
@@ -23,7 +23,6 @@ import hashlib
 import heapq
 import json
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,7 +32,10 @@ from riskweave.llm import textbits as tb
 
 # Fixed value: the split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 350_000
+NEVER = 1 << 62                                  # above every packed rank: no merge
+FORCED = NEVER + 1                               # and no token holds this pair of bytes: a certain cut
+_CODECS: dict[str, Codec] = {}                   # per worker process, so that its tables outlive a task
 
 
 def byte_letters() -> list[str]:
@@ -58,38 +60,44 @@ class Codec:
         self.first = [vocab[c] for c in letters]
         self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.packed = {a << 16 | b: rank << 16 | new for (a, b), (rank, new) in self.merge.items()}
         self.bytes_of = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()}
-        self.inside = np.zeros(1 << 16, dtype=bool)
+        self.pairs = [FORCED] * (1 << 16)                # what a pair of bytes merges to, if a token holds it at all
         for token in self.bytes_of.values():
-            t = np.frombuffer(token, dtype=np.uint8).astype(np.int64)
-            self.inside[t[:-1] * 256 + t[1:]] = True
+            for a, b in zip(token, token[1:]):
+                self.pairs[a << 8 | b] = self.packed.get(self.first[a] << 16 | self.first[b], NEVER)
+        self.key = hashlib.sha256(repr((sorted(vocab.items()), merges, sorted(self.added.items()))).encode()).hexdigest()
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
+        self.names = {i: f"{i}," for i in self.bytes_of}
         self._start()
 
     def _start(self):
         self.split = regex.compile(SPLIT)
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.fragments: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "around", "pieces", "fragments")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "around", "pieces", "older")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._start()
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        merge = self.merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merge.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
+    def _merge_short(self, ids: list[int], best: list[int]) -> list[int]:
+        """Merges by rank; ``best[i]`` holds rank and result of the pair at i."""
+        get = self.packed.get
+        while best:
+            least = min(best)
+            if least == NEVER:
                 break
-            ids[at:at + 2] = [best[1]]
+            i = best.index(least)
+            ids[i:i + 2] = [new] = [least & 0xFFFF]
+            del best[i]
+            if i < len(best):
+                best[i] = get(new << 16 | ids[i + 1], NEVER)
+            if i:
+                best[i - 1] = get(ids[i - 1] << 16 | new, NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -112,40 +120,39 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def encode_fragment(self, fragment: bytes) -> tuple[int, ...]:
-        got = self.fragments.get(fragment)
-        if got is None:
-            ids = [self.first[b] for b in fragment]
-            got = tuple(self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids))
-            if len(fragment) <= 64:
-                if len(self.fragments) >= TABLE_LIMIT:
-                    self.fragments.clear()
-                self.fragments[fragment] = got
-        return got
-
-    def fragments_of(self, piece: bytes) -> list[bytes]:
-        """``piece`` cut at its forced boundaries."""
-        b = np.frombuffer(piece, dtype=np.uint8).astype(np.int64)
-        cuts = np.flatnonzero(~self.inside[b[:-1] * 256 + b[1:]]) + 1
-        at = [0, *cuts.tolist(), len(piece)]
-        return [piece[i:j] for i, j in zip(at, at[1:])]
-
     def encode_piece(self, piece: str) -> list[int]:
+        """Cuts at the forced boundaries, encodes the fragments alone and joins their ids."""
+        raw = piece.encode()
+        pairs = self.pairs
+        best = [pairs[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        first = self.first
+        ids = [first[b] for b in raw]
         out: list[int] = []
-        for f in self.fragments_of(piece.encode()):
-            out.extend(self.encode_fragment(f))
-        return out
+        lo = 0
+        while True:
+            try:
+                hi = best.index(FORCED, lo)
+            except ValueError:
+                hi = len(best)
+            if hi - lo < 48:
+                out += self._merge_short(ids[lo:hi + 1], best[lo:hi])
+            else:
+                out += self._merge_long(ids[lo:hi + 1])
+            if hi >= len(best):
+                return out
+            lo = hi + 1
 
     def _known(self, piece: str) -> tuple[str, bytes]:
         """The ids of a piece as text with a comma after each, and the bytes they decode to."""
-        got = self.pieces.get(piece)
+        got = self.older.get(piece)
         if got is None:
             ids = self.encode_piece(piece)
-            got = "".join([f"{i}," for i in ids]), b"".join([self.bytes_of[i] for i in ids])
-            if len(piece) <= 64:
-                if len(self.pieces) >= TABLE_LIMIT:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+            name, token = self.names, self.bytes_of
+            got = "".join([name[i] for i in ids]), b"".join([token[i] for i in ids])
+        if len(piece) <= 64:
+            if len(self.pieces) >= TABLE_LIMIT:            # the older half goes, pieces in use come back
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = got
         return got
 
     def parts(self, text: str) -> list[str]:
@@ -186,15 +193,21 @@ def load(path: str) -> Codec:
         return Codec(json.load(f))
 
 
+def _here(key: str, shared) -> Codec:
+    if key not in _CODECS:
+        _CODECS[key] = shared.value
+    return _CODECS[key]
+
+
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array, decoded), one row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(codec)
+    shared, key = docs.sparkSession.sparkContext.broadcast(codec), codec.key
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     names = schema.fieldNames()
 
     def run(batches):
-        c = shared.value
+        c = _here(key, shared)
         for b in batches:
             ids = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())),
@@ -205,13 +218,13 @@ def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str
 
 def round_trip_report(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(codec)
+    shared, key = docs.sparkSession.sparkContext.broadcast(codec), codec.key
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     names = schema.fieldNames()
 
     def run(batches):
-        c = shared.value
+        c = _here(key, shared)
         for b in batches:
             n, sha, back = [], [], []
             for value in b.column(1):
