@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, decontam, jaccardjoin, langid, linededup, quality, sampling, toxicity
+from riskweave.llm import bpe, decontam, jaccardjoin, langid, linededup, quality, sampling, toxicity, vectorjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
+
+
+COSINE_SQL = r"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id),
+comp AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT c.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM comp c LEFT JOIN deg d USING (vec_id)
+"""
+
+
+@query("op10_embedding_near_dedup", COSINE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.cosine_links(table(spark, sf_dir, "embeddings"))
