@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, decontam, jaccardjoin, langid, linededup, quality, sampling, toxicity, vectorjoin
+from riskweave.llm import bpe, decontam, htmltext, jaccardjoin, langid, linededup, quality, sampling, toxicity, vectorjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +152,9 @@ FROM comp c LEFT JOIN deg d USING (vec_id)
 @query("op10_embedding_near_dedup", COSINE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorjoin.cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
