@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, decontam, htmltext, jaccardjoin, langid, linededup, quality, sampling, toxicity, vectorjoin
+from riskweave.llm import bpe, decontam, htmltext, jaccardjoin, langid, linededup, maxent, quality, sampling, toxicity, vectorjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return htmltext.extract(pages, htmltext.fit(pages))
+
+
+@query("op5_maxent_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
