@@ -142,22 +142,42 @@ class Index:
         rep = np.repeat(np.arange(len(at)), n_post)
         post = np.arange(len(rep)) - np.repeat(np.r_[0, np.cumsum(n_post)[:-1]], n_post) + self.first[j][rep]
         item, ipos = self.item[post], self.pos[post]
-        text, tpos = text[rep], at[rep] - offs[text[rep]]
+        text = text[rep]
+        tpos = at[rep] - offs[text]
         n_items = len(self.ids)
-        pair, place, n = np.unique(text * n_items + item, return_inverse=True, return_counts=True)
-        live = (n >= self.need[pair % n_items])[place]     # cheap first: all diagonals together
+        pair = text * n_items + item                       # cheap first: all diagonals together
+        if n_items * (len(offs) - 1) <= 1 << 23:
+            n = np.bincount(pair)[pair]
+        else:
+            _, place, n = np.unique(pair, return_inverse=True, return_counts=True)
+            n = n[place]
+        live = np.flatnonzero(n >= self.need[item])
         text, item, tpos, ipos = text[live], item[live], tpos[live], ipos[live]
         if not len(text):
             return none
-        band = (tpos - ipos) // (self.k[item] + 1)
-        rows = np.concatenate([np.stack([text, item, band, ipos], 1), np.stack([text, item, band - 1, ipos], 1)])
-        rows = np.unique(rows, axis=0)
-        key = np.ones(len(rows), dtype=bool)
-        key[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-        start = np.flatnonzero(key)
-        n = np.diff(np.r_[start, len(rows)])
-        enough = n >= self.need[rows[start, 1]]
-        return rows[start[enough], :3]
+        # hits per strip of k + 1 diagonals; band v is the strips v and v + 1
+        strip = (tpos - ipos) // (self.k[item] + 1)
+        low, wide = int(strip.min()) - 1, int(strip.max()) - int(strip.min()) + 3
+        key = (text * n_items + item) * wide + (strip - low)
+        strips, n = np.unique(key, return_counts=True)
+        after = np.zeros(len(n), dtype=np.int64)
+        after[:-1] = np.where(strips[1:] == strips[:-1] + 1, n[1:], 0)
+        need = self.need[(strips // wide) % n_items]
+        lone = np.ones(len(n), dtype=bool)                 # bands whose first strip has no hit
+        lone[1:] = strips[1:] != strips[:-1] + 1
+        bands = np.sort(np.r_[strips[n + after >= need], strips[lone & (n >= need)] - 1])
+        if not len(bands):
+            return none
+        # distinct q-grams of the few bands left
+        held = np.flatnonzero(np.isin(key, np.r_[bands, bands + 1]))
+        some = np.unique(np.stack([key[held], ipos[held]], 1), axis=0)
+        out = []
+        for v in bands.tolist():
+            lo, hi = np.searchsorted(some[:, 0], [v, v + 2])
+            i = (v // wide) % n_items
+            if len(np.unique(some[lo:hi, 1])) >= self.need[i]:
+                out.append((v // wide // n_items, i, v % wide + low))
+        return np.array(out, dtype=np.int64).reshape(-1, 3)
 
     def matches(self, buf: np.ndarray, offs: np.ndarray):
         """(text, item id, edits, start, end) in source bytes: the best occurrence per text and item."""
@@ -165,6 +185,8 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for text, item, band in self.candidates(norm, cuts).tolist():
             body, k = self.texts[item], int(self.k[item])
+            if best.get((text, item), (1,))[0] == 0:       # nothing can be nearer, and the overlapping band sees the same
+                continue
             begin, stop = int(cuts[text]), int(cuts[text + 1])
             lo = band * (k + 1)
             left = max(0, lo)
@@ -172,8 +194,10 @@ class Index:
             edits, end = edits_in_band(body, part, lo - left, 2 * (k + 1))
             if edits > k:
                 continue
-            back, size = edits_in_band(body[::-1], part[:end][::-1], -(k + 1), 2 * (k + 1) + 1, anchored=True)
-            size = size if back <= edits else min(end, len(body))
+            size = len(body)
+            if edits:                                      # where it begins: the same alignment read backwards
+                back, size = edits_in_band(body[::-1], part[:end][::-1], -(k + 1), 2 * (k + 1) + 1, anchored=True)
+                size = size if back <= edits else min(end, len(body))
             found = (edits, left + end - size, left + end)
             if found < best.get((text, item), (1 << 30, 0, 0)):
                 best[text, item] = found
