@@ -190,7 +190,7 @@ def validate_anonymisation(orig: DataFrame, anon: DataFrame, id_col: str, label_
         checks.append(same_dist(province_col, "province_distribution", max_diff, max_total))
     oc, ac = set(orig.columns), set(anon.columns)
     checks.append(spark.createDataFrame(
-        [("column_sets", True, f"removed {len(oc - ac)}, added {len(ac - oc)}")], "check string, ok boolean, detail string"))
+        [("column_sets", oc == ac, f"removed {len(oc - ac)}, added {len(ac - oc)}")], "check string, ok boolean, detail string"))
     inter = orig.select(id_col).intersect(anon.select(id_col)).agg(F.count(F.lit(1)).alias("n"))
     checks.append(inter.select(F.lit("no_common_ids").alias("check"), (F.col("n") == 0).alias("ok"),
                                F.format_string("%d common", "n").alias("detail")))

@@ -242,22 +242,23 @@ def distance_percentile(sample: DataFrame, id_col: str, q: float = 0.5, features
 
 
 # V2 ------------------------------------------------------------------------------------
-def persistence_h0(df: DataFrame, id_col: str, thresh: float, features: str = "features",
-                   max_rounds: int = 64) -> DataFrame:
+def persistence_h0(df: DataFrame, id_col: str, thresh: float,
+                   features: str = "features") -> DataFrame:
     """Vietoris-Rips H0 up to ``thresh``: births 0, deaths = minimum spanning
     forest edge lengths (Boruvka rounds over the eps-join edge list), one
     infinite bar per remaining component; zero-length bars omitted.
 
     Each round every component picks its cheapest outgoing edge under the
     total order (length, src, dst) - a partial ``min`` aggregate - and the
-    chosen edges merge components (connected_components). Rounds <= log2 n.
+    chosen edges merge components (connected_components). Every component with
+    an outgoing edge merges, so rounds <= log2 n without a limit being set.
     """
     spark = df.sparkSession
     verts = df.select(F.col(id_col).alias("id"))
     edges = cut_lineage(eps_join(df, id_col, thresh, features).select("src", "dst", "dist"))
     comp = cut_lineage(verts.withColumn("component", F.col("id")))
     forest = None
-    for _ in range(max_rounds):
+    while True:
         cs = comp.select(F.col("id").alias("_s"), F.col("component").alias("cs"))
         cd = comp.select(F.col("id").alias("_d"), F.col("component").alias("cd"))
         cross = (edges.join(cs, edges["src"] == cs["_s"]).join(cd, edges["dst"] == cd["_d"])
@@ -277,8 +278,6 @@ def persistence_h0(df: DataFrame, id_col: str, thresh: float, features: str = "f
         merged = connected_components(cverts, best.select(F.col("cs").alias("src"), F.col("cd").alias("dst")), "id")
         comp = cut_lineage(comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("nc")),
                                      "component").select("id", F.col("nc").alias("component")))
-    else:
-        raise RuntimeError("Boruvka did not converge")
     n_comp = comp.select("component").distinct().count()
     finite = (forest.filter(F.col("dist") > 0).select(F.lit(0).alias("dim"), F.lit(0.0).alias("birth"),
                                                       F.col("dist").alias("death"))

@@ -285,3 +285,17 @@ def q_pca(spark, sf):
     from riskweave.operators.topology import pca_project
     proj, _, _ = pca_project(lowd(spark, sf), 2)
     return proj.select("id", F.round(F.col("pc")[0], 6).alias("pc1"), F.round(F.col("pc")[1], 6).alias("pc2"))
+
+
+@register("connected_components_chain", """
+WITH v AS (SELECT DISTINCT l_suppkey AS s, l_suppkey * 10000000000 + l_orderkey AS id FROM lineitem)
+SELECT id, min(id) OVER (PARTITION BY s) AS component FROM v""")
+def q_connected_components_chain(spark, sf):
+    """Long paths: the orders of each supplier, chained in md5 order."""
+    from pyspark.sql import Window
+    v = (spark.read.parquet(f"{sf}/lineitem.parquet")
+              .select(F.col("l_suppkey").alias("s"), (F.col("l_suppkey") * F.lit(10_000_000_000) + F.col("l_orderkey")).alias("id"))
+              .distinct())
+    order = Window.partitionBy("s").orderBy(F.md5(F.col("id").cast("string")))
+    edges = v.withColumn("dst", F.lead("id").over(order)).filter("dst is not null").select(F.col("id").alias("src"), "dst")
+    return N.connected_components(v.select("id"), edges, "id")

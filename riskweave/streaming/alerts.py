@@ -100,13 +100,18 @@ def risk_alerts(new: DataFrame, model: AlertModel, id_col: str) -> DataFrame:
                       F.sqrt(F.col("_b._d2")).alias("distance"))
 
 
+def write_alert_batch(batch: DataFrame, batch_id: int, model: AlertModel, id_col: str, out_path: str) -> None:
+    """Write a micro-batch's alerts to its own ``batch_id=<n>`` folder, replacing
+    what an earlier attempt of the same batch left there."""
+    risk_alerts(batch, model, id_col).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+
 def start_alert_stream(stream: DataFrame, model: AlertModel, id_col: str, out_path: str,
                        checkpoint: str, trigger_once: bool = True):
-    """Score a streaming DataFrame of new customers with ``foreachBatch``;
-    each micro-batch is appended to ``out_path`` (parquet) under its batch id."""
+    """Score a streaming DataFrame of new customers with ``foreachBatch``. A
+    replayed micro-batch overwrites its own partition of ``out_path``."""
     def handle(batch: DataFrame, batch_id: int):
-        (risk_alerts(batch, model, id_col).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(out_path))
+        write_alert_batch(batch, batch_id, model, id_col, out_path)
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()

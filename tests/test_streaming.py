@@ -25,3 +25,13 @@ def test_stream_equals_batch(spark):
     got = {r.id: (r.cluster, r.nivel) for r in spark.read.parquet(out).collect()}
     assert got == batch
     assert {v[1] for v in batch.values()} >= {"alto", "bajo", "revisar"}
+
+
+def test_replayed_batch_is_stored_once(spark):
+    rows = [(i, int(i >= 20), float(i % 5), 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    model = AL.fit_alert_model(df, "id", "y", ["a", "b"], 1.0, 3)
+    out = f"{tempfile.mkdtemp(prefix='rw-replay-')}/out"
+    for _ in range(2):
+        AL.write_alert_batch(df, 7, model, "id", out)
+    assert spark.read.parquet(out).groupBy("batch_id").count().collect()[0]["count"] == 40
