@@ -51,12 +51,13 @@ def test_against_dictionary(spark):
 def test_hash_over_many_partitions(spark):
     """One line in almost every document: its rows span many range partitions."""
     rows = [(i, "the same long line everywhere\nown line number %d here" % i) for i in range(2000)]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = {r["doc_id"]: r["n_dropped"] for r in linededup.line_dedup_report(df).collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert got == {i: int(i > 0) for i in range(2000)}
 
 
