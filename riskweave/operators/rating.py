@@ -104,11 +104,14 @@ def rating_features(t: dict[str, DataFrame], with_offers: bool = True) -> DataFr
         r = r.join(o, "rating_id", "left")
     risk = latest_per_key_in(t["risk"], "id_cliente", "fecha_creacion").select(
         F.col("id_cliente").alias("id_cliente_riesgo_vivo"), F.col("riesgo_power").alias("riesgo_vivo_power"),
-        F.col("riesgo_gas").alias("riesgo_vivo_gas"), F.col("volumen").alias("volumen_riesgo"))
+        F.col("riesgo_gas").alias("riesgo_vivo_gas"), F.col("volumen").alias("volumen_riesgo"),
+        F.col("riesgo_power_falcon").alias("riesgo_vivo_power_falcon"),
+        F.col("riesgo_eficiencia").alias("riesgo_vivo_eficiencia"))
     r = r.join(risk, r["id_cliente"] == risk["id_cliente_riesgo_vivo"], "left")
     return r.select(*RATING_COLUMNS)
 
 
+# The 49 columns of the rating table.
 RATING_COLUMNS = [
     "id_evaluacion", "fecha_creacion", "ano_mes_creacion", "rating_id", "estado", "estado_detalle", "id_cliente",
     "last_request", "grade_old", "pd_old", "pd_new", "cif_nif", "zona_geografica", "tipo_persona", "volumen",
@@ -118,6 +121,7 @@ RATING_COLUMNS = [
     "codigo_cnae", "result_antes_imp_pt", "fecha_balance_pt", "total_pasivo_pt", "fondos_propios_pt",
     "fecha_constitucion_pt", "ing_explotacion_pt", "importe_neto_pt", "gastos_financieros_pt",
     "id_cliente_riesgo_vivo", "riesgo_vivo_power", "riesgo_vivo_gas", "volumen_riesgo",
+    "riesgo_vivo_power_falcon", "riesgo_vivo_eficiencia",
 ]
 
 

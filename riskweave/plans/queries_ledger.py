@@ -25,33 +25,33 @@ def q_unified_invoices(spark, sf):
     return T.invoices(spark, sf)
 
 
-@register("delinquent_invoices", O.with_risk("SELECT * FROM f_bad"))
+@register("delinquent_invoices", O.with_risk("""
+SELECT DISTINCT cif_nif, numero_factura, fecha_vencimiento, saldo_pendiente, dias_vencido, mes_ano_emision
+FROM inv_marks WHERE late60 OR late90"""))
 def q_delinquent_invoices(spark, sf):
     return L.delinquent_invoices(T.invoices(spark, sf))
 
 
 @register("invoice_counts", O.with_risk("""
-SELECT aa.cif_nif, CAST(aa.n AS BIGINT) AS n_facturas_totales,
-       CAST(COALESCE(ao.n, 0) AS BIGINT) AS n_facturas_vencidas,
-       CAST(COALESCE(ab.n, 0) AS BIGINT) AS n_facturas_morosas
-FROM agg_all aa LEFT JOIN agg_open ao ON aa.cif_nif = ao.cif_nif
-LEFT JOIN agg_bad ab ON aa.cif_nif = ab.cif_nif"""))
+SELECT cif_nif, n_all AS n_facturas_totales, n_open AS n_facturas_vencidas, n_late AS n_facturas_morosas
+FROM inv_sums"""))
 def q_invoice_counts(spark, sf):
     return L.invoice_counts(T.invoices(spark, sf))
 
 
 @register("open_balance", O.with_risk(
-    "SELECT cif_nif, CAST(s AS DECIMAL(26,2)) AS saldo_pendiente_total FROM agg_bal"))
+    "SELECT cif_nif, CAST(owed AS DECIMAL(26,2)) AS saldo_pendiente_total FROM inv_sums WHERE owed IS NOT NULL"))
 def q_open_balance(spark, sf):
     return L.open_balance(T.invoices(spark, sf))
 
 
-@register("max_days_late", O.with_risk("SELECT cif_nif, d AS dias_mora_maximo FROM agg_bad"))
+@register("max_days_late", O.with_risk(
+    "SELECT cif_nif, worst AS dias_mora_maximo FROM inv_sums WHERE worst IS NOT NULL"))
 def q_max_days_late(spark, sf):
     return L.max_days_late(T.invoices(spark, sf))
 
 
-@register("union_distinct", O.with_risk("SELECT cif_nif FROM c_m1 UNION SELECT cif_nif FROM c_m2"))
+@register("union_distinct", O.with_risk("SELECT cif_nif FROM inv_sums WHERE any60 OR any90"))
 def q_union_distinct(spark, sf):
     inv = T.invoices(spark, sf)
     crit = L.Criteria()
@@ -115,8 +115,7 @@ def q_order_customers(spark, sf):
 
 
 @register("flag_by_presence", O.with_risk("""
-SELECT m.cif_nif, (c1.cif_nif IS NOT NULL) AS es_moroso_60d FROM tb_master m
-LEFT JOIN c_m1 c1 ON m.cif_nif = c1.cif_nif"""))
+SELECT cif_nif, cif_nif IN (SELECT cif_nif FROM inv_marks WHERE late60) AS es_moroso_60d FROM tb_master"""))
 def q_flag_by_presence(spark, sf):
     inv = T.invoices(spark, sf)
     return L.flag_by_presence(T.master(spark, sf).select("cif_nif"),

@@ -82,7 +82,8 @@ def q_business_day_before(spark, sf):
                     X.day_before(d, 1).alias("day_1"))
 
 
-@register("overdue_invoices", O.with_risk("SELECT * FROM f_over"))
+@register("overdue_invoices", O.with_testbed(
+    "SELECT * FROM tb_invoices WHERE saldo_pendiente > 0 AND dias_vencido > 60"))
 def q_overdue_invoices(spark, sf):
     return L.overdue_invoices(T.invoices(spark, sf), 60)
 

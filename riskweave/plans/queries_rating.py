@@ -26,7 +26,7 @@ def q_latest_request(spark, sf):
     return RT.latest_requests(T.rating_schema(spark, sf)["request"])
 
 
-@register("latest_per_key", _rq("SELECT * FROM r_risk_last"))
+@register("latest_per_key", _rq("SELECT id_cliente, riesgo_power, riesgo_gas, volumen_riesgo FROM r_risk_last"))
 def q_latest_per_key(spark, sf):
     risk = T.rating_schema(spark, sf)["risk"]
     return latest_per_key_in(risk, "id_cliente", "fecha_creacion").select(
@@ -66,7 +66,7 @@ def q_pt_financials(spark, sf):
         "fecha_constitucion_pt", "ing_explotacion_pt", "importe_neto_pt", "gastos_financieros_pt")
 
 
-@register("payments", O.with_testbed(O.PAYMENTS_SQL, O.PAYMENT_CTES))
+@register("payments", O.with_testbed(O.PAYMENTS_SQL))
 def q_payments(spark, sf):
     t = T.payment_tables(spark, sf)
     return RT.payments(t["entries"], t["customers"], t["invoices"], t["memos"], t["ids"])

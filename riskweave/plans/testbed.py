@@ -255,6 +255,8 @@ def rating_schema(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["eeff_pt"] = eeff_pt(1, k % 9 == 0).unionByName(eeff_pt(2, k % 18 == 0))
     t["risk"] = o.select(F.col("o_custkey").alias("id_cliente"), F.trunc(d, "month").alias("fecha_creacion"),
                          F.col("o_totalprice").alias("riesgo_power"), (F.col("o_totalprice") / 2).alias("riesgo_gas"),
+                         (F.col("o_totalprice") / 8).alias("riesgo_power_falcon"),
+                         (k % 7).cast("double").alias("riesgo_eficiencia"),
                          (k % 1000).cast("double").alias("volumen"))
     crm_q, falcon_q = quote_sources(spark, sf_dir)
     from riskweave.operators.rating import offers
