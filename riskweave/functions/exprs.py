@@ -195,8 +195,11 @@ def lower_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
 
-INTERNAL_ID_COLUMNS = ["id_cliente", "id_evaluacion", "id_rating_request", "id_eeff",
-                       "id_eeff_pt", "codigo_cliente", "id_cliente_falcon_crm", "rating_id_crm_falcon"]
+# Internal id columns removed from an anonymised table.
+INTERNAL_ID_COLUMNS = [
+    "id_evaluacion", "rating_id", "id_cliente", "id_tramo", "id_negocio",
+    "id_cliente_riesgo_vivo", "max_id_rating_request", "id_input_custom_data",
+]
 
 
 def drop_columns_if_present(df: DataFrame, cols=None) -> tuple[DataFrame, list[str]]:

@@ -86,23 +86,21 @@ def one_hot_top_n(df: DataFrame, col: str, n: int, prefix: str, other: str = "Ot
     return _indicators(df, col, top_values(df, col, n), prefix, other)
 
 
-def one_hot_all(df: DataFrame, col: str, prefix: str, max_categories: int = 1000):
+def one_hot_all(df: DataFrame, col: str, prefix: str):
     """Every non-null category (sorted by value), no 'other' column.
 
-    Meant for low-cardinality columns (type, country); more than
-    ``max_categories`` distinct values is an error rather than an unbounded
-    list on the driver (use :func:`one_hot_top_n` there).
+    The output has one column per value, so the list of values is the schema
+    and reaches the driver whole; for columns of many values take
+    :func:`one_hot_top_n` or :func:`one_hot_min_share`.
     """
-    vals = [r[0] for r in df.filter(_c(col).isNotNull()).select(col).distinct().orderBy(col)
-            .limit(max_categories + 1).collect()]
-    if len(vals) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories; use one_hot_top_n")
+    vals = [r[0] for r in df.filter(_c(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
     return _indicators(df, col, vals, prefix, None)
 
 
 def one_hot_min_share(df: DataFrame, col: str, prefix: str, share: float = 0.01, other: str = "Otras"):
     """Categories with count >= int(share * n) plus 'other' (at most 1/share
-    categories can pass, so the list is bounded)."""
+    categories can pass; where the threshold rounds to 0 the table itself has
+    fewer than 1/share rows)."""
     n = df.count()
     return _indicators(df, col, top_values(df, col, None, int(share * n)), prefix, other)
 

@@ -80,17 +80,14 @@ def principal_axes(df: DataFrame, features: str = "features", k: int = 2) -> np.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
-    first = df.select(features).first()
-    d = len(first[0]) if first is not None else 1
+    some = df.select(features).limit(2).collect()
+    d = len(some[0][0]) if some else 1
     k = max(1, min(k, d))
-    try:
-        model = PCA(k=k, inputCol="_v", outputCol="_p").fit(df.select(array_to_vector(F.col(features)).alias("_v")))
-        axes = np.array(model.pc.toArray().T)
-        if np.all(np.isfinite(axes)):
-            return axes
-    except Exception:  # noqa: BLE001 - fewer than two rows
-        pass
-    return np.eye(d)[:k]
+    if len(some) < 2:  # a covariance needs two rows
+        return np.eye(d)[:k]
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(df.select(array_to_vector(F.col(features)).alias("_v")))
+    axes = np.array(model.pc.toArray().T)
+    return axes if np.all(np.isfinite(axes)) else np.eye(d)[:k]
 
 
 def with_cells(df: DataFrame, axes: np.ndarray, eps: float, features: str = "features") -> DataFrame:
@@ -280,42 +277,119 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     return out
 
 
+def pack_blocks(df: DataFrame, id_col: str, label: str, features: str = "features", weight: str | None = None,
+                rows: int = 1024) -> DataFrame:
+    """Points packed into blocks of at most ``rows`` rows, one row per block:
+    (blk, ids, labels, weights, dim, vecs), ``vecs`` a row-major float64 matrix.
+
+    Every task packs what it holds, batch by batch; sort or partition the
+    input first where blocks should hold few labels. The result is written,
+    so block numbers stay the same for every later reader.
+    """
+    import pandas as pd
+    types = {c: df.schema[c].dataType.simpleString() for c in (id_col, label)}
+
+    def block(ids, labs, w, vecs):
+        X = np.array(vecs, dtype=float)
+        return {"ids": ids, "labels": labs, "weights": w, "dim": X.shape[1], "vecs": X.tobytes()}
+
+    def pack(it):
+        for pdf in it:
+            out = []
+            for lo in range(0, len(pdf), rows):
+                part = pdf.iloc[lo:lo + rows]
+                w = part["_w"].to_numpy(dtype=np.int64)
+                out.append(block(part[id_col].to_numpy(), part[label].to_numpy(), w, part[features].tolist()))
+            if out:
+                yield pd.DataFrame(out)
+
+    src = df.select(id_col, label, (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), features)
+    schema = (f"ids array<{types[id_col]}>, labels array<{types[label]}>, weights array<bigint>, "
+              "dim int, vecs binary")
+    return cut_lineage(src.mapInPandas(pack, schema).withColumn("blk", F.monotonically_increasing_id()))
+
+
+def pair_blocks(left: DataFrame, right: DataFrame, score, schema: str, per_cell: int = 16) -> DataFrame:
+    """Apply ``score(left block, right block) -> pandas frame`` to every pair of blocks.
+
+    Fragment and replicate on a grid of side s: a left block takes one grid
+    row and is copied to its s cells, a right block takes one column, and the
+    two meet by co-grouping on the cell. A cell holds about ``per_cell``
+    pairs, so a few blocks of each side, whatever the number of blocks; work
+    spreads over s * s keys and a block is shipped s times, not once per
+    partner.
+    """
+    import pandas as pd
+    n = max(left.count(), 1) * max(right.count(), 1)
+    side = int(np.ceil(np.sqrt(n / per_cell)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    own = F.pmod(F.xxhash64("blk"), F.lit(side)).cast("int")
+    a = left.select("*", own.alias("_row")).select("*", every.alias("_col"))
+    b = right.select("*", own.alias("_col")).select("*", every.alias("_row"))
+
+    def cell(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        out = [score(x, y) for x in lp.itertuples() for y in rp.itertuples()]
+        return pd.concat(out) if out else pd.DataFrame()
+
+    return a.groupBy("_row", "_col").cogroup(b.groupBy("_row", "_col")).applyInPandas(cell, schema)
+
+
+def block_matrix(block) -> np.ndarray:
+    return np.frombuffer(block.vecs).reshape(-1, block.dim)
+
+
 def nearest_labelled(points: DataFrame, sample: DataFrame, id_col: str, label_col: str,
                      features: str = "features", sample_id: str | None = None,
                      max_broadcast_rows: int = 200_000) -> DataFrame:
     """Label of the nearest sample point (ties -> lowest sample id).
 
-    The labelled sample is bounded by construction (a training sample); its
-    size is checked before it is shipped to every task, and each task scores
-    its partition in numpy blocks through ``mapInPandas`` (Arrow batches).
+    Distances are compared after rounding their squares to 9 places. Up to
+    ``max_broadcast_rows`` sample points are shipped to every task, which
+    scores its partition in numpy blocks. Beyond that, points and sample are
+    packed into blocks, every block pair gives each point its best partner,
+    and an aggregate per point keeps the best of those: the same rows either
+    way. Point ids must be unique.
     """
     import pandas as pd
     sample_id = sample_id or id_col
+    id_type = points.schema[id_col].dataType.simpleString()
+    lab_type = sample.schema[label_col].dataType.simpleString()
+    sid_type = sample.schema[sample_id].dataType.simpleString()
+    sample = sample.select(F.col(sample_id).alias("_sid"), label_col, features)
     n = sample.count()
     if n > max_broadcast_rows:
-        raise ValueError(f"labelled sample has {n} rows; above {max_broadcast_rows} use a grid join")
-    s = sample.select(sample_id, label_col, features).orderBy(sample_id).toPandas()
+        def best(x, y):
+            sids = np.asarray(y.ids)
+            order = np.argsort(sids, kind="stable")  # the first minimum is the lowest id
+            d2 = np.round(_sq_block(block_matrix(x), block_matrix(y)[order]), 9)
+            j = np.argmin(d2, axis=1)
+            return pd.DataFrame({"id": x.ids, "d2": d2[np.arange(len(j)), j], "sid": sids[order][j],
+                                 "lab": np.asarray(y.labels)[order][j]})
+
+        found = pair_blocks(pack_blocks(points.withColumn("_none", F.lit(0)), id_col, "_none", features),
+                            pack_blocks(sample, "_sid", label_col, features), best,
+                            f"id {id_type}, d2 double, sid {sid_type}, lab {lab_type}")
+        top = found.groupBy("id").agg(F.min(F.struct("d2", "sid", "lab")).alias("m"))
+        return top.select(F.col("id").alias(id_col), F.col("m.lab").alias(label_col), F.col("m.sid").alias("nearest_id"))
+    s = sample.orderBy("_sid").toPandas()  # at most max_broadcast_rows rows
     S = np.array(s[features].tolist(), dtype=float) if n else np.zeros((0, 0))
-    s_ids = s[sample_id].to_numpy()
-    s_lab = s[label_col].to_numpy()
-    bc = points.sparkSession.sparkContext.broadcast((S, s_ids, s_lab))
-    id_type = points.schema[id_col].dataType.simpleString()
-    lab_type = sample.schema[label_col].dataType.simpleString()
+    bc = points.sparkSession.sparkContext.broadcast((S, s["_sid"].to_numpy(), s[label_col].to_numpy()))
 
     def score(it):
         S_, ids_, lab_ = bc.value
-        s2 = (S_ * S_).sum(axis=1)
         for pdf in it:
-            if len(pdf) == 0:
+            if len(pdf) == 0 or len(S_) == 0:
                 continue
             X = np.array(pdf[features].tolist(), dtype=float)
-            best = np.empty(len(X), dtype=int)
-            for lo in range(0, len(X), 2048):
-                xb = X[lo:lo + 2048]
-                d2 = (xb * xb).sum(axis=1)[:, None] + s2[None, :] - 2 * xb @ S_.T
-                best[lo:lo + 2048] = np.argmin(np.round(d2, 9), axis=1)  # first (= lowest id) among ties
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), label_col: lab_[best],
-                                "nearest_id": ids_[best]})
-
-    schema = f"{id_col} {id_type}, {label_col} {lab_type}, nearest_id {sample.schema[sample_id].dataType.simpleString()}"
+            near = np.concatenate([np.argmin(np.round(_sq_block(X[lo:lo + 512], S_), 9), axis=1)
+                                   for lo in range(0, len(X), 512)])  # first (= lowest id) among ties
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), label_col: lab_[near], "nearest_id": ids_[near]})
+
+    schema = f"{id_col} {id_type}, {label_col} {lab_type}, nearest_id {sid_type}"
     return points.select(id_col, features).mapInPandas(score, schema)
+
+
+def _sq_block(X: np.ndarray, Y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of X to all rows of Y."""
+    d2 = (X * X).sum(axis=1)[:, None] + (Y * Y).sum(axis=1)[None, :] - 2 * X @ Y.T
+    return np.maximum(d2, 0.0)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.functions.exprs import drop_columns_if_present
+from riskweave.functions.exprs import INTERNAL_ID_COLUMNS, drop_columns_if_present
 
 # Money columns scaled by the common factor (when present).
 MONEY_COLUMNS = [
@@ -28,12 +28,6 @@ DATE_COLUMNS = [
     "fecha_creacion", "fecha_balance", "fecha_constitucion",
     "fecha_contratacion", "due_date", "posting_date", "ano_mes_creacion",
 ]
-# Internal id columns removed from the anonymised table.
-INTERNAL_IDS = [
-    "id_evaluacion", "rating_id", "id_cliente", "id_tramo", "id_negocio",
-    "id_cliente_riesgo_vivo", "max_id_rating_request", "id_input_custom_data",
-]
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -78,23 +72,20 @@ def synthetic_id(x, salt: str) -> Column:
 
 # Y3 / Y4 ------------------------------------------------------------------------------
 def id_mapping(df: DataFrame, id_col: str, salt: str) -> DataFrame:
-    """Distinct ids -> synthetic ids; candidates that collide keep the first
-    (by original id) and the others get their last character replaced by a
-    rank digit (the reference's order-dependent loop made deterministic);
-    beyond 10 colliders the last two characters come from the rank in hex.
-    Output: (original, synthetic).
+    """Distinct ids -> synthetic ids, injective at every size.
+
+    Ids whose candidates collide are ranked by the original id; the first
+    keeps the candidate, every later one gets a wider id, the candidate
+    followed by ``-`` and its rank. Candidates hold no ``-``, so a pair
+    (candidate, rank) never meets another one's text. Output: (original,
+    synthetic); null ids are left out.
     """
     ids = df.select(F.col(id_col).alias("original")).filter(F.col("original").isNotNull()).distinct()
     cand = ids.withColumn("_cand", synthetic_id("original", salt))
     rk = F.row_number().over(Window.partitionBy("_cand").orderBy("original")) - 1
-    cand = cand.withColumn("_rk", rk)
-    base = F.col("_cand")
-    out = (F.when(F.col("_rk") == 0, base)
-           .when(F.col("_rk") < 10, F.concat(F.expr("substring(_cand, 1, length(_cand) - 1)"),
-                                             (F.col("_rk") % 10).cast("string")))
-           .otherwise(F.concat(F.expr("substring(_cand, 1, length(_cand) - 2)"),
-                               F.lpad(F.upper(F.hex(F.col("_rk") % 256)), 2, "0"))))
-    return cand.select("original", out.alias("synthetic"))
+    wide = F.concat(F.col("_cand"), F.lit("-"), F.col("_rk").cast("string"))
+    return cand.withColumn("_rk", rk).select(
+        "original", F.when(F.col("_rk") == 0, F.col("_cand")).otherwise(wide).alias("synthetic"))
 
 
 def pseudonymise(df: DataFrame, mapping: DataFrame, id_col: str) -> DataFrame:
@@ -144,13 +135,21 @@ def shift_dates(df: DataFrame, days: int, cols: Sequence[str] | None = None) ->
 
 # Y7 ---------------------------------------------------------------------------------
 def anonymise(df: DataFrame, id_col: str, salt: str, factor: float, days: int,
-              drop_ids: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Y3 -> Y4 -> Y5 -> Y6 -> P14. Returns (anonymised table, id mapping)."""
+              drop_ids: Sequence[str] | None = None, verify: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Y3 -> Y4 -> Y5 -> Y6 -> P14. Returns (anonymised table, id mapping).
+
+    ``verify`` counts the mapping's distinct ids on both sides first (one
+    aggregate) and raises ``ValueError`` when two ids would share a name.
+    """
     mapping = id_mapping(df, id_col, salt)
+    if verify:
+        n = mapping.agg(F.count(F.lit(1)).alias("ids"), F.count_distinct("synthetic").alias("names")).first()
+        if n["ids"] != n["names"]:
+            raise ValueError(f"{n['ids']} ids share {n['names']} synthetic ids")
     out = pseudonymise(df, mapping, id_col)
     out, _ = perturb(out, factor)
     out, _ = shift_dates(out, days)
-    out, _ = drop_columns_if_present(out, INTERNAL_IDS if drop_ids is None else drop_ids)
+    out, _ = drop_columns_if_present(out, INTERNAL_ID_COLUMNS if drop_ids is None else drop_ids)
     return out, mapping
 
 
@@ -216,16 +215,24 @@ def province_preserved(mapping: DataFrame) -> DataFrame:
 
 
 # Y9 ---------------------------------------------------------------------------------
-def check_feature_matrix(df: DataFrame, names: Sequence[str], features: str = "features",
+def check_feature_matrix(df: DataFrame, width: int, features: str = "features",
                          tol: float = 1e-6) -> DataFrame:
-    """Expected width, no nulls/NaN, and per-feature mean ~ 0 and std ~ 1."""
-    d = len(names)
-    width_ok = F.size(features) == d
+    """Expected width, no null or NaN entry, and per feature mean ~ 0 and std ~ 1.
+
+    A constant feature (std 0 after scaling) is counted and is no fault, as
+    z-scoring leaves it at zero. One row: bad_width, rows_with_nulls,
+    max_abs_mean, max_std_dev (over features that vary), constant_features,
+    ok. An empty matrix is not ok.
+    """
     nulls = F.exists(features, lambda x: x.isNull() | F.isnan(x))
     stats = df.select(F.posexplode(features).alias("pos", "x")).groupBy("pos").agg(
         F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    base = df.agg(F.count_if(~width_ok).alias("bad_width"), F.count_if(nulls).alias("rows_with_nulls"))
-    st = stats.agg(F.max(F.abs("m")).alias("max_abs_mean"), F.max(F.abs(F.col("s") - 1)).alias("max_std_dev"),
-                   F.count_if(F.col("s") == 0).alias("constant_features"))
-    return base.crossJoin(st).withColumn(  # two one-row tables
-        "ok", (F.col("bad_width") == 0) & (F.col("rows_with_nulls") == 0) & (F.col("max_abs_mean") <= tol))
+    base = df.agg(F.count_if((F.size(features) == width).eqNullSafe(False)).alias("bad_width"),
+                  F.count_if(nulls).alias("rows_with_nulls"))
+    constant = F.col("s") <= tol
+    st = stats.agg(F.max(F.abs("m")).alias("max_abs_mean"),
+                   F.max(F.when(~constant, F.abs(F.col("s") - 1))).alias("max_std_dev"),
+                   F.count_if(constant).alias("constant_features"))
+    ok = ((F.col("bad_width") == 0) & (F.col("rows_with_nulls") == 0) & (F.col("max_abs_mean") <= tol)
+          & (F.coalesce("max_std_dev", F.lit(0.0)) <= tol))
+    return base.crossJoin(st).withColumn("ok", F.coalesce(ok, F.lit(False)))  # two one-row tables

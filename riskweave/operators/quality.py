@@ -102,74 +102,59 @@ def pure_groups(rates: DataFrame, group: str, k: int = 5, noise=-1) -> DataFrame
 
 # M1-M4 --------------------------------------------------------------------------------
 def silhouette(df: DataFrame, label: str, features: str = "features", noise=None,
-               max_eval: int = 50_000, sample_ids: DataFrame | None = None, id_col: str | None = None
-               ) -> DataFrame:
+               sample_ids: DataFrame | None = None, id_col: str | None = None) -> DataFrame:
     """M1: mean silhouette, plain Euclidean distance (MLlib's is squared).
 
-    The evaluated points (all rows, or ``sample_ids``) are checked against
-    ``max_eval`` and shipped to every task; each task streams its partition
-    once and emits, per evaluated point and cluster, the sum of distances and
-    the count (m x k rows per task, never pairs). A ``groupBy`` adds them up;
-    a and b follow exactly, singletons score 0; fewer than 2 clusters -> null.
-    Output: one row (silhouette, n_evaluated, sampled).
+    Equal (label, vector) rows collapse to one weighted point. Points are
+    range-partitioned by label and packed into blocks of 1024; every pair of
+    blocks gives, per evaluated point and cluster, the sum of distances and
+    the row count, never the pairs. An aggregate adds them up; a and b follow
+    exactly, singletons score 0; fewer than 2 clusters -> null.
+
+    All rows are evaluated, against all rows, unless the caller passes
+    ``sample_ids`` (with ``id_col``): the work is evaluated points x points.
+    Rows with a null label or vector and rows labelled ``noise`` are left
+    out. Output: one row (silhouette, n_evaluated, sampled).
     """
     import numpy as np
     import pandas as pd
-    spark = df.sparkSession
-    pts = df.select(label, features)
-    if noise is not None:
-        pts = pts.filter(F.col(label) != F.lit(noise))
-    ev = pts if sample_ids is None else df.join(sample_ids, id_col, "left_semi").select(label, features)
-    if noise is not None and sample_ids is not None:
-        ev = ev.filter(F.col(label) != F.lit(noise))
-    m = ev.count()
-    if m > max_eval:
-        raise ValueError(f"{m} evaluated points exceed max_eval={max_eval}; pass sample_ids")
-    e = ev.toPandas()
-    E = np.array(e[features].tolist(), dtype=float) if m else np.zeros((0, 0))
-    lab_e = e[label].to_numpy()
-    bc = spark.sparkContext.broadcast(E)
+    from riskweave.operators.neighbors import _sq_block, block_matrix, pack_blocks, pair_blocks
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        pts = rows.select(label, features).filter(F.col(label).isNotNull() & F.col(features).isNotNull())
+        if noise is not None:
+            pts = pts.filter(F.col(label) != F.lit(noise))
+        u = pts.groupBy(label, features).agg(F.count(F.lit(1)).alias("w"))
+        u = u.withColumn("_h", F.xxhash64(features)).repartitionByRange(label, "_h").sortWithinPartitions(label, "_h")
+        return pack_blocks(u, "_h", label, features, "w")
+
+    targets = blocks(df)
+    evaluated = targets if sample_ids is None else blocks(df.join(sample_ids, id_col, "left_semi"))
     lab_type = df.schema[label].dataType.simpleString()
 
-    def partial(it):
-        E_ = bc.value
-        e2 = (E_ * E_).sum(axis=1)
-        for pdf in it:
-            if len(pdf) == 0 or len(E_) == 0:
-                continue
-            X = np.array(pdf[features].tolist(), dtype=float)
-            labs = pdf[label].to_numpy()
-            x2 = (X * X).sum(axis=1)
-            D = np.sqrt(np.maximum(e2[:, None] + x2[None, :] - 2 * E_ @ X.T, 0.0))
-            uniq = pd.unique(labs)
-            rows_e, rows_l, sums, cnts = [], [], [], []
-            for lv in uniq:
-                msk = labs == lv
-                rows_e.append(np.arange(len(E_)))
-                rows_l.append(np.repeat(lv, len(E_)))
-                sums.append(D[:, msk].sum(axis=1))
-                cnts.append(np.full(len(E_), int(msk.sum())))
-            yield pd.DataFrame({"e": np.concatenate(rows_e), "lab": np.concatenate(rows_l),
-                                "s": np.concatenate(sums), "c": np.concatenate(cnts)})
-
-    agg = (pts.mapInPandas(partial, f"e long, lab {lab_type}, s double, c long")
-              .groupBy("e", "lab").agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
-    own = spark.createDataFrame(pd.DataFrame({"e": np.arange(m, dtype=np.int64), "own": lab_e}),
-                                f"e long, own {lab_type}") if m else None
-    if own is None:
-        return spark.createDataFrame([(None, 0, sample_ids is not None)], "silhouette double, n_evaluated long, sampled boolean")
-    j = agg.join(own, "e")
-    per = j.groupBy("e").agg(
-        F.max(F.when(F.col("lab") == F.col("own"), F.col("c"))).alias("n_own"),
-        F.max(F.when(F.col("lab") == F.col("own"), F.col("s"))).alias("s_own"),
-        F.min(F.when(F.col("lab") != F.col("own"), F.col("s") / F.col("c"))).alias("b"))
-    a = F.col("s_own") / (F.col("n_own") - 1)
-    s = F.when(F.col("n_own") <= 1, F.lit(0.0)).otherwise((F.col("b") - a) / F.greatest(a, F.col("b")))
-    n_clusters = pts.select(label).distinct().count()
-    res = per.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_evaluated"))
-    if n_clusters < 2:
-        res = res.select(F.lit(None).cast("double").alias("silhouette"), "n_evaluated")
-    return res.withColumn("sampled", F.lit(sample_ids is not None))
+    def partial(x, y):
+        D = np.sqrt(_sq_block(block_matrix(x), block_matrix(y))) * np.asarray(y.weights, dtype=float)
+        labs, w = pd.Series(y.labels), np.asarray(y.weights)
+        out = []
+        for lv in labs.unique():
+            at = (labs == lv).to_numpy()
+            out.append(pd.DataFrame({"blk": x.blk, "pos": np.arange(len(D)), "own": x.labels, "w": x.weights,
+                                     "lab": lv, "s": D[:, at].sum(axis=1), "c": int(w[at].sum())}))
+        return pd.concat(out)
+
+    sums = (pair_blocks(evaluated, targets, partial,
+                        f"blk long, pos int, own {lab_type}, w long, lab {lab_type}, s double, c long")
+            .groupBy("blk", "pos", "own", "w", "lab").agg(F.sum("s").alias("s"), F.sum("c").alias("c")))
+    mine = F.col("lab") == F.col("own")
+    per = sums.groupBy("blk", "pos", "w").agg(
+        F.max(F.when(mine, F.col("c"))).alias("n_own"), F.max(F.when(mine, F.col("s"))).alias("s_own"),
+        F.min(F.when(~mine, F.col("s") / F.col("c"))).alias("b"))
+    a = F.col("s_own") / F.nullif(F.col("n_own") - 1, F.lit(0))
+    wider = F.greatest(a, F.col("b"))
+    s = F.when((F.col("n_own") <= 1) | (wider == 0), F.lit(0.0)).otherwise((F.col("b") - a) / wider)
+    return per.agg(
+        F.when(F.count("b") > 0, F.sum(s * F.col("w")) / F.sum("w")).alias("silhouette"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n_evaluated")).withColumn("sampled", F.lit(sample_ids is not None))
 
 
 def _centroid_table(df, label, features):

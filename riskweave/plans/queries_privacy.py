@@ -75,6 +75,16 @@ def q_province_preserved(spark, sf):
     return P.province_preserved(P.id_mapping(_cr(spark, sf), "cif_nif", SALT))
 
 
+@register("distinct_ids_equal", O.with_risk(
+    "SELECT count(DISTINCT cif_nif) AS before, count(DISTINCT synthetic) AS after, "
+    "count(DISTINCT cif_nif) = count(DISTINCT synthetic) AS equal "
+    "FROM customer_risk c LEFT JOIN idm m ON c.cif_nif = m.original",
+    O.id_mapping_cte("customer_risk", "cif_nif", SALT)))
+def q_distinct_ids_equal(spark, sf):
+    cr = _cr(spark, sf).select("cif_nif")
+    return P.distinct_ids_equal(cr, P.pseudonymise(cr, P.id_mapping(cr, "cif_nif", SALT), "cif_nif"), "cif_nif")
+
+
 @register("id_overlap", O.with_risk(
     "SELECT cif_nif FROM customer_risk INTERSECT SELECT synthetic FROM idm",
     O.id_mapping_cte("customer_risk", "cif_nif", SALT)))
@@ -122,4 +132,4 @@ def q_check_feature_matrix(spark, sf):
     from riskweave.operators import features as FE
     from riskweave.operators.cleaning import clean_customer_table
     m, names = FE.matrix(clean_customer_table(_cr(spark, sf)), "homology")
-    return P.check_feature_matrix(m, names)
+    return P.check_feature_matrix(m, len(names))

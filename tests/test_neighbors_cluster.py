@@ -135,3 +135,42 @@ def test_eps_join_blocked_high_dim(spark):
     want, D = pairs_within(X, 1.3)
     assert {(r.src, r.dst) for r in out} == want
     assert all(r.src_w == r.src % 3 and r.dst_w == r.dst % 3 and abs(r.dist - D[r.src, r.dst]) < 1e-9 for r in out)
+
+
+def test_nearest_labelled_in_blocks_equals_broadcast(spark):
+    rng = np.random.default_rng(8)
+    X = np.round(rng.normal(size=(400, 3)), 3)
+    S = np.round(rng.normal(size=(90, 3)), 3)
+    S[50:60] = S[:10]  # ties: the lower id wins
+    pts = _points(spark, X).drop("label")
+    sample = _points(spark, S, rng.integers(0, 5, 90)).withColumnRenamed("id", "sid")
+    few = {r.id: (r.label, r.nearest_id) for r in N.nearest_labelled(pts, sample, "id", "label", sample_id="sid").collect()}
+    many = {r.id: (r.label, r.nearest_id) for r in N.nearest_labelled(
+        pts, sample, "id", "label", sample_id="sid", max_broadcast_rows=10).collect()}
+    assert len(few) == 400 and few == many
+
+
+def test_silhouette_ties_noise_and_one_cluster(spark):
+    X = _blobs(6)
+    lab = np.array([0] * 60 + [1] * 60 + [-1] * 10)
+    want = silhouette(X[:120], lab[:120])
+    row = Q.silhouette(_points(spark, X, lab), "label", noise=-1).first()
+    assert abs(row.silhouette - want) < 1e-9 and row.n_evaluated == 120 and row.sampled is False
+    assert Q.silhouette(_points(spark, X), "label").first().silhouette is None
+    empty = Q.silhouette(_points(spark, X).filter("id < 0"), "label").first()
+    assert empty.silhouette is None and empty.n_evaluated == 0
+
+
+def test_silhouette_of_many_rows(spark):
+    """60,000 rows on 3,000 distinct vectors: as the brute force over weighted points."""
+    rng = np.random.default_rng(9)
+    X = np.round(rng.normal(size=(3000, 2)), 3)
+    lab = (X[:, 0] > 0).astype(int)
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)) * 20
+    same = lab[:, None] == lab[None, :]
+    a = (D * same).sum(1) / (20 * same.sum(1) - 1)
+    b = (D * ~same).sum(1) / (20 * (~same).sum(1))
+    want = float(np.mean((b - a) / np.maximum(a, b)))
+    df = _points(spark, X, lab).crossJoin(spark.range(20).select(F.col("id").alias("copy")))
+    row = Q.silhouette(df, "label").first()
+    assert row.n_evaluated == 60_000 and abs(row.silhouette - want) < 1e-7
