@@ -110,33 +110,45 @@ def wcss(df: DataFrame, group: str, features: str = "features") -> DataFrame:
 
 
 # K1 / K3 / K4 ----------------------------------------------------------------------
+PARTITION_ROWS = 65_536      # rows of one K-Means partition
+
+
 def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
-           features: str = "features", tol: float = 1e-4) -> tuple[DataFrame, np.ndarray, float]:
+           features: str = "features", tol: float = 1e-4, parallelism: int = 4
+           ) -> tuple[DataFrame, np.ndarray, float]:
     """K1: MLlib k-means|| restarted ``n_init`` times, best training cost kept.
 
-    Input is repartitioned by id hash so results do not depend on the
-    caller's partitioning; clusters are relabelled by sorted centre order.
+    k-means|| draws per partition, so rows are dealt by id hash into
+    partitions of about ``PARTITION_ROWS`` rows, sorted by id: neither the
+    caller's partitioning nor the number of cores changes the answer. Starts
+    are independent jobs, ``parallelism`` of them at a time. Clusters are
+    relabelled by sorted centre order; equal costs keep the earliest start.
     Returns (assignments (id, cluster), centres k x d, wcss).
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    data = (df.select(id_col, array_to_vector(F.col(features)).alias("_v"))
-              .repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
-              .sortWithinPartitions(id_col))
-    data = cut_lineage(data)
-    best = None
-    for i in range(n_init):
+    rows = cut_lineage(df.select(id_col, array_to_vector(F.col(features)).alias("_v")))
+    parts = max(1, -(-rows.count() // PARTITION_ROWS))
+    data = rows.repartition(parts, id_col).sortWithinPartitions(id_col).persist()
+
+    def start(i):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_v",
                        initMode="k-means||").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    model, cost = best
+        return model, model.summary.trainingCost
+
+    data.count()
+    with ThreadPool(max(1, min(parallelism, n_init))) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(start), range(n_init))
+    model, cost = min(found, key=lambda mc: mc[1])
+    data.unpersist()
     centres = np.array(model.clusterCenters())
     order = sorted(range(len(centres)), key=lambda j: tuple(np.round(centres[j], 9)))
-    centres = centres[order]
-    assign = df.select(id_col, nearest_centre(features, centres).alias("cluster"))
-    return assign, centres, float(cost)
+    names = F.array(*[F.lit(order.index(j)) for j in range(len(order))])
+    assign = model.transform(rows).select(id_col, names[F.col("prediction")].alias("cluster"))
+    return assign, centres[order], float(cost)
 
 
 def elbow(df: DataFrame, id_col: str, k_values: Sequence[int], seed: int = 42, n_init: int = 3,

@@ -254,7 +254,7 @@ def q_pure_groups(spark, sf):
 # Iterative / randomised ones: brute-force checked in pytest, rows-only here.
 @register("kmeans")
 def q_kmeans(spark, sf):
-    assign, _, _ = K.kmeans(lowd(spark, sf), "id", 10, seed=42, n_init=3)
+    assign, _, _ = K.kmeans(lowd(spark, sf), "id", 10, seed=42, n_init=10)
     return assign
 
 

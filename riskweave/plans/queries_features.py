@@ -141,23 +141,79 @@ def q_column_median(spark, sf):
     return df.agg(*[F.round(F.median(F.col(c).cast("double")), R).alias(c) for c in FE.NUMERIC_FEATURES])
 
 
-# the clustering preset in long form (imputed, unscaled).
-_FS_CTES = ",".join([
-    O.clean_cte(),
-    O.top_ctes("t_prov", "provincia", 10), O.top_ctes("t_cnae", "cnae", 5), O.top_ctes("t_pais", "pais", 3),
-    "t_tipo AS (SELECT DISTINCT tipo AS v FROM crc WHERE tipo IS NOT NULL)",
-    _IMP_SRC,
-])
-_FS_SQL = " UNION ALL ".join(
-    [f"SELECT cif_nif, '{c}' AS feature, "
-     f"{_rsql(f'COALESCE({c}, (SELECT median({c}) FROM imp_src))')} AS value FROM imp_src" for c in _IMP_COLS]
-    + [O.one_hot_long_sql("t_prov", "provincia", "prov", "Otras"),
-       O.one_hot_long_sql("t_cnae", "cnae", "cnae", "Otros"),
-       O.one_hot_long_sql("t_tipo", "tipo", "tipo", None),
-       O.one_hot_long_sql("t_pais", "pais", "pais", "Otros")])
+# the presets in long form (imputed, unscaled).
+_PLAIN = {"fecha_anio": "CAST(year(fecha_creacion) AS DOUBLE)", "fecha_mes": "CAST(month(fecha_creacion) AS DOUBLE)",
+          "fecha_dia_anio": "CAST(dayofyear(fecha_creacion) AS DOUBLE)"}
+_PLAIN_SRC = ("plain_src AS (SELECT cif_nif, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in O.NUMERIC6) + ", "
+              + ", ".join(f"{e} AS {k}" for k, e in _PLAIN.items()) + " FROM crc)")
+
+
+def _filled(src: str, cols) -> list[str]:
+    return [f"SELECT cif_nif, '{c}' AS feature, {_rsql(f'COALESCE({c}, (SELECT median({c}) FROM {src}))')} AS value "
+            f"FROM {src}" for c in cols]
+
+
+def _all_values(name: str, col: str) -> str:
+    return f"{name} AS (SELECT DISTINCT {col} AS v FROM crc WHERE {col} IS NOT NULL)"
+
+
+_PROV, _CNAE = O.top_ctes("t_prov", "provincia", 10), O.top_ctes("t_cnae", "cnae", 5)
+_PROV_ROWS = O.one_hot_long_sql("t_prov", "provincia", "prov", "Otras")
+_CNAE_ROWS = O.one_hot_long_sql("t_cnae", "cnae", "cnae", "Otros")
+_TIPO_ROWS = O.one_hot_long_sql("t_tipo", "tipo", "tipo", None)
+
+_FS_CTES = ",".join([O.clean_cte(), _PROV, _CNAE, O.top_ctes("t_pais", "pais", 3), _all_values("t_tipo", "tipo"), _IMP_SRC])
+_FS_SQL = " UNION ALL ".join(_filled("imp_src", _IMP_COLS) + [
+    _PROV_ROWS, _CNAE_ROWS, _TIPO_ROWS, O.one_hot_long_sql("t_pais", "pais", "pais", "Otros")])
+
+
+def _preset(spark, sf, variant):
+    fs, names = FE.feature_set(customers_clean(spark, sf), variant)
+    return _long(fs.select("cif_nif", *names), "cif_nif", names)
 
 
 @register("feature_set", O.with_risk(_FS_SQL, _FS_CTES))
 def q_feature_set(spark, sf):
+    return _preset(spark, sf, "cluster")
+
+
+@register("feature_set_mapper", O.with_risk(
+    " UNION ALL ".join(_filled("imp_src", _IMP_COLS) + [_PROV_ROWS, _CNAE_ROWS]),
+    ",".join([O.clean_cte(), _PROV, _CNAE, _IMP_SRC])))
+def q_feature_set_mapper(spark, sf):
+    return _preset(spark, sf, "mapper")
+
+
+@register("feature_set_numeric", O.with_risk(
+    " UNION ALL ".join(_filled("plain_src", O.NUMERIC6)), O.clean_cte() + "," + _PLAIN_SRC))
+def q_feature_set_numeric(spark, sf):
+    return _preset(spark, sf, "numeric")
+
+
+@register("feature_set_homology", O.with_risk(
+    " UNION ALL ".join(_filled("plain_src", [*O.NUMERIC6, *_PLAIN]) + [
+        _PROV_ROWS, O.one_hot_long_sql("t_pais", "pais", "pais", None), _TIPO_ROWS,
+        O.one_hot_long_sql("t_cnae", "cnae", "cnae", "Otras")]),
+    ",".join([O.clean_cte(), _PROV, _all_values("t_pais", "pais"), _all_values("t_tipo", "tipo"),
+              O.top_ctes("t_cnae", "cnae", None, min_share=0.01), _PLAIN_SRC])))
+def q_feature_set_homology(spark, sf):
+    return _preset(spark, sf, "homology")
+
+
+# The clustering matrix (z-scored, rounded to 6 places, features in name order) through DBSCAN.
+MATRIX_EPS, MATRIX_MIN = 2.0, 10
+_MATRIX_CTES = _FS_CTES + f""",
+fs AS MATERIALIZED ({_FS_SQL}),
+fs_stats AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM fs GROUP BY feature),
+fmat AS MATERIALIZED (SELECT cif_nif AS id, list(round((value - m) / if(s = 0, 1.0, s), 6) ORDER BY feature) AS f
+         FROM fs JOIN fs_stats USING (feature) GROUP BY cif_nif)"""
+
+
+@register("dbscan_matrix", O.with_risk(
+    "SELECT * FROM dres", _MATRIX_CTES + "," + O.dbscan_sql("fmat", MATRIX_EPS, MATRIX_MIN, "'-1'")))
+def q_dbscan_matrix(spark, sf):
+    from riskweave.operators.cluster import dbscan
     fs, names = FE.feature_set(customers_clean(spark, sf), "cluster")
-    return _long(fs.select("cif_nif", *names), "cif_nif", names)
+    z = _round(FE.zscore(_round(fs, names), names), names)
+    return dbscan(FE.assemble(z, sorted(names)).select(F.col("cif_nif").alias("id"), "features"),
+                  "id", MATRIX_EPS, MATRIX_MIN)
