@@ -13,10 +13,10 @@ smoothed unigram base exactly, so training only moves away from it to gain.
 Gathered from the whole training part (every text, so it grows with the
 corpus): token counts by a shuffle, class masses, and counts of (previous word
 bucket, class), from which the weights of the nearest-word feature start.
-Then all weights are trained by distributed gradient updates: in each round
-every task takes AdaGrad steps over its share of a bounded set of training texts
-(``round_texts`` per round, new ones each round, by a hash of the id), and the
-weights become the tasks' token-weighted mean.
+Then all weights are trained by distributed gradient updates on every training
+text: a hash deals the texts into ``rounds`` parts, in each round every task takes
+AdaGrad steps over its share of that round's part (about ``round_texts`` texts a
+task, ``tasks`` tasks at least), and the weights become the tasks' token-weighted mean.
 
 Scoring makes one pass in sparse numpy batches. Counts of the ``hot_words`` most
 frequent words are broadcast (a fixed bound); the other words of a text meet
@@ -100,7 +100,7 @@ def word_rows(prev, prev2, cls):
 
 def _softmax(logits):
     logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
+    p = np.exp(logits, out=logits)
     p /= p.sum(axis=1, keepdims=True)
     return p
 
@@ -146,15 +146,15 @@ class Frame:
         return out
 
 
-def _outer_logits(w: Weights, frame: Frame, rows):
-    logits = np.repeat(frame.class_log[None, :], len(rows[0]), axis=0)
+def _outer_logits(w: Weights, frame: Frame, rows, kind=np.float64):
+    logits = np.repeat(frame.class_log[None, :].astype(kind), len(rows[0]), axis=0)
     for f, r in enumerate(rows):
         logits += w.outer[f][r]
     return logits
 
 
-def _inner_logits(w: Weights, frame: Frame, rows, cls):
-    logits = frame.slot_log[cls]
+def _inner_logits(w: Weights, frame: Frame, rows, cls, kind=np.float64):
+    logits = frame.slot_log.astype(kind)[cls]
     for f, r in enumerate(rows):
         logits += w.inner[f][r]
     return logits
@@ -166,7 +166,7 @@ def train_chunk(w: Weights, gain: Weights, frame: Frame, s: Stream, rate: float)
         part = slice(lo, lo + BATCH)
         prev, prev2, cls, h = s.prev[part], s.prev2[part], s.cls[part], s.hash[part]
         rows = rows_of(prev, prev2)
-        p = _softmax(_outer_logits(w, frame, rows))
+        p = _softmax(_outer_logits(w, frame, rows, np.float32))
         p[np.arange(len(cls)), cls] -= 1.0
         for f, r in enumerate(rows):
             _step(w.outer[f], gain.outer[f], r, p, rate)
@@ -176,14 +176,19 @@ def train_chunk(w: Weights, gain: Weights, frame: Frame, s: Stream, rate: float)
             at = frame.find(h[known])
             slot = np.where(at >= 0, frame.head_slot[np.maximum(at, 0)], HEADS)
             rows = word_rows(prev[known], prev2[known], c)
-            p = _softmax(_inner_logits(w, frame, rows, c))
+            p = _softmax(_inner_logits(w, frame, rows, c, np.float32))
             p[np.arange(len(c)), slot] -= 1.0
             for f, r in enumerate(rows):
                 _step(w.inner[f], gain.inner[f], r, p, rate)
 
 
 def _step(table, gain, rows, p, rate):
-    order = np.argsort(rows, kind="stable")
+    if (rows == rows[0]).all():                              # the constant feature
+        g = p.sum(axis=0)
+        gain[rows[0]] += g * g
+        table[rows[0]] -= rate * g / np.sqrt(gain[rows[0]])
+        return
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     r = rows[order]
     at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     g = np.add.reduceat(p[order], at, axis=0).astype(np.float32)
@@ -359,13 +364,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frame = _frame(counts, hot_words)
     w = _start_weights(_sum_blocks(raw.filter("block is not null").select("block", "counts"), np.uint32), frame)
 
-    # a bounded set of training texts, dealt into rounds by the same hash that chose them
-    n_train = max(1, frame.n_ends)
-    draw = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(sampling.SCALE))
-    share = min(1.0, rounds * round_texts / n_train)
-    chosen = cut_lineage(train.withColumn("draw", draw).filter(F.col("draw") < int(sampling.SCALE * share) + 1).repartition(tasks, "draw"))
+    # every training text is in one round; texts of null ids are dealt by their bytes
+    tasks = max(tasks, -(-frame.n_ends // (rounds * round_texts)))
+    dealt = train.select("text", F.pmod(F.xxhash64(F.lit(17), "id", "text"), F.lit(sampling.SCALE)).alias("draw"))
     for r in range(rounds):
-        w = _round(chosen.filter(F.pmod(F.col("draw"), F.lit(rounds)) == r).select("text"), w, frame, rate / (1 + r))
+        part = dealt.filter(F.pmod(F.col("draw"), F.lit(rounds)) == r).repartition(tasks, "draw")
+        w = _round(part.select("text"), w, frame, rate / (1 + r))
 
     shared = spark.sparkContext.broadcast((w, frame))
     fields = ["key", "id", "held_out", "n_tokens", "n_known", "base", "score", "h", "n", "swap"]
@@ -426,5 +430,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.lit(int(frame.n_tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b2", F.lit(0.0)) - F.col("n_tokens") * F.lit(z)).alias("base_score"),
         (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")))
-    drop_scratch(raw, chosen)
+    drop_scratch(raw)
     return out

@@ -102,3 +102,17 @@ def test_probabilities_sum_to_one_and_zero_weights_are_the_base():
             at = np.searchsorted(frame.hot, t.hash[:-1])
             assert np.allclose(known[:-1], np.log10((frame.hot_count[at] + 0.1) / frame.z))
             assert np.isclose(known[-1], np.log10(40.1 / frame.z)) and np.isclose(unknown[0], np.log10(0.1 / frame.z))
+
+
+def test_every_training_text_is_in_one_round(spark, monkeypatch):
+    rows = [(i, f"word w{i}") for i in range(200)] + [(None, f"no id {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, inner = [], maxent._round
+
+    def round_(texts, *rest):
+        seen.extend(r["text"] for r in texts.collect())
+        return inner(texts, *rest)
+
+    monkeypatch.setattr(maxent, "_round", round_)
+    maxent.score_texts(df, rounds=2, round_texts=5, tasks=2).collect()
+    assert sorted(seen) == sorted(x for i, x in rows if not held(i))
