@@ -6,9 +6,14 @@ the end token and unknown words have classes of their own. A token's
 probability is P(class | history) * P(word | class, history). Both factors are
 log-linear over hashed features of the history: the word before, the word two
 before (skip), both together, and a constant. Inside a class its most frequent
-words have weights of their own; the others share one slot and split it in
-proportion to their smoothed counts. With all weights zero the model equals the
-smoothed unigram base exactly, so training only moves away from it to gain.
+words have slots of their own; the others share one slot, which a tree divides:
+each level is a log-linear choice among 16 branches over the same features hashed
+together with the node, and a word's branches are the digits of its hash. The tree
+is as deep as the vocabulary asks (four leaves a word, ``TAIL_DEPTH`` levels at
+most), so every word has weights of its own up to hash collisions; words of one
+leaf split it in proportion to their smoothed counts. With all weights zero the
+model equals the smoothed unigram base exactly, so training only moves away from
+it to gain.
 
 Gathered from the whole training part (every text, so it grows with the
 corpus): token counts by a shuffle, class masses, and counts of (previous word
@@ -48,6 +53,10 @@ CLASSES = 62                                     # of known words; then the end
 END, UNK, ALL = CLASSES, CLASSES + 1, CLASSES + 2
 HEADS = 15                                       # words of a class with their own weights; one slot more for the rest
 BITS = 13                                        # feature rows of each weight table
+BRANCH = 4                                       # bits of one tree level: 16 branches
+TAIL_BITS = 14                                   # feature rows of the tree's weight table
+TAIL_GAIN = 32.0                                 # AdaGrad start of the tree: its rows are seen less often
+TAIL_DEPTH = 4                                   # levels at most: 62 * 16^4 leaves, 16 MB of masses
 START = U64(0x5EED5EED5EED5EED)
 FEATURES = 4                                     # word before, word two before, both, constant
 SMOOTH = 0.1
@@ -81,9 +90,9 @@ class Stream:
         self.prev, self.prev2 = prev, prev2
 
 
-def rows_of(prev, prev2, salt: int = 0):
+def rows_of(prev, prev2, salt: int = 0, bits: int = BITS):
     """Feature rows (one array per feature) for these histories."""
-    shift = U64(64 - BITS)
+    shift = U64(64 - bits)
     return [(tb.mix(prev + U64(1 + salt)) >> shift).astype(np.int64),
             (tb.mix(prev2 * U64(5) + U64(2 + salt)) >> shift).astype(np.int64),
             (tb.mix(prev2 * U64(7) + prev * U64(3) + U64(3 + salt)) >> shift).astype(np.int64),
@@ -98,6 +107,12 @@ def word_rows(prev, prev2, cls):
     return rows
 
 
+def tail_rows(prev, prev2, level: int, node):
+    """Feature rows of one tree level: the word features together with the node (its masses are the constant)."""
+    k = (node.astype(np.uint64) + U64((level + 1) << 40)) * U64(0x9E3779B97F4A7C15)
+    return rows_of(prev ^ k, prev2 ^ k, 23, TAIL_BITS)[:3]
+
+
 def _softmax(logits):
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits, out=logits)
@@ -106,17 +121,18 @@ def _softmax(logits):
 
 
 class Weights:
-    """outer: (features, rows, classes), inner: (features, rows, slots); float32."""
+    """outer: (features, rows, classes), inner: (features, rows, slots), tail: (word features, rows, branches); float32."""
 
-    def __init__(self, outer=None, inner=None):
+    def __init__(self, outer=None, inner=None, tail=None):
         self.outer = np.zeros((FEATURES, 1 << BITS, ALL), np.float32) if outer is None else outer
         self.inner = np.zeros((FEATURES, 1 << BITS, HEADS + 1), np.float32) if inner is None else inner
+        self.tail = np.zeros((FEATURES - 1, 1 << TAIL_BITS, 1 << BRANCH), np.float32) if tail is None else tail
 
 
 class Frame:
-    """What the model takes from the counts: masses, head words, frequent words' counts."""
+    """What the model takes from the counts: masses, head words, frequent words' counts, the tree's masses."""
 
-    def __init__(self, n_tokens, n_types, class_log, slot_log, heads, hot, hot_count, n_ends):
+    def __init__(self, n_tokens, n_types, class_log, slot_log, heads, hot, hot_count, n_ends, leaves=None):
         self.n_tokens, self.n_types, self.n_ends = n_tokens, n_types, n_ends
         self.class_log, self.slot_log = class_log, slot_log          # natural logs, -1e30 where empty
         if not len(hot):                                             # no word at all: an entry that matches none
@@ -130,6 +146,42 @@ class Frame:
                 self.head_slot[i] = slot
         self.top = np.searchsorted(self.hot >> U64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
         self.z = n_tokens + SMOOTH * (n_types + 1)
+        self._tree(leaves)
+
+    def _tree(self, leaves):
+        """Per level the log masses of the branches of every node, and which nodes leave a choice."""
+        self.leaves, self.depth, self.branch_log, self.choice = leaves, 0, [], []
+        if leaves is not None:
+            self.depth = (len(leaves) // CLASSES).bit_length() // BRANCH
+            mass = leaves.astype(np.float64)
+            for _ in range(self.depth):
+                mass = mass.reshape(-1, 1 << BRANCH)
+                with np.errstate(divide="ignore"):
+                    self.branch_log.insert(0, np.maximum(np.log(mass), -1e30).astype(np.float32))
+                self.choice.insert(0, (mass > 0).sum(axis=1) > 1)
+                mass = mass.sum(axis=1)
+
+    def __getstate__(self):
+        """Shipped with the leaves alone, packed; the levels above are summed again where it arrives."""
+        packed = None if self.leaves is None else zlib.compress(self.leaves.astype(np.float32).tobytes(), 1)
+        return {k: v for k, v in self.__dict__.items() if k not in ("branch_log", "choice", "leaves")} | {"packed": packed}
+
+    def __setstate__(self, state):
+        packed = state.pop("packed")
+        self.__dict__.update(state)
+        self._tree(None if packed is None else np.frombuffer(zlib.decompress(packed), np.float32))
+
+    def node(self, cls: np.ndarray, h: np.ndarray, level: int) -> np.ndarray:
+        """The tree node of these words at a level; at level ``depth`` their leaf."""
+        bits = BRANCH * level
+        return cls if not level else (cls << bits) + (h >> U64(64 - bits)).astype(np.int64)
+
+    def rest_log(self, cls: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Log mass the word shares with the others of its leaf (its class's shared slot without a tree)."""
+        if self.depth:
+            return self.branch_log[-1].ravel()[self.node(cls, h, self.depth)].astype(np.float64)
+        return np.where((self.class_log[cls] < -1e29) | (self.slot_log[cls, HEADS] < -1e29), -1e30,
+                        np.log(self.z) + self.class_log[cls] + self.slot_log[cls, HEADS])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place among the frequent words, or -1."""
@@ -160,6 +212,22 @@ def _inner_logits(w: Weights, frame: Frame, rows, cls, kind=np.float64):
     return logits
 
 
+def _tail_logits(w: Weights, frame: Frame, rows, level: int, node, kind=np.float64):
+    logits = frame.branch_log[level][node].astype(kind)
+    for f, r in enumerate(rows):
+        logits += w.tail[f][r]
+    return logits
+
+
+def _tail_level(frame: Frame, level: int, prev, prev2, cls, h):
+    """(which of these words meet a choice here, their feature rows, nodes, branches)."""
+    node = frame.node(cls, h, level)
+    live = np.flatnonzero(frame.choice[level][node])
+    node = node[live]
+    branch = frame.node(cls[live], h[live], level + 1) & ((1 << BRANCH) - 1)
+    return live, tail_rows(prev[live], prev2[live], level, node), node, branch
+
+
 def train_chunk(w: Weights, gain: Weights, frame: Frame, s: Stream, rate: float):
     """AdaGrad steps on the tokens of a chunk, one per batch."""
     for lo in range(0, len(s.hash), BATCH):
@@ -180,6 +248,15 @@ def train_chunk(w: Weights, gain: Weights, frame: Frame, s: Stream, rate: float)
             p[np.arange(len(c)), slot] -= 1.0
             for f, r in enumerate(rows):
                 _step(w.inner[f], gain.inner[f], r, p, rate)
+            tail = known[slot == HEADS]
+            for level in range(frame.depth):
+                live, rows, node, branch = _tail_level(frame, level, prev[tail], prev2[tail], cls[tail], h[tail])
+                if not len(live):
+                    continue
+                p = _softmax(_tail_logits(w, frame, rows, level, node, np.float32))
+                p[np.arange(len(live)), branch] -= 1.0
+                for f, r in enumerate(rows):
+                    _step(w.tail[f], gain.tail[f], r, p, rate)
 
 
 def _step(table, gain, rows, p, rate):
@@ -218,8 +295,15 @@ def score_chunk(w: Weights, frame: Frame, s: Stream):
         inner = _inner_logits(w, frame, word_rows(prev[word], prev2[word], c), c)
         top = inner.max(axis=1)
         out[word] += inner[np.arange(len(c)), slot] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
-        # a word of the shared slot: its part of the slot's mass
-        rest = np.where(slot == HEADS, -np.log(frame.z) - frame.class_log[c] - frame.slot_log[c, HEADS], 0.0)
+        # a word of the shared slot: its way down the tree and its part of the leaf's mass
+        tail = word[slot == HEADS]
+        for level in range(frame.depth):
+            live, rows, node, branch = _tail_level(frame, level, prev[tail], prev2[tail], cls[tail], h[tail])
+            logits = _tail_logits(w, frame, rows, level, node)
+            top = logits.max(axis=1)
+            out[tail[live]] += logits[np.arange(len(live)), branch] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        rest = np.zeros(len(c))
+        rest[slot == HEADS] = -frame.rest_log(cls[tail], h[tail])
         own = np.where((slot == HEADS) & (at >= 0), np.log(frame.hot_count[np.maximum(at, 0)] + SMOOTH), 0.0)
         out[word] += rest + own
         known[part] = out / LN10
@@ -275,6 +359,34 @@ def _sum_blocks(rows: DataFrame, dtype) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["total"]) for r in got}
 
 
+def _leaves(words: DataFrame, heads, n_types: int) -> np.ndarray | None:
+    """Smoothed mass of every leaf of the tree under the words without a slot of their own."""
+    n_tail = n_types - len(heads)
+    if n_tail <= 0:
+        return None
+    depth = next((d for d in range(1, TAIL_DEPTH) if CLASSES << (BRANCH * d) >= 4 * n_tail), TAIL_DEPTH)
+    size = 1 << (BRANCH * depth)
+    own = [r["h"] for r in heads]
+    cells = (words.filter(~F.col("h").isin(own)).groupBy("cls", F.shiftrightunsigned("h", 64 - BRANCH * depth).cast("int").alias("leaf"))
+             .agg(F.sum(F.col("n") + F.lit(SMOOTH)).alias("mass")))
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            cls, leaf, mass = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for c in np.unique(cls):
+                at = cls == c
+                total.setdefault(int(c), np.zeros(size, np.float32))[leaf[at]] = mass[at]
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
+                [zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["cls", "masses"])
+
+    out = np.zeros((CLASSES, size), np.float32)
+    for r in cells.repartition("cls").mapInArrow(run, "cls int, masses binary").collect():
+        out[r["cls"]] = np.frombuffer(zlib.decompress(r["masses"]), np.float32)
+    return out.ravel()
+
+
 def _frame(counts: DataFrame, hot_words: int) -> Frame:
     words = counts.filter("h != 0")
     ends = counts.filter("h = 0").first()
@@ -301,7 +413,8 @@ def _frame(counts: DataFrame, hot_words: int) -> Frame:
         slot_log = np.maximum(np.log(slots / np.maximum(mass, 1e-300)[:, None]), -1e30)
     keys = np.fromiter(hot.keys(), dtype=np.int64, count=len(hot)).view(np.uint64)
     return Frame(n_tokens, n_types, class_log, slot_log, [(int(np.int64(r["h"]).view(np.uint64)), r["slot"]) for r in heads],
-                 keys, np.fromiter(hot.values(), dtype=np.float64, count=len(hot)), n_ends)
+                 keys, np.fromiter(hot.values(), dtype=np.float64, count=len(hot)), n_ends,
+                 _leaves(words, heads, sum(int(r["types"]) for r in per_class.values())))
 
 
 def _start_weights(near: dict[int, np.ndarray], frame: Frame) -> Weights:
@@ -317,17 +430,17 @@ def _start_weights(near: dict[int, np.ndarray], frame: Frame) -> Weights:
     return w
 
 
-def _round(texts: DataFrame, w: Weights, frame: Frame, rate: float) -> Weights:
+def _round(texts: DataFrame, w: Weights, shared_frame, rate: float) -> Weights:
     """One round of distributed updates: each task trains on its texts from the same weights;
     the new weights are the mean of theirs, weighted by tokens."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((w, frame))
+    shared = spark.sparkContext.broadcast(w)
     blocks = 16
 
     def run(batches):
-        start, fr = shared.value
-        mine = Weights(start.outer.copy(), start.inner.copy())
-        gain = Weights(np.full_like(mine.outer, 0.5), np.full_like(mine.inner, 0.5))
+        start, fr = shared.value, shared_frame.value
+        mine = Weights(start.outer.copy(), start.inner.copy(), start.tail.copy())
+        gain = Weights(np.full_like(mine.outer, 0.5), np.full_like(mine.inner, 0.5), np.full_like(mine.tail, TAIL_GAIN))
         tokens = 0
         for b in batches:
             for _, buf, offs in tb.chunks(b.column(0), 1 << 19):
@@ -336,7 +449,8 @@ def _round(texts: DataFrame, w: Weights, frame: Frame, rate: float) -> Weights:
                 tokens += len(s.hash)
         if not tokens:
             return
-        flat = np.concatenate([(mine.outer - start.outer).ravel(), (mine.inner - start.inner).ravel()]) * np.float32(tokens)
+        flat = np.concatenate([(a - b).ravel() for a, b in ((mine.outer, start.outer), (mine.inner, start.inner),
+                                                            (mine.tail, start.tail))]) * np.float32(tokens)
         parts = np.array_split(flat, blocks)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*range(blocks), blocks], pa.int32()),
@@ -344,12 +458,12 @@ def _round(texts: DataFrame, w: Weights, frame: Frame, rate: float) -> Weights:
             names=["block", "part"])
 
     got = _sum_blocks(texts.mapInArrow(run, "block int, part binary"), np.float32)
+    shared.destroy()
     if not got:
         return w
     step = np.concatenate([got[k] for k in range(blocks)]) / got[blocks][0]
-    cut = w.outer.size
-    return Weights(w.outer + step[:cut].reshape(w.outer.shape).astype(np.float32),
-                   w.inner + step[cut:].reshape(w.inner.shape).astype(np.float32))
+    steps = np.split(step.astype(np.float32), np.cumsum([w.outer.size, w.inner.size]))
+    return Weights(*(t + d.reshape(t.shape) for t, d in zip((w.outer, w.inner, w.tail), steps)))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0,
@@ -366,16 +480,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # every training text is in one round; texts of null ids are dealt by their bytes
     tasks = max(tasks, -(-frame.n_ends // (rounds * round_texts)))
+    shared_frame = spark.sparkContext.broadcast(frame)
     dealt = train.select("text", F.pmod(F.xxhash64(F.lit(17), "id", "text"), F.lit(sampling.SCALE)).alias("draw"))
     for r in range(rounds):
         part = dealt.filter(F.pmod(F.col("draw"), F.lit(rounds)) == r).repartition(tasks, "draw")
-        w = _round(part.select("text"), w, frame, rate / (1 + r))
+        w = _round(part.select("text"), w, shared_frame, rate / (1 + r))
 
-    shared = spark.sparkContext.broadcast((w, frame))
+    shared = spark.sparkContext.broadcast(w)
     fields = ["key", "id", "held_out", "n_tokens", "n_known", "base", "score", "h", "n", "swap"]
 
     def run(batches):
-        weights, fr = shared.value
+        weights, fr = shared.value, shared_frame.value
         place0, row = TaskContext.get().partitionId() << 40, 0
         end_known = fr.n_ends > 0
         end_base = np.log10(fr.n_ends + SMOOTH) if end_known else np.log10(SMOOTH)
@@ -389,8 +504,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hot = place >= 0
                 cold = ~end & ~hot
                 base = np.where(hot, log_count[np.maximum(place, 0)], 0.0) + np.where(end, end_base, 0.0)
-                # no training word of this class is left for the shared slot: certainly unknown
-                none = cold & ((fr.class_log[s.cls] < -1e29) | (fr.slot_log[s.cls, HEADS] < -1e29))
+                # no training word of this class has the word's leaf: certainly unknown
+                none = cold.copy()
+                none[cold] = fr.rest_log(s.cls[cold], s.hash[cold]) < -1e29
                 value = np.where(none | (end & (not end_known)), unknown, known)
                 swap = np.where(none, 0.0, unknown - known)
                 n_tokens = np.bincount(s.text, minlength=k)

@@ -116,3 +116,32 @@ def test_every_training_text_is_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(maxent, "_round", round_)
     maxent.score_texts(df, rounds=2, round_texts=5, tasks=2).collect()
     assert sorted(seen) == sorted(x for i, x in rows if not held(i))
+
+
+def test_words_of_the_shared_slot_follow_their_history(spark):
+    n = 60                                              # one class by its last bytes: all but 15 share a slot
+    rows = [(i, f"left{i % n} right{i % n}end") for i in range(6000) if not held(i)]
+    ids = [i for i in range(6000, 9000) if held(i)][:2 * n]
+    tries = [(a, f"left{j} right{j}end") for j, a in enumerate(ids[:n])]
+    tries += [(b, f"left{j} right{(j + 1) % n}end") for j, b in enumerate(ids[n:])]
+    df = spark.createDataFrame(rows + tries, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in maxent.score_texts(df, tasks=1).filter("held_out").collect()}
+    gain = sorted(got[a] - got[b] for a, b in zip(ids[:n], ids[n:]))
+    assert gain[n // 10] > 0.1
+
+
+def test_tree_probabilities_sum_to_one_and_zero_weights_are_the_base():
+    toy, s, h, n = _toy_frame()
+    tail = toy.head_slot[toy.find(h)] == maxent.HEADS
+    for depth in (1, 3):
+        leaves = np.zeros(maxent.CLASSES << (4 * depth))
+        np.add.at(leaves, (s.cls[:-1][tail] << (4 * depth)) + (h[tail] >> np.uint64(64 - 4 * depth)).astype(int), n[tail] + 0.1)
+        heads = [(int(x), int(toy.head_slot[toy.find(np.array([x]))][0])) for x in h[~tail]]
+        frame = maxent.Frame(toy.n_tokens, toy.n_types, toy.class_log, toy.slot_log, heads, h.copy(), n, 40, leaves)
+        assert frame.depth == depth
+        s.prev[:], s.prev2[:] = np.uint64(77), np.uint64(99)
+        known, unknown, _ = maxent.score_chunk(maxent.Weights(), frame, s)
+        assert np.allclose(known[:-1], np.log10((n + 0.1) / frame.z))
+        w = maxent.Weights(tail=np.random.default_rng(2).normal(size=maxent.Weights().tail.shape).astype(np.float32))
+        moved, unknown, _ = maxent.score_chunk(w, frame, s)
+        assert abs((10 ** moved).sum() + 10 ** unknown[0] - 1) < 1e-6 and np.abs(moved - known)[:-1][tail].max() > 0.1
