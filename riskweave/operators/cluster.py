@@ -113,6 +113,32 @@ def wcss(df: DataFrame, group: str, features: str = "features") -> DataFrame:
 PARTITION_ROWS = 65_536      # rows of one K-Means partition
 
 
+def _kmeans_rows(df: DataFrame, id_col: str, features: str) -> tuple[DataFrame, DataFrame]:
+    """(rows as vectors, the same rows dealt and sorted for the starts, kept in memory)."""
+    from pyspark.ml.functions import array_to_vector
+    rows = cut_lineage(df.select(id_col, array_to_vector(F.col(features)).alias("_v")))
+    parts = max(1, -(-rows.count() // PARTITION_ROWS))
+    data = rows.repartition(parts, id_col).sortWithinPartitions(id_col).persist()
+    data.count()
+    return rows, data
+
+
+def _kmeans_starts(data: DataFrame, starts: Sequence[tuple[int, int]], max_iter: int, tol: float, parallelism: int):
+    """(model, training cost) of every (k, seed), ``parallelism`` jobs at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.clustering import KMeans
+
+    def start(k_seed):
+        model = KMeans(k=k_seed[0], seed=k_seed[1], maxIter=max_iter, tol=tol, featuresCol="_v",
+                       initMode="k-means||").fit(data)
+        return model, model.summary.trainingCost
+
+    with ThreadPool(max(1, min(parallelism, len(starts)))) as pool:
+        return pool.map(inheritable_thread_target(data.sparkSession)(start), starts, chunksize=1)
+
+
 def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
            features: str = "features", tol: float = 1e-4, parallelism: int = 4
            ) -> tuple[DataFrame, np.ndarray, float]:
@@ -125,23 +151,8 @@ def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10,
     relabelled by sorted centre order; equal costs keep the earliest start.
     Returns (assignments (id, cluster), centres k x d, wcss).
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    rows = cut_lineage(df.select(id_col, array_to_vector(F.col(features)).alias("_v")))
-    parts = max(1, -(-rows.count() // PARTITION_ROWS))
-    data = rows.repartition(parts, id_col).sortWithinPartitions(id_col).persist()
-
-    def start(i):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="_v",
-                       initMode="k-means||").fit(data)
-        return model, model.summary.trainingCost
-
-    data.count()
-    with ThreadPool(max(1, min(parallelism, n_init))) as pool:
-        found = pool.map(inheritable_thread_target(df.sparkSession)(start), range(n_init))
+    rows, data = _kmeans_rows(df, id_col, features)
+    found = _kmeans_starts(data, [(k, seed + i) for i in range(n_init)], max_iter, tol, parallelism)
     model, cost = min(found, key=lambda mc: mc[1])
     data.unpersist()
     centres = np.array(model.clusterCenters())
@@ -152,14 +163,14 @@ def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10,
 
 
 def elbow(df: DataFrame, id_col: str, k_values: Sequence[int], seed: int = 42, n_init: int = 3,
-          features: str = "features") -> DataFrame:
-    """K3: WCSS per k (input checkpointed once, one MLlib fit series per k)."""
+          features: str = "features", max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
+    """K3: WCSS per k: the best of ``n_init`` starts each, all on one copy of the input."""
     spark = df.sparkSession
-    base = cut_lineage(df.select(id_col, features))
-    rows = []
-    for k in k_values:
-        _, _, cost = kmeans(base, id_col, int(k), seed, n_init, features=features)
-        rows.append((int(k), float(cost)))
+    ks = [int(k) for k in k_values]
+    _, data = _kmeans_rows(df, id_col, features)
+    found = _kmeans_starts(data, [(k, seed + i) for k in ks for i in range(n_init)], max_iter, tol, parallelism)
+    data.unpersist()
+    rows = [(k, float(min(cost for _, cost in found[j * n_init:(j + 1) * n_init]))) for j, k in enumerate(ks)]
     return spark.createDataFrame(rows, "k int, wcss double")
 
 

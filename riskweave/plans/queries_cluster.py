@@ -260,12 +260,12 @@ def q_kmeans(spark, sf):
 
 @register("elbow")
 def q_elbow(spark, sf):
-    return K.elbow(lowd(spark, sf), "id", range(2, 8), n_init=1)
+    return K.elbow(lowd(spark, sf), "id", range(2, 31), n_init=10)
 
 
 @register("elbow_choice")
 def q_elbow_choice(spark, sf):
-    return K.elbow_choice(K.elbow(lowd(spark, sf), "id", range(2, 8), n_init=1))
+    return K.elbow_choice(K.elbow(lowd(spark, sf), "id", range(2, 31), n_init=10))
 
 
 @register("ward")

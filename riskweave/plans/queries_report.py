@@ -111,7 +111,7 @@ def _method_metrics(spark, sf):
     from riskweave.operators import quality as Q
     d = lowd(spark, sf)
     out = {}
-    km, _, _ = K.kmeans(d, "id", 10, n_init=2)
+    km, _, _ = K.kmeans(d, "id", 10, n_init=10)
     db = K.dbscan(d, "id", LOWD_EPS, LOWD_MIN)
     for name, lab, noise in (("kmeans", km.withColumn("cluster", F.col("cluster").cast("string")), None),
                              ("dbscan", db.select("id", "cluster"), "-1")):

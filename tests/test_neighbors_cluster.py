@@ -174,3 +174,29 @@ def test_silhouette_of_many_rows(spark):
     df = _points(spark, X, lab).crossJoin(spark.range(20).select(F.col("id").alias("copy")))
     row = Q.silhouette(df, "label").first()
     assert row.n_evaluated == 60_000 and abs(row.silhouette - want) < 1e-7
+
+
+def test_elbow_equals_kmeans_and_queries_try_the_whole_curve(spark, monkeypatch):
+    from riskweave.plans import queries_cluster as QC
+    from riskweave.plans import queries_report as QR
+    df = _points(spark, _blobs(8, n=60, d=3))
+    for r in K.elbow(df, "id", range(2, 4), n_init=2).collect():
+        assert abs(r["wcss"] - K.kmeans(df, "id", r["k"], n_init=2)[2]) < 1e-6
+
+    class Asked(Exception):
+        pass
+
+    def kmeans(*a, n_init, **kw):
+        raise Asked(n_init)
+
+    asked = []
+    monkeypatch.setattr(QC, "lowd", lambda *a: df)
+    monkeypatch.setattr(QR, "lowd", lambda *a: df)
+    monkeypatch.setattr(K, "elbow", lambda d, i, ks, n_init, **kw: asked.append((list(ks), n_init)))
+    monkeypatch.setattr(K, "elbow_choice", lambda w: w)
+    monkeypatch.setattr(K, "kmeans", kmeans)
+    QC.q_elbow(spark, "")
+    QC.q_elbow_choice(spark, "")
+    assert asked == [(list(range(2, 31)), 10)] * 2
+    with pytest.raises(Asked, match="^10$"):
+        QR._method_metrics(spark, "")
