@@ -16,7 +16,7 @@ names), where the label is known. Labels never come from the page's url.
 
 Defined cases: null or empty html gives an empty text. Markup may be broken:
 unclosed elements are closed by what follows, stray end tags are ignored, an
-unclosed comment or script runs to the end. Every row gives one row.
+unclosed comment, script or style runs to the end; all other elements are read. Every row gives one row.
 """
 
 from __future__ import annotations
@@ -40,9 +40,10 @@ NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)
 WORD = re.compile(r"[A-Za-z]+")
 # Fixed values of HTML: elements without an end tag, elements whose content is no text, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object".split())
+RAW = frozenset("script style".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup "
+                   "msubsup munder mover munderover mstyle mspace mpadded semantics annotation".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
 MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "content", "post", "entry", "story", "main"}

@@ -87,3 +87,15 @@ def test_broken_markup_and_edges(spark, model):
     assert len(got) == 5 and (1, 0) in got and (2, 0) in got and (3, 20_000 * 45 - 1) in got and (3, 9) in got
     assert htmltext.extract(df.limit(0), model).collect() == []
     assert htmltext.fit(df.limit(0)) is not None
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "template", "iframe"])
+@pytest.mark.parametrize("end", [True, False])
+def test_only_scripts_and_styles_are_dropped(tag, end):
+    page = f"<article><p>before</p><{tag}>inside{f'</{tag}>' if end else ''}<p>after</p><style>x</style><script>y</article>"
+    assert " ".join(b[0] for b in htmltext.Parser().blocks(page)) == "before inside after"
+
+
+def test_formulas_stay_in_their_block():
+    page = "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>"
+    assert [b[0] for b in htmltext.Parser().blocks(page)] == ["so x=1 holds"]
