@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweave.llm import bpe, decontam, htmltext, jaccardjoin, langid, linededup, maxent, quality, sampling, toxicity, vectorjoin
+from riskweave.llm import bpe, decontam, htmltext, jaccardjoin, langid, lexsearch, lineclean, linededup, maxent, phrases, quality, sampling, toxicity, vectorjoin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -163,3 +163,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_maxent_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_ranked_search", lexsearch.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_quality_rules", lineclean.oracle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineclean.rule_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_phrase_mining", phrases.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
