@@ -5,13 +5,14 @@ words ``[^\\x20\\x09]+``. Per language, the nodes of the graph are runs of three
 an edge is a run of four, leading from its first three words to its last three, and
 its weight is the number of times it occurs.
 
-1. ``words``: one word count per language. Words below ``min_count`` can be in no
-   phrase; a bitmap of the others (2^27 bits at most) goes to the tasks. It only saves
-   rows: a rare word that the bitmap lets through changes no count.
+1. ``words``: one word count per language. Words below ``min_count``, and pairs of words
+   below it, can be in no phrase; bitmaps of the hashes of the others (2^27 bits each at
+   most) go to the tasks. They only save rows: a rare run that a bitmap lets through
+   changes no count, and no count is taken from them.
 2. ``edges``: every position in a piece gives one row, the longest run of at most four
-   wanted words that begins there. Runs of four are edges; shorter ones are the
-   piece-end corrections: the run ends with its piece, or before a rare word. Rows are
-   summed in the task, then over all tasks.
+   words that begins there and holds no rare word or pair. Runs of four are edges; shorter
+   ones are the piece-end corrections: the run ends with its piece, or before what is too
+   rare to be in a phrase. Rows are summed in the task, then over all tasks.
 3. ``flows``: a run of three occurs as often as its node sends out edges, plus its
    corrections; runs of two and one follow from runs of three and two in the same way.
    No shorter run is ever counted in the texts.
@@ -57,14 +58,15 @@ LONGEST = 4
 GRAM = ["w1", "w2", "w3", "w4"]
 MAX_BITS = 27
 SALTS = 8
+HOLD = 2_000_000       # distinct pairs a task sums before it sends them on
 
 
-def _read(batch: pa.RecordBatch, target: int = 4 << 20):
-    """(language of each word, piece of each word, word hash, start, end, bytes) of runs of whole texts."""
+def _read(batch: pa.RecordBatch):
+    """(languages, language of each word, piece of each word, word hash, start, end, bytes) of runs of whole texts."""
     langs = batch.column(0).dictionary_encode()
     names = langs.dictionary
     code = langs.indices.to_numpy()
-    for row, buf, offs in tb.chunks(batch.column(1), target):
+    for row, buf, offs in tb.chunks(batch.column(1)):
         low = tb.LOWER[buf]
         cut = BREAK[low]
         start, end, text = tb.runs(~(cut | BLANK[low]), offs)
@@ -107,41 +109,88 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, h long, word string, n long").groupBy("lang", "h", "word").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(words: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of the hashes of ``words``, built in pieces of 32,768 bits by Spark."""
-    rows = words.count()
-    bits = min(MAX_BITS, max(15, (16 * rows).bit_length()))
-    cell = F.shiftrightunsigned("h", 64 - bits)
-    # bitmap positions count from 1 within buckets that also count from 1
-    parts = (words.select((cell + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("part"))
-             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map")).collect())
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in parts:
-        a = (r["part"] - 1) * 4096
-        out[a:a + 4096] = np.frombuffer(r["map"], dtype=np.uint8)
-    return bits, out
+class Bitmap:
+    """Hashes of the rows of ``keys.h``, as a bitmap that Spark builds in pieces of 32,768 bits."""
 
+    def __init__(self, keys: DataFrame):
+        self.bits = min(MAX_BITS, max(15, (16 * keys.count()).bit_length()))
+        cell = F.shiftrightunsigned("h", 64 - self.bits)
+        # bitmap positions count from 1 within buckets that also count from 1
+        parts = (keys.select((cell + 1).alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("part"))
+                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map")).collect())
+        self.map = np.zeros((1 << self.bits) // 8, dtype=np.uint8)
+        for r in parts:                                    # 4096 pieces at most
+            self.map[(r["part"] - 1) * 4096:r["part"] * 4096] = np.frombuffer(r["map"], dtype=np.uint8)
 
-def edge_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """(lang, w1..w4, n): the longest run of at most four wanted words at every position;
-    missing words of shorter runs are null."""
-    bits, bitmap = _bitmap(words)
+    def has(self, h: np.ndarray) -> np.ndarray:
+        cell = (h >> U64(64 - self.bits)).astype(np.int64)
+        return (self.map[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
+
+def _pair_hash(names: pa.Array, lang: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Hash of each word, the one after it, and their language."""
+    raw = [n.encode() for n in names.to_pylist()]
+    offs = np.r_[0, np.cumsum([len(b) for b in raw])].astype(np.int64)
+    of = tb.range_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), offs[:-1], offs[1:])
+    return tb.mix(tb.mix(h[:-1] + of[lang[:-1]]) * U64(0x2545F4914F6CDD1D) + h[1:])
+
+
+def wanted_pairs(texts: DataFrame, wanted: Bitmap, min_count: int) -> DataFrame:
+    """(h): hashes of the pairs of wanted words found ``min_count`` times or more in a language.
+    A task sums what it holds, up to about ``HOLD`` distinct pairs at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def flush():
+            h, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            return h[at], np.add.reduceat(n, at)
+
+        for batch in batches:
+            for names, lang, piece, h, *_ in _read(batch):
+                live = wanted.has(h)
+                both = live[:-1] & live[1:] & (piece[:-1] == piece[1:])
+                key, n = np.unique(_pair_hash(names, lang, h)[both], return_counts=True) if len(h) > 1 else (h[:0], np.zeros(0, np.int64))
+                held.append((key, n))
+                rows += len(key)
+                if rows > HOLD:
+                    held = [flush()]
+                    rows = len(held[0][0])
+                    if rows > HOLD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(tb.as_signed(held[0][0])), pa.array(held[0][1])], names=["h", "n"])
+                        held, rows = [], 0
+        if rows:
+            key, n = flush()
+            yield pa.RecordBatch.from_arrays([pa.array(tb.as_signed(key)), pa.array(n)], names=["h", "n"])
+
+    return (texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= min_count).select("h"))
+
+
+def edge_counts(texts: DataFrame, words: Bitmap, pairs: Bitmap) -> DataFrame:
+    """(lang, w1..w4, n): the longest run of at most four words without a rare word or pair at
+    every position; missing words of shorter runs are null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for names, lang, piece, h, *_ in _read(batch):
                 n = len(h)
-                cell = (h >> U64(64 - bits)).astype(np.int64)
-                want = (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                if n == 0:
+                    continue
+                want = words.has(h)
+                joins = np.zeros(n, dtype=bool)            # the word and the next one may be in a phrase
+                if n > 1:                                  # pieces never cross texts, so nor do runs
+                    joins[:-1] = want[:-1] & want[1:] & (piece[:-1] == piece[1:])
+                    joins[:-1] &= pairs.has(_pair_hash(names, lang, h))
                 size = want.astype(np.int8)
-                for k in range(1, LONGEST):                # pieces never cross texts, so nor do runs
+                for k in range(1, LONGEST):
                     more = np.zeros(n, dtype=bool)
-                    if n > k:
-                        more[:n - k] = want[k:] & (piece[k:] == piece[:n - k])
+                    more[:n - k] = joins[k - 1:n - 1] if n > k else False
                     size += (size == k) & more
                 at = np.flatnonzero(size > 0)
                 size = size[at]
-                src = np.minimum(at[:, None] + np.arange(LONGEST), max(n - 1, 0))
+                src = np.minimum(at[:, None] + np.arange(LONGEST), n - 1)
                 grams = [np.where(size > k, h[src[:, k]], U64(0)) for k in range(LONGEST)]
                 first, count = _group([lang[at], size, *grams])
                 size = size[first]
@@ -154,17 +203,18 @@ def edge_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy("lang", *GRAM).agg(F.sum("n").alias("n"))
 
 
-def flows(edges: DataFrame, min_count: int) -> list[DataFrame]:
-    """[f1, f2, f3, f4]: runs of each length and their counts, from the edges down."""
+def flows(edges: DataFrame) -> list[DataFrame]:
+    """[f1, f2, f3, f4]: runs of each length and their counts, from the edges down; each written."""
     found = {LONGEST: edges.filter("w4 IS NOT NULL").select("lang", *GRAM, F.col("n").alias("f"))}
     node = edges.filter("w3 IS NOT NULL").groupBy("lang", *GRAM[:3]).agg(F.sum("n").alias("f"))
     for size in (3, 2, 1):
-        found[size] = node
+        found[size] = node = cut_lineage(node)
         if size > 1:                                       # every run of size words continues one of size - 1
             short = edges.filter(F.col(GRAM[size - 2]).isNotNull() & F.col(GRAM[size - 1]).isNull())
-            node = (node.unionByName(short.select("lang", *GRAM[:size], F.col("n").alias("f")), allowMissingColumns=True)
+            node = (node.select("lang", *GRAM[:size - 1], "f")
+                    .unionByName(short.select("lang", *GRAM[:size - 1], F.col("n").alias("f")))
                     .groupBy("lang", *GRAM[:size - 1]).agg(F.sum("f").alias("f")))
-    return [found[k].filter(F.col("f") >= min_count) for k in range(1, LONGEST + 1)]
+    return [found[k] for k in range(1, LONGEST + 1)]
 
 
 def salted_join(rows: DataFrame, counts: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -235,11 +285,15 @@ def build(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_c
     words = cut_lineage(counted.filter(F.col("n") >= min_count).select("lang", "h", "word"))
     totals = cut_lineage(counted.groupBy("lang").agg(F.sum("n").alias("n")))
     drop_scratch(counted)
-    edges = cut_lineage(edge_counts(texts, words))
-    counts = [cut_lineage(f) for f in flows(edges, min_count)]
-    drop_scratch(edges)
+    wanted = Bitmap(words)
+    common = cut_lineage(wanted_pairs(texts, wanted, min_count))
+    pairs = Bitmap(common)
+    drop_scratch(common)
+    edges = cut_lineage(edge_counts(texts, wanted, pairs))
+    tables = flows(edges)
+    counts = [f.filter(F.col("f") >= min_count) for f in tables]
     steps = unary_paths(counts[2], counts[3])
-    return Graph(words, totals, counts, steps, [words, totals, *counts, steps])
+    return Graph(words, totals, counts, steps, [words, totals, edges, *tables, steps])
 
 
 def _spell(rows: DataFrame, words: DataFrame, col: str) -> DataFrame:
