@@ -28,8 +28,8 @@ its weight is the number of times it occurs.
 
 Words are compared by 64-bit hashes; phrases, scores and ranks are exact beyond that
 (a false match needs two words of one language with the same hash). Scores are decimal
-arithmetic. Keys that hold many rows (the first word of many phrases) are joined with a
-salted copy of the flows.
+arithmetic. Keys that hold many rows (the first word of many phrases) are joined with
+salted copies of the flows.
 
 Defined cases: a null text is empty, a null language ``und``; an empty table gives an
 empty result; repeated rows count as often as they occur; other columns are not read.
@@ -203,27 +203,24 @@ def edge_counts(texts: DataFrame, words: Bitmap, pairs: Bitmap) -> DataFrame:
     return texts.mapInArrow(run, schema).groupBy("lang", *GRAM).agg(F.sum("n").alias("n"))
 
 
-def flows(edges: DataFrame) -> list[DataFrame]:
-    """[f1, f2, f3, f4]: runs of each length and their counts, from the edges down; each written."""
+def flows(edges: DataFrame, min_count: int) -> list[DataFrame]:
+    """[f1, f2, f3, f4]: runs of each length and their counts of ``min_count`` or more, from the
+    edges down; each written."""
     found = {LONGEST: edges.filter("w4 IS NOT NULL").select("lang", *GRAM, F.col("n").alias("f"))}
     node = edges.filter("w3 IS NOT NULL").groupBy("lang", *GRAM[:3]).agg(F.sum("n").alias("f"))
+    nodes = []
     for size in (3, 2, 1):
-        found[size] = node = cut_lineage(node)
+        node = cut_lineage(node)
+        nodes.append(node)
+        found[size] = node
         if size > 1:                                       # every run of size words continues one of size - 1
             short = edges.filter(F.col(GRAM[size - 2]).isNotNull() & F.col(GRAM[size - 1]).isNull())
             node = (node.select("lang", *GRAM[:size - 1], "f")
                     .unionByName(short.select("lang", *GRAM[:size - 1], F.col("n").alias("f")))
                     .groupBy("lang", *GRAM[:size - 1]).agg(F.sum("f").alias("f")))
-    return [found[k] for k in range(1, LONGEST + 1)]
-
-
-def salted_join(rows: DataFrame, counts: DataFrame, on: list[str], name: str) -> DataFrame:
-    """``rows`` with the count of the run in columns ``on``; rows of one run are spread over SALTS keys."""
-    size = len(on) - 1
-    spread = counts.select(*[F.col(c).alias(o) for c, o in zip(["lang", *GRAM[:size]], on)], F.col("f").alias(name),
-                           F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt"))
-    salt = F.pmod(F.xxhash64(*GRAM), F.lit(SALTS)).cast("int")
-    return rows.withColumn("_salt", salt).join(spread, [*on, "_salt"]).drop("_salt")
+    out = [cut_lineage(found[k].filter(F.col("f") >= min_count)) for k in range(1, LONGEST + 1)]
+    drop_scratch(*nodes)
+    return out
 
 
 def unary_paths(f3: DataFrame, f4: DataFrame) -> DataFrame:
@@ -290,10 +287,10 @@ def build(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_c
     pairs = Bitmap(common)
     drop_scratch(common)
     edges = cut_lineage(edge_counts(texts, wanted, pairs))
-    tables = flows(edges)
-    counts = [f.filter(F.col("f") >= min_count) for f in tables]
+    counts = flows(edges, min_count)
+    drop_scratch(edges)
     steps = unary_paths(counts[2], counts[3])
-    return Graph(words, totals, counts, steps, [words, totals, edges, *tables, steps])
+    return Graph(words, totals, counts, steps, [words, totals, *counts, steps])
 
 
 def _spell(rows: DataFrame, words: DataFrame, col: str) -> DataFrame:
@@ -304,26 +301,45 @@ def _spell(rows: DataFrame, words: DataFrame, col: str) -> DataFrame:
     return rows.withColumn("_salt", salt).join(spread, ["lang", col, "_salt"], "left").drop("_salt")
 
 
+def _part(words: list, known=None):
+    """A run of one to three words as a key: (size, p1, p2, p3); without words where its count is known."""
+    none = F.lit(None).cast("long")
+    cols = [w if known is None else F.when(known.isNull(), w) for w in words]
+    return F.struct(F.lit(len(words)).alias("size"), *[(cols[i] if i < len(words) else none).alias(f"p{i + 1}") for i in range(3)],
+                    (none if known is None else known).alias("known"))
+
+
 def _cuts(graph: Graph) -> DataFrame:
-    """Every candidate (w1..w4, null where shorter) with its count ``a`` and, per cut, the parts' counts."""
-    f1, f2, f3, f4 = graph.counts
-    empty = F.lit(None).cast("long")
-    two = f2.select("lang", "w1", "w2", empty.alias("w3"), empty.alias("w4"), F.col("f").alias("a"))
-    two = salted_join(salted_join(two, f1, ["lang", "w1"], "l1"), f1, ["lang", "w2"], "r1")
-    three = f3.select("lang", "w1", "w2", "w3", empty.alias("w4"), F.col("f").alias("a"))
-    for size, cols, name in ((1, ["w1"], "l1"), (2, ["w2", "w3"], "r1"), (2, ["w1", "w2"], "l2"), (1, ["w3"], "r2")):
-        three = salted_join(three, graph.counts[size - 1], ["lang", *cols], name)
-    # the flow of a node inside a path is the path's weight; only path ends are looked up
+    """(lang, w1..w4 (null where shorter), a, k, l, r): every candidate with every cut and its parts' counts."""
+    f2, f3 = graph.counts[1], graph.counts[2]
+    # the flow of a node inside a path is the path's weight; only nodes at path ends are looked up
     last = graph.steps.groupBy("lang", "head").agg(F.max("depth").alias("end"))
-    four = graph.steps.join(last, ["lang", "head"]).select(
-        "lang", *GRAM, F.col("f").alias("a"), (F.col("depth") == 0).alias("first"), (F.col("depth") == F.col("end")).alias("last"))
-    first = salted_join(four.filter("first"), f3, ["lang", "w1", "w2", "w3"], "l3")
-    four = first.unionByName(four.filter("NOT first").withColumn("l3", F.col("a")))
-    final = salted_join(four.filter("last"), f3, ["lang", "w2", "w3", "w4"], "r1")
-    four = final.unionByName(four.filter("NOT last").withColumn("r1", F.col("a"))).drop("first", "last")
-    for size, cols, name in ((1, ["w1"], "l1"), (2, ["w1", "w2"], "l2"), (2, ["w3", "w4"], "r2"), (1, ["w4"], "r3")):
-        four = salted_join(four, graph.counts[size - 1], ["lang", *cols], name)
-    return two.unionByName(three, allowMissingColumns=True).unionByName(four, allowMissingColumns=True)
+    four = graph.steps.join(last, ["lang", "head"]).select("lang", *GRAM, F.col("f").alias("a"), "depth", "end")
+    before, after = F.when(F.col("depth") > 0, F.col("a")), F.when(F.col("depth") < F.col("end"), F.col("a"))
+    rows = None
+    for size, table in ((2, f2), (3, f3), (4, four)):
+        table = table.withColumnRenamed("f", "a")
+        cuts = []
+        for k in range(1, size):
+            left, right = [F.col(c) for c in GRAM[:k]], [F.col(c) for c in GRAM[k:size]]
+            cuts.append(F.struct(F.lit(k).alias("k"), _part(left, before if k == 3 else None).alias("l"),
+                                 _part(right, after if size - k == 3 else None).alias("r")))
+        here = table.select("lang", *[F.col(c) if c in GRAM[:size] else F.lit(None).cast("long").alias(c) for c in GRAM], "a",
+                            F.explode(F.array(*cuts)).alias("cut"))
+        rows = here if rows is None else rows.unionByName(here)
+    none = F.lit(0).cast("long")
+    parts = None
+    for size, table in enumerate(graph.counts[:3], 1):
+        t = table.select("lang", F.lit(size).alias("size"), *[(F.col(GRAM[i]) if i < size else none).alias(f"p{i + 1}") for i in range(3)],
+                         F.col("f"), F.explode(F.array(*[F.lit(s) for s in range(SALTS)])).alias("_salt"))
+        parts = t if parts is None else parts.unionByName(t)
+    key = ["lang", "size", "p1", "p2", "p3", "_salt"]
+    salt = F.pmod(F.xxhash64(*GRAM), F.lit(SALTS)).cast("int").alias("_salt")
+    for side in ("l", "r"):
+        filled = [F.when(F.col(f"cut.{side}.size") > i, F.col(f"cut.{side}.p{i + 1}")).otherwise(none).alias(f"p{i + 1}") for i in range(3)]
+        rows = (rows.select("*", F.col(f"cut.{side}.size").alias("size"), *filled, salt)
+                .join(parts, key, "left").withColumn(f"n_{side}", F.coalesce(f"cut.{side}.known", "f")).drop(*key[1:], "f"))
+    return rows.select("lang", *GRAM, "a", "cut.k", F.col("n_l").alias("l"), F.col("n_r").alias("r"))
 
 
 def _covered(graph: Graph, cover_pct: int) -> DataFrame:
@@ -351,15 +367,12 @@ SCALE = 2_000_000
 
 def scored(graph: Graph, cover_pct: int = 80) -> DataFrame:
     """Candidates that no longer one covers: (lang, w1..w4, a, l, r, score) by the lowest-scoring cut."""
-    def cut(k):
-        exact = F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l{k} as decimal(20,0)) + cast(r{k} as decimal(20,0)))")
-        return F.when(F.col(f"l{k}").isNotNull(), F.struct(exact.alias("score"), F.lit(k).alias("k"),
-                                                           F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
-    rows = _cuts(graph).withColumn("cut", F.least(cut(1), cut(2), cut(3)))
+    score = F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
+    rows = (_cuts(graph).groupBy("lang", *GRAM, "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+            .select("lang", *GRAM, "a", "cut.l", "cut.r", "cut.score"))
     gone = _covered(graph, cover_pct)
     same = [rows[c].eqNullSafe(gone[c]) for c in GRAM[2:]]
-    kept = rows.join(gone, [rows["lang"] == gone["lang"], rows["w1"] == gone["w1"], rows["w2"] == gone["w2"], *same], "left_anti")
-    return kept.select("lang", *GRAM, "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
+    return rows.join(gone, [rows["lang"] == gone["lang"], rows["w1"] == gone["w1"], rows["w2"] == gone["w2"], *same], "left_anti")
 
 
 def top_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", k: int = 2000,
@@ -368,13 +381,15 @@ def top_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     score, then count, then the phrase's bytes."""
     graph = build(docs, text_col, lang_col, min_count)
     best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    rows = scored(graph, cover_pct).withColumn("place", F.rank().over(best)).filter(F.col("place") <= k).drop("place")
+    first = cut_lineage(scored(graph, cover_pct).withColumn("place", F.rank().over(best)).filter(F.col("place") <= k).drop("place"))
+    rows = first
     for c in GRAM:
         rows = _spell(rows, graph.words, c)
     rows = rows.withColumn("phrase", F.concat_ws(" ", *[f"s_{c}" for c in GRAM])).join(graph.totals, "lang")
     final = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
     out = cut_lineage(rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
                       .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+    drop_scratch(first)
     graph.drop()
     return out
 
