@@ -1,11 +1,10 @@
-"""Clustering: DBSCAN, K-Means, Lloyd step, elbow, Ward.
+"""Clustering: DBSCAN, K-Means, Lloyd step, elbow; Ward is in ``hierarchy``.
 
 All inputs are (id, features array<double>) DataFrames.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.operators.neighbors import connected_components, eps_join, sq_dist
-from riskweave.session import cut_lineage
+from riskweave.operators import blocks as B
+from riskweave.operators.neighbors import collapse, connected_components, spread_join, sq_dist
+from riskweave.session import cut_lineage, drop_scratch
 
 
 def noise_label(dtype: T.DataType):
@@ -22,54 +22,87 @@ def noise_label(dtype: T.DataType):
 
 
 # D1 --------------------------------------------------------------------------------
+def _weights_within(e2: float):
+    """Per point of the two blocks: the rows within eps in the other block (itself included)."""
+    import pandas as pd
+
+    def count(x, y):
+        near = B.sq_matrix(B.matrix(x), B.matrix(y)) <= e2
+        wx, wy = np.asarray(x.w), np.asarray(y.w)
+        out = [pd.DataFrame({"blk": x.blk, "pos": np.arange(len(wx)), "nw": near @ wy})]
+        if x.blk != y.blk:
+            out.append(pd.DataFrame({"blk": y.blk, "pos": np.arange(len(wy)), "nw": wx @ near}))
+        return pd.concat(out)
+    return count
+
+
+def _links(e2: float):
+    """A spanning forest of the core points of two blocks, and the roots next to other points."""
+    import pandas as pd
+
+    def link(x, y):
+        near = B.sq_matrix(B.matrix(x), B.matrix(y)) <= e2
+        cx, cy = np.asarray(x.core, dtype=bool), np.asarray(y.core, dtype=bool)
+        ids = np.concatenate([np.asarray(x.ids), np.asarray(y.ids)])
+        n = len(cx)
+        # pairs of points that are not both core neither join nor carry a component
+        root = B.forest(near & cx[:, None] & cy[None, :])
+        live = np.concatenate([cx, cy]) & (ids != ids[root])
+        out = [pd.DataFrame({"a": ids[live], "b": ids[root][live], "border": False})]
+        sides = [(np.flatnonzero(~cx), near, cy, root[n:], 0), (np.flatnonzero(~cy), near.T, cx, root[:n], n)]
+        for free, hit, core, roots, at in sides[:1 if x.blk == y.blk else 2]:
+            if not len(free) or not core.any():
+                continue
+            i, j = np.nonzero(hit[free][:, core])
+            pair = np.unique(np.stack([ids[at + free[i]], ids[roots[core][j]]], axis=1), axis=0)
+            out.append(pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "border": True}))
+        return pd.concat(out)
+    return link
+
+
 def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: str = "features",
-           axes: int = 2, by: str | None = None) -> DataFrame:
+           by: str | None = None, rows: int = B.ROWS) -> DataFrame:
     """DBSCAN with exact semantics, distributed.
 
     1. identical vectors collapse to one weighted point (exact: they are
        within eps of each other and of the same neighbours);
-    2. eps_join of the weighted points (grid on principal axes, exact check);
-    3. core when own weight + neighbours' weights >= min_samples (the point
-       counts itself, as the reference's library does);
-    4. clusters = connected components of the core graph;
+    2. points lie in metric blocks; block pairs whose balls come within eps are
+       visited twice. First they return the weight near each point: a point
+       is core at ``min_samples`` rows or more, its own counted;
+    3. then a spanning forest of the core points they link, at most one row per
+       point, and for each other point the forest roots next to it. No pair
+       of points is ever written;
+    4. clusters = connected components of the forests;
     5. a border point joins the smallest cluster label among its core
        neighbours (the reference's choice depended on scan order);
     6. cluster label = least id among the cluster's core points; noise = -1.
     ``by`` runs an independent DBSCAN per group value (Mapper cubes) in the
-    same jobs: the group is part of every key.
+    same jobs: blocks never hold two groups, and only blocks of one group meet.
     Output: ([by,] id, cluster, is_core).
     """
     id_type = df.schema[id_col].dataType
     keys = [by] if by else []
-    pts = df.select(*keys, id_col, features)
-    u = pts.groupBy(*keys, features).agg(F.min(id_col).alias("_m"), F.count(F.lit(1)).alias("w"))
-    uid = F.struct(F.col(by).alias("g"), F.col("_m").alias("i")) if by else F.col("_m")
-    u = cut_lineage(u.select(*keys, features, uid.alias("uid"), "w"))
-    pairs = cut_lineage(eps_join(u, "uid", eps, features, axes, carry=["w"], by=by))
-    nbw = (pairs.select(F.col("src").alias("v"), F.col("dst_w").alias("nw"))
-                .unionByName(pairs.select(F.col("dst").alias("v"), F.col("src_w").alias("nw")))
-                .groupBy("v").agg(F.sum("nw").alias("nw")))
-    core = (u.join(nbw, u["uid"] == nbw["v"], "left")
-             .select("uid", ((F.col("w") + F.coalesce("nw", F.lit(0))) >= min_samples).alias("is_core")))
-    core = cut_lineage(core)
-    core_ids = core.filter("is_core").select(F.col("uid").alias("cid"))
-    core_edges = (pairs.join(core_ids, pairs["src"] == core_ids["cid"], "left_semi")
-                       .join(core_ids, pairs["dst"] == core_ids["cid"], "left_semi"))
-    comp = connected_components(core_ids.withColumnRenamed("cid", "id"), core_edges, "id")
-    # border: non-core with at least one core neighbour -> least neighbouring cluster
-    directed = (pairs.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-                .unionByName(pairs.select(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    border = (directed.join(comp, directed["b"] == comp["id"])
-                      .groupBy("a").agg(F.min("component").alias("bcl")))
-    comp_lab = F.col("component")["i"] if by else F.col("component")
-    bord_lab = F.col("bcl")["i"] if by else F.col("bcl")
-    lab = (core.join(comp, core["uid"] == comp["id"], "left")
-               .join(border, core["uid"] == border["a"], "left")
-               .select("uid", "is_core",
-                       F.when(F.col("is_core"), comp_lab)
-                        .otherwise(F.coalesce(bord_lab, noise_label(id_type))).alias("cluster")))
-    return (pts.join(u.select(*keys, features, "uid"), [*keys, features])
-               .join(lab, "uid").select(*keys, id_col, "cluster", "is_core"))
+    points, members = collapse(df, id_col, features, keys)
+    blocks = B.pack(points, "pid", features, ["w"], by=by, rows=rows)
+    pairs = cut_lineage(B.near_blocks(blocks, eps))
+    e2 = float(eps) * float(eps)
+    near = B.visit(blocks, pairs, _weights_within(e2), "blk long, pos int, nw long").groupBy("blk", "pos").agg(F.sum("nw").alias("nw"))
+    core = near.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("nw") >= min_samples).alias("c")))).alias("c"))
+    cored = cut_lineage(blocks.join(core.select("blk", F.col("c.c").alias("core")), "blk"))
+    found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean"))
+    flags = cored.select(F.explode(F.arrays_zip("ids", "core")).alias("p")).select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"))
+    comp = connected_components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
+    named = comp.join(points.select("pid", "uid"), "pid")
+    label = named.groupBy("component").agg(F.min("uid").alias("label"))
+    named = cut_lineage(spread_join(named.select("pid", "component"), label, ["component"], "pid").select("pid", "label"))
+    # a root may be near many border points: its label is copied to SALTS keys
+    border = (spread_join(found.filter("border"), named.withColumnRenamed("pid", "b"), ["b"], "a")
+              .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("near_label")))
+    lab = (flags.join(named, "pid", "left").join(border, "pid", "left")
+           .select("pid", "is_core", F.coalesce("label", "near_label", noise_label(id_type)).alias("cluster")))
+    out = cut_lineage(spread_join(members, lab, ["pid"], id_col).select(*keys, id_col, "cluster", "is_core"))
+    drop_scratch(points, blocks, pairs, cored, found, named, comp)
+    return out
 
 
 # K2 / M4 ---------------------------------------------------------------------------
@@ -98,15 +131,10 @@ def lloyd_step(df: DataFrame, centres: np.ndarray, features: str = "features") -
 
 
 def wcss(df: DataFrame, group: str, features: str = "features") -> DataFrame:
-    """M4: sum of squared distances to the own group's centroid (one row).
-
-    The centroid table has one row per group (bounded by k) and is joined
-    on the group key; AQE broadcasts it when small.
-    """
-    from riskweave.operators.neighbors import vector_dim
-    c = centroids(df, group, features).select(group, "centroid")
-    j = df.select(group, features).join(c, group)
-    return j.agg(F.sum(sq_dist(F.col(features), F.col("centroid"), vector_dim(df, features))).alias("wcss"))
+    """M4: sum of squared distances to the own group's centroid (one row), from one aggregate
+    per group; rows never meet centroids."""
+    from riskweave.operators.quality import group_moments
+    return group_moments(df, [group], features).agg(F.sum("ss").alias("wcss"))
 
 
 # K1 / K3 / K4 ----------------------------------------------------------------------
@@ -186,88 +214,3 @@ def elbow_choice(wcss_df: DataFrame, k_col: str = "k", w_col: str = "wcss") -> D
         .select(F.col(k_col).alias("_best"))
     return d.join(best, how="left", on=F.col(k_col) == F.col("_best")) \
         .select(k_col, w_col, "drop", F.col("_best").isNotNull().alias("is_elbow"))
-
-
-# H1c / H2c -------------------------------------------------------------------------
-def ward_linkage(centres: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float, int]]:
-    """Exact Ward merge tree over weighted points.
-
-    Merge cost sqrt(2 nA nB / (nA + nB)) * ||muA - muB|| (the Lance-Williams
-    form of Ward); at every step the cheapest pair of active clusters merges
-    (ties -> lowest ids). Returns (a, b, height, size) with new clusters
-    numbered n, n+1, ... as in the usual linkage tables. Runs only on the
-    micro-cluster centres (bounded m), vectorised in numpy.
-    """
-    n = len(centres)
-    mu = [np.asarray(c, dtype=float) for c in centres]
-    w = [float(x) for x in weights]
-    active = list(range(n))
-    out = []
-    while len(active) > 1:
-        M = np.array([mu[i] for i in active])
-        Wv = np.array([w[i] for i in active])
-        d = np.sqrt(((M[:, None, :] - M[None, :, :]) ** 2).sum(-1))
-        f = np.sqrt(2 * Wv[:, None] * Wv[None, :] / (Wv[:, None] + Wv[None, :]))
-        cost = f * d
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(int(np.argmin(cost)), cost.shape)
-        a, b = active[min(i, j)], active[max(i, j)]
-        h = float(cost[i, j])
-        new = len(mu)
-        w.append(w[a] + w[b])
-        mu.append((w[a] * mu[a] + w[b] * mu[b]) / w[new])
-        active = [x for x in active if x not in (a, b)] + [new]
-        out.append((a, b, h, int(w[new])))
-    return out
-
-
-def cut_tree(n: int, merges: list[tuple[int, int, float, int]], n_clusters: int) -> np.ndarray:
-    """Flat labels of the n leaves with ``n_clusters`` clusters (stop
-    before the last n_clusters-1 merges), labels 0.. by least leaf."""
-    parent = list(range(n + len(merges)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    order = sorted(range(len(merges)), key=lambda i: merges[i][2])
-    keep = len(merges) - (n_clusters - 1)
-    for i in order[:max(keep, 0)]:
-        a, b, _, _ = merges[i]
-        new = n + i
-        parent[find(a)] = new
-        parent[find(b)] = new
-    roots = [find(i) for i in range(n)]
-    first = {}
-    for i, r in enumerate(roots):
-        first.setdefault(r, len(first))
-    return np.array([first[r] for r in roots])
-
-
-def ward(df: DataFrame, id_col: str, n_clusters: int = 5, micro_k: int = 200, seed: int = 42,
-         features: str = "features") -> tuple[DataFrame, DataFrame]:
-    """Ward clustering of all rows.
-
-    Stage (a) compresses the rows into ``micro_k`` weighted micro-clusters
-    with distributed K-Means; stage (b) builds the exact Ward tree over those
-    weighted centres (bounded size, on the driver); every row then takes its
-    micro-cluster's flat label. The result is the exact Ward tree of the
-    weighted centres, not of the raw rows (stated, as the reference's
-    10k-sample + 1-NN was).
-    Returns (assignments (id, cluster), merges (step, a, b, height, size)).
-    """
-    spark = df.sparkSession
-    assign, centres, _ = kmeans(df, id_col, micro_k, seed, n_init=1, features=features)
-    assign = cut_lineage(assign)
-    sizes = {r["cluster"]: r["n"] for r in assign.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    used = sorted(sizes)
-    C = centres[used]
-    W = np.array([sizes[i] for i in used], dtype=float)
-    merges = ward_linkage(C, W)
-    flat = cut_tree(len(used), merges, n_clusters)
-    mapping = spark.createDataFrame([(int(m), int(f)) for m, f in zip(used, flat)], "micro int, cluster int")
-    out = assign.withColumnRenamed("cluster", "micro").join(F.broadcast(mapping), "micro").select(id_col, "cluster")
-    mdf = spark.createDataFrame([(i, a, b, float(h), s) for i, (a, b, h, s) in enumerate(merges)],
-                                "step int, a int, b int, height double, size int")
-    return out, mdf

@@ -106,12 +106,15 @@ def one_hot_min_share(df: DataFrame, col: str, prefix: str, share: float = 0.01,
 
 
 # A11 / F6 / F7 -------------------------------------------------------------------
-def column_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians (linear interpolation, as numpy/pandas) in one aggregate."""
+def column_medians(df: DataFrame, cols: Sequence[str], approx: int | None = None) -> dict[str, float | None]:
+    """Medians (linear interpolation, as numpy/pandas) of all columns in one pass over their
+    distinct values; exact, or a sketch of accuracy ``approx``. One number per column comes back."""
+    from riskweave.operators.ranks import quantiles
     if not cols:
         return {}
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "variable", "value")
+    found = {r["variable"]: r["q"][0] for r in quantiles(long, ["variable"], "value", [0.5], approx).collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:

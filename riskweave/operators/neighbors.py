@@ -1,16 +1,14 @@
 """Similarity join, connected components, nearest labelled point.
 
 eps_join
-    Exact all-pairs-within-eps as a DataFrame theta join. Points are
-    projected on ``m`` orthonormal principal axes; projection never
+    Exact all-pairs-within-eps, by one of two strategies with the same rows. The grid:
+    points are projected on ``m`` orthonormal principal axes; projection never
     lengthens a distance, so two points within eps fall in grid cells (side
     eps) that differ by at most one step on every projected axis. Each point
     probes its 3^m neighbour cells, the probe side equi-joins the home side
-    on the cell, and the exact squared distance filters the candidates. No
-    pair is lost; pruning is what the projection buys. A hot cell (a third
-    of all points) shows up as one skewed join partition, which AQE's skew
-    join splits across tasks; identical vectors should be collapsed to
-    weighted points first (``dbscan`` does).
+    on the cell, and the exact squared distance filters the candidates. A hot cell is
+    split into buckets. Or metric blocks, see ``operators.blocks``. Identical vectors
+    should be collapsed to weighted points first (``collapse``; ``dbscan`` does).
 
 connected_components
     Randomised contraction: every vertex with edges picks the first of its
@@ -33,6 +31,8 @@ from pyspark.sql import functions as F
 from riskweave.session import cut_lineage, drop_scratch
 
 
+# costs of the two strategies of eps_join, in nanoseconds: measured on one machine, they only choose
+GRID_NS, GRID_NS_PER_DIM, BLOCK_NS_PER_DIM, PACK_NS = 150, 100, 4, 20_000
 EXPLICIT_MAX_DIM = 16  # above this a spelled-out sum makes methods too large for the JIT
 
 
@@ -95,16 +95,34 @@ def with_cells(df: DataFrame, axes: np.ndarray, eps: float, features: str = "fea
     return df.withColumn("_cell", F.array(*cells))
 
 
+def grid_candidates(cells: DataFrame, n_col: str, keys: Sequence[str], m: int) -> int:
+    """Candidates of the grid join: per cell, its points times those of the 3^m cells around it."""
+    around = F.explode(F.transform(_offsets(m), lambda off: F.zip_with(F.col("_cell"), off, lambda x, y: x + y)))
+    other = cells.select(*keys, around.alias("_to"), F.col(n_col).alias("_a"))
+    own = cells.select(*keys, F.col("_cell").alias("_to"), F.col(n_col).alias("_b"))
+    return int(other.join(own, [*keys, "_to"]).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0)
+
+
+def _offsets(m: int) -> Column:
+    return F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
+
+
 def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features", axes: int = 2,
              carry: Sequence[str] = (), axes_matrix: np.ndarray | None = None, by: str | None = None,
-             max_cell: int = 512) -> DataFrame:
+             max_cell: int = 512, strategy: str = "auto") -> DataFrame:
     """All pairs (src < dst) with Euclidean distance <= eps (inclusive).
 
     ``by`` restricts pairs to equal values of a group column (e.g. the
     Mapper cube), which becomes part of the equi-join key: every group is
     joined in the same distributed pass.
 
-    Hot cells are salted: cell sizes come from one partial aggregate; a cell
+    ``grid`` joins neighbouring cells of a grid on principal axes. ``blocks``
+    compares metric blocks (``operators.blocks``), which prune better where two
+    axes say little, as in many dimensions. ``auto`` counts the candidates of
+    both from cell sizes and block summaries and takes the cheaper; both give
+    the same pairs. Blocks need an integer or string id.
+
+    Hot cells of the grid are salted: cell sizes come from one partial aggregate; a cell
     with more than ``max_cell`` points is split into ceil(size / max_cell)
     buckets by a hash of the id on the target side, and each probe into that
     cell is replicated once per bucket. A cell holding a third of all points
@@ -112,13 +130,27 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
     (every target row sits in exactly one bucket, every probe visits all).
     Output: src, dst, dist, plus ``src_<c>`` / ``dst_<c>`` for each carried column.
     """
-    if by is not None:
-        carry = [*carry, by]
+    from riskweave.operators import blocks as B
+    carry = list(dict.fromkeys([*carry, *([by] if by is not None else [])]))
     pts = df.select(id_col, features, *carry)
+    simple = df.schema[id_col].dataType.simpleString() in ("bigint", "int", "string")
+    if strategy == "blocks":
+        return B.eps_pairs(B.pack(pts, id_col, features, carry, by=by), eps, carry)
     A = principal_axes(pts, features, axes) if axes_matrix is None else axes_matrix
-    id_type = df.schema[id_col].dataType.simpleString()
-    if by is None and A.shape[1] > EXPLICIT_MAX_DIM and id_type in ("bigint", "int", "string"):
-        return _eps_join_blocked(pts, id_col, eps, features, A, carry, max_cell)
+    if strategy == "auto" and simple:
+        dim, keys = A.shape[1], [by] if by is not None else []
+        cells = cut_lineage(with_cells(pts, A, eps, features).groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")))
+        work = grid_candidates(cells, "_n", keys, len(A)) * (GRID_NS if dim <= EXPLICIT_MAX_DIM else GRID_NS_PER_DIM * dim)
+        points = cells.agg(F.sum("_n")).first()[0] or 0
+        drop_scratch(cells)
+        if work > PACK_NS * points:
+            blocks = B.pack(pts, id_col, features, carry, by=by)
+            n = blocks.select("blk", "n")
+            pairs = (B.near_blocks(blocks, eps).join(n.toDF("i", "ni"), "i").join(n.toDF("j", "nj"), "j")
+                     .agg(F.sum(F.col("ni").cast("long") * F.col("nj"))).first()[0] or 0)
+            if BLOCK_NS_PER_DIM * dim * pairs < work:
+                return B.eps_pairs(blocks, eps, carry)
+            drop_scratch(blocks)
     home = with_cells(pts, A, eps, features)
     key = ["_cell"] + ([by] if by is not None else [])
     # buckets per cell (one row per non-empty cell; AQE broadcasts it when small)
@@ -126,7 +158,7 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
                  .select(*key, F.ceil(F.col("_n") / F.lit(max_cell)).cast("int").alias("_nb")))
     home = home.join(sizes, key)
     m = len(A)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
+    offsets = _offsets(m)
     probe = home.select(
         F.col(id_col).alias("src"), F.col(features).alias("_fa"),
         *[F.col(c).alias(f"src_{c}") for c in carry],
@@ -150,74 +182,6 @@ def eps_join(df: DataFrame, id_col: str, eps: float, features: str = "features",
                         *[f"src_{c}" for c in carry], *[f"dst_{c}" for c in carry]))
 
 
-def _eps_join_blocked(pts: DataFrame, id_col: str, eps: float, features: str, A: np.ndarray,
-                      carry: Sequence[str], max_cell: int) -> DataFrame:
-    """High-dimensional eps-join by blocks (blocked all-pairs within neighbouring cells).
-
-    Points fall into blocks (grid cell, bucket) of at most ``max_cell``
-    points. A point is replicated once per neighbouring block; the pair of
-    blocks (ordered) is the group key, so every group holds at most
-    2 * max_cell points, whatever the skew. Each group's distance block is
-    computed in numpy inside ``applyInPandas`` (Arrow batches) - the
-    interpreted per-pair ``aggregate`` over 64+ dimensions is the slow
-    alternative. Every pair is produced exactly once.
-    """
-    import pandas as pd
-    spark = pts.sparkSession
-    home = with_cells(pts, A, eps, features)
-    sizes = (home.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-                 .select("_cell", F.ceil(F.col("_n") / F.lit(max_cell)).cast("int").alias("_nb")))
-    home = (home.join(sizes, "_cell")
-                .withColumn("_b", F.pmod(F.xxhash64(F.col(id_col)), F.col("_nb")).cast("int")))
-    m = len(A)
-    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
-    probe = home.withColumn("_pcell", F.explode(F.transform(
-        offsets, lambda off: F.zip_with(F.col("_cell"), off, lambda x, y: x + y))))
-    probe = probe.join(sizes.select(F.col("_cell").alias("_pcell"), F.col("_nb").alias("_pnb")), "_pcell")
-    probe = probe.withColumn("_pb", F.explode(F.sequence(F.lit(0), F.col("_pnb") - 1)))
-    H = F.struct(F.col("_cell").alias("c"), F.col("_b").alias("b"))
-    X = F.struct(F.col("_pcell").alias("c"), F.col("_pb").alias("b"))
-    grouped = probe.select(F.least(H, X).alias("_lo"), F.greatest(H, X).alias("_hi"), (H == F.least(H, X)).alias("_is_lo"),
-                           F.col(id_col).alias("_id"), F.col(features).alias("_f"), *[F.col(c) for c in carry])
-    e2 = float(eps) * float(eps)
-    id_type = pts.schema[id_col].dataType.simpleString()
-    carry_types = {c: pts.schema[c].dataType.simpleString() for c in carry}
-
-    def block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = pdf["_is_lo"].to_numpy()
-        a = pdf[lo]
-        b = pdf[~lo]
-        same = len(b) == 0
-        if same:
-            b = a
-        Xa = np.array(a["_f"].tolist(), dtype=float)
-        Xb = np.array(b["_f"].tolist(), dtype=float)
-        if len(Xa) == 0 or len(Xb) == 0:
-            return pd.DataFrame(columns=["src", "dst", "dist"] + [f"src_{c}" for c in carry] + [f"dst_{c}" for c in carry])
-        # summed dimension by dimension, left to right (the same order as the
-        # SQL definition), so a pair exactly at eps is decided identically
-        D2 = np.zeros((len(Xa), len(Xb)))
-        for k in range(Xa.shape[1]):
-            diff = Xa[:, k][:, None] - Xb[:, k][None, :]
-            D2 += diff * diff
-        ia, ib = np.nonzero(D2 <= e2)
-        ida, idb = a["_id"].to_numpy()[ia], b["_id"].to_numpy()[ib]
-        keep = ida < idb if same else ida != idb
-        ia, ib, ida, idb = ia[keep], ib[keep], ida[keep], idb[keep]
-        swap = ida > idb
-        out = {"src": np.where(swap, idb, ida), "dst": np.where(swap, ida, idb), "dist": np.sqrt(D2[ia, ib])}
-        for c in carry:
-            ca, cb = a[c].to_numpy()[ia], b[c].to_numpy()[ib]
-            out[f"src_{c}"] = np.where(swap, cb, ca)
-            out[f"dst_{c}"] = np.where(swap, ca, cb)
-        return pd.DataFrame(out)
-
-    schema = (f"src {id_type}, dst {id_type}, dist double"
-              + "".join(f", src_{c} {t}" for c, t in carry_types.items())
-              + "".join(f", dst_{c} {t}" for c, t in carry_types.items()))
-    return grouped.groupBy("_lo", "_hi").applyInPandas(block_pairs, schema)
-
-
 def both_directions(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return (edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
                  .unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))))
@@ -277,6 +241,29 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     return out
 
 
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``rows`` joined to a table of at most one row per key. The rows of a key are spread over
+    ``salts`` keys by a hash of column ``by`` and ``one`` is copied as often, so a key that a
+    third of all rows share is no single task."""
+    copies = one.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Sequence[str] = ()
+             ) -> tuple[DataFrame, DataFrame]:
+    """(points, members): one written row per distinct vector (``uid`` its least id, ``w`` its
+    rows, ``pid`` a number), and the point of every row."""
+    pts = df.select(*keys, id_col, features)
+    points = cut_lineage(pts.groupBy(*keys, features).agg(F.min(id_col).alias("uid"), F.count(F.lit(1)).alias("w"))
+                            .withColumn("pid", F.monotonically_increasing_id()))
+    members = spread_join(pts, points.select(*keys, features, "uid", "pid"), [*keys, features], id_col)
+    return points, members.select(*keys, id_col, "uid", "pid")
+
+
 def pack_blocks(df: DataFrame, id_col: str, label: str, features: str = "features", weight: str | None = None,
                 rows: int = 1024) -> DataFrame:
     """Points packed into blocks of at most ``rows`` rows, one row per block:

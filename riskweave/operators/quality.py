@@ -54,36 +54,47 @@ def profile_stats(members: DataFrame, group: str, features: list[str]) -> DataFr
 
 # A9 / A10 -----------------------------------------------------------------------------
 def quantiles_by_group(df: DataFrame, cols: list[str], group: str, positive_only: bool = False,
-                       probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact P25/P50/P75 (linear interpolation, as numpy) per group and column.
+                       probs=(0.25, 0.5, 0.75), approx: int | None = None) -> DataFrame:
+    """P25/P50/P75 (linear interpolation, as numpy) per group and column.
 
     With ``positive_only`` only values > 0 count, and the dropped count and
-    share are reported. Long output: (group, variable, n, n_dropped,
+    share are reported. Exact, unless ``approx`` gives a sketch accuracy
+    (see ``ranks.quantiles``). Long output: (group, variable, n, n_dropped,
     pct_dropped, p25, p50, p75).
     """
+    from riskweave.operators.ranks import quantiles
     long = df.unpivot([group], cols, "variable", "value").withColumn("value", F.col("value").cast("double"))
     keep = (F.col("value") > 0) if positive_only else F.col("value").isNotNull()
-    q = F.percentile(F.when(keep, F.col("value")), list(probs))
-    return (long.groupBy(group, "variable").agg(
-        F.count_if(keep).alias("n"), F.count_if(~keep | F.col("value").isNull()).alias("n_dropped"),
-        (F.count_if(~keep | F.col("value").isNull()) * 100.0 / F.count(F.lit(1))).alias("pct_dropped"),
-        q.alias("_q"))
-        .select(group, "variable", "n", "n_dropped", "pct_dropped",
-                *[F.col("_q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(probs)]))
-
-
-def box_stats(df: DataFrame, col: str, group: str, whis: float = 1.5) -> DataFrame:
-    """A10: quartiles, whiskers (furthest values within whis*IQR) and flier count."""
-    x = F.col(col).cast("double")
-    q = df.groupBy(group).agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
-    q = q.select(group, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), F.col("_q")[2].alias("q3"))
-    j = df.select(group, x.alias("_x")).join(q, group)
+    dropped = F.count_if(~keep | F.col("value").isNull())
+    counts = long.groupBy(group, "variable").agg(
+        F.count_if(keep).alias("n"), dropped.alias("n_dropped"), (dropped * 100.0 / F.count(F.lit(1))).alias("pct_dropped"))
+    q = quantiles(long.filter(keep), [group, "variable"], "value", probs, approx)
+    # one row per group and column on both sides; a null group has its row too
+    key = F.struct(group, "variable")
+    return (counts.withColumn("_g", key).join(q.select(key.alias("_g"), "q"), "_g", "left")
+            .select(group, "variable", "n", "n_dropped", "pct_dropped",
+                    *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(probs)]))
+
+
+def box_stats(df: DataFrame, col: str, group: str, whis: float = 1.5, approx: int | None = None) -> DataFrame:
+    """A10: quartiles, whiskers (furthest values within whis*IQR) and flier count.
+
+    Whiskers and fliers are read from the distinct values of each group with their
+    counts; a group's values are spread over several tasks."""
+    from riskweave.operators.neighbors import spread_join
+    from riskweave.operators.ranks import quantiles
+    data = df.select(F.struct(F.col(group).alias("v")).alias("_g"), F.col(col).cast("double").alias("_x"))
+    q = quantiles(data, ["_g"], "_x", (0.25, 0.5, 0.75), approx).select(
+        "_g", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
+    every = data.select("_g").distinct().join(q, "_g", "left")
+    runs = data.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c"))
     lo = F.col("q1") - whis * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + whis * (F.col("q3") - F.col("q1"))
-    return j.groupBy(group, "q1", "med", "q3").agg(
+    return (spread_join(runs, every, ["_g"], "_x").groupBy("_g", "q1", "med", "q3").agg(
         F.min(F.when(F.col("_x") >= lo, F.col("_x"))).alias("whislo"),
         F.max(F.when(F.col("_x") <= hi, F.col("_x"))).alias("whishi"),
-        F.count_if((F.col("_x") < lo) | (F.col("_x") > hi)).alias("n_fliers"))
+        F.coalesce(F.sum(F.when((F.col("_x") < lo) | (F.col("_x") > hi), F.col("_c"))), F.lit(0)).alias("n_fliers"))
+        .select(F.col("_g.v").alias(group), "q1", "med", "q3", "whislo", "whishi", "n_fliers"))
 
 
 # O2 / O3 ------------------------------------------------------------------------------
@@ -157,45 +168,62 @@ def silhouette(df: DataFrame, label: str, features: str = "features", noise=None
         F.coalesce(F.sum("w"), F.lit(0)).alias("n_evaluated")).withColumn("sampled", F.lit(sample_ids is not None))
 
 
-def _centroid_table(df, label, features):
-    from riskweave.operators.cluster import centroids
-    return centroids(df.select(label, features), label, features)
+def group_moments(df: DataFrame, keys: list[str], features: str = "features") -> DataFrame:
+    """(keys, n, mean, ss): size, mean vector and squared distance to the mean of every group, by one
+    aggregate with partial sums; only one row per group is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    parts = Summarizer.metrics("count", "mean", "variance").summary(F.col("_v"))
+    rows = df.select(*keys, array_to_vector(F.col(features)).alias("_v"))
+    m = rows.groupBy(*keys).agg(parts.alias("m"))
+    spread = F.aggregate(vector_to_array(F.col("m.variance")), F.lit(0.0), lambda a, v: a + v)
+    return m.select(*keys, F.col("m.count").alias("n"), vector_to_array(F.col("m.mean")).alias("mean"),
+                    (spread * (F.col("m.count") - 1)).alias("ss"))
+
+
+def _without_noise(df: DataFrame, label: str, noise) -> DataFrame:
+    return df if noise is None else df.filter(F.col(label) != F.lit(noise))
 
 
 def davies_bouldin(df: DataFrame, label: str, features: str = "features", noise=None) -> DataFrame:
-    """M2: mean over clusters of max_j (S_i + S_j) / d(c_i, c_j); S = mean distance to centroid."""
-    from riskweave.operators.neighbors import sq_dist
-    pts = df.select(label, features)
-    if noise is not None:
-        pts = pts.filter(F.col(label) != F.lit(noise))
-    c = _centroid_table(pts, label, features).select(label, "centroid")
-    from riskweave.operators.neighbors import vector_dim
-    dim = vector_dim(pts, features)
-    s = (pts.join(c, label).groupBy(label)
-            .agg(F.avg(F.sqrt(sq_dist(F.col(features), F.col("centroid"), dim))).alias("S")))
-    cs = c.join(s, label)
-    a = cs.select(F.col(label).alias("i"), F.col("centroid").alias("ci"), F.col("S").alias("si"))
-    b = cs.select(F.col(label).alias("j"), F.col("centroid").alias("cj"), F.col("S").alias("sj"))
-    # k x k pairs of centroids: bounded by the number of clusters, not by rows
-    r = (a.join(b, F.col("i") != F.col("j"))
-          .select("i", ((F.col("si") + F.col("sj")) / F.sqrt(sq_dist(F.col("ci"), F.col("cj"), dim))).alias("r")))
-    return r.groupBy("i").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    """M2: mean over clusters of max_j (S_i + S_j) / d(c_i, c_j); S = mean distance to centroid.
+
+    Rows meet their centroid on a salted key; centroids meet each other in blocks."""
+    import numpy as np
+    import pandas as pd
+    from riskweave.operators.blocks import sq_matrix
+    from riskweave.operators.neighbors import block_matrix, pack_blocks, pair_blocks, spread_join, sq_dist, vector_dim
+    pts = _without_noise(df.select(label, features), label, noise).filter(F.col(label).isNotNull())
+    c = group_moments(pts, [label], features).select(label, "mean")
+    s = (spread_join(pts, c, [label], features)
+         .groupBy(label).agg(F.avg(F.sqrt(sq_dist(F.col(features), F.col("mean"), vector_dim(pts, features)))).alias("S")))
+    cs = pack_blocks(c.join(s, label), label, "S", "mean")
+    ltype = df.schema[label].dataType.simpleString()
+
+    def worst(x, y):
+        d = np.sqrt(sq_matrix(block_matrix(x), block_matrix(y)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (np.asarray(x.labels)[:, None] + np.asarray(y.labels)[None, :]) / d
+        if x.blk == y.blk:
+            np.fill_diagonal(r, -np.inf)
+        return pd.DataFrame({"i": x.ids, "r": r.max(1)})
+
+    r = pair_blocks(cs, cs, worst, f"i {ltype}, r double").groupBy("i").agg(F.max("r").alias("r"))
+    return r.filter(F.col("r") > F.lit(float("-inf"))).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def within_between(moments: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ssw, ssb, k, n): sums of squares within and between groups, from ``group_moments``."""
+    dims = moments.select(*by, "n", F.posexplode("mean").alias("p", "x"))
+    between = (dims.groupBy(*by, "p").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("x")).alias("s"),
+                                          F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"))
+               .groupBy(*by).agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("t")).alias("ssb")))
+    within = moments.groupBy(*by).agg(F.sum("ss").alias("ssw"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    return within.join(between, by) if by else within.crossJoin(between)          # two one-row tables
 
 
 def calinski_harabasz(df: DataFrame, label: str, features: str = "features", noise=None) -> DataFrame:
-    """M3: (SSB / SSW) * ((n - k) / (k - 1))."""
-    from riskweave.operators.neighbors import sq_dist
-    pts = df.select(label, features)
-    if noise is not None:
-        pts = pts.filter(F.col(label) != F.lit(noise))
-    c = _centroid_table(pts, label, features)
-    g = (pts.select(F.lit(0).alias("_g"), features))
-    gm = _centroid_table(g, "_g", features).select(F.col("centroid").alias("gc"), F.col("n").alias("_ntot"))
-    ssb = c.crossJoin(F.broadcast(gm)).agg(  # gm is one row
-        F.sum(F.col("n") * sq_dist(F.col("centroid"), F.col("gc"))).alias("ssb"), F.count(F.lit(1)).alias("k"),
-        F.max("_ntot").alias("_ntot"))
-    from riskweave.operators.neighbors import vector_dim
-    ssw = pts.join(c.select(label, "centroid"), label).agg(
-        F.sum(sq_dist(F.col(features), F.col("centroid"), vector_dim(pts, features))).alias("ssw"))
-    return ssb.crossJoin(ssw).select(
-        (F.col("ssb") / F.col("ssw") * ((F.col("_ntot") - F.col("k")) / (F.col("k") - 1))).alias("calinski_harabasz"))
+    """M3: (SSB / SSW) * ((n - k) / (k - 1)), from one aggregate per group."""
+    m = group_moments(_without_noise(df.select(label, features), label, noise).filter(F.col(label).isNotNull()), [label], features)
+    return within_between(m, []).select(
+        (F.col("ssb") / F.nullif("ssw", F.lit(0.0)) * ((F.col("n") - F.col("k")) / F.nullif(F.col("k") - 1, F.lit(0)))).alias("calinski_harabasz"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.dedupe import argmax_rejoin, latest_per_key_in, latest_request
 from riskweave.operators.ledger import union_all
+from riskweave.operators.joins import left_join
 
 
 # A4 --------------------------------------------------------------------------------
@@ -89,25 +90,21 @@ def rating_features(t: dict[str, DataFrame], with_offers: bool = True) -> DataFr
     pt = pt_financials(argmax_rejoin(t["eeff_pt"], "id_eeff", "id_eeff_pt")).select(
         "id_eeff", "result_antes_imp_pt", "fecha_balance_pt", "total_pasivo_pt", "fondos_propios_pt",
         "fecha_constitucion_pt", "ing_explotacion_pt", "importe_neto_pt", "gastos_financieros_pt")
-    r = (ev.select("id_evaluacion", "fecha_creacion", "id_estado_moroso",
-                   F.left(F.col("fecha_creacion").cast("string"), F.lit(7)).alias("ano_mes_creacion"))
-         .join(req, "id_evaluacion", "left")
-         .join(t["client"], "id_cliente", "left")
-         .join(t["model_response"], "rating_id", "left")
-         .join(lim, "id_evaluacion", "left")
-         .join(t["limits_ge"], "id_evaluacion", "left")
-         .join(t["estado_moroso"], "id_estado_moroso", "left")
-         .join(eeff, "id_evaluacion", "left")
-         .join(pt, "id_eeff", "left"))
+    r = ev.select("id_evaluacion", "fecha_creacion", "id_estado_moroso",
+                  F.left(F.col("fecha_creacion").cast("string"), F.lit(7)).alias("ano_mes_creacion"))
+    # most evaluations lack some link of the chain: rows without a key are spread, not joined in one task
+    for table, key in ((req, "id_evaluacion"), (t["client"], "id_cliente"), (t["model_response"], "rating_id"),
+                       (lim, "id_evaluacion"), (t["limits_ge"], "id_evaluacion"), (t["estado_moroso"], "id_estado_moroso"),
+                       (eeff, "id_evaluacion"), (pt, "id_eeff")):
+        r = left_join(r, table, key)
     if with_offers and "offers" in t:
-        o = t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id")
-        r = r.join(o, "rating_id", "left")
+        r = left_join(r, t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id"), "rating_id")
     risk = latest_per_key_in(t["risk"], "id_cliente", "fecha_creacion").select(
         F.col("id_cliente").alias("id_cliente_riesgo_vivo"), F.col("riesgo_power").alias("riesgo_vivo_power"),
         F.col("riesgo_gas").alias("riesgo_vivo_gas"), F.col("volumen").alias("volumen_riesgo"),
         F.col("riesgo_power_falcon").alias("riesgo_vivo_power_falcon"),
         F.col("riesgo_eficiencia").alias("riesgo_vivo_eficiencia"))
-    r = r.join(risk, r["id_cliente"] == risk["id_cliente_riesgo_vivo"], "left")
+    r = left_join(r, risk, "id_cliente", "id_cliente_riesgo_vivo")
     return r.select(*RATING_COLUMNS)
 
 

@@ -1,4 +1,5 @@
-"""Topological data analysis: PCA lens, Mapper, graph metrics, persistence.
+"""Topological data analysis: PCA lens, Mapper, graph metrics, bars;
+spanning forests are in ``forest``.
 
 Mapper runs as *one* distributed job for all cubes: the cover emits
 (id, cube) rows by arithmetic (no scan per cube), and DBSCAN takes the cube
@@ -7,7 +8,6 @@ as an extra key, so all cubes are clustered by the same joins.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.cluster import dbscan
-from riskweave.operators.neighbors import connected_components, eps_join
+from riskweave.operators.neighbors import connected_components
 from riskweave.session import cut_lineage
 
 
@@ -150,6 +150,11 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(n > 1, 2.0 * F.col("n_aristas") / (n * (n - 1))).otherwise(F.lit(0.0)).alias("densidad"))
 
 
+def top_nodes(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` riskiest nodes (rate, then size, then id)."""
+    return nodes.orderBy(F.col("tasa").desc(), F.col("size").desc(), F.col("node_id")).limit(k)
+
+
 def node_overlap(members: DataFrame, id_col: str) -> DataFrame:
     """Share of ids present in two or more nodes (pct_solapamiento)."""
     per = members.groupBy(id_col).agg(F.count(F.lit(1)).alias("k"))
@@ -157,6 +162,7 @@ def node_overlap(members: DataFrame, id_col: str) -> DataFrame:
 
 
 # T7 ------------------------------------------------------------------------------------
+# The configurations compared.
 SENSITIVITY_CONFIGS = [
     # name, n_cubes, overlap, eps, min_samples, lens
     ("A", 15, 0.3, 0.5, 5, "pca"),
@@ -241,146 +247,9 @@ def distance_percentile(sample: DataFrame, id_col: str, q: float = 0.5, features
     return d.agg(F.percentile("d", q).alias("distance"))
 
 
-# V2 ------------------------------------------------------------------------------------
-def persistence_h0(df: DataFrame, id_col: str, thresh: float,
-                   features: str = "features") -> DataFrame:
-    """Vietoris-Rips H0 up to ``thresh``: births 0, deaths = minimum spanning
-    forest edge lengths (Boruvka rounds over the eps-join edge list), one
-    infinite bar per remaining component; zero-length bars omitted.
-
-    Each round every component picks its cheapest outgoing edge under the
-    total order (length, src, dst) - a partial ``min`` aggregate - and the
-    chosen edges merge components (connected_components). Every component with
-    an outgoing edge merges, so rounds <= log2 n without a limit being set.
-    """
-    spark = df.sparkSession
-    verts = df.select(F.col(id_col).alias("id"))
-    edges = cut_lineage(eps_join(df, id_col, thresh, features).select("src", "dst", "dist"))
-    comp = cut_lineage(verts.withColumn("component", F.col("id")))
-    forest = None
-    while True:
-        cs = comp.select(F.col("id").alias("_s"), F.col("component").alias("cs"))
-        cd = comp.select(F.col("id").alias("_d"), F.col("component").alias("cd"))
-        cross = (edges.join(cs, edges["src"] == cs["_s"]).join(cd, edges["dst"] == cd["_d"])
-                      .filter(F.col("cs") != F.col("cd")))
-        e = F.struct("dist", "src", "dst", "cs", "cd")
-        best = (cross.select(F.col("cs").alias("c"), e.alias("e"))
-                     .unionByName(cross.select(F.col("cd").alias("c"), e.alias("e")))
-                     .groupBy("c").agg(F.min("e").alias("e"))
-                     .select("e.dist", "e.src", "e.dst", "e.cs", "e.cd").distinct())
-        best = cut_lineage(best)
-        if best.limit(1).count() == 0:
-            break
-        picked = best.select("dist", "src", "dst")
-        forest = picked if forest is None else cut_lineage(forest.unionByName(picked))
-        # contract: components of the (small, shrinking) graph of merged components
-        cverts = comp.select(F.col("component").alias("id")).distinct()
-        merged = connected_components(cverts, best.select(F.col("cs").alias("src"), F.col("cd").alias("dst")), "id")
-        comp = cut_lineage(comp.join(merged.select(F.col("id").alias("component"), F.col("component").alias("nc")),
-                                     "component").select("id", F.col("nc").alias("component")))
-    n_comp = comp.select("component").distinct().count()
-    finite = (forest.filter(F.col("dist") > 0).select(F.lit(0).alias("dim"), F.lit(0.0).alias("birth"),
-                                                      F.col("dist").alias("death"))
-              if forest is not None else spark.createDataFrame([], "dim int, birth double, death double"))
-    inf = spark.range(n_comp).select(F.lit(0).alias("dim"), F.lit(0.0).alias("birth"),
-                                     F.lit(float("inf")).alias("death"))
-    return finite.unionByName(inf)
-
-
-# V3 ------------------------------------------------------------------------------------
-def rips_h1(points: np.ndarray, thresh: float = math.inf) -> list[tuple[float, float]]:
-    """H1 bars of the Vietoris-Rips filtration (Z/2 column reduction), small n."""
-    n = len(points)
-    D = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(-1))
-    edges = [(D[i, j], i, j) for i, j in itertools.combinations(range(n), 2) if D[i, j] <= thresh]
-    edges.sort()
-    eidx = {(i, j): k for k, (_, i, j) in enumerate(edges)}
-    # H0 pass: union-find marks negative (MST) edges
-    parent = list(range(n))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    positive = []
-    for k, (_, i, j) in enumerate(edges):
-        ri, rj = find(i), find(j)
-        if ri != rj:
-            parent[ri] = rj
-        else:
-            positive.append(k)
-    tris = []
-    for i, j, l in itertools.combinations(range(n), 3):
-        a, b, c = (i, j), (i, l), (j, l)
-        if a in eidx and b in eidx and c in eidx:
-            ks = (eidx[a], eidx[b], eidx[c])
-            tris.append((max(edges[k][0] for k in ks), max(ks), ks))
-    tris.sort()
-    pivot_of = {}
-    bars = []
-    for f, _, ks in tris:
-        col = set(ks)
-        while col:
-            low = max(col)
-            if low in pivot_of:
-                col ^= pivot_of[low]
-            else:
-                pivot_of[low] = col
-                birth = edges[low][0]
-                if f > birth:
-                    bars.append((float(birth), float(f)))
-                break
-    for k in positive:
-        if k not in pivot_of:
-            bars.append((float(edges[k][0]), math.inf))
-    return bars
-
-
-def persistence_h1_replicates(df: DataFrame, id_col: str, label_col: str, n_points: int = 60,
-                              replicates: int = 16, seed: int = 42, features: str = "features",
-                              thresh: float = math.inf) -> DataFrame:
-    """H1 bars pooled over many small stratified subsamples, solved in parallel.
-
-    Each replicate takes the n_points rows with the smallest
-    xxhash64(id, seed + r) inside each label stratum in proportion to the
-    label share (a bounded top-n per group, WindowGroupLimit), then one
-    ``applyInPandas`` group per replicate reduces its Rips complex. An
-    estimate of the H1 of the whole set, stated as such.
-    """
-    import pandas as pd
-    total = df.count()
-    pos = df.filter(F.col(label_col).cast("int") == 1).count()
-    q_pos = int(round(n_points * pos / total)) if total else 0
-    q_neg = n_points - q_pos
-    cand = df.select(id_col, label_col, features).withColumn(
-        "rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    order = [F.xxhash64(F.col(id_col), F.col("rep") + seed), F.col(id_col)]
-    w = Window.partitionBy("rep").orderBy(*order)
-    lab = F.col(label_col).cast("int")
-    # literal top-n per replicate: Spark runs it as a partial WindowGroupLimit
-    # before the shuffle, so a replicate never gathers the whole stratum
-    picked = (cand.filter(lab == 1).withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= q_pos)
-              .unionByName(cand.filter(lab != 1).withColumn("_rk", F.row_number().over(w))
-                           .filter(F.col("_rk") <= q_neg)))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.array(pdf[features].tolist(), dtype=float)
-        bars = rips_h1(X, thresh) if len(X) > 2 else []
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])] * len(bars), "dim": [1] * len(bars),
-                             "birth": [b for b, _ in bars], "death": [d for _, d in bars]})
-
-    return picked.groupBy("rep").applyInPandas(solve, "rep int, dim int, birth double, death double")
-
-
 # V4 ------------------------------------------------------------------------------------
 def top_bars(diagram: DataFrame, k: int = 5) -> DataFrame:
     """Longest finite bars by death - birth (infinite ones kept apart)."""
     fin = diagram.filter(~F.isnan("death") & (F.col("death") != float("inf")))
     return (fin.withColumn("length", F.col("death") - F.col("birth"))
                .orderBy(F.col("length").desc(), F.col("dim"), F.col("birth")).limit(k))
-
-
-def bar_counts(diagram: DataFrame) -> DataFrame:
-    inf = F.col("death") == float("inf")
-    return diagram.groupBy("dim").agg(F.count(F.lit(1)).alias("n_bars"), F.count_if(inf).alias("n_infinite"))

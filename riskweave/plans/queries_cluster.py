@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import cluster as K
 from riskweave.operators import features as FE
+from riskweave.operators import hierarchy as H
 from riskweave.operators import neighbors as N
 from riskweave.operators import quality as Q
 from riskweave.plans import oracle as O
@@ -268,16 +269,23 @@ def q_elbow_choice(spark, sf):
     return K.elbow_choice(K.elbow(lowd(spark, sf), "id", range(2, 31), n_init=10))
 
 
+def _customer_tree(spark, sf):
+    return H.ward_tree(lowd(spark, sf), "id")
+
+
 @register("ward")
 def q_ward(spark, sf):
-    assign, _ = K.ward(lowd(spark, sf), "id", 5, micro_k=60)
-    return assign
+    return _customer_tree(spark, sf).labels(5)
 
 
 @register("merge_tree")
 def q_merge_tree(spark, sf):
-    _, merges = K.ward(lowd(spark, sf), "id", 5, micro_k=60)
-    return merges
+    return _customer_tree(spark, sf).merges.drop("equal_rows")
+
+
+@register("cut_height")
+def q_cut_height(spark, sf):
+    return _customer_tree(spark, sf).cut_height(5)
 
 
 @register("pca")

@@ -137,8 +137,8 @@ def q_value_counts(spark, sf):
     "SELECT " + ", ".join(f"round(median(CAST({c} AS DOUBLE)), 6) AS {c}" for c in O.NUMERIC6) + " FROM crc",
     O.clean_cte()))
 def q_column_median(spark, sf):
-    df = customers_clean(spark, sf)
-    return df.agg(*[F.round(F.median(F.col(c).cast("double")), R).alias(c) for c in FE.NUMERIC_FEATURES])
+    med = FE.column_medians(customers_clean(spark, sf), FE.NUMERIC_FEATURES)
+    return spark.range(1).select(*[F.round(F.lit(med[c]).cast("double"), R).alias(c) for c in FE.NUMERIC_FEATURES])
 
 
 # the presets in long form (imputed, unscaled).
@@ -177,9 +177,11 @@ def q_feature_set(spark, sf):
     return _preset(spark, sf, "cluster")
 
 
-@register("feature_set_mapper", O.with_risk(
-    " UNION ALL ".join(_filled("imp_src", _IMP_COLS) + [_PROV_ROWS, _CNAE_ROWS]),
-    ",".join([O.clean_cte(), _PROV, _CNAE, _IMP_SRC])))
+MAPPER_SQL = " UNION ALL ".join(_filled("imp_src", _IMP_COLS) + [_PROV_ROWS, _CNAE_ROWS])
+MAPPER_CTES = ",".join([O.clean_cte(), _PROV, _CNAE, _IMP_SRC])
+
+
+@register("feature_set_mapper", O.with_risk(MAPPER_SQL, MAPPER_CTES))
 def q_feature_set_mapper(spark, sf):
     return _preset(spark, sf, "mapper")
 

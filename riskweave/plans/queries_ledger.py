@@ -73,7 +73,7 @@ def q_latest_attributes(spark, sf):
 SELECT cif_nif_raw, tipo_persona, id_rating_request, id_evaluacion, fecha_evaluacion, codigo_cnae,
        fecha_constitucion FROM tb_rating_chain"""))
 def q_snowflake_join(spark, sf):
-    return T.snowflake_join(T.rating_tables(spark, sf)).select(
+    return T.rating_chain(T.rating_tables(spark, sf)).select(
         "cif_nif_raw", "tipo_persona", "id_rating_request", "id_evaluacion", "fecha_evaluacion",
         "codigo_cnae", "fecha_constitucion")
 

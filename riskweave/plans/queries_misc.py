@@ -8,6 +8,7 @@ from riskweave.functions import exprs as X
 from riskweave.operators import dedupe as D
 from riskweave.operators import features as FE
 from riskweave.operators import ledger as L
+from riskweave.operators import topology as TP
 from riskweave.plans import oracle as O
 from riskweave.plans import queries_topology as QT
 from riskweave.plans import testbed as T
@@ -132,7 +133,5 @@ def q_uniform_sample(spark, sf):
     "SELECT node_id, size, round(tasa, 6) AS tasa FROM nodes ORDER BY tasa DESC, size DESC, node_id LIMIT 10",
     QT._LENS_CTES + "," + QT._NODES))
 def q_top_nodes(spark, sf):
-    """The ten riskiest Mapper nodes (rate, then size, then id)."""
     _, nodes, _ = QT._graph(spark, sf)
-    return (nodes.orderBy(F.col("tasa").desc(), F.col("size").desc(), F.col("node_id")).limit(10)
-                 .select("node_id", "size", F.round("tasa", 6).alias("tasa")))
+    return TP.top_nodes(nodes).select("node_id", "size", F.round("tasa", 6).alias("tasa"))

@@ -12,6 +12,7 @@ from riskweave.plans import oracle as O
 from riskweave.plans import testbed as T
 from riskweave.plans.catalog import register
 from riskweave.plans.queries_cluster import LOWD_EPS, LOWD_MIN, lowd
+from riskweave.session import cut_lineage
 from riskweave.sources.io import read_split_layout
 from riskweave.streaming import alerts as AL
 
@@ -107,31 +108,92 @@ def q_projected_centroids(spark, sf):
     return RP.projected_centroids(proj, "label")
 
 
-def _method_metrics(spark, sf):
-    from riskweave.operators import quality as Q
-    d = lowd(spark, sf)
-    out = {}
+METHODS = ["dbscan", "hierarchical", "kmeans", "mapper"]
+
+
+def _four_methods(spark, sf):
+    """Metrics of K-Means, DBSCAN, Ward (five clusters) and Mapper on one copy of the customers."""
+    from riskweave.operators import hierarchy as H
+    from riskweave.plans.queries_topology import mapper_members
+    d = cut_lineage(lowd(spark, sf))
     km, _, _ = K.kmeans(d, "id", 10, n_init=10)
-    db = K.dbscan(d, "id", LOWD_EPS, LOWD_MIN)
-    for name, lab, noise in (("kmeans", km.withColumn("cluster", F.col("cluster").cast("string")), None),
-                             ("dbscan", db.select("id", "cluster"), "-1")):
-        j = lab.join(d, "id")
-        m = {}
-        m.update(Q.silhouette(j, "cluster", noise=noise).first().asDict())
-        m.update(Q.davies_bouldin(j, "cluster", noise=noise).first().asDict())
-        m.update(Q.calinski_harabasz(j, "cluster", noise=noise).first().asDict())
-        m.update(RP.cluster_as_classifier(j, "cluster", "label", 0.5, noise=noise).first().asDict())
-        m["n_clusters"] = j.filter(F.col("cluster") != F.lit(noise or "__")).select("cluster").distinct().count()
-        out[name] = {k: v for k, v in m.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
-    return out
+    db = K.dbscan(d, "id", LOWD_EPS, LOWD_MIN).select("id", "cluster")
+    ward = H.ward_tree(d, "id").labels(5)
+    nodes = mapper_members(d).select("id", "node_id")
+    stacked = cut_lineage(RP.stack_labelings({"kmeans": km, "dbscan": db, "hierarchical": ward, "mapper": nodes}, {"dbscan": "-1"}))
+    return d, cut_lineage(RP.predictive_metrics(stacked, d, "label")
+                          .unionByName(RP.quality_metrics(stacked, d, ["dbscan", "hierarchical", "kmeans"])))
 
 
 @register("method_comparison")
 def q_method_comparison(spark, sf):
-    return RP.method_comparison(_method_metrics(spark, sf))
+    return RP.method_comparison(_four_methods(spark, sf)[1], METHODS)
 
 
 @register("executive_summary")
 def q_executive_summary(spark, sf):
-    comp = RP.method_comparison(_method_metrics(spark, sf))
-    return RP.executive_summary(RP.label_balance(lowd(spark, sf), "label"), comp, ["dbscan", "kmeans"])
+    d, metrics = _four_methods(spark, sf)
+    return RP.executive_summary(RP.label_balance(d, "label"), metrics)
+
+
+# The same tables for labelings that SQL can make: DBSCAN, the letter of the id, and a cover of
+# the first feature by overlapping unit intervals.
+def _fixed_methods(spark, sf):
+    d = cut_lineage(lowd(spark, sf))
+    x = F.col("features")[0]
+    cover = d.select("id", F.explode(F.array(F.concat(F.lit("a"), F.floor(x)), F.concat(F.lit("b"), F.floor(x + 0.5)))).alias("node"))
+    stacked = cut_lineage(RP.stack_labelings({
+        "dbscan": K.dbscan(d, "id", LOWD_EPS, LOWD_MIN).select("id", "cluster"),
+        "letter": d.select("id", F.substring("id", 1, 1)), "cover": cover}, {"dbscan": "-1"}))
+    return RP.predictive_metrics(stacked, d, "label").unionByName(RP.quality_metrics(stacked, d, ["dbscan", "letter"]))
+
+
+_FIXED_CTES = _DB_LOWD + f""",
+st AS (
+  SELECT 'dbscan' AS method, id, cluster AS grp FROM dres WHERE cluster <> '-1'
+  UNION ALL SELECT 'letter', id, substr(id, 1, 1) FROM lowd
+  UNION ALL SELECT 'cover', id, 'a' || CAST(CAST(floor(f[1]) AS BIGINT) AS VARCHAR) FROM lowd
+  UNION ALL SELECT 'cover', id, 'b' || CAST(CAST(floor(f[1] + 0.5) AS BIGINT) AS VARCHAR) FROM lowd),
+stl AS (SELECT method, st.id, grp, CAST(label AS INT) AS y, f FROM st JOIN lowd ON st.id = lowd.id),
+hits AS (SELECT method, grp, avg(y) > 0.5 AS hit FROM stl GROUP BY method, grp),
+per AS (SELECT method, id, max(hit::INT) AS hit, max(y) AS y, count(*) AS c FROM stl JOIN hits USING (method, grp) GROUP BY method, id),
+tot AS (SELECT count(*) AS n, sum(label::INT) AS p FROM lowd),
+cnt AS (SELECT method, sum(hit * y) AS tp, sum(hit) AS said, count(*) AS inside, count(*) FILTER (c > 1) AS shared FROM per GROUP BY method),
+pr AS (SELECT *, CASE WHEN said > 0 THEN tp / said END AS prec, CASE WHEN p > 0 THEN tp / p END AS rec FROM cnt, tot),
+pq AS (SELECT method, grp, f, id FROM stl WHERE method <> 'cover'),
+pd AS (SELECT method, grp, p, avg(f[p]) AS m, count(*) AS n FROM pq, range(1, 7) r(p) GROUP BY method, grp, p),
+pc AS (SELECT method, grp, list(m ORDER BY p) AS c, max(n) AS n FROM pd GROUP BY method, grp),
+pg AS (SELECT method, list(m ORDER BY p) AS g FROM (SELECT method, p, avg(f[p]) AS m FROM pq, range(1, 7) r(p) GROUP BY method, p) GROUP BY method),
+sw AS (SELECT method, sum({O.d2_sql('pq.f', 'pc.c')}) AS ssw, count(*) AS n FROM pq JOIN pc USING (method, grp) GROUP BY method),
+sb AS (SELECT method, sum(n * {O.d2_sql('pc.c', 'pg.g')}) AS ssb, count(*) AS k FROM pc JOIN pg USING (method) GROUP BY method),
+ss AS (SELECT method, grp, c, avg(sqrt({O.d2_sql('pq.f', 'pc.c')})) AS s FROM pq JOIN pc USING (method, grp) GROUP BY method, grp, c),
+dbi AS (SELECT method, avg(r) AS v FROM (SELECT a.method, a.grp, max((a.s + b.s) / sqrt({O.d2_sql('a.c', 'b.c')})) AS r
+        FROM ss a JOIN ss b ON a.method = b.method AND a.grp <> b.grp GROUP BY 1, 2) GROUP BY method),
+sp AS (SELECT x.method, x.id, x.grp = y.grp AS same, y.grp, sum(sqrt({O.d2_sql('x.f', 'y.f')})) AS sm, count(*) AS c
+       FROM pq x JOIN pq y ON x.method = y.method GROUP BY ALL),
+sil AS (SELECT method, avg(CASE WHEN n_own <= 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS v FROM (
+          SELECT method, id, max(c) FILTER (same) AS n_own, max(sm) FILTER (same) / nullif(max(c) FILTER (same) - 1, 0) AS a,
+                 min(sm / c) FILTER (NOT same) AS b FROM sp GROUP BY method, id) GROUP BY method),
+lm AS (
+  SELECT method, unnest(['precision', 'recall', 'f1_score', 'n_groups', 'exclusive_groups', 'pct_overlap', 'pct_outliers']) AS metric,
+         unnest([prec, rec, 2 * prec * rec / nullif(prec + rec, 0), (SELECT count(*) FROM hits h WHERE h.method = pr.method),
+                 (shared = 0)::INT, 100 * shared / n, 100 * (n - inside) / n]::DOUBLE[]) AS value FROM pr
+  UNION ALL SELECT method, 'silhouette', v FROM sil UNION ALL SELECT method, 'davies_bouldin', v FROM dbi
+  UNION ALL SELECT method, 'calinski_harabasz', ssb / ssw * (n - k) / (k - 1) FROM sw JOIN sb USING (method))"""
+
+
+@register("method_comparison_fixed", O.with_risk("""
+SELECT metric, round(max(value) FILTER (method = 'dbscan'), 6) AS dbscan, round(max(value) FILTER (method = 'letter'), 6) AS letter,
+       round(max(value) FILTER (method = 'cover'), 6) AS cover FROM lm GROUP BY metric""", _FIXED_CTES))
+def q_method_comparison_fixed(spark, sf):
+    names = ["dbscan", "letter", "cover"]
+    return RP.method_comparison(_fixed_methods(spark, sf), names).select("metric", *[_r(n) for n in names])
+
+
+@register("executive_summary_fixed", O.with_risk("""
+SELECT CAST(n AS BIGINT) AS n_total, CAST(p AS BIGINT) AS n_morosos, round(100.0 * p / n, 6) AS pct_morosos, best_method, best_f1
+FROM tot, (SELECT arg_max(method, (value, method)) AS best_method, round(max(value), 6) AS best_f1 FROM lm
+           WHERE metric = 'f1_score' AND value IS NOT NULL)""", _FIXED_CTES))
+def q_executive_summary_fixed(spark, sf):
+    out = RP.executive_summary(RP.label_balance(lowd(spark, sf), "label"), _fixed_methods(spark, sf))
+    return out.select("n_total", "n_morosos", _r("pct_morosos"), "best_method", _r("best_f1"))

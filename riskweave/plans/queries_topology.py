@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskweave.operators import features as FE
+from riskweave.operators import forest as FO
+from riskweave.operators import neighbors as N
 from riskweave.operators import topology as TP
 from riskweave.plans import oracle as O
+from riskweave.plans import queries_features as QF
 from riskweave.plans.catalog import register
 from riskweave.plans.queries_cluster import EMB_EPS, emb, lowd
+from riskweave.session import cut_lineage
 
 # Raw-axis lens: the first two z-scored columns (open balance, invoice count).
 N_CUBES, OVERLAP, M_EPS, M_MIN = 10, 0.3, 0.5, 5
@@ -24,19 +29,20 @@ _NODES = ("nodes AS (SELECT m.node_id, CAST(count(*) AS BIGINT) AS size, avg(CAS
 
 
 def _lens(spark, sf):
-    d = lowd(spark, sf)
+    d = cut_lineage(lowd(spark, sf))
     return d.select("id", "label", "features", F.col("features")[0].alias("l0"), F.col("features")[1].alias("l1"))
 
 
-def _members(spark, sf):
-    return TP.mapper(_lens(spark, sf), "id", ["l0", "l1"], N_CUBES, OVERLAP, M_EPS, M_MIN)
+def _members(spark, sf, lens=None):
+    return TP.mapper(_lens(spark, sf) if lens is None else lens, "id", ["l0", "l1"], N_CUBES, OVERLAP, M_EPS, M_MIN)
 
 
 def _graph(spark, sf):
-    mem = _members(spark, sf)
-    labels = lowd(spark, sf).select("id", "label")
-    nodes = TP.node_rates(mem, labels, "id", "label")
-    return mem, nodes, TP.nerve(mem, "id")
+    """(members, nodes, edges), each written once; the customers are built once."""
+    lens = _lens(spark, sf)
+    mem = cut_lineage(_members(spark, sf, lens))
+    nodes = cut_lineage(TP.node_rates(mem, lens.select("id", "label"), "id", "label"))
+    return mem, nodes, cut_lineage(TP.nerve(mem, "id"))
 
 
 def _r(c, n=6):
@@ -154,19 +160,38 @@ def q_distance_percentile(spark, sf):
     return TP.distance_percentile(sample, "id", 0.5).select(_r("distance"))
 
 
+def _bars(spark, sf):
+    """H0 of the embeddings up to the median distance of V1's sample."""
+    from riskweave.operators.dedupe import uniform_sample
+    e = cut_lineage(emb(spark, sf))
+    thresh = TP.distance_percentile(uniform_sample(e, "id", _DP_N, _DP_SEED), "id", 0.5).first()["distance"]
+    return FO.persistence_h0(e, "id", thresh)
+
+
 @register("persistence_h0")
 def q_persistence_h0(spark, sf):
-    return TP.persistence_h0(emb(spark, sf), "id", EMB_EPS)
+    return _bars(spark, sf)
 
 
-@register("persistence_h1_replicates")
-def q_persistence_h1(spark, sf):
-    return TP.persistence_h1_replicates(lowd(spark, sf), "id", "label", n_points=40, replicates=8)
+EULER_AT = [0.9, 1.0, 1.1, EMB_EPS]
+
+
+@register("euler_curve", O.with_testbed(f"""
+SELECT t AS threshold, (SELECT count(*) FROM emb) AS n_vertices, CAST(e AS BIGINT) AS n_edges, CAST(r AS BIGINT) AS n_triangles,
+       CAST((SELECT count(*) FROM emb) - e + r AS BIGINT) AS euler
+FROM (SELECT t, (SELECT count(*) FROM ep WHERE d <= t) AS e, (SELECT count(*) FROM tri WHERE d <= t) AS r
+      FROM (SELECT unnest({EULER_AT}::DOUBLE[]) AS t))""", O.EMB_CTE + f""",
+ep AS MATERIALIZED (SELECT a.id AS p, b.id AS q, sqrt({O.d2_sql('a.f', 'b.f')}) AS d FROM emb a JOIN emb b ON a.id < b.id
+       WHERE {O.d2_sql('a.f', 'b.f')} <= {EMB_EPS} * {EMB_EPS}),
+tri AS MATERIALIZED (SELECT greatest(x.d, y.d, z.d) AS d FROM ep x JOIN ep y ON x.q = y.p JOIN ep z ON z.p = x.p AND z.q = y.q)"""))
+def q_euler_curve(spark, sf):
+    e = cut_lineage(emb(spark, sf))
+    return FO.euler_curve(e, N.eps_join(e, "id", EMB_EPS), EULER_AT)
 
 
 @register("top_bars")
 def q_top_bars(spark, sf):
-    return TP.top_bars(TP.persistence_h0(emb(spark, sf), "id", EMB_EPS), 5)
+    return TP.top_bars(_bars(spark, sf), 5)
 
 
 @register("mapper_sensitivity")
@@ -199,3 +224,69 @@ def q_mapper_control(spark, sf):
     z = FE.assemble(z, keep).select(F.col("cif_nif").alias("id"), "features")
     lens = z.select("id", "features", F.col("features")[0].alias("l0"), F.col("features")[1].alias("l1"))
     return TP.mapper(lens, "id", ["l0", "l1"], N_CUBES, OVERLAP, M_EPS, M_MIN)
+
+
+# Mapper as the reference runs it: PCA lens of two components, 15 cubes an axis, 30 % overlap.
+PCA_CUBES = 15
+
+
+def mapper_members(d, **how):
+    """Mapper members of (id, features) with the PCA lens, its values rounded to 6 places."""
+    proj, _, _ = TP.pca_project(d.select("id", "features"), 2)
+    lens = cut_lineage(proj.select("id", "features", F.round(F.col("pc")[0], 6).alias("l0"), F.round(F.col("pc")[1], 6).alias("l1")))
+    return TP.mapper(lens, "id", ["l0", "l1"], PCA_CUBES, OVERLAP, M_EPS, M_MIN, **how)
+
+
+def _pca_ctes(src: str) -> str:
+    """Two principal axes in SQL: the covariance matrix squared (and scaled) forty times is the
+    projector on its first axis; take that axis out and do the same for the second."""
+    def axis(k, mat):
+        return f"""
+pw{k}(step, m) AS (SELECT 0, m FROM {mat} UNION ALL
+  SELECT step + 1, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q)
+         / list_sum(list_transform(m, lambda t: list_dot_product(t, t))))) FROM pw{k} WHERE step < 40),
+dg{k} AS (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM pw{k} WHERE step = 40),
+ax{k} AS (SELECT list_transform(m[list_position(d, list_max(d))], lambda v: v / sqrt(list_max(d))) AS v FROM dg{k})"""
+    return f"""
+ix AS (SELECT unnest(range(1, (SELECT max(len(f)) FROM {src}) + 1)) AS i),
+cv AS (SELECT i, list(c ORDER BY j) AS r FROM (
+         SELECT a.i AS i, b.i AS j, covar_samp(f[a.i], f[b.i]) AS c FROM {src}, ix a, ix b GROUP BY a.i, b.i) GROUP BY i),
+c1 AS (SELECT list(r ORDER BY i) AS m FROM cv),{axis(1, 'c1')},
+ev AS (SELECT list_sum(list_transform(range(1, len(m) + 1), lambda i: v[i] * list_dot_product(m[i], v))) AS l FROM c1, ax1),
+c2 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * v[i] * v[j])) AS m
+       FROM c1, ax1, ev),{axis(2, 'c2')},
+lzp AS (SELECT id, f, round(list_dot_product(f, ax1.v), 6) AS l0, round(list_dot_product(f, ax2.v), 6) AS l1 FROM {src}, ax1, ax2),
+""" + O.cover_sql("lzp", ["l0", "l1"], PCA_CUBES, OVERLAP) + """
+, mp AS (SELECT cov.cube AS g, lzp.id, lzp.f FROM cov JOIN lzp ON cov.id = lzp.id), """ + O.dbscan_grouped_sql("mp", M_EPS, M_MIN).strip()
+
+
+@register("mapper_pca", O.with_risk("SELECT node_id, cube, id FROM members", O.LOWD_CTE + "," + _pca_ctes("lowd")))
+def q_mapper_pca(spark, sf):
+    return mapper_members(cut_lineage(lowd(spark, sf)))
+
+
+def _preset_matrix(spark, sf, without_label: bool = False):
+    """The 'mapper' preset, z-scored, rounded to 6 places, features in name order."""
+    fs, names = FE.feature_set(QF.customers_clean(spark, sf), "mapper", exclude_label_features=without_label)
+    z = QF._round(FE.zscore(QF._round(fs, names), names), names)
+    return cut_lineage(FE.assemble(z, sorted(names)).select(F.col("cif_nif").alias("id"), "features"))
+
+
+def _matrix_ctes(without_label: bool = False) -> str:
+    keep = " WHERE feature NOT IN (" + ", ".join(f"'{c}'" for c in FE.LABEL_DERIVED) + ")" if without_label else ""
+    return QF.MAPPER_CTES + f""",
+fsm AS MATERIALIZED (SELECT * FROM ({QF.MAPPER_SQL}){keep}),
+fsm_stats AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM fsm GROUP BY feature),
+fmm AS MATERIALIZED (SELECT cif_nif AS id, list(round((value - m) / if(s = 0, 1.0, s), 6) ORDER BY feature) AS f
+         FROM fsm JOIN fsm_stats USING (feature) GROUP BY cif_nif),""" + _pca_ctes("fmm")
+
+
+@register("mapper_matrix", O.with_risk("SELECT node_id, cube, id FROM members", _matrix_ctes()))
+def q_mapper_matrix(spark, sf):
+    return mapper_members(_preset_matrix(spark, sf))
+
+
+@register("mapper_matrix_control", O.with_risk("SELECT node_id, cube, id FROM members", _matrix_ctes(True)))
+def q_mapper_matrix_control(spark, sf):
+    """T8 on the preset: the same graph without the label-derived columns."""
+    return mapper_members(_preset_matrix(spark, sf, True))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators import ledger as L
+from riskweave.operators.joins import lookup_join, snowflake_join
 
 REPORT_DATE = "2001-09-30"
 SOURCE_PRIORITY = {"A": 1, "B": 2, "C": 3}
@@ -128,11 +129,6 @@ def crm_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_join(acc, n, "sector_id")
 
 
-def lookup_join(left: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Left join to a code table (AQE broadcasts it when measured small)."""
-    return left.join(dim, key, "left")
-
-
 def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.crm_latest(crm_accounts(spark, sf_dir), "document_number", "last_modified", "event_id",
                         "sector_name", "incorporation_date")
@@ -160,20 +156,14 @@ def rating_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"client": client, "request": request, "evaluation": evaluation, "link": link, "statement": statement}
 
 
-def snowflake_join(t: dict[str, DataFrame]) -> DataFrame:
-    """Client -> request -> evaluation -> link -> statement, all left joins.
-
-    Each join keys on the previous table's own column, so a missing
-    evaluation leaves the rest of the chain null (as in the warehouse).
-    """
-    return (t["client"].join(t["request"], "id_cliente", "left")
-            .join(t["evaluation"], F.col("req_evaluacion") == F.col("id_evaluacion"), "left")
-            .join(t["link"], F.col("id_evaluacion") == F.col("link_evaluacion"), "left")
-            .join(t["statement"], F.col("id_eeff") == F.col("st_eeff"), "left"))
+def rating_chain(t: dict[str, DataFrame]) -> DataFrame:
+    """client -> request -> evaluation -> link -> statement."""
+    return snowflake_join(t["client"], [(t["request"], "id_cliente", "id_cliente"), (t["evaluation"], "req_evaluacion", "id_evaluacion"),
+                                        (t["link"], "id_evaluacion", "link_evaluacion"), (t["statement"], "id_eeff", "st_eeff")])
 
 
 def rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.rating_latest(snowflake_join(rating_tables(spark, sf_dir)))
+    return L.rating_latest(rating_chain(rating_tables(spark, sf_dir)))
 
 
 def customer_risk(spark: SparkSession, sf_dir: str) -> DataFrame:

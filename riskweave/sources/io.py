@@ -92,10 +92,11 @@ def read_metrics_json(spark: SparkSession, path: str, schema: T.StructType | Non
 
 
 # S6 ---------------------------------------------------------------------------------
+# The four column headers of the export.
 def node_members_export(members: DataFrame, nodes: DataFrame, path: str, id_col: str = "id") -> None:
     """CSV per node: node, id, node delinquency rate (%), node size."""
     out = (members.join(nodes.select("node_id", "size", "tasa"), "node_id")
                   .select(F.col("node_id").alias("Nodo"), F.col(id_col).alias("CIF/NIF"),
                           F.round(F.col("tasa") * 100, 2).alias("Tasa Morosidad del Nodo (%)"),
-                          F.col("size").alias("N Clientes en Nodo"), F.col("node_id").alias("node_part")))
+                          F.col("size").alias("N° Clientes en Nodo"), F.col("node_id").alias("node_part")))
     out.write.mode("overwrite").partitionBy("node_part").option("header", "true").csv(path)

@@ -5,7 +5,9 @@ statistics, DBSCAN core points with their cluster and the cluster's
 delinquency rate. A new customer takes the cluster of its nearest core
 point within eps (ties -> least core id) - an equi-join on grid cells of
 the principal axes with an exact distance check, so the core set is never
-shipped whole to a task - and gets a level: rate > 50 % high, 10-50 %
+shipped whole to a task; a cell of many cores is split into buckets that
+every probe visits, and a cell of many probes takes as many copies of its
+cores - and gets a level: rate > 50 % high, 10-50 %
 medium (both ends inclusive), < 10 % low, no core point within eps ->
 review (outlier).
 
@@ -23,7 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.neighbors import dot, principal_axes, sq_dist
+from riskweave.operators.neighbors import dot, principal_axes, spread_join, sq_dist
+
+MAX_CELL, MAX_PROBES = 4096, 65_536       # cores of a bucket, probes of a share
 
 # Level boundaries and the commercial action per level.
 HIGH_RATE, LOW_RATE = 0.5, 0.1
@@ -37,16 +41,17 @@ class AlertModel:
     columns: list          # feature order
     eps: float
     axes: np.ndarray       # projection for the grid (k x d)
-    cores: DataFrame       # (core_id, features, cluster, tasa) with _cell
+    cores: DataFrame       # (core_id, features, cluster, tasa) with _cell and its bucket _b
+    cells: DataFrame       # (_cell, _nb): number of buckets of every cell
 
 
 def fit_alert_model(df: DataFrame, id_col: str, label_col: str, columns: list | None, eps: float,
-                    min_samples: int, axes: int = 2) -> AlertModel:
+                    min_samples: int, axes: int = 2, max_cell: int = MAX_CELL) -> AlertModel:
     """Fit on raw columns (z-scored here), or - with ``columns=None`` - on a
     DataFrame that already carries the ``features`` array."""
     from riskweave.operators import features as FE
     from riskweave.operators.cluster import dbscan
-    from riskweave.session import cut_lineage
+    from riskweave.session import cut_lineage, drop_scratch
     if columns is None:
         stats, z = {}, df.select(id_col, label_col, "features")
     else:
@@ -63,7 +68,13 @@ def fit_alert_model(df: DataFrame, id_col: str, label_col: str, columns: list |
     cores = (lab.filter("is_core").join(rates, "cluster")
                 .groupBy("features").agg(F.min(F.struct(F.col(id_col).alias("core_id"), "cluster", "tasa")).alias("_c"))
                 .select("_c.core_id", "features", "_c.cluster", "_c.tasa", cells.alias("_cell")))
-    return AlertModel(stats, list(columns) if columns else None, float(eps), A, cut_lineage(cores))
+    cores = cut_lineage(cores)
+    buckets = cut_lineage(cores.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(max_cell)).cast("int").alias("_nb")))
+    own = F.pmod(F.xxhash64("core_id"), F.col("_nb")).cast("int").alias("_b")
+    dealt = cut_lineage(spread_join(cores, buckets, ["_cell"], "core_id").select(
+        "core_id", "features", "cluster", "tasa", "_cell", own))
+    drop_scratch(cores)
+    return AlertModel(stats, list(columns) if columns else None, float(eps), A, dealt, buckets)
 
 
 def level(rate) -> F.Column:
@@ -87,12 +98,20 @@ def risk_alerts(new: DataFrame, model: AlertModel, id_col: str) -> DataFrame:
     # score each distinct vector once; rows join back on the vector
     uniq = z.select("features").distinct()
     probe = uniq.select(F.col("features").alias("_f"),
-                        F.explode(F.transform(offs, lambda off: F.zip_with(cells, off, lambda x, y: x + y))).alias("_pc"))
-    cand = probe.join(model.cores, probe["_pc"] == model.cores["_cell"])
+                        F.explode(F.transform(offs, lambda off: F.zip_with(cells, off, lambda x, y: x + y))).alias("_cell"))
+    # both sides of a hot cell are split: its cores into _nb buckets, its probes into _np shares
+    shares = (probe.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(MAX_PROBES)).cast("int").alias("_np"))
+              .join(model.cells, "_cell"))
+    probe = (spread_join(probe, shares, ["_cell"], "_f")
+             .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+             .withColumn("_p", F.pmod(F.xxhash64("_f", F.lit(3)), F.col("_np")).cast("int")).drop("_nb", "_np"))
+    cores = (spread_join(model.cores, shares.select("_cell", "_np"), ["_cell"], "core_id")
+             .withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_np") - 1))).drop("_np"))
+    cand = probe.join(cores, ["_cell", "_b", "_p"])
     d2 = sq_dist(F.col("_f"), F.col("features"), dim)
     near = (cand.withColumn("_d2", d2).filter(F.col("_d2") <= F.lit(model.eps * model.eps))
                 .groupBy("_f").agg(F.min(F.struct("_d2", "core_id", "cluster", "tasa")).alias("_b")))
-    out = z.join(near, z["features"] == near["_f"], "left")
+    out = spread_join(z, near.withColumnRenamed("_f", "features"), ["features"], id_col, "left")
     rate = F.col("_b.tasa")
     acts = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])
     return out.select(id_col, F.col("_b.cluster").alias("cluster"), rate.alias("tasa"),

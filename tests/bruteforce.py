@@ -85,22 +85,32 @@ def silhouette(X, lab):
     return float(np.mean(s))
 
 
-def ward_naive(C, W):
-    """Naive Ward with explicit cluster member lists (cost from the definition)."""
-    clusters = {i: [i] for i in range(len(C))}
-    w = {i: W[i] for i in range(len(C))}
-    nxt, heights = len(C), []
-    while len(clusters) > 1:
-        best = None
-        for a, b in itertools.combinations(sorted(clusters), 2):
-            ma = sum(W[i] * C[i] for i in clusters[a]) / w[a]
-            mb = sum(W[i] * C[i] for i in clusters[b]) / w[b]
-            c = np.sqrt(2 * w[a] * w[b] / (w[a] + w[b])) * np.linalg.norm(ma - mb)
-            if best is None or c < best[0] - 1e-12:
-                best = (c, a, b)
-        c, a, b = best
-        clusters[nxt] = clusters.pop(a) + clusters.pop(b)
-        w[nxt] = w[a] + w[b]
-        nxt += 1
-        heights.append(c)
-    return heights
+def ward_greedy(X):
+    """The first pair by (cost rounded to 9 places, lower id, higher id) joins, again and again; the
+    joined cluster keeps the lower id. Returns (a, b, height, rows) per merge."""
+    n, mean = np.ones(len(X)), np.array(X, dtype=float)
+    alive = np.ones(len(X), dtype=bool)
+    cost = np.full((len(X), len(X)), np.inf)
+    upper = np.triu_indices(len(X), 1)
+
+    def price(i, js):
+        d = np.sqrt(((mean[js] - mean[i]) ** 2).sum(1))
+        return np.round(np.sqrt(2 * n[i] * n[js] / (n[i] + n[js])) * d, 9)
+    for i in range(len(X) - 1):
+        cost[i, i + 1:] = price(i, np.arange(i + 1, len(X)))
+    out = []
+    for _ in range(len(X) - 1):
+        k = int(np.argmin(cost[upper]))                    # row-major: the lower ids come first
+        a, b = int(upper[0][k]), int(upper[1][k])
+        h = float(cost[a, b])
+        mean[a] = (n[a] * mean[a] + n[b] * mean[b]) / (n[a] + n[b])
+        n[a] += n[b]
+        alive[b] = False
+        cost[b, :] = cost[:, b] = np.inf
+        js = np.flatnonzero(alive)
+        js = js[js != a]
+        c = price(a, js)
+        cost[np.minimum(a, js), np.maximum(a, js)] = c
+        out.append((a, b, h, int(n[a])))
+    return out
+

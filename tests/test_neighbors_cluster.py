@@ -8,7 +8,7 @@ from riskweave.operators import cluster as K
 from riskweave.operators import neighbors as N
 from riskweave.operators import quality as Q
 
-from bruteforce import components, dbscan, pairs_within, silhouette, ward_naive
+from bruteforce import components, dbscan, pairs_within, silhouette
 
 
 def _points(spark, X, labels=None):
@@ -95,14 +95,6 @@ def test_kmeans_deterministic_and_partition_free(spark):
     assert sorted(r.cluster for r in a.collect()) == sorted(r.cluster for r in b.collect())
 
 
-def test_ward_linkage_equals_naive():
-    rng = np.random.default_rng(7)
-    C = rng.normal(size=(25, 3))
-    W = rng.integers(1, 5, 25).astype(float)
-    got = [h for _, _, h, _ in K.ward_linkage(C, W)]
-    assert np.allclose(got, ward_naive(C, W))
-
-
 def test_nearest_labelled_ties_lowest_id(spark):
     pts = _points(spark, np.array([[0.0, 0.0], [2.0, 0.0]]))
     sample = spark.createDataFrame([(5, [1.0, 0.0], 50), (3, [-1.0, 0.0], 30)],

@@ -1,14 +1,10 @@
 """Cover, Mapper, persistence against brute force / known shapes."""
 
-import math
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from riskweave.operators import topology as TP
 
-from bruteforce import kruskal_deaths
-
 
 def _pts(spark, X):
     return spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, features array<double>")
@@ -27,25 +23,6 @@ def test_cover_matches_definition(spark):
     assert got == want
 
 
-def test_h0_equals_kruskal(spark):
-    rng = np.random.default_rng(1)
-    X = np.vstack([rng.normal(0, 0.4, (40, 2)), rng.normal(4, 0.4, (40, 2))])
-    diag = TP.persistence_h0(_pts(spark, X), "id", 1.0).collect()
-    fin = sorted(r.death for r in diag if r.death != float("inf"))
-    deaths, n_comp = kruskal_deaths(X, 1.0)
-    assert np.allclose(fin, deaths)
-    assert sum(1 for r in diag if r.death == float("inf")) == n_comp
-
-
-def test_h1_circle_and_square():
-    t = np.linspace(0, 2 * math.pi, 12, endpoint=False)
-    bars = TP.rips_h1(np.c_[np.cos(t), np.sin(t)])
-    long = [b for b in bars if b[1] - b[0] > 0.5]
-    assert len(long) == 1
-    sq = TP.rips_h1(np.array([[0, 0], [1, 0], [1, 1], [0, 1]], dtype=float))
-    assert len(sq) == 1 and abs(sq[0][0] - 1) < 1e-12 and abs(sq[0][1] - math.sqrt(2)) < 1e-12
-
-
 def test_mapper_two_blobs(spark):
     rng = np.random.default_rng(2)
     X = np.vstack([rng.normal(0, 0.2, (60, 2)), rng.normal(5, 0.2, (60, 2))])
