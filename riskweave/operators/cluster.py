@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators import blocks as B
-from riskweave.operators.neighbors import collapse, connected_components, spread_join, sq_dist
+from riskweave.operators.neighbors import collapse, components, spread_join, sq_dist
 from riskweave.session import cut_lineage, drop_scratch
 
 
@@ -91,7 +91,7 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
     cored = cut_lineage(blocks.join(core.select("blk", F.col("c.c").alias("core")), "blk"))
     found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean"))
     flags = cored.select(F.explode(F.arrays_zip("ids", "core")).alias("p")).select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"))
-    comp = connected_components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
+    comp = components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
     named = comp.join(points.select("pid", "uid"), "pid")
     label = named.groupBy("component").agg(F.min("uid").alias("label"))
     named = cut_lineage(spread_join(named.select("pid", "component"), label, ["component"], "pid").select("pid", "label"))

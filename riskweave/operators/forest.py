@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import blocks as B
-from riskweave.operators.neighbors import collapse, connected_components, spread_join
+from riskweave.operators.neighbors import collapse, components, spread_join
 from riskweave.session import cut_lineage, drop_scratch
 
 EDGE = "c long, d2 double, a long, b long, foreign long"
@@ -78,7 +78,7 @@ def spanning_forest(df: DataFrame, id_col: str, thresh: float, features: str = "
             drop_scratch(best)
             break
         taken.append(best)
-        merged = connected_components(comp.select(F.col("component").alias("v")).distinct(), best, "v", "c", "foreign")
+        merged = components(comp.select(F.col("component").alias("v")).distinct(), best, "v", "c", "foreign")
         names = merged.toDF("component", "into")
         after = cut_lineage(spread_join(comp, names, ["component"], "pid").select("pid", F.col("into").alias("component")))
         drop_scratch(comp, merged)

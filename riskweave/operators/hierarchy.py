@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators import blocks as B
-from riskweave.operators.neighbors import collapse, connected_components, spread_join
+from riskweave.operators.neighbors import collapse, components, spread_join
 from riskweave.operators.ranks import with_rank
 from riskweave.session import cut_lineage, drop_scratch
 
@@ -137,7 +137,7 @@ class WardTree:
         merges = self.merges.filter(done)
         leaves = self.members.select("uid").distinct()
         between = merges.filter("NOT equal_rows")
-        roots = connected_components(leaves.withColumnRenamed("uid", "id"), between, "id", "a", "b")
+        roots = components(leaves.withColumnRenamed("uid", "id"), between, "id", "a", "b")
         rows = spread_join(self.members, roots.select(F.col("id").alias("uid"), "component"), ["uid"], "id")
         # a row whose merge with its equals is not done yet stands alone
         alone = self.merges.filter(~done).filter("equal_rows").select(F.col("b").alias("id"), F.lit(True).alias("alone"))

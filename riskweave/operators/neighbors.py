@@ -264,6 +264,39 @@ def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Seque
     return points, members.select(*keys, id_col, "uid", "pid")
 
 
+SMALL_GRAPH = 1 << 17      # edges that one task may hold
+
+
+def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst",
+               small: int = SMALL_GRAPH) -> DataFrame:
+    """``connected_components``, without its rounds where the graph has at most ``small`` edges: then
+    one task labels them (the bound is on rows, so no larger graph ever meets in a task). The
+    labels are the same. ``edges`` is counted first, so pass a written table."""
+    import pandas as pd
+    simple = edges.schema[src].dataType.simpleString()
+    if simple not in ("bigint", "int", "string") or edges.limit(small + 1).count() > small:
+        return connected_components(vertices, edges, vertex, src, dst)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, code = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        a, b = code.reshape(-1, 2).T
+        least = np.arange(len(ids))                        # ids are sorted: the least code is the least id
+        while True:
+            low = np.minimum(least[a], least[b])
+            after = least.copy()
+            np.minimum.at(after, least[a], low)
+            np.minimum.at(after, least[b], low)
+            after = after[after]
+            if np.array_equal(after, least):
+                return pd.DataFrame({"v": ids, "component": ids[least]})
+            least = after
+
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    named = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(label, f"v {simple}, component {simple}")
+    verts = vertices.select(F.col(vertex).alias("v")).distinct()
+    return cut_lineage(verts.join(named, "v", "left").select(F.col("v").alias(vertex), F.coalesce("component", "v").alias("component")))
+
+
 def pack_blocks(df: DataFrame, id_col: str, label: str, features: str = "features", weight: str | None = None,
                 rows: int = 1024) -> DataFrame:
     """Points packed into blocks of at most ``rows`` rows, one row per block:

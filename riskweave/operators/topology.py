@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.cluster import dbscan
-from riskweave.operators.neighbors import connected_components
+from riskweave.operators.neighbors import components
 from riskweave.session import cut_lineage
 
 
@@ -131,7 +131,7 @@ def edge_rates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes, edges, components, isolated, share isolated, largest component,
     mean node size, nodes with rate > 0.5 / > 0.8, density 2m / (n (n-1))."""
-    comp = connected_components(nodes.select(F.col("node_id").alias("id")), edges, "id")
+    comp = components(nodes.select(F.col("node_id").alias("id")), edges, "id")
     deg = (edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v")))
                 .distinct())
     ns = nodes.agg(F.count(F.lit(1)).alias("n_nodos"), F.avg("size").alias("tam_medio"),

@@ -3,9 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from riskweave.operators import neighbors
+from riskweave.operators import neighbors as N
 
 
 def _components(edges, n):
@@ -61,3 +63,16 @@ def test_null_ends_are_ignored(spark):
     v = spark.createDataFrame([(1,), (2,), (3,), (3,)], "id long")
     got = {r["id"]: r["component"] for r in neighbors.connected_components(v, e).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_small_graphs_give_the_same_labels(spark):
+    rng = np.random.default_rng(9)
+    e = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(400, 480)]
+    v, edges = spark.range(500), spark.createDataFrame(e, "src long, dst long")
+    want = sorted(tuple(r) for r in N.connected_components(v, edges, "id").collect())
+    assert sorted(tuple(r) for r in N.components(v, edges, "id").collect()) == want
+    assert sorted(tuple(r) for r in N.components(v, edges, "id", small=10).collect()) == want
+    names = edges.selectExpr("cast(src as string) src", "cast(dst as string) dst")
+    text = v.selectExpr("cast(id as string) id")
+    assert sorted(map(tuple, N.components(text, names).collect())) == sorted(map(tuple, N.connected_components(text, names).collect()))
+    assert N.components(v, edges.filter("src < 0")).filter("id = component").count() == 500
