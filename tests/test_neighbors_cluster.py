@@ -191,4 +191,4 @@ def test_elbow_equals_kmeans_and_queries_try_the_whole_curve(spark, monkeypatch)
     QC.q_elbow_choice(spark, "")
     assert asked == [(list(range(2, 31)), 10)] * 2
     with pytest.raises(Asked, match="^10$"):
-        QR._method_metrics(spark, "")
+        QR._four_methods(spark, "")
