@@ -164,6 +164,7 @@ def business_day_before(d, n: int) -> Column:
 
 
 # P12 ------------------------------------------------------------------------
+# The Portuguese account names that make up each figure.
 PT_EQUITY_ACCOUNTS = [
     "capital_realizado", "acoes_propias", "outros_inst_cap_propio", "premios_emissao",
     "reservas_legais", "outras_reservas", "result_transitados", "resultado_liquido",

@@ -203,6 +203,7 @@ def mapper_sensitivity(df: DataFrame, id_col: str, label_df: DataFrame, label_co
 
 
 # T10 / T11 -----------------------------------------------------------------------------
+# The thresholds of the five rules.
 def interpret_profile(pd_mean=None, volume=None, asnef_debt=None, limit=None, rate_pct=None) -> Column:
     """Rule list of a node/cluster profile as an array of codes (display text is the UI's)."""
     rules = []

@@ -58,3 +58,17 @@ def test_oracle_sample(spark, duck, name):
     a = _canon(df.columns, [tuple(r) for r in df.collect()])
     b = _canon([d[0] for d in cur.description], cur.fetchall())
     assert a == b
+
+
+def test_rating_table_has_its_49_columns():
+    from riskweave.operators.rating import RATING_COLUMNS
+    want = """
+    id_evaluacion fecha_creacion ano_mes_creacion rating_id estado estado_detalle id_cliente last_request
+    grade_old pd_old pd_new cif_nif zona_geografica tipo_persona volumen id_tramo id_negocio volumen_maximo
+    precio limite_total_concedido limite_disponible_ge concurso burofax deuda_asnef asnef gastos_financieros
+    ing_explotacion result_antes_imp importe_neto total_pasivo fondos_propios fecha_balance fecha_constitucion
+    fecha_contratacion codigo_cnae result_antes_imp_pt fecha_balance_pt total_pasivo_pt fondos_propios_pt
+    fecha_constitucion_pt ing_explotacion_pt importe_neto_pt gastos_financieros_pt id_cliente_riesgo_vivo
+    riesgo_vivo_power riesgo_vivo_gas volumen_riesgo riesgo_vivo_power_falcon riesgo_vivo_eficiencia
+    """.split()
+    assert len(want) == 49 and list(RATING_COLUMNS) == want
