@@ -1,27 +1,33 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end
-token per text. Every known word belongs to a class given by its last bytes;
-the end token and unknown words have classes of their own. A token's
-probability is P(class | history) * P(word | class, history). Both factors are
-log-linear over hashed features of the history: the word before, the word two
-before (skip), both together, and a constant. Inside a class its most frequent
-words have slots of their own; the others share one slot, which a tree divides:
-each level is a log-linear choice among 16 branches over the same features hashed
-together with the node, and a word's branches are the digits of its hash. The tree
-is as deep as the vocabulary asks (four leaves a word, ``TAIL_DEPTH`` levels at
-most), so every word has weights of its own up to hash collisions; words of one
-leaf split it in proportion to their smoothed counts. With all weights zero the
-model equals the smoothed unigram base exactly, so training only moves away from
-it to gain.
-
-Gathered from the whole training part (every text, so it grows with the
-corpus): token counts by a shuffle, class masses, and counts of (previous word
-bucket, class), from which the weights of the nearest-word feature start.
-Then all weights are trained by distributed gradient updates on every training
-text: a hash deals the texts into ``rounds`` parts, in each round every task takes
-AdaGrad steps over its share of that round's part (about ``round_texts`` texts a
-task, ``tasks`` tasks at least), and the weights become the tasks' token-weighted mean.
+token per text. Every word belongs to one of 14 classes given by its last bytes;
+the end token has a class of its own, and words of empty leaves (below) have together
+the fixed probability of one unknown type. A token's
+probability is P(class | history) * P(leaf | class, word before) * P(word | leaf).
+
+* Class factor: log-linear over hashed features of the history: the word before, the
+  word two before (skip), both together, and a constant. Its weights start from the
+  whole corpus' counts of (previous-word row, class) and are trained by distributed
+  gradient updates on every training text: a hash deals the texts into ``rounds``
+  parts, in each round every task takes AdaGrad steps over its share of that round's
+  part (about ``round_texts`` texts a task, ``tasks`` tasks at least), sends the rows it
+  touched in half precision, and the weights become the tasks' token-weighted mean.
+* Word factor: a softmax over all leaves of the class. A class has up to 2^18 leaves, given by a
+  hash of the word (four leaves a word, until that bound); a leaf's logit is the log of its smoothed
+  mass, plus the weight of the hashed pair (word before, leaf) if training holds that pair.
+  There is one such weight per pair, so this part of the model grows with the corpus.
+  With n the pair's count, T the distinct leaves and N the tokens after this word in the class,
+  m the leaf's and M the class's mass, the weight is log(1 + n*M / (T*m)), the optimum
+  for the expectations (n + T*m/M) / (N + T); the normaliser is M*(1 + N/T), exactly.
+* Words of one leaf split it by their smoothed counts; every leaf keeps 0.1 for a word
+  that training never held. With all weights zero the model is a smoothed unigram model.
+
+The pairs are never a broadcast: each batch of texts packs (word before, leaf) by a hash of
+(word before, class) into runs of 12 bytes a distinct pair of a text, and the task that
+gets a hash's runs counts the training pairs and scores all of them in one sort. A word
+before that holds a third of all tokens is split over its followers' classes, a pair that
+repeats in a text is one entry; ``PACK`` entries a task on average.
 
 Scoring makes one pass in sparse numpy batches. Counts of the ``hot_words`` most
 frequent words are broadcast (a fixed bound); the other words of a text meet
@@ -40,7 +46,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,17 +55,15 @@ from riskweave.llm import textbits as tb
 from riskweave.session import cut_lineage, drop_scratch
 
 U64 = np.uint64
-CLASSES = 62                                     # of known words; then the end token and unknown words
+CLASSES = 14                                     # of words; then the end token and words of empty leaves
 END, UNK, ALL = CLASSES, CLASSES + 1, CLASSES + 2
-HEADS = 15                                       # words of a class with their own weights; one slot more for the rest
-BITS = 13                                        # feature rows of each weight table
-BRANCH = 4                                       # bits of one tree level: 16 branches
-TAIL_BITS = 14                                   # feature rows of the tree's weight table
-TAIL_GAIN = 32.0                                 # AdaGrad start of the tree: its rows are seen less often
-TAIL_DEPTH = 4                                   # levels at most: 62 * 16^4 leaves, 16 MB of masses
+BITS = 15                                        # feature rows of the class weights
+LEAF_BITS = 18                                   # bits of a leaf inside its class at most: 14 MB of masses
+PACK = 1 << 20                                   # packed pairs of one task, on average
 START = U64(0x5EED5EED5EED5EED)
 FEATURES = 4                                     # word before, word two before, both, constant
 SMOOTH = 0.1
+STRENGTH = 5.0                                   # pseudo tokens of the class masses in the starting weights
 LN10 = float(np.log(10.0))
 BATCH = 1 << 14                                  # tokens of one numpy batch
 
@@ -90,27 +94,13 @@ class Stream:
         self.prev, self.prev2 = prev, prev2
 
 
-def rows_of(prev, prev2, salt: int = 0, bits: int = BITS):
+def rows_of(prev, prev2):
     """Feature rows (one array per feature) for these histories."""
-    shift = U64(64 - bits)
-    return [(tb.mix(prev + U64(1 + salt)) >> shift).astype(np.int64),
-            (tb.mix(prev2 * U64(5) + U64(2 + salt)) >> shift).astype(np.int64),
-            (tb.mix(prev2 * U64(7) + prev * U64(3) + U64(3 + salt)) >> shift).astype(np.int64),
-            np.full(len(prev), (salt * 7919) % (1 << BITS), dtype=np.int64)]
-
-
-def word_rows(prev, prev2, cls):
-    """Feature rows of the inner softmax: the same features together with the class."""
-    c = (cls.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
-    rows = rows_of(prev ^ c, prev2 ^ c, 11)
-    rows[3] = cls
-    return rows
-
-
-def tail_rows(prev, prev2, level: int, node):
-    """Feature rows of one tree level: the word features together with the node (its masses are the constant)."""
-    k = (node.astype(np.uint64) + U64((level + 1) << 40)) * U64(0x9E3779B97F4A7C15)
-    return rows_of(prev ^ k, prev2 ^ k, 23, TAIL_BITS)[:3]
+    shift = U64(64 - BITS)
+    return [(tb.mix(prev + U64(1)) >> shift).astype(np.int64),
+            (tb.mix(prev2 * U64(5) + U64(2)) >> shift).astype(np.int64),
+            (tb.mix(prev2 * U64(7) + prev * U64(3) + U64(3)) >> shift).astype(np.int64),
+            np.zeros(len(prev), dtype=np.int64)]
 
 
 def _softmax(logits):
@@ -120,68 +110,46 @@ def _softmax(logits):
     return p
 
 
-class Weights:
-    """outer: (features, rows, classes), inner: (features, rows, slots), tail: (word features, rows, branches); float32."""
-
-    def __init__(self, outer=None, inner=None, tail=None):
-        self.outer = np.zeros((FEATURES, 1 << BITS, ALL), np.float32) if outer is None else outer
-        self.inner = np.zeros((FEATURES, 1 << BITS, HEADS + 1), np.float32) if inner is None else inner
-        self.tail = np.zeros((FEATURES - 1, 1 << TAIL_BITS, 1 << BRANCH), np.float32) if tail is None else tail
+def start_weights() -> np.ndarray:
+    return np.zeros((FEATURES, 1 << BITS, ALL), np.float32)
 
 
 class Frame:
-    """What the model takes from the counts: masses, head words, frequent words' counts, the tree's masses."""
+    """What the model takes from the counts: class and leaf masses, frequent words' counts."""
 
-    def __init__(self, n_tokens, n_types, class_log, slot_log, heads, hot, hot_count, n_ends, leaves=None):
+    def __init__(self, n_tokens, n_types, n_ends, hot, hot_count, leaves):
         self.n_tokens, self.n_types, self.n_ends = n_tokens, n_types, n_ends
-        self.class_log, self.slot_log = class_log, slot_log          # natural logs, -1e30 where empty
         if not len(hot):                                             # no word at all: an entry that matches none
             hot, hot_count = np.zeros(1, dtype=np.uint64), np.zeros(1)
         order = np.argsort(hot)
         self.hot, self.hot_count = hot[order], hot_count[order]
-        self.head_slot = np.full(len(hot), HEADS, dtype=np.int64)
-        for h, slot in heads:
-            i = np.searchsorted(self.hot, U64(h))
-            if i < len(self.hot) and self.hot[i] == U64(h):
-                self.head_slot[i] = slot
         self.top = np.searchsorted(self.hot >> U64(48), np.arange((1 << 16) + 1, dtype=np.uint64))
         self.z = n_tokens + SMOOTH * (n_types + 1)
-        self._tree(leaves)
-
-    def _tree(self, leaves):
-        """Per level the log masses of the branches of every node, and which nodes leave a choice."""
-        self.leaves, self.depth, self.branch_log, self.choice = leaves, 0, [], []
-        if leaves is not None:
-            self.depth = (len(leaves) // CLASSES).bit_length() // BRANCH
-            mass = leaves.astype(np.float64)
-            for _ in range(self.depth):
-                mass = mass.reshape(-1, 1 << BRANCH)
-                with np.errstate(divide="ignore"):
-                    self.branch_log.insert(0, np.maximum(np.log(mass), -1e30).astype(np.float32))
-                self.choice.insert(0, (mass > 0).sum(axis=1) > 1)
-                mass = mass.sum(axis=1)
+        self._masses(leaves)
+
+    def _masses(self, leaves):
+        self.leaves = leaves                                         # (classes, leaves), each leaf with its unknown's 0.1
+        self.bits = leaves.shape[1].bit_length() - 1
+        mass = np.zeros(ALL)
+        mass[:CLASSES] = leaves.sum(axis=1, dtype=np.float64)
+        mass[END], mass[UNK] = (self.n_ends + SMOOTH if self.n_ends else 0.0), SMOOTH
+        self.mass = mass
+        with np.errstate(divide="ignore"):
+            self.class_log = np.maximum(np.log(mass / mass.sum()), -1e30)
+        self.unknown = SMOOTH / mass.sum()                           # fixed: no history makes unknown words likelier
+        self.class_log[UNK] = -1e30
 
     def __getstate__(self):
-        """Shipped with the leaves alone, packed; the levels above are summed again where it arrives."""
-        packed = None if self.leaves is None else zlib.compress(self.leaves.astype(np.float32).tobytes(), 1)
-        return {k: v for k, v in self.__dict__.items() if k not in ("branch_log", "choice", "leaves")} | {"packed": packed}
+        return self.__dict__ | {"leaves": (self.leaves.shape, zlib.compress(self.leaves.tobytes(), 1))}
 
     def __setstate__(self, state):
-        packed = state.pop("packed")
+        shape, packed = state["leaves"]
         self.__dict__.update(state)
-        self._tree(None if packed is None else np.frombuffer(zlib.decompress(packed), np.float32))
+        self.leaves = np.frombuffer(zlib.decompress(packed), np.float32).reshape(shape)
 
-    def node(self, cls: np.ndarray, h: np.ndarray, level: int) -> np.ndarray:
-        """The tree node of these words at a level; at level ``depth`` their leaf."""
-        bits = BRANCH * level
-        return cls if not level else (cls << bits) + (h >> U64(64 - bits)).astype(np.int64)
-
-    def rest_log(self, cls: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Log mass the word shares with the others of its leaf (its class's shared slot without a tree)."""
-        if self.depth:
-            return self.branch_log[-1].ravel()[self.node(cls, h, self.depth)].astype(np.float64)
-        return np.where((self.class_log[cls] < -1e29) | (self.slot_log[cls, HEADS] < -1e29), -1e30,
-                        np.log(self.z) + self.class_log[cls] + self.slot_log[cls, HEADS])
+    def leaf(self, cls: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Leaf of these words, numbered through all classes."""
+        return (cls << self.bits) + (tb.mix(h) >> U64(64 - self.bits)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Place among the frequent words, or -1."""
@@ -198,65 +166,23 @@ class Frame:
         return out
 
 
-def _outer_logits(w: Weights, frame: Frame, rows, kind=np.float64):
-    logits = np.repeat(frame.class_log[None, :].astype(kind), len(rows[0]), axis=0)
+def _logits(w: np.ndarray, frame: Frame, rows):
+    logits = np.repeat(frame.class_log[None, :].astype(np.float32), len(rows[0]), axis=0)
     for f, r in enumerate(rows):
-        logits += w.outer[f][r]
+        logits += w[f][r]
     return logits
 
 
-def _inner_logits(w: Weights, frame: Frame, rows, cls, kind=np.float64):
-    logits = frame.slot_log.astype(kind)[cls]
-    for f, r in enumerate(rows):
-        logits += w.inner[f][r]
-    return logits
-
-
-def _tail_logits(w: Weights, frame: Frame, rows, level: int, node, kind=np.float64):
-    logits = frame.branch_log[level][node].astype(kind)
-    for f, r in enumerate(rows):
-        logits += w.tail[f][r]
-    return logits
-
-
-def _tail_level(frame: Frame, level: int, prev, prev2, cls, h):
-    """(which of these words meet a choice here, their feature rows, nodes, branches)."""
-    node = frame.node(cls, h, level)
-    live = np.flatnonzero(frame.choice[level][node])
-    node = node[live]
-    branch = frame.node(cls[live], h[live], level + 1) & ((1 << BRANCH) - 1)
-    return live, tail_rows(prev[live], prev2[live], level, node), node, branch
-
-
-def train_chunk(w: Weights, gain: Weights, frame: Frame, s: Stream, rate: float):
-    """AdaGrad steps on the tokens of a chunk, one per batch."""
+def train_chunk(w: np.ndarray, gain: np.ndarray, frame: Frame, s: Stream, rate: float):
+    """AdaGrad steps of the class factor on the tokens of a chunk, one per batch."""
     for lo in range(0, len(s.hash), BATCH):
         part = slice(lo, lo + BATCH)
-        prev, prev2, cls, h = s.prev[part], s.prev2[part], s.cls[part], s.hash[part]
-        rows = rows_of(prev, prev2)
-        p = _softmax(_outer_logits(w, frame, rows, np.float32))
+        cls = s.cls[part]
+        rows = rows_of(s.prev[part], s.prev2[part])
+        p = _softmax(_logits(w, frame, rows))
         p[np.arange(len(cls)), cls] -= 1.0
         for f, r in enumerate(rows):
-            _step(w.outer[f], gain.outer[f], r, p, rate)
-        known = np.flatnonzero(cls < CLASSES)
-        if len(known):
-            c = cls[known]
-            at = frame.find(h[known])
-            slot = np.where(at >= 0, frame.head_slot[np.maximum(at, 0)], HEADS)
-            rows = word_rows(prev[known], prev2[known], c)
-            p = _softmax(_inner_logits(w, frame, rows, c, np.float32))
-            p[np.arange(len(c)), slot] -= 1.0
-            for f, r in enumerate(rows):
-                _step(w.inner[f], gain.inner[f], r, p, rate)
-            tail = known[slot == HEADS]
-            for level in range(frame.depth):
-                live, rows, node, branch = _tail_level(frame, level, prev[tail], prev2[tail], cls[tail], h[tail])
-                if not len(live):
-                    continue
-                p = _softmax(_tail_logits(w, frame, rows, level, node, np.float32))
-                p[np.arange(len(live)), branch] -= 1.0
-                for f, r in enumerate(rows):
-                    _step(w.tail[f], gain.tail[f], r, p, rate)
+            _step(w[f], gain[f], r, p, rate)
 
 
 def _step(table, gain, rows, p, rate):
@@ -268,47 +194,69 @@ def _step(table, gain, rows, p, rate):
     order = np.argsort(rows.astype(np.uint16), kind="stable")
     r = rows[order]
     at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-    g = np.add.reduceat(p[order], at, axis=0).astype(np.float32)
+    g = np.add.reduceat(p[order], at, axis=0)
     r = r[at]
     gain[r] += g * g
     table[r] -= rate * g / np.sqrt(gain[r])
 
 
-def score_chunk(w: Weights, frame: Frame, s: Stream):
-    """Per token: log10 P as if it were known without its own log10(count + 0.1) when it
-    isn't among the frequent words, log10 P as if unknown, and the place (-1: not frequent)."""
-    n = len(s.hash)
-    known, unknown = np.zeros(n), np.zeros(n)
-    place = np.full(n, -1, dtype=np.int64)
-    for lo in range(0, n, BATCH):
-        part = slice(lo, min(lo + BATCH, n))
-        prev, prev2, cls, h = s.prev[part], s.prev2[part], s.cls[part], s.hash[part]
-        logits = _outer_logits(w, frame, rows_of(prev, prev2))
+def class_scores(w: np.ndarray, frame: Frame, s: Stream, cls: np.ndarray) -> np.ndarray:
+    """log P(class | history) of every token."""
+    out = np.zeros(len(cls))
+    for lo in range(0, len(cls), BATCH):
+        part = slice(lo, lo + BATCH)
+        logits = _logits(w, frame, rows_of(s.prev[part], s.prev2[part]))
         top = logits.max(axis=1)
-        norm = top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        out = logits[np.arange(len(cls)), cls] - norm
-        unknown[part] = (logits[:, UNK] - norm) / LN10
-        word = np.flatnonzero(cls < CLASSES)
-        c = cls[word]
-        at = frame.find(h[word])
-        slot = np.where(at >= 0, frame.head_slot[np.maximum(at, 0)], HEADS)
-        inner = _inner_logits(w, frame, word_rows(prev[word], prev2[word], c), c)
-        top = inner.max(axis=1)
-        out[word] += inner[np.arange(len(c)), slot] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
-        # a word of the shared slot: its way down the tree and its part of the leaf's mass
-        tail = word[slot == HEADS]
-        for level in range(frame.depth):
-            live, rows, node, branch = _tail_level(frame, level, prev[tail], prev2[tail], cls[tail], h[tail])
-            logits = _tail_logits(w, frame, rows, level, node)
-            top = logits.max(axis=1)
-            out[tail[live]] += logits[np.arange(len(live)), branch] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        rest = np.zeros(len(c))
-        rest[slot == HEADS] = -frame.rest_log(cls[tail], h[tail])
-        own = np.where((slot == HEADS) & (at >= 0), np.log(frame.hot_count[np.maximum(at, 0)] + SMOOTH), 0.0)
-        out[word] += rest + own
-        known[part] = out / LN10
-        place[part][word] = at
-    return known, unknown, place
+        own = logits[np.arange(len(logits)), cls[part]]
+        out[part] = own - top - np.log(np.exp(logits - top[:, None]).sum(axis=1, dtype=np.float64))
+    with np.errstate(divide="ignore"):
+        return np.where(cls == UNK, np.log(frame.unknown), out + np.log1p(-frame.unknown))
+
+
+def pack_pairs(prev, leaf, doc, held, bits: int, buckets: int):
+    """(bucket, bytes) runs of the pairs of one batch; ``held`` is a flag per text."""
+    hist = (tb.mix(prev) >> U64(32)).astype(np.uint32)
+    cls = (leaf >> bits).astype(np.uint64)
+    bucket = (tb.mix((hist.astype(np.uint64) << U64(8)) + cls) % U64(buckets)).astype(np.int64)
+    pair = (hist.astype(np.uint64) << U64(32)) + leaf.astype(np.uint64)
+    order = np.lexsort((pair, (bucket << 32) + doc))
+    pair, doc, bucket = pair[order], doc[order], bucket[order]
+    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])])
+    n = np.diff(np.r_[new, len(pair)]).astype(np.uint32)
+    pair, doc, bucket = pair[new], doc[new].astype(np.uint32), bucket[new]
+    at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+    sign = held[doc].astype(np.uint8)
+    return [(int(bucket[a]), pair[a:b].tobytes() + doc[a:b].tobytes() + n[a:b].tobytes() + sign[a:b].tobytes())
+            for a, b in zip(at[:-1], at[1:])]
+
+
+def unpack_pairs(data: bytes):
+    k = len(data) // 17
+    return (np.frombuffer(data, np.uint64, k), np.frombuffer(data, np.uint32, k, 8 * k), np.frombuffer(data, np.uint32, k, 12 * k),
+            np.frombuffer(data, np.uint8, k, 16 * k))
+
+
+def pair_scores(frame: Frame, pair, n, held) -> np.ndarray:
+    """log P(leaf | class, word before) of each entry; all entries of a (word before, class) must be here."""
+    bits, order = frame.bits, np.argsort(pair, kind="stable")
+    p = pair[order]
+    seen = np.where(held[order] == 0, n[order], 0).astype(np.float64)
+    at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+    kind = p[at]
+    count = np.add.reduceat(seen, at)
+    group = kind >> U64(bits)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    total = np.repeat(np.add.reduceat(count, first), size)
+    types = np.repeat(np.add.reduceat((count > 0).astype(np.float64), first), size)
+    leaf = (kind & U64(0xFFFFFFFF)).astype(np.int64)
+    mass, whole = frame.leaves.ravel()[leaf].astype(np.float64), frame.mass[leaf >> bits]
+    weight = np.log1p(count * whole / (np.maximum(types, 1) * mass))
+    normal = np.log(whole) + np.log1p(total / np.maximum(types, 1))
+    value = np.log(mass) + weight - normal
+    out = np.empty(len(p))
+    out[order] = np.repeat(value, np.diff(np.r_[at, len(p)]))
+    return out
 
 
 def _count(train: DataFrame) -> DataFrame:
@@ -359,16 +307,16 @@ def _sum_blocks(rows: DataFrame, dtype) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["total"]) for r in got}
 
 
-def _leaves(words: DataFrame, heads, n_types: int) -> np.ndarray | None:
-    """Smoothed mass of every leaf of the tree under the words without a slot of their own."""
-    n_tail = n_types - len(heads)
-    if n_tail <= 0:
-        return None
-    depth = next((d for d in range(1, TAIL_DEPTH) if CLASSES << (BRANCH * d) >= 4 * n_tail), TAIL_DEPTH)
-    size = 1 << (BRANCH * depth)
-    own = [r["h"] for r in heads]
-    cells = (words.filter(~F.col("h").isin(own)).groupBy("cls", F.shiftrightunsigned("h", 64 - BRANCH * depth).cast("int").alias("leaf"))
-             .agg(F.sum(F.col("n") + F.lit(SMOOTH)).alias("mass")))
+def _leaves(words: DataFrame, n_types: int) -> np.ndarray:
+    """Smoothed mass of every leaf, with 0.1 for words that training never held; a fixed number of cells."""
+    bits = next((b for b in range(1, LEAF_BITS) if CLASSES << b >= 4 * n_types), LEAF_BITS)
+    out = np.zeros((CLASSES, 1 << bits), np.float32)
+
+    def number(batches):
+        for b in batches:
+            h, n = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            leaf = (tb.mix(h.view(np.uint64)) >> U64(64 - bits)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(leaf), pa.array(n + SMOOTH)], names=["cls", "leaf", "mass"])
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -376,72 +324,49 @@ def _leaves(words: DataFrame, heads, n_types: int) -> np.ndarray | None:
             cls, leaf, mass = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for c in np.unique(cls):
                 at = cls == c
-                total.setdefault(int(c), np.zeros(size, np.float32))[leaf[at]] = mass[at]
+                total.setdefault(int(c), np.zeros(1 << bits, np.float32))[leaf[at]] = mass[at] + SMOOTH
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(
                 [zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["cls", "masses"])
 
-    out = np.zeros((CLASSES, size), np.float32)
+    cells = words.select("h", "cls", "n").mapInArrow(number, "cls int, leaf int, mass double").groupBy("cls", "leaf").agg(F.sum("mass").alias("mass"))
     for r in cells.repartition("cls").mapInArrow(run, "cls int, masses binary").collect():
         out[r["cls"]] = np.frombuffer(zlib.decompress(r["masses"]), np.float32)
-    return out.ravel()
+    return out
 
 
 def _frame(counts: DataFrame, hot_words: int) -> Frame:
     words = counts.filter("h != 0")
     ends = counts.filter("h = 0").first()
     n_ends = int(ends["n"]) if ends else 0
-    per_class = {r["cls"]: r for r in words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    order = Window.partitionBy("cls").orderBy(F.col("n").desc(), "h")
-    heads = words.withColumn("slot", F.row_number().over(order) - 1).filter(F.col("slot") < HEADS).collect()
+    sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("types")).first()
+    n_words, types = int(sums["n"] or 0), int(sums["types"])
     hot = words.orderBy(F.col("n").desc(), "h").limit(hot_words).select("h", "n").toPandas()
-    hot = {int(h): int(n) for h, n in zip(hot["h"], hot["n"])} | {r["h"]: r["n"] for r in heads}
-    n_tokens = sum(int(r["n"]) for r in per_class.values()) + n_ends
-    n_types = sum(int(r["types"]) for r in per_class.values()) + (n_ends > 0)
-    z = n_tokens + SMOOTH * (n_types + 1)
-    mass, slots = np.zeros(ALL), np.zeros((ALL, HEADS + 1))
-    for c, r in per_class.items():
-        mass[c] = r["n"] + SMOOTH * r["types"]
-        slots[c, HEADS] = mass[c]
-    for r in heads:
-        slots[r["cls"], r["slot"]] = r["n"] + SMOOTH
-        slots[r["cls"], HEADS] -= r["n"] + SMOOTH
-    slots[:, HEADS] = np.where(slots[:, HEADS] < SMOOTH * 0.9, 0.0, slots[:, HEADS])      # a class of head words only
-    mass[END], mass[UNK] = (n_ends + SMOOTH if n_ends else 0.0), SMOOTH
-    with np.errstate(divide="ignore"):
-        class_log = np.maximum(np.log(mass / z), -1e30)
-        slot_log = np.maximum(np.log(slots / np.maximum(mass, 1e-300)[:, None]), -1e30)
-    keys = np.fromiter(hot.keys(), dtype=np.int64, count=len(hot)).view(np.uint64)
-    return Frame(n_tokens, n_types, class_log, slot_log, [(int(np.int64(r["h"]).view(np.uint64)), r["slot"]) for r in heads],
-                 keys, np.fromiter(hot.values(), dtype=np.float64, count=len(hot)), n_ends,
-                 _leaves(words, heads, sum(int(r["types"]) for r in per_class.values())))
+    return Frame(n_words + n_ends, types + (n_ends > 0), n_ends, hot["h"].to_numpy(np.int64).view(np.uint64),
+                 hot["n"].to_numpy(np.float64), _leaves(words, types))
 
 
-def _start_weights(near: dict[int, np.ndarray], frame: Frame) -> Weights:
+def _count_weights(near: dict[int, np.ndarray], frame: Frame) -> np.ndarray:
     """The nearest-word feature starts at the smoothed log ratio of its class counts to the class masses."""
-    w = Weights()
+    w = start_weights()
     if near:
         size = (1 << BITS) * ALL // 64
         n = np.concatenate([near.get(k, np.zeros(size)) for k in range(64)]).reshape(1 << BITS, ALL)
         mass = np.exp(np.maximum(frame.class_log, -700))
-        strength = 20.0
-        p = (n + strength * mass[None, :]) / (n.sum(axis=1, keepdims=True) + strength)
-        w.outer[0] = np.where(mass > 0, np.log(np.maximum(p, 1e-300)) - np.maximum(frame.class_log, -700), 0.0)
+        p = (n + STRENGTH * mass[None, :]) / (n.sum(axis=1, keepdims=True) + STRENGTH)
+        w[0] = np.where(mass > 0, np.log(np.maximum(p, 1e-300)) - np.maximum(frame.class_log, -700), 0.0)
     return w
 
 
-def _round(texts: DataFrame, w: Weights, shared_frame, rate: float) -> Weights:
+def _round(texts: DataFrame, w: np.ndarray, shared_frame, rate: float) -> np.ndarray:
     """One round of distributed updates: each task trains on its texts from the same weights;
-    the new weights are the mean of theirs, weighted by tokens."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(w)
+    the new weights are the mean of theirs, weighted by tokens. Changes travel in half precision."""
+    shared = texts.sparkSession.sparkContext.broadcast(w)
     blocks = 16
 
     def run(batches):
         start, fr = shared.value, shared_frame.value
-        mine = Weights(start.outer.copy(), start.inner.copy(), start.tail.copy())
-        gain = Weights(np.full_like(mine.outer, 0.5), np.full_like(mine.inner, 0.5), np.full_like(mine.tail, TAIL_GAIN))
-        tokens = 0
+        mine, gain, tokens = start.copy(), np.full_like(start, 0.5), 0
         for b in batches:
             for _, buf, offs in tb.chunks(b.column(0), 1 << 19):
                 s = Stream(buf, offs)
@@ -449,25 +374,32 @@ def _round(texts: DataFrame, w: Weights, shared_frame, rate: float) -> Weights:
                 tokens += len(s.hash)
         if not tokens:
             return
-        flat = np.concatenate([(a - b).ravel() for a, b in ((mine.outer, start.outer), (mine.inner, start.inner),
-                                                            (mine.tail, start.tail))]) * np.float32(tokens)
-        parts = np.array_split(flat, blocks)
+        parts = np.array_split((mine - start).ravel().astype(np.float16), blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*range(blocks), blocks], pa.int32()),
-             pa.array([*(zlib.compress(p.tobytes(), 1) for p in parts), zlib.compress(np.float32([tokens]).tobytes())], pa.binary())],
-            names=["block", "part"])
+            [pa.array(range(blocks), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
+             pa.array([tokens] * blocks, pa.int64())], names=["block", "part", "tokens"])
 
-    got = _sum_blocks(texts.mapInArrow(run, "block int, part binary"), np.float32)
+    def total(batches):
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, v, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+                d = np.frombuffer(zlib.decompress(v), np.float16).astype(np.float64) * t
+                old = sums.get(k, [0.0, 0])
+                sums[k] = [old[0] + d, old[1] + t]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(
+                [(d / t).astype(np.float32).tobytes() for d, t in sums.values()], pa.binary())], names=["block", "step"])
+
+    got = texts.mapInArrow(run, "block int, part binary, tokens long").repartition("block").mapInArrow(total, "block int, step binary").collect()
     shared.destroy()
     if not got:
         return w
-    step = np.concatenate([got[k] for k in range(blocks)]) / got[blocks][0]
-    steps = np.split(step.astype(np.float32), np.cumsum([w.outer.size, w.inner.size]))
-    return Weights(*(t + d.reshape(t.shape) for t, d in zip((w.outer, w.inner, w.tail), steps)))
+    step = np.concatenate([np.frombuffer(r["step"], np.float32) for r in sorted(got, key=lambda r: r["block"])])
+    return w + step.reshape(w.shape)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0,
-                rounds: int = 3, round_texts: int = 4000, tasks: int = 12, hot_words: int = 200_000, rate: float = 0.15) -> DataFrame:
+                rounds: int = 2, round_texts: int = 4000, tasks: int = 12, hot_words: int = 200_000, rate: float = 0.15) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``."""
     spark = docs.sparkSession
     src = tb.bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -476,7 +408,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = cut_lineage(_count(train.select("text")))
     counts = cut_lineage(raw.filter("h is not null").groupBy("h", "cls").agg(F.sum("n").alias("n")))
     frame = _frame(counts, hot_words)
-    w = _start_weights(_sum_blocks(raw.filter("block is not null").select("block", "counts"), np.uint32), frame)
+    w = _count_weights(_sum_blocks(raw.filter("block is not null").select("block", "counts"), np.uint32), frame)
+    drop_scratch(raw)
 
     # every training text is in one round; texts of null ids are dealt by their bytes
     tasks = max(tasks, -(-frame.n_ends // (rounds * round_texts)))
@@ -487,64 +420,108 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         w = _round(part.select("text"), w, shared_frame, rate / (1 + r))
 
     shared = spark.sparkContext.broadcast(w)
-    fields = ["key", "id", "held_out", "n_tokens", "n_known", "base", "score", "h", "n", "swap"]
+    parts = max(tasks, -(-frame.n_tokens // PACK))
+    buckets = parts * 8
+    fields = ["bucket", "key", "id", "held_out", "n_tokens", "n_known", "base", "score", "h", "n", "pairs"]
 
     def run(batches):
         weights, fr = shared.value, shared_frame.value
         place0, row = TaskContext.get().partitionId() << 40, 0
         end_known = fr.n_ends > 0
-        end_base = np.log10(fr.n_ends + SMOOTH) if end_known else np.log10(SMOOTH)
-        log_count = np.log10(fr.hot_count + SMOOTH)
+        end_base = np.log(fr.n_ends + SMOOTH) if end_known else np.log(SMOOTH)
+        log_count, masses = np.log(fr.hot_count + SMOOTH), fr.leaves.ravel()
         for b in batches:
-            for first, buf, offs in tb.chunks(b.column(2), 1 << 19):
+            base_row, packs = row, []
+            out_held = np.asarray(b.column(1).to_numpy(zero_copy_only=False), dtype=bool)
+            for first, buf, offs in tb.chunks(b.column(2), 1 << 20):
                 s = Stream(buf, offs)
                 k = s.n_texts
-                known, unknown, place = score_chunk(weights, fr, s)
-                end = s.cls == END
-                hot = place >= 0
-                cold = ~end & ~hot
-                base = np.where(hot, log_count[np.maximum(place, 0)], 0.0) + np.where(end, end_base, 0.0)
-                # no training word of this class has the word's leaf: certainly unknown
-                none = cold.copy()
-                none[cold] = fr.rest_log(s.cls[cold], s.hash[cold]) < -1e29
-                value = np.where(none | (end & (not end_known)), unknown, known)
-                swap = np.where(none, 0.0, unknown - known)
-                n_tokens = np.bincount(s.text, minlength=k)
+                word = np.flatnonzero(s.cls < CLASSES)
+                leaf = fr.leaf(s.cls[word], s.hash[word])
+                mass = masses[leaf].astype(np.float64)
+                live = mass > 0
+                cls = s.cls.copy()
+                cls[word[~live]] = UNK
+                if not end_known:
+                    cls[cls == END] = UNK
+                place = np.full(len(cls), -1, dtype=np.int64)
+                place[word] = fr.find(s.hash[word])
+                hot, end = place >= 0, s.cls == END
+                own = np.where(hot, log_count[np.maximum(place, 0)], 0.0)
+                base = own + np.where(end, end_base, 0.0)
+                value = class_scores(weights, fr, s, cls) + own
+                value[word[live]] -= np.log(mass[live])
+                in_leaf = word[live]
+                packs.append((s.prev[in_leaf], leaf[live], s.text[in_leaf] + first))
+                cold = np.flatnonzero(~end & ~hot)
                 keys = place0 + row + np.arange(k)
+                sums = lambda x: np.bincount(s.text, weights=x, minlength=k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), b.column(0).slice(first, k), b.column(1).slice(first, k), pa.array(n_tokens.astype(np.int64)),
-                     pa.array(np.bincount(s.text, weights=hot | (end & end_known), minlength=k).astype(np.int64)),
-                     pa.array(np.bincount(s.text, weights=base, minlength=k)), pa.array(np.bincount(s.text, weights=value, minlength=k)),
-                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())], names=fields)
-                at = np.flatnonzero(cold)
-                if len(at):
-                    order = at[np.lexsort((s.hash[at], s.text[at]))]
+                    [pa.array((keys % buckets).astype(np.int32)), pa.array(keys), b.column(0).slice(first, k), b.column(1).slice(first, k),
+                     pa.array(np.bincount(s.text, minlength=k).astype(np.int64)), pa.array(sums(hot | (end & end_known)).astype(np.int64)),
+                     pa.array(sums(base) / LN10), pa.array(sums(value) / LN10),
+                     pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=fields)
+                if len(cold):
+                    # words of an empty leaf are certainly unknown: their score is final, n_known and base are not touched by n = 0
+                    order = cold[np.lexsort((s.hash[cold], s.text[cold]))]
                     t, h = s.text[order], s.hash[order]
                     new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])])
                     m = len(new)
+                    empty = cls[order[new]] == UNK
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[t[new]]), pa.nulls(m, b.column(0).type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                         pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(tb.as_signed(h[new])),
-                         pa.array(np.diff(np.r_[new, len(order)])),
-                         pa.array(np.add.reduceat(swap[order], new))], names=fields)
+                        [pa.array((keys[t[new]] % buckets).astype(np.int32)), pa.array(keys[t[new]]), pa.nulls(m, b.column(0).type),
+                         pa.array(empty), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
+                         pa.array(tb.as_signed(h[new])), pa.array(np.diff(np.r_[new, len(order)])), pa.nulls(m, pa.binary())], names=fields)
                 row += k
+            prev, leaf, doc = (np.concatenate(x) for x in zip(*packs)) if packs else (np.zeros(0, U64),) * 3
+            if len(prev):
+                got = pack_pairs(prev, leaf, doc, out_held, fr.bits, buckets)
+                m = len(got)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for x, _ in got], pa.int32()), pa.array([place0 + base_row] * m, pa.int64()), pa.nulls(m, b.column(0).type),
+                     pa.nulls(m, pa.bool_()), *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2, *(pa.nulls(m, pa.int64()),) * 2,
+                     pa.array([x for _, x in got], pa.binary())], names=fields)
+
+    kinds = [T.IntegerType(), T.LongType(), docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(),
+             T.DoubleType(), T.LongType(), T.LongType(), T.BinaryType()]
+    schema = T.StructType([T.StructField(f, k) for f, k in zip(fields, kinds)])
+
+    def solve(batches):
+        """Texts and their rare words pass; pairs become one sum a text."""
+        fr, pairs, keys, ns, flags = shared_frame.value, [], [], [], []
+        for b in batches:
+            data = b.column(10)
+            plain = b.filter(data.is_null()).select(fields[1:10])
+            if plain.num_rows:
+                yield plain
+            live = b.filter(data.is_valid())
+            for key0, d in zip(live.column(1).to_pylist(), live.column(10)):
+                p, doc, n, flag = unpack_pairs(d.as_buffer())
+                pairs.append(p.copy()), keys.append(doc.astype(np.int64) + key0), ns.append(n.copy()), flags.append(flag.copy())
+        if pairs:
+            n = np.concatenate(ns)
+            value = pair_scores(fr, np.concatenate(pairs), n, np.concatenate(flags)) * n / LN10
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            m = len(key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.nulls(m, live.column(2).type), pa.nulls(m, pa.bool_()), *(pa.nulls(m, pa.int64()),) * 2,
+                 pa.nulls(m, pa.float64()), pa.array(np.bincount(at, weights=value, minlength=m)), *(pa.nulls(m, pa.int64()),) * 2],
+                names=fields[1:10])
 
-    kinds = [T.LongType(), docs.schema[id_col].dataType, T.BooleanType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(),
-             T.LongType(), T.LongType(), T.DoubleType()]
-    passed = cut_lineage(src.select("id", held_out.alias("held_out"), "text").mapInArrow(
-        run, T.StructType([T.StructField(f, k) for f, k in zip(fields, kinds)])))
-    cold = passed.filter("h is not null").select("key", "h", "n", "swap")
+    dealt = src.select("id", held_out.alias("held_out"), "text").mapInArrow(run, schema).repartition(parts, "bucket")
+    passed = cut_lineage(dealt.mapInArrow(solve, T.StructType(schema.fields[1:10])))
+    cold = passed.filter("h is not null").select("key", "h", "n", F.col("held_out").alias("empty"))
     seen = counts.select("h", F.col("n").alias("c"))
     log_c = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
-    late = (cold.join(seen, "h", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("k2"), F.sum(log_c).alias("b2"),
-        F.sum(F.when(F.col("c").isNotNull(), log_c).otherwise(F.col("swap"))).alias("s2")))
-    texts = passed.filter("h is null").drop("h", "n", "swap")
+    late = cold.join(seen, "h", "left").select(
+        "key", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("k2"), log_c.alias("b2"),
+        F.when(F.col("empty"), F.lit(0.0)).otherwise(log_c).alias("s2"))
+    sums = passed.filter("h is null and n_tokens is null").select("key", F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.col("score").alias("s2"))
+    late = late.unionByName(sums).groupBy("key").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("s2").alias("s2"))
+    texts = passed.filter("n_tokens is not null").drop("h", "n")
     z = float(np.log10(frame.z)) if frame.z > 0 else 0.0
-    out = (texts.join(late, "key", "left").select(
+    return texts.join(late, "key", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
         F.lit(int(frame.n_tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b2", F.lit(0.0)) - F.col("n_tokens") * F.lit(z)).alias("base_score"),
-        (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")))
-    drop_scratch(raw)
-    return out
+        (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
