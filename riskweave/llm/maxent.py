@@ -10,9 +10,9 @@ probability is P(class | history) * P(leaf | class, word before) * P(word | leaf
   word two before (skip), both together, and a constant. Its weights start from the
   whole corpus' counts of (previous-word row, class) and are trained by distributed
   gradient updates on every training text: a hash deals the texts into ``rounds``
-  parts, in each round every task takes AdaGrad steps over its share of that round's
-  part (about ``round_texts`` texts a task, ``tasks`` tasks at least), sends the rows it
-  touched in half precision, and the weights become the tasks' token-weighted mean.
+  parts, in each round every task takes AdaGrad steps over its input split's share of
+  that round's part and sends its changes in half precision; the weights become the
+  tasks' token-weighted mean, so the last digits of scores depend on the splits.
 * Word factor: a softmax over all leaves of the class. A class has up to 2^18 leaves, given by a
   hash of the word (four leaves a word, until that bound); a leaf's logit is the log of its smoothed
   mass, plus the weight of the hashed pair (word before, leaf) if training holds that pair.
@@ -27,7 +27,7 @@ The pairs are never a broadcast: each batch of texts packs (word before, leaf) b
 (word before, class) into runs of 12 bytes a distinct pair of a text, and the task that
 gets a hash's runs counts the training pairs and scores all of them in one sort. A word
 before that holds a third of all tokens is split over its followers' classes, a pair that
-repeats in a text is one entry; ``PACK`` entries a task on average.
+repeats in a text is one entry; ``PACK`` entries a task on average (``tasks`` tasks at least).
 
 Scoring makes one pass in sparse numpy batches. Counts of the ``hot_words`` most
 frequent words are broadcast (a fixed bound); the other words of a text meet
@@ -399,7 +399,7 @@ def _round(texts: DataFrame, w: np.ndarray, shared_frame, rate: float) -> np.nda
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0,
-                rounds: int = 2, round_texts: int = 4000, tasks: int = 12, hot_words: int = 200_000, rate: float = 0.15) -> DataFrame:
+                rounds: int = 2, tasks: int = 12, hot_words: int = 200_000, rate: float = 0.15) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``."""
     spark = docs.sparkSession
     src = tb.bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -411,13 +411,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     w = _count_weights(_sum_blocks(raw.filter("block is not null").select("block", "counts"), np.uint32), frame)
     drop_scratch(raw)
 
-    # every training text is in one round; texts of null ids are dealt by their bytes
-    tasks = max(tasks, -(-frame.n_ends // (rounds * round_texts)))
+    # every training text is in one round, read where it lies; texts of null ids are dealt by their bytes
     shared_frame = spark.sparkContext.broadcast(frame)
-    dealt = train.select("text", F.pmod(F.xxhash64(F.lit(17), "id", "text"), F.lit(sampling.SCALE)).alias("draw"))
+    dealt = train.select("text", F.pmod(F.xxhash64(F.lit(17), "id", "text"), F.lit(rounds)).alias("draw"))
     for r in range(rounds):
-        part = dealt.filter(F.pmod(F.col("draw"), F.lit(rounds)) == r).repartition(tasks, "draw")
-        w = _round(part.select("text"), w, shared_frame, rate / (1 + r))
+        w = _round(dealt.filter(F.col("draw") == r).select("text"), w, shared_frame, rate / (1 + r))
 
     shared = spark.sparkContext.broadcast(w)
     parts = max(tasks, -(-frame.n_tokens // PACK))

@@ -134,7 +134,7 @@ def test_every_training_text_is_in_one_round(spark, monkeypatch):
         return inner(texts, *rest)
 
     monkeypatch.setattr(maxent, "_round", round_)
-    maxent.score_texts(df, rounds=2, round_texts=5, tasks=2).collect()
+    maxent.score_texts(df, rounds=2, tasks=2).collect()
     assert sorted(seen) == sorted(x for i, x in rows if not held(i))
 
 
