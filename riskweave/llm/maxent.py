@@ -24,7 +24,7 @@ probability is P(class | history) * P(leaf | class, word before) * P(word | leaf
   that training never held. With all weights zero the model is a smoothed unigram model.
 
 The pairs are never a broadcast: each batch of texts packs (word before, leaf) by a hash of
-(word before, class) into runs of 12 bytes a distinct pair of a text, and the task that
+(word before, class) into runs of 17 bytes a distinct pair of a text, and the task that
 gets a hash's runs counts the training pairs and scores all of them in one sort. A word
 before that holds a third of all tokens is split over its followers' classes, a pair that
 repeats in a text is one entry; ``PACK`` entries a task on average (``tasks`` tasks at least).
