@@ -28,6 +28,8 @@ The pairs are never a broadcast: each batch of texts packs (word before, leaf) b
 gets a hash's runs counts the training pairs and scores all of them in one sort. A word
 before that holds a third of all tokens is split over its followers' classes, a pair that
 repeats in a text is one entry; ``PACK`` entries a task on average (``tasks`` tasks at least).
+Its sums go back as runs too: six bytes a text (single precision) for each 4,096 neighbouring
+texts, added up in double precision one run of texts at a time.
 
 Scoring makes one pass in sparse numpy batches. Counts of the ``hot_words`` most
 frequent words are broadcast (a fixed bound); the other words of a text meet
@@ -60,6 +62,7 @@ END, UNK, ALL = CLASSES, CLASSES + 1, CLASSES + 2
 BITS = 15                                        # feature rows of the class weights
 LEAF_BITS = 18                                   # bits of a leaf inside its class at most: 14 MB of masses
 PACK = 1 << 20                                   # packed pairs of one task, on average
+SPAN = 12                                        # bits of a text's place in a run of packed sums
 START = U64(0x5EED5EED5EED5EED)
 FEATURES = 4                                     # word before, word two before, both, constant
 SMOOTH = 0.1
@@ -259,6 +262,36 @@ def pair_scores(frame: Frame, pair, n, held) -> np.ndarray:
     return out
 
 
+def pack_sums(key, value):
+    """(first key, bytes) runs of these sums by ascending distinct key."""
+    head = key >> SPAN
+    at = np.r_[np.flatnonzero(np.r_[True, head[1:] != head[:-1]]), len(key)]
+    place, value = (key & ((1 << SPAN) - 1)).astype(np.uint16), value.astype(np.float32)
+    return [(int(head[a]) << SPAN, place[a:b].tobytes() + value[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+
+
+def add_sums(batches):
+    """(key, sum) rows of packed sums that arrive ordered by their first key."""
+    def rows(first, total, seen):
+        k = np.flatnonzero(seen)
+        return pa.RecordBatch.from_arrays([pa.array(first + k), pa.array(total[k])], names=["key", "s2"])
+
+    first = None
+    for b in batches:
+        for key, data in zip(b.column(0).to_pylist(), b.column(1)):
+            if key != first:
+                if first is not None:
+                    yield rows(first, total, seen)
+                first, total, seen = key, np.zeros(1 << SPAN), np.zeros(1 << SPAN, dtype=bool)
+            raw = data.as_buffer()
+            n = len(raw) // 6
+            place = np.frombuffer(raw, np.uint16, n)
+            total[place] += np.frombuffer(raw[2 * n:], np.float32)
+            seen[place] = True
+    if first is not None:
+        yield rows(first, total, seen)
+
+
 def _count(train: DataFrame) -> DataFrame:
     """Rows (h, cls, n) per batch, and (block, counts) of previous-word buckets by class per task."""
     def run(batches):
@@ -446,12 +479,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 place[word] = fr.find(s.hash[word])
                 hot, end = place >= 0, s.cls == END
                 own = np.where(hot, log_count[np.maximum(place, 0)], 0.0)
-                base = own + np.where(end, end_base, 0.0)
+                empty = np.zeros(len(cls), dtype=bool)         # words of an empty leaf are certainly unknown
+                empty[word[~live]] = True
+                base = own + np.where(end, end_base, 0.0) + np.where(empty, np.log(SMOOTH), 0.0)
                 value = class_scores(weights, fr, s, cls) + own
                 value[word[live]] -= np.log(mass[live])
                 in_leaf = word[live]
                 packs.append((s.prev[in_leaf], leaf[live], s.text[in_leaf] + first))
-                cold = np.flatnonzero(~end & ~hot)
+                cold = np.flatnonzero(~end & ~hot & ~empty)
                 keys = place0 + row + np.arange(k)
                 sums = lambda x: np.bincount(s.text, weights=x, minlength=k)
                 yield pa.RecordBatch.from_arrays(
@@ -460,15 +495,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      pa.array(sums(base) / LN10), pa.array(sums(value) / LN10),
                      pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=fields)
                 if len(cold):
-                    # words of an empty leaf are certainly unknown: their score is final, n_known and base are not touched by n = 0
                     order = cold[np.lexsort((s.hash[cold], s.text[cold]))]
                     t, h = s.text[order], s.hash[order]
                     new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])])
                     m = len(new)
-                    empty = cls[order[new]] == UNK
                     yield pa.RecordBatch.from_arrays(
                         [pa.array((keys[t[new]] % buckets).astype(np.int32)), pa.array(keys[t[new]]), pa.nulls(m, b.column(0).type),
-                         pa.array(empty), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
+                         pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()),
                          pa.array(tb.as_signed(h[new])), pa.array(np.diff(np.r_[new, len(order)])), pa.nulls(m, pa.binary())], names=fields)
                 row += k
             prev, leaf, doc = (np.concatenate(x) for x in zip(*packs)) if packs else (np.zeros(0, U64),) * 3
@@ -485,11 +518,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField(f, k) for f, k in zip(fields, kinds)])
 
     def solve(batches):
-        """Texts and their rare words pass; pairs become one sum a text."""
+        """Texts and their rare words pass; pairs become packed sums a text."""
         fr, pairs, keys, ns, flags = shared_frame.value, [], [], [], []
         for b in batches:
             data = b.column(10)
-            plain = b.filter(data.is_null()).select(fields[1:10])
+            plain = b.filter(data.is_null()).select(fields[1:])
             if plain.num_rows:
                 yield plain
             live = b.filter(data.is_valid())
@@ -500,23 +533,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.concatenate(ns)
             value = pair_scores(fr, np.concatenate(pairs), n, np.concatenate(flags)) * n / LN10
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            m = len(key)
+            got = pack_sums(key, np.bincount(at, weights=value, minlength=len(key)))
+            m = len(got)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.nulls(m, live.column(2).type), pa.nulls(m, pa.bool_()), *(pa.nulls(m, pa.int64()),) * 2,
-                 pa.nulls(m, pa.float64()), pa.array(np.bincount(at, weights=value, minlength=m)), *(pa.nulls(m, pa.int64()),) * 2],
-                names=fields[1:10])
+                [pa.array([x for x, _ in got], pa.int64()), pa.nulls(m, live.column(2).type), pa.nulls(m, pa.bool_()),
+                 *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2, *(pa.nulls(m, pa.int64()),) * 2,
+                 pa.array([x for _, x in got], pa.binary())], names=fields[1:])
 
     dealt = src.select("id", held_out.alias("held_out"), "text").mapInArrow(run, schema).repartition(parts, "bucket")
-    passed = cut_lineage(dealt.mapInArrow(solve, T.StructType(schema.fields[1:10])))
-    cold = passed.filter("h is not null").select("key", "h", "n", F.col("held_out").alias("empty"))
+    passed = cut_lineage(dealt.mapInArrow(solve, T.StructType(schema.fields[1:])))
+    cold = passed.filter("h is not null").select("key", "h", "n")
     seen = counts.select("h", F.col("n").alias("c"))
     log_c = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
-    late = cold.join(seen, "h", "left").select(
-        "key", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("k2"), log_c.alias("b2"),
-        F.when(F.col("empty"), F.lit(0.0)).otherwise(log_c).alias("s2"))
-    sums = passed.filter("h is null and n_tokens is null").select("key", F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), F.col("score").alias("s2"))
-    late = late.unionByName(sums).groupBy("key").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("s2").alias("s2"))
-    texts = passed.filter("n_tokens is not null").drop("h", "n")
+    late = cold.join(seen, "h", "left").select("key", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("k2"), log_c.alias("b2"))
+    packed = passed.filter("pairs is not null").select("key", "pairs").repartition("key").sortWithinPartitions("key")
+    sums = packed.mapInArrow(add_sums, "key long, s2 double").select("key", F.lit(0).cast("long").alias("k2"), F.lit(0.0).alias("b2"), "s2")
+    late = late.withColumn("s2", F.col("b2")).unionByName(sums)
+    late = late.groupBy("key").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("s2").alias("s2"))
+    texts = passed.filter("n_tokens is not null").drop("h", "n", "pairs")
     z = float(np.log10(frame.z)) if frame.z > 0 else 0.0
     return texts.join(late, "key", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"),

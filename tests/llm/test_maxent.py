@@ -124,6 +124,24 @@ def test_packed_pairs_come_back():
     assert got == collections.Counter(((int(h) << 32) + int(x), int(d)) for h, x, d in zip(hist, leaf, doc))
 
 
+def test_packed_sums_add_up():
+    rng = np.random.default_rng(4)
+    want, runs = collections.Counter(), []
+    for _ in range(5):
+        key = np.unique(rng.integers(0, 20_000, 3000)) + (3 << 40)
+        value = -rng.random(len(key)) * 50
+        want.update(dict(zip(key.tolist(), value)))
+        runs += maxent.pack_sums(key, value)
+    runs.sort()
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([d for _, d in part], pa.binary())], names=["key", "pairs"])
+               for part in (runs[:7], runs[7:7], runs[7:])]
+    rows = [r for b in maxent.add_sums(batches) for r in b.to_pylist()]
+    got = {r["key"]: r["s2"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(abs(got[k] - v) < 1e-5 for k, v in want.items())
+    assert list(maxent.add_sums([])) == []
+
+
 def test_every_training_text_is_in_one_round(spark, monkeypatch):
     rows = [(i, f"word w{i}") for i in range(200)] + [(None, f"no id {i}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
