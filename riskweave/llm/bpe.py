@@ -13,6 +13,10 @@ joins the tokens' bytes and reads them as UTF-8.
 Short fragments are merged by scanning, long ones with a heap over a linked
 list, so a text without any boundary costs n log n.
 
+Ids and ranks are packed in 32 bits each. ``load`` refuses (``ValueError``) a file that
+asks for what is not built: a normaliser, another pre-tokeniser, other model options, or
+added tokens that swallow blanks or match whole words only.
+
 Defined cases: a null or empty text encodes to no ids and decodes to the empty
 string. Every row gives one row. Other columns are ignored.
 """
@@ -33,7 +37,7 @@ from riskweave.llm import textbits as tb
 # Fixed value: the split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TABLE_LIMIT = 350_000
-NEVER = 1 << 62                                  # above every packed rank: no merge
+NEVER = 1 << 64                                  # above every packed rank: no merge
 FORCED = NEVER + 1                               # and no token holds this pair of bytes: a certain cut
 _CODECS: dict[str, Codec] = {}                   # per worker process, so that its tables outlive a task
 
@@ -60,12 +64,12 @@ class Codec:
         self.first = [vocab[c] for c in letters]
         self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.packed = {a << 16 | b: rank << 16 | new for (a, b), (rank, new) in self.merge.items()}
+        self.packed = {a << 32 | b: rank << 32 | new for (a, b), (rank, new) in self.merge.items()}
         self.bytes_of = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()}
         self.pairs = [FORCED] * (1 << 16)                # what a pair of bytes merges to, if a token holds it at all
         for token in self.bytes_of.values():
             for a, b in zip(token, token[1:]):
-                self.pairs[a << 8 | b] = self.packed.get(self.first[a] << 16 | self.first[b], NEVER)
+                self.pairs[a << 8 | b] = self.packed.get(self.first[a] << 32 | self.first[b], NEVER)
         self.key = hashlib.sha256(repr((sorted(vocab.items()), merges, sorted(self.added.items()))).encode()).hexdigest()
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.names = {i: f"{i}," for i in self.bytes_of}
@@ -92,12 +96,12 @@ class Codec:
             if least == NEVER:
                 break
             i = best.index(least)
-            ids[i:i + 2] = [new] = [least & 0xFFFF]
+            ids[i:i + 2] = [new] = [least & 0xFFFFFFFF]
             del best[i]
             if i < len(best):
-                best[i] = get(new << 16 | ids[i + 1], NEVER)
+                best[i] = get(new << 32 | ids[i + 1], NEVER)
             if i:
-                best[i - 1] = get(ids[i - 1] << 16 | new, NEVER)
+                best[i - 1] = get(ids[i - 1] << 32 | new, NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -188,9 +192,30 @@ class Codec:
         return "".join(names)[:-1], b"".join(raw).decode("utf-8", "replace")
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a vocabulary file asks for that this codec would not do."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    out = [name for name in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback",
+                             "ignore_merges") if model.get(name)]
+    if model.get("type", "BPE") != "BPE":
+        out.append("model type")
+    if spec.get("normalizer"):
+        out.append("normalizer")
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        out.append("pre_tokenizer")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        out.append("decoder")
+    if any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip")):
+        out.append("added_tokens")
+    return out
+
+
 def load(path: str) -> Codec:
     with open(path, encoding="utf-8") as f:
-        return Codec(json.load(f))
+        spec = json.load(f)
+    if wrong := unsupported(spec):
+        raise ValueError(f"{path}: not supported: {', '.join(wrong)}")
+    return Codec(spec)
 
 
 def _here(key: str, shared) -> Codec:

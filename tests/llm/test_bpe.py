@@ -1,6 +1,7 @@
 """Encoding and decoding against the tokenizers library, and exact round trips."""
 
 import hashlib
+import json
 
 import pytest
 from hypothesis import given, settings
@@ -61,6 +62,38 @@ def test_forced_cuts_and_long_merges():
     assert CODEC._merge_long(list(ids)) == CODEC._merge_short(list(ids), best)
 
 
+def wide(shift):
+    """The vocabulary file with every id moved up."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = {k: i + shift for k, i in spec["model"]["vocab"].items()}
+    for t in spec["added_tokens"]:
+        t["id"] += shift
+    return spec
+
+
+def test_ids_beyond_16_bits():
+    spec = wide(3_000_000)
+    codec = bpe.Codec(spec)
+    for text in ("it's a théâtre 漢字 <|endoftext|> thereinafter " * 3, "ab" * 400, "x" * 100):
+        ids = [i + 3_000_000 for i in CODEC.encode(text)]
+        assert codec.encode(text) == ids and codec.decode(ids) == text
+        assert codec.round_trip(text) == (",".join(map(str, ids)), text)
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s.update(normalizer={"type": "NFC"}), lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+    lambda s: s.update(pre_tokenizer={"type": "Whitespace"}), lambda s: s["model"].update(ignore_merges=True),
+    lambda s: s["model"].update(byte_fallback=True), lambda s: s["added_tokens"][0].update(lstrip=True),
+    lambda s: s.update(pre_tokenizer=None), lambda s: s["model"].update(type="WordPiece")])
+def test_files_that_ask_for_more_are_refused(tmp_path, change):
+    spec = wide(0)
+    change(spec)
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.load(str(tmp_path / "v.json"))
+
+
 def test_table_limit(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_LIMIT", 3)
     c = bpe.load(PATH)
