@@ -24,6 +24,8 @@ columns and rows but the contaminated ones, whatever the columns are called.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,6 +86,16 @@ def edits_in_band(item: np.ndarray, text: np.ndarray, lo: int, width: int, ancho
     return int(row[j]), int(at[j])
 
 
+def disjoint(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(edits, start, end) regions of one item that do not overlap, best first, returned in text order."""
+    kept: list[tuple[int, int, int]] = []                  # by start
+    for e, s, t in sorted(found):
+        at = bisect.bisect_left(kept, s, key=lambda r: r[1])
+        if (at == 0 or kept[at - 1][2] <= s) and (at == len(kept) or t <= kept[at][1]):
+            kept.insert(at, (e, s, t))
+    return kept
+
+
 class Index:
     """q-grams of a block of items."""
 
@@ -179,34 +191,44 @@ class Index:
                 out.append((v // wide // n_items, i, v % wide + low))
         return np.array(out, dtype=np.int64).reshape(-1, 3)
 
-    def matches(self, buf: np.ndarray, offs: np.ndarray):
-        """(text, item id, edits, start, end) in source bytes: the best occurrence per text and item."""
+    def matches(self, buf: np.ndarray, offs: np.ndarray, once: bool = False):
+        """(text, item id, edits, start, end) in source bytes: every disjoint occurrence per text and item.
+        Of regions that overlap, the one of fewest edits stays (the first on ties). ``once``: a text
+        that is known to hold an item is looked at no further."""
         norm, cuts, place = normalise(buf, offs)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        regions: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        exact: dict[tuple[int, int], int] = {}             # begin of the last exact occurrence
+        hit = set()
         for text, item, band in self.candidates(norm, cuts).tolist():
-            body, k = self.texts[item], int(self.k[item])
-            if best.get((text, item), (1,))[0] == 0:       # nothing can be nearer, and the overlapping band sees the same
+            if once and text in hit:
                 continue
+            body, k = self.texts[item], int(self.k[item])
             begin, stop = int(cuts[text]), int(cuts[text + 1])
             lo = band * (k + 1)
+            if lo <= exact.get((text, item), lo - 1) < lo + 2 * (k + 1):
+                continue                                   # the overlapping band found this place without an edit
             left = max(0, lo)
             part = norm[begin + left:min(stop, begin + lo + 2 * (k + 1) + len(body))]
             edits, end = edits_in_band(body, part, lo - left, 2 * (k + 1))
             if edits > k:
                 continue
             size = len(body)
+            hit.add(text)
             if edits:                                      # where it begins: the same alignment read backwards
                 back, size = edits_in_band(body[::-1], part[:end][::-1], -(k + 1), 2 * (k + 1) + 1, anchored=True)
                 size = size if back <= edits else min(end, len(body))
-            found = (edits, left + end - size, left + end)
-            if found < best.get((text, item), (1 << 30, 0, 0)):
-                best[text, item] = found
-        out = [(text, self.ids[item], e, cuts[text] + s, cuts[text] + t) for (text, item), (e, s, t) in sorted(best.items())]
+            regions.setdefault((text, item), []).append((edits, left + end - size, left + end))
+            if not edits:
+                exact[text, item] = left + end - size
+        out = [(text, self.ids[item], e, cuts[text] + s, cuts[text] + t)
+               for (text, item), found in sorted(regions.items()) for e, s, t in disjoint(found)]
         for item_id, body in self.short:
             for text in range(len(cuts) - 1):
-                s = (b" " + norm[cuts[text]:cuts[text + 1]].tobytes() + b" ").find(b" " + body + b" ")
-                if s >= 0:
+                padded, word = b" " + norm[cuts[text]:cuts[text + 1]].tobytes() + b" ", b" " + body + b" "
+                s = padded.find(word)
+                while s >= 0:
                     out.append((text, item_id, 0, cuts[text] + s, cuts[text] + s + len(body)))
+                    s = padded.find(word, s + len(body) + 1)
         return [(t, i, e, int(place[s]) if s < len(place) else len(buf), int(place[x - 1]) + 1) for t, i, e, s, x in out]
 
 
@@ -222,13 +244,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text", rate: float = 0.1) -> DataFrame:
-    """(id, item, edits, start, end): every text and benchmark item found in it."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
-                           T.StructField(item_col, benchmark.schema[item_col].dataType),
+    """(id, item, edits, start, end): every disjoint region of a text that holds a benchmark item.
+    A column whose name an earlier one has is called ``benchmark_`` and that name."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType),
+                           T.StructField("item", benchmark.schema[item_col].dataType),
                            T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()),
                            T.StructField("end", T.LongType())])
-    names = schema.fieldNames()
-    src = tb.bound_batches(docs).select(id_col, text_col)
+    names, final = schema.fieldNames(), []
+    for name in (id_col, item_col, "edits", "start", "end"):
+        while name.lower() in (x.lower() for x in final):
+            name = f"benchmark_{name}"
+        final.append(name)
+    src = tb.bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = None
     for shared in _blocks(benchmark, item_col, item_text, rate):
         def run(batches, shared=shared):
@@ -251,7 +278,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         item_type = to_arrow_type(benchmark.schema[item_col].dataType)
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.toDF(*final)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -265,7 +292,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             for b in batches:
                 clean = np.ones(b.num_rows, dtype=bool)
                 for row, buf, offs in tb.chunks(b.column(at), 1 << 19):
-                    for f in index.matches(buf, offs):
+                    for f in index.matches(buf, offs, once=True):
                         clean[row + f[0]] = False
                 yield b.filter(pa.array(clean))
 

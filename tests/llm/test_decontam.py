@@ -80,3 +80,29 @@ def test_span_and_blocks(spark, monkeypatch):
     assert text[r["start"]:r["end"]].startswith("Ärger") and text[r["start"]:r["end"]].endswith("Satz")
     assert decontam.contaminated(d.limit(0), b).collect() == []
     assert decontam.contaminated(d, b.limit(0)).collect() == []
+
+
+def test_every_region_of_a_text(spark):
+    passage = "The quick brown fox jumps over the lazy dog near the old river bank"
+    near = passage.replace("lazy", "lazi").replace("river", "rivers")
+    text = f"{passage}. some words between, é and more. {near}! tail {passage.upper()}{' x' * 50} hi there. Hi, hi"
+    d = spark.createDataFrame([(1, text), (2, passage), (3, "aaaa " * 60)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, passage), (8, "hi"), (9, "aaaa " * 12)], "item_id long, text string")
+    rows = decontam.contaminated(d, b).collect()
+    of = lambda i, j: sorted((r["start"], r["end"], r["edits"]) for r in rows if (r["doc_id"], r["item_id"]) == (i, j))
+    spans = of(1, 7)
+    assert [e for _, _, e in spans] == [0, 2, 0] and [text[s:t].lower() for s, t, _ in spans] == [passage.lower(), near.lower(), passage.lower()]
+    assert [text[s:t] for s, t, _ in of(1, 8)] == ["hi", "Hi", "hi"] and len(of(2, 7)) == 1
+    runs = of(3, 9)
+    assert len(runs) >= 4 and all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+    assert [r["doc_id"] for r in decontam.drop_contaminated(d, b).collect()] == []
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a text with the passage of the benchmark in it")], "id long, Start string")
+    b = spark.createDataFrame([("q", "the passage of the benchmark")], "id string, text string")
+    got = decontam.contaminated(d, b, id_col="id", text_col="Start", item_col="id")
+    assert got.columns == ["id", "benchmark_id", "edits", "start", "end"]
+    assert got.first()[:3] == (1, "q", 0)
+    got = decontam.contaminated(d.withColumnRenamed("id", "End"), b, id_col="End", text_col="Start", item_col="id")
+    assert got.columns == ["End", "id", "edits", "start", "benchmark_end"] and got.count() == 1
