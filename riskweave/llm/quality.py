@@ -1,8 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-A document is a bag of hashed features: its words, its word pairs, its byte
-n-grams and a mark for every word that repeats the one before. Each feature has
-a learned vector; the document vector is the mean over the occurrences of each
+A document is a bag of hashed features: its words, its word pairs and its byte
+n-grams. Each feature has a learned vector; the document vector is the mean over the occurrences of each
 kind of feature, averaged over the kinds, and a softmax layer over it gives the
 class. Vectors and output weights are
 trained together by numpy stochastic gradient descent (AdaGrad steps, one
@@ -16,7 +15,8 @@ is not ``held``. Class sizes in the learning fold set the prior.
 Defined cases: a null or empty text has no features and gets the prior. An id
 with several labels teaches each of them; rows with a null label or id teach
 nothing. If one class is missing every text gets the share of class 1 (1.0 with
-no labels at all). Other columns pass through ``keep_good`` untouched.
+no labels at all). Other columns pass through ``keep_good`` untouched; in ``score``
+the new columns take the place of columns named ``score`` or ``predicted``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ BITS = 16
 DIM = 1 << BITS
 GRAMS = (2, 3, 4)
 KINDS = 2 + len(GRAMS)
-REPEAT = 0                                                    # feature of a word equal to the one before
 
 
 def features(buf: np.ndarray, offs: np.ndarray):
@@ -44,8 +43,7 @@ def features(buf: np.ndarray, offs: np.ndarray):
     yield text, (word >> np.uint64(64 - BITS)).astype(np.int64)
     pair = tb.mix(word[:-1] * np.uint64(3) + word[1:])
     inside = text[:-1] == text[1:]
-    h = (pair >> np.uint64(64 - BITS)).astype(np.int64)
-    yield text[1:][inside], np.where(word[:-1] == word[1:], REPEAT, h)[inside]
+    yield text[1:][inside], (pair >> np.uint64(64 - BITS)).astype(np.int64)[inside]
     for width in GRAMS:
         yield tb.byte_grams(buf, offs, width, BITS)
 
@@ -137,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3,
           keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) with ``score`` and ``predicted``; an existing
-    column of these names is an error of the caller. One row per row of ``docs``."""
+    """The columns ``keep`` (all by default) with ``score`` and ``predicted``, which take the
+    place of columns of these names. One row per row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
+    kept = [f for f in docs.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in ("score", "predicted")]
     schema = T.StructType(kept + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     names = schema.fieldNames()
     cols = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)]

@@ -61,6 +61,10 @@ def test_classifier_edges(spark):
     q = quality.fit(docs, labels, "doc_id", "text", "quality", 5, 0)
     assert quality.keep_good(rows, q).columns == rows.columns
     assert quality.score(rows.drop("score", "predicted"), q).count() == 8
+    clash = quality.score(rows.withColumnRenamed("score", "Score"), q)
+    assert clash.columns == ["doc_id", "text", "score", "predicted"] and clash.dtypes[2:] == [("score", "double"), ("predicted", "int")]
+    assert len(clash.collect()) == 8
+    assert len(quality.score(rows.drop("score").withColumnRenamed("text", "score"), q, text_col="score").collect()) == 8
     assert quality.score(rows.drop("score", "predicted").limit(0), q).collect() == []
     t = toxicity.fit(docs, labels, "doc_id", "text", "toxic", 3, 1)
     got = toxicity.score(rows, t).collect()
@@ -92,7 +96,11 @@ def test_toxic_passage_in_a_long_text():
     assert s[1] >= 0.7 and max(s[0], s[2], s[3], s[4]) < 0.7
 
 
-def test_repeats_are_low_quality_features():
+def test_word_pairs_are_hashed_alike():
+    """No pair of words has a feature made for it, and none reaches across texts."""
     _, buf, offs = next(tb.chunks(pa.array(["be be be to", "be", None])))
-    pairs = list(quality.features(buf, offs))[1]
-    assert list(pairs[1][:2]) == [quality.REPEAT] * 2 and len(pairs[1]) == 3
+    words, pairs = list(quality.features(buf, offs))[:2]
+    assert len(words[1]) == 5 and len(pairs[1]) == 3 and pairs[1][0] == pairs[1][1] != pairs[1][2]
+    _, buf, offs = next(tb.chunks(pa.array(["a a", "to to"])))
+    one, two = list(quality.features(buf, offs))[1][1]
+    assert one != two
