@@ -9,10 +9,15 @@ whole sequence, so each block is judged in the light of the entire page, and a
 logistic output marks the blocks of the main text.
 
 Training data: a bounded sample of pages (``sample`` of them, by a hash of the
-id). Their own blocks are labelled by the meaning of HTML elements, and their
-texts are also laid out anew in many generated page layouts (menus, headers,
-sidebars, notices, adverts, forms, comments; semantic elements or only class
-names), where the label is known. Labels never come from the page's url.
+id). Their own blocks are labelled by the meaning of HTML elements (``article`` or
+``main``, without ``nav``, ``aside``, ``footer``, forms and the like), never by class
+names or the page's url. Their texts are also laid out anew in many generated page
+layouts (menus, headers, sidebars, notices, adverts, forms, comments), where the label
+is known by construction. Most training pages are shown once more in disguise: every
+class, id and role is renamed at random or dropped, alike within a page, and on some
+the elements with a meaning become plain ``div``. So names and elements help where
+they are known, and the labeller has to do without them where they are not: from the
+page's shape, how much of its text has the same path, link shares and order.
 
 Defined cases: null or empty html gives an empty text. Markup may be broken:
 unclosed elements are closed by what follows, stray end tags are ignored, an
@@ -34,7 +39,7 @@ from pyspark.sql import types as T
 from riskweave.llm import sampling
 from riskweave.llm import textbits as tb
 
-PATH_DIM, WORD_DIM, VEC, HIDDEN, NUMBERS = 512, 512, 8, 16, 4
+PATH_DIM, WORD_DIM, VEC, HIDDEN, NUMBERS = 512, 512, 8, 16, 9
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>|<[!?][^>]*+>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
@@ -46,10 +51,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "msubsup munder mover munderover mstyle mspace mpadded semantics annotation".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
           "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
-MAIN_TAGS, MAIN_WORDS = {"article", "main"}, {"article", "content", "post", "entry", "story", "main"}
-SIDE_TAGS = {"nav", "header", "footer", "aside", "form", "title", "head", "button", "select", "textarea"}
-SIDE_WORDS = {"nav", "menu", "sidebar", "footer", "header", "ad", "ads", "advert", "cookie", "notice", "banner", "comment", "comments",
-              "related", "share", "promo", "sponsored", "widget", "breadcrumb", "form", "newsletter"}
+MAIN_TAGS = {"article", "main"}
+SIDE_TAGS = {"nav", "footer", "aside", "form", "title", "head", "button", "select", "textarea"}
+SECTIONS = "article|main|section|nav|header|footer|aside"
 
 
 def _slot(kind: str, value: str, dim: int) -> int:
@@ -57,7 +61,8 @@ def _slot(kind: str, value: str, dim: int) -> int:
 
 
 class Parser:
-    """Blocks of a page: (text, path feature ids, word ids, linked characters, path words)."""
+    """Blocks of a page: (text, path feature ids, word ids, linked characters, open elements); an
+    element is (tag, path feature ids, name words, number in the page)."""
 
     def __init__(self):
         self.tags: dict = {}
@@ -85,7 +90,7 @@ class Parser:
         out: list[tuple] = []
         stack: list[tuple] = []
         parts: list[str] = []
-        linked = at = 0
+        linked = at = opened = 0
         page = page or ""
 
         def flush():
@@ -134,16 +139,33 @@ class Parser:
                 at = end.end() if end else n + 1
                 continue
             if tag not in VOID and not m.group(3).endswith("/"):
-                stack.append(self._element(tag, m.group(3)))
+                opened += 1
+                stack.append((*self._element(tag, m.group(3)), opened))
         flush()
         return out
 
 
 def meaning(stack: list[tuple]) -> bool:
     """Main text by the meaning of the elements around it."""
-    main = any(e[0] in MAIN_TAGS or MAIN_WORDS & set(e[2]) for e in stack)
-    side = any((e[0] in SIDE_TAGS) or SIDE_WORDS & set(e[2]) for e in stack)
-    return main and not side
+    tags = [e[0] for e in stack]
+    inside = next((i for i, t in enumerate(tags) if t in MAIN_TAGS), None)
+    # a header is page furniture unless it belongs to the article
+    return inside is not None and not SIDE_TAGS & set(tags) and "header" not in tags[:inside]
+
+
+def disguise(rng: np.random.Generator, page: str) -> str:
+    """The page with its class, id and role values renamed at random or dropped, alike all over the page;
+    in half of the cases its sectioning elements become ``div``."""
+    drop, names = rng.random() < 0.4, {}
+
+    def name(m):
+        value = names.setdefault(m.group(2).strip("\"'"), "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(1, 6)))))
+        return " " if drop else f'{m.group(1)}="{value}"'
+
+    out = re.sub(r"<[a-zA-Z][^<>]*>", lambda m: re.sub(r"(\s(?:class|id|role))\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", name, m.group(0)), page)
+    if rng.random() < 0.5:
+        out = re.sub(rf"<(/?)(?:{SECTIONS})(?=[\s>])", r"<\1div", out, flags=re.I)
+    return out
 
 
 MARK = ""                                           # marks main blocks in generated pages
@@ -193,17 +215,28 @@ def generated(rng: np.random.Generator, prose: list[str], bits: list[str]) -> st
         return o + f"<h3>{line()}</h3>" + "".join(one.format(line(), para()) for _ in some(1, 5)) + c
 
     def body():
-        tops = [f"<h{pick(1, 2)}>{MARK}{line()}</h2>"] if rng.random() < 0.8 else []
+        tops = []
+        if rng.random() < 0.8:
+            o, c = pick(("", ""), ("", ""), ("<header>", "</header>"), ("<div class='title'>", "</div>"))
+            size = pick(1, 2)
+            tops = [f"{o}<h{size}>{MARK}{line()}</h{size}>{pick('', f'<p>{MARK}{line()}</p>')}{c}"]
+        in_table = rng.random() < 0.1
         rest = []
         for _ in some(1, 12):
+            if in_table:
+                rest.append(f"<tr><td>{MARK}{para()}</td></tr>")
+                continue
             rest.append(pick(f"<p>{MARK}{para()}</p>", f"<p>{MARK}{para()}</p>", f"<p><b>{MARK}{para()}<br>", f"<blockquote>{MARK}{para()}</blockquote>",
                              f"<h3>{MARK}{line()}</h3>", f"<ul><li>{MARK}{line()}</li><li>{MARK}{para()}</li></ul>", f"<div>{MARK}{para()}</div>"))
-            if rng.random() < 0.07:
-                rest.append(pick(advert, side, form, lambda: f"<div class='share'><a>{line()}</a></div>")())
+            if rng.random() < 0.1:
+                rest.append(pick(advert, side, form, notice, lambda: f"<div class='share'><a>{line()}</a><a>{line()}</a></div>")())
         o, c = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
                     ("<div class='content'>", "</div>"), ("<div class='post-body entry'>", "</div>"), ("<div id='main-content'>", "</div>"),
                     ("<section class='story'>", "</section>"), ("<article class='post'><div class='entry-content'>", "</div></article>"))
-        return o + "".join(tops + rest) + (comments() if rng.random() < 0.1 else "") + c
+        inner = "".join(rest)
+        if in_table:
+            inner = f"<table>{inner}</table>"
+        return o + "".join(tops) + inner + (comments() if rng.random() < 0.1 else "") + c
 
     top = [menu] * int(rng.integers(0, 3)) + [notice] * int(rng.integers(0, 2)) + [advert] * int(rng.integers(0, 2))
     if rng.random() < 0.5:
@@ -222,12 +255,34 @@ def inputs(pages: list[list[tuple]]):
     word = np.array([s for b in blocks for s in b[2]], dtype=np.int64)
     n_path, n_word = (np.array([len(b[k]) for b in blocks], dtype=np.int64) for k in (1, 2))
     chars = np.array([len(b[0]) for b in blocks], dtype=np.float64)
-    numbers = np.stack([np.log1p(chars) / 6, np.array([b[3] for b in blocks]) / np.maximum(chars, 1),
+    linked = np.array([b[3] for b in blocks]) / np.maximum(chars, 1)
+    numbers = np.stack([np.log1p(chars) / 6, linked,
                         np.array([b[0].count(".") + b[0].count(",") for b in blocks]) / np.maximum(n_word, 1),
-                        np.ones(len(blocks))], axis=1)
+                        np.ones(len(blocks)), *shape(pages, chars * np.maximum(1 - linked, 0))], axis=1)
     return path, n_path, word, n_word, np.minimum(numbers, 3.0)
 
 
+def shape(pages: list[list[tuple]], plain: np.ndarray) -> list[np.ndarray]:
+    """What names cannot hide, per block: the share of the page's unlinked text (``plain``) under the block's
+    container and under that container's parent, whether the container holds the most, place in the page, depth."""
+    out, lo = np.zeros((5, len(plain))), 0
+    for p in pages:
+        if not p:
+            continue
+        hi = lo + len(p)
+        total = max(plain[lo:hi].sum(), 1.0)
+        for row, up in ((0, 2), (1, 3)):                   # an element's number stands for all around it
+            at = np.array([b[4][-up][3] if len(b[4]) >= up else 0 for b in p])
+            held = np.bincount(at, weights=plain[lo:hi])
+            out[row, lo:hi] = held[at] / total
+            if not row:
+                out[2, lo:hi] = held[at] >= held.max()
+        out[3, lo:hi] = np.arange(hi - lo) / (hi - lo)
+        out[4, lo:hi] = [len(b[4]) / 8 for b in p]
+        lo = hi
+    return list(out)
+
+
 def _mean(table, ids, n):
     return np.add.reduceat(table[ids], np.r_[0, np.cumsum(n)[:-1]], axis=0) / n[:, None]
 
@@ -361,11 +416,12 @@ class Labeller:
         return self
 
 
-def fit_pages(pages: list[str], layouts: int = 400, longest: int = 120) -> Labeller:
-    """Trains on the given pages and on ``layouts`` generated ones that reuse their texts.
-    Training pages of more than ``longest`` blocks are left out; labelling knows no such bound."""
+def fit_pages(pages: list[str], layouts: int = 400, longest: int = 120, disguised: float = 0.7) -> Labeller:
+    """Trains on the given pages, on ``layouts`` generated ones that reuse their texts, and on a share
+    ``disguised`` of both under other names. Training pages of more than ``longest`` blocks are left out;
+    labelling knows no such bound."""
     parser, rng = Parser(), np.random.default_rng(8)
-    data, labels, prose, bits = [], [], [], []
+    data, labels, prose, bits, shown = [], [], [], [], []
     for page in pages:
         blocks = parser.blocks(page)
         for text, *_ in blocks:
@@ -374,14 +430,21 @@ def fit_pages(pages: list[str], layouts: int = 400, longest: int = 120) -> Label
         if y.any() and len(blocks) <= longest:
             data.append(blocks)
             labels.append(y)
+            shown.append(page)
+    for i, page in enumerate(shown):
+        if rng.random() < disguised:
+            hidden = parser.blocks(disguise(rng, page))
+            if [b[0] for b in hidden] == [b[0] for b in data[i]]:
+                data.append(hidden)
+                labels.append(labels[i])
     prose, bits = prose or ["Some words of a text that goes on for a while, and then ends."], bits or ["a few words"]
     for _ in range(layouts):
-        blocks = parser.blocks(generated(rng, prose, bits))
-        y = np.array([MARK in b[0] for b in blocks], dtype=bool)
-        clean = [(t.replace(MARK, ""), path, [w for w in word], linked, stack) for t, path, word, linked, stack in blocks]
-        clean = [(t, path, [parser._word(w) for w in t.split(" ")], linked, stack) for t, path, _, linked, stack in clean]
-        data.append(clean)
-        labels.append(y)
+        page = generated(rng, prose, bits)
+        for version in [page] + [disguise(rng, page)] * (rng.random() < disguised):
+            blocks = parser.blocks(version)
+            labels.append(np.array([MARK in b[0] for b in blocks], dtype=bool))
+            texts = [b[0].replace(MARK, "") for b in blocks]
+            data.append([(t, b[1], [parser._word(w) for w in t.split(" ")], b[3], b[4]) for t, b in zip(texts, blocks)])
     return Labeller().train(data, labels)
 
 
