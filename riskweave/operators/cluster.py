@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators import blocks as B
-from riskweave.operators.neighbors import collapse, components, spread_join, sq_dist
+from riskweave.operators.neighbors import collapse, components, spread_join, sq_dist, wide_join
 from riskweave.session import cut_lineage, drop_scratch
 
 
@@ -88,17 +88,17 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
     e2 = float(eps) * float(eps)
     near = B.visit(blocks, pairs, _weights_within(e2), "blk long, pos int, nw long").groupBy("blk", "pos").agg(F.sum("nw").alias("nw"))
     core = near.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("nw") >= min_samples).alias("c")))).alias("c"))
-    cored = cut_lineage(blocks.join(core.select("blk", F.col("c.c").alias("core")), "blk"))
+    cored = cut_lineage(wide_join(blocks, core.select("blk", F.col("c.c").alias("core")), "blk"))
     found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean"))
     flags = cored.select(F.explode(F.arrays_zip("ids", "core")).alias("p")).select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"))
     comp = components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
-    named = comp.join(points.select("pid", "uid"), "pid")
+    named = wide_join(comp, points.select("pid", "uid"), "pid")
     label = named.groupBy("component").agg(F.min("uid").alias("label"))
     named = cut_lineage(spread_join(named.select("pid", "component"), label, ["component"], "pid").select("pid", "label"))
     # a root may be near many border points: its label is copied to SALTS keys
     border = (spread_join(found.filter("border"), named.withColumnRenamed("pid", "b"), ["b"], "a")
               .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("near_label")))
-    lab = (flags.join(named, "pid", "left").join(border, "pid", "left")
+    lab = (wide_join(wide_join(flags, named, "pid", "left"), border, "pid", "left")
            .select("pid", "is_core", F.coalesce("label", "near_label", noise_label(id_type)).alias("cluster")))
     out = cut_lineage(spread_join(members, lab, ["pid"], id_col).select(*keys, id_col, "cluster", "is_core"))
     drop_scratch(points, blocks, pairs, cored, found, named, comp)

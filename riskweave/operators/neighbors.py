@@ -250,7 +250,14 @@ def spread_join(rows: DataFrame, one: DataFrame, on: list[str], by: str, how: st
     third of all rows share is no single task."""
     copies = one.withColumn("_salt", F.explode(F.array(*[F.lit(s) for s in range(salts)])))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return wide_join(salted, copies, [*on, "_salt"], how).drop("_salt")
+
+
+def wide_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` with both sides shuffled, never broadcast: for tables that grow with
+    the input. Spark judges a written table by its compressed size, and repeated values are many
+    times larger in memory, so a table of every row would pass through the driver."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Sequence[str] = ()

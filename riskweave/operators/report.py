@@ -72,9 +72,9 @@ def predictive_metrics(stacked: DataFrame, rows: DataFrame, label: str, threshol
     """(method, metric, value): each method as a classifier and the structure of its groups, in one
     pass. An id is predicted positive when the rate of one of its groups exceeds ``threshold``;
     noise and ids without a group are negative. ``rows`` (id, label) holds every id once."""
-    from riskweave.operators.neighbors import spread_join
+    from riskweave.operators.neighbors import spread_join, wide_join
     y = rows.select("id", F.col(label).cast("int").alias("_y"))
-    live = stacked.filter("NOT noise").join(y, "id")
+    live = wide_join(stacked.filter("NOT noise"), y, "id")
     groups = live.groupBy("method", "grp").agg((F.avg("_y") > threshold).alias("_hit"))
     seen = (spread_join(live, groups, ["method", "grp"], "id").groupBy("method", "id")
             .agg(F.max("_hit").alias("hit"), F.max("_y").alias("_y"), F.count(F.lit(1)).alias("in_groups")))
@@ -95,9 +95,10 @@ def quality_metrics(stacked: DataFrame, points: DataFrame, methods: Sequence[str
     """(method, metric, value): silhouette, Davies-Bouldin and Calinski-Harabasz of the named methods
     (those whose groups do not overlap), noise left out."""
     from riskweave.operators import quality as Q
+    from riskweave.operators.neighbors import wide_join
     from riskweave.session import cut_lineage
-    data = cut_lineage(stacked.filter("NOT noise").filter(F.col("method").isin(list(methods)))
-                       .join(points.select("id", features), "id").select("method", "grp", features))
+    data = cut_lineage(wide_join(stacked.filter("NOT noise").filter(F.col("method").isin(list(methods))),
+                                 points.select("id", features), "id").select("method", "grp", features))
     moments = Q.group_moments(data, ["method", "grp"], features)
     ch = F.col("ssb") / F.nullif("ssw", F.lit(0.0)) * ((F.col("n") - F.col("k")) / F.nullif(F.col("k") - 1, F.lit(0)))
     out = Q.within_between(moments, ["method"]).select("method", F.lit("calinski_harabasz").alias("metric"), ch.alias("value"))

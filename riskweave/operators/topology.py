@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.cluster import dbscan
-from riskweave.operators.neighbors import components
+from riskweave.operators.neighbors import components, spread_join, wide_join
 from riskweave.session import cut_lineage
 
 
@@ -90,13 +90,13 @@ def mapper(df: DataFrame, id_col: str, lens: Sequence[str], n_cubes: int = 15, o
     features; noise dropped; node ``cube{c}_cluster{j}`` with j the cluster's
     rank inside its cube by least member id (bounded per cube)."""
     cov = cover(df, id_col, lens, n_cubes, overlap)
-    pts = cov.join(df.select(id_col, features), id_col)
+    pts = wide_join(cov, df.select(id_col, features), id_col)
     cl = dbscan(pts, id_col, eps, min_samples, features, by="cube")
     noise = F.lit(-1).cast(df.schema[id_col].dataType)
     mem = cut_lineage(cl.filter(F.col("cluster") != noise).select("cube", "cluster", id_col))
     nodes = mem.select("cube", "cluster").distinct().withColumn(
         "j", F.dense_rank().over(Window.partitionBy("cube").orderBy("cluster")) - 1)
-    return (mem.join(nodes, ["cube", "cluster"])
+    return (spread_join(mem, nodes, ["cube", "cluster"], id_col)
                .select(F.concat(F.lit("cube"), F.col("cube").cast("string"), F.lit("_cluster"),
                                 F.col("j").cast("string")).alias("node_id"), "cube", id_col))
 
@@ -109,21 +109,21 @@ def nerve(members: DataFrame, id_col: str, min_intersection: int = 1) -> DataFra
     """
     a = members.select(F.col("node_id").alias("src"), id_col)
     b = members.select(F.col("node_id").alias("dst"), id_col)
-    return (a.join(b, id_col).filter(F.col("src") < F.col("dst"))
+    return (wide_join(a, b, id_col).filter(F.col("src") < F.col("dst"))
              .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("shared"))
              .filter(F.col("shared") >= min_intersection))
 
 
 def node_rates(members: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     y = F.col(label_col).cast("int")
-    return (members.join(labels.select(id_col, label_col), id_col)
+    return (wide_join(members, labels.select(id_col, label_col), id_col)
                    .groupBy("node_id").agg(F.count(F.lit(1)).alias("size"), F.avg(y.cast("double")).alias("tasa")))
 
 
 def edge_rates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("node_id", "tasa")
-    return (edges.join(n.withColumnRenamed("node_id", "src").withColumnRenamed("tasa", "t_src"), "src")
-                 .join(n.withColumnRenamed("node_id", "dst").withColumnRenamed("tasa", "t_dst"), "dst")
+    near = wide_join(edges, n.withColumnRenamed("node_id", "src").withColumnRenamed("tasa", "t_src"), "src")
+    return (wide_join(near, n.withColumnRenamed("node_id", "dst").withColumnRenamed("tasa", "t_dst"), "dst")
                  .select("src", "dst", ((F.col("t_src") + F.col("t_dst")) / 2).alias("tasa")))
 
 

@@ -234,7 +234,7 @@ drates AS (SELECT r.cluster, CAST(count(*) AS BIGINT) AS n_total, CAST(sum(CAST(
 
 def _db_rates(spark, sf):
     e = emb(spark, sf)
-    lab = K.dbscan(e, "id", EMB_EPS, EMB_MIN).join(e.select("id", (F.col("label") < 5).alias("y")), "id")
+    lab = N.wide_join(K.dbscan(e, "id", EMB_EPS, EMB_MIN), e.select("id", (F.col("label") < 5).alias("y")), "id")
     return Q.rate_by_group(lab, "cluster", "y")
 
 

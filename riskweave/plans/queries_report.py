@@ -8,6 +8,7 @@ from riskweave.operators import cluster as K
 from riskweave.operators import features as FE
 from riskweave.operators import report as RP
 from riskweave.operators import topology as TP
+from riskweave.operators.neighbors import wide_join
 from riskweave.plans import oracle as O
 from riskweave.plans import testbed as T
 from riskweave.plans.catalog import register
@@ -45,7 +46,7 @@ FROM (SELECT count(*) FILTER (WHERE pred AND y = 1) AS tp, count(*) FILTER (WHER
                "ON r.id = l.id GROUP BY r.cluster)"))
 def q_cluster_as_classifier(spark, sf):
     d = lowd(spark, sf)
-    lab = K.dbscan(d, "id", LOWD_EPS, LOWD_MIN).join(d.select("id", "label"), "id")
+    lab = wide_join(K.dbscan(d, "id", LOWD_EPS, LOWD_MIN), d.select("id", "label"), "id")
     out = RP.cluster_as_classifier(lab, "cluster", "label", 0.5, noise="-1")
     return out.select("tp", "fp", "fn", _r("precision"), _r("recall"), _r("f1_score"))
 

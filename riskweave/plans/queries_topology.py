@@ -130,7 +130,7 @@ def q_interpret_profile(spark, sf):
     labels = lowd(spark, sf).select("id", "label")
     cr = customer_risk(spark, sf).select(F.col("cif_nif").alias("id"),
                                          F.col("saldo_pendiente_total").cast("double").alias("saldo"))
-    prof = (mem.join(labels, "id").join(cr, "id").groupBy("node_id")
+    prof = (N.wide_join(N.wide_join(mem, labels, "id"), cr, "id").groupBy("node_id")
                .agg(F.avg(F.col("label").cast("int").cast("double")).alias("tasa"), F.avg("saldo").alias("saldo")))
     rate = F.col("tasa") * 100
     return prof.select("node_id", TP.interpret_profile(asnef_debt="saldo", rate_pct=rate).alias("reasons"),

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.neighbors import dot, principal_axes, spread_join, sq_dist
+from riskweave.operators.neighbors import dot, principal_axes, spread_join, sq_dist, wide_join
 
 MAX_CELL, MAX_PROBES = 4096, 65_536       # cores of a bucket, probes of a share
 
@@ -59,7 +59,7 @@ def fit_alert_model(df: DataFrame, id_col: str, label_col: str, columns: list |
         z = FE.assemble(FE.zscore(df.select(id_col, label_col, *columns), columns, stats), columns)
     z = cut_lineage(z.select(id_col, label_col, "features"))
     cl = dbscan(z, id_col, eps, min_samples)
-    lab = cl.join(z, id_col)
+    lab = wide_join(cl, z, id_col)
     rates = (lab.filter(F.col("cluster") != F.lit(-1).cast(df.schema[id_col].dataType))
                 .groupBy("cluster").agg(F.avg(F.col(label_col).cast("int").cast("double")).alias("tasa")))
     A = principal_axes(z, "features", axes)

@@ -34,3 +34,19 @@ def test_mapper_two_blobs(spark):
     g = TP.graph_metrics(nodes, edges).first()
     assert g.n_componentes >= 2 and {round(r.tasa) for r in nodes.collect()} == {0, 1}
     assert all(r.tasa in (0.0, 1.0) for r in nodes.collect())
+
+
+def test_mapper_broadcasts_no_table_of_every_row(spark, monkeypatch):
+    """Written tables of repeated values look small on disk; their joins must not pass through the driver."""
+    x = F.col("id") % 7
+    df = spark.range(5000).select("id", F.array(x.cast("double"), x.cast("double")).alias("features"), x.cast("double").alias("l0"))
+    seen = []
+    real = TP.dbscan
+    monkeypatch.setattr(TP, "dbscan", lambda pts, *a, **k: seen.append(pts) or real(pts, *a, **k))
+    mem = TP.mapper(df, "id", ["l0"], 4, 0.3, 0.6, 4)
+    nodes = TP.node_rates(mem, df.select("id", (x == 1).alias("y")), "id", "y")
+    seen += [mem, TP.nerve(mem, "id"), nodes]
+    for table in seen:
+        table.collect()
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    assert mem.select("id").distinct().count() == 5000
