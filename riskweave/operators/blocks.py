@@ -9,10 +9,11 @@ ball (centre, radius) that holds them.
 small summaries (one row per block) meet, on (group, salt); a pair of blocks whose
 balls are too far apart is never read again.
 
-``visit`` brings the two blocks of each surviving pair together, as one group of at
-most two rows, and applies a numpy function to it. A group never holds more than
-2 * ``rows`` points, however skewed the data, and no pair of points is written
-unless the function returns it.
+``visit`` brings the blocks of surviving pairs together and applies a numpy function to
+every pair. Pairs of many blocks meet in tiles of about ``TILE`` by ``TILE`` blocks, so a
+block travels once per tile, not once per pair. A tile holds some 2 * ``TILE`` * ``rows``
+points, however skewed the data, and no pair of points is written unless the function
+returns it; a function that does is given one pair of blocks at a time.
 
 Distances are summed dimension by dimension, left to right, as the SQL definition
 does, so a pair exactly at a threshold is decided the same way.
@@ -31,6 +32,8 @@ from riskweave.session import cut_lineage
 ROWS = 1024          # points of a block
 MAX_PIVOTS = 16384   # bound of the pivot sample, hence of what travels to every task
 TOPS = 128           # pivots of the upper level
+TILE = 8             # blocks a side that meet in one task
+TILE_FROM = 16       # tiles a side there are at least
 SLACK = 1e-9         # relative slack of ball bounds, for rounding in centres and radii
 
 
@@ -43,6 +46,62 @@ def sq_matrix(X: np.ndarray, Y: np.ndarray) -> np.ndarray:
     return out
 
 
+EXACT_DIM = 6        # up to here the sum by dimensions costs no more than the screen
+
+
+def near_matrix(X: np.ndarray, Y: np.ndarray, e2: float) -> np.ndarray:
+    """``sq_matrix(X, Y) <= e2``, decided by a matrix product; pairs so close to ``e2`` that its
+    rounding could matter are summed left to right."""
+    if X.shape[1] <= EXACT_DIM or not len(X) or not len(Y):
+        return sq_matrix(X, Y) <= e2
+    d2, slack = _screen(X, Y)
+    near = d2 <= e2
+    i, j = np.nonzero(~((d2 < e2 - slack) | (d2 > e2 + slack)))      # also where the product is not a number
+    near[i, j] = sq_pairs(X, Y, i, j) <= e2
+    return near
+
+
+def nearest_pairs(X: np.ndarray, Y: np.ndarray, allowed: np.ndarray, e2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, squared distance): the allowed pairs within ``e2`` that are the shortest of their row of X,
+    all of them on ties. The product leaves out what cannot be shortest; the rest are summed left
+    to right."""
+    if not len(X) or not len(Y):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    d2, slack = (sq_matrix(X, Y), 0.0) if X.shape[1] <= EXACT_DIM else _screen(X, Y)
+    least = np.where(allowed, d2 - slack, np.inf)
+    most = np.where(allowed, d2 + slack, np.inf).min(1)
+    i, j = np.nonzero(allowed & ~(least > np.minimum(most, e2)[:, None]))
+    exact = sq_pairs(X, Y, i, j)
+    best = np.full(len(X), np.inf)
+    np.minimum.at(best, i, exact)
+    keep = (exact == best[i]) & (exact <= e2) & np.isfinite(exact)
+    return i[keep], j[keep], exact[keep]
+
+
+def _screen(X: np.ndarray, Y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by a matrix product from a common origin, and a bound on how far they may
+    lie from those of ``sq_matrix``."""
+    mid = X.mean(0)
+    X, Y = X - mid, Y - mid
+    nx, ny = (X * X).sum(1), (Y * Y).sum(1)
+    d2 = X @ Y.T
+    d2 *= -2
+    d2 += nx[:, None]
+    d2 += ny[None, :]
+    grain = 16 * (X.shape[1] + 4) * np.finfo(float).eps
+    shift = float(np.abs(mid).max(initial=0.0)) ** 2 * X.shape[1]  # rounding of the subtraction itself
+    return d2, float(grain * (nx.max() + ny.max() + shift))
+
+
+def sq_pairs(X: np.ndarray, Y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``sq_matrix(X, Y)[i, j]``, summed in the same order."""
+    out = np.zeros(len(i))
+    for k in range(X.shape[1]):
+        diff = X[i, k] - Y[j, k]
+        out += diff * diff
+    return out
+
+
 def matrix(row) -> np.ndarray:
     """The vectors of a packed block (a row of the frame that ``visit`` hands over)."""
     return np.frombuffer(row.vecs).reshape(len(row.ids), -1)
@@ -165,11 +224,26 @@ def near_blocks(blocks: DataFrame, reach, left: str | None = None, ordered: bool
     return pairs.select("grp", "i", "j")
 
 
-def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``f(left row, right row) -> pandas frame`` on every pair (the same row twice where i = j)."""
+def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str, tiles: bool = True) -> DataFrame:
+    """``f(left row, right row) -> pandas frame`` on every pair (the same row twice where i = j).
+    Pass ``tiles=False`` where the rows of ``f`` may grow with the pairs of points."""
     import pandas as pd
-    a = blocks.join(pairs.select(F.col("i").alias("blk"), "i", "j"), "blk")
-    b = blocks.join(pairs.filter("i <> j").select(F.col("j").alias("blk"), "i", "j"), "blk")
+    from riskweave.operators.neighbors import wide_join
+    n = blocks.count() if tiles else 0
+    if n >= 2 * TILE_FROM:
+        side = -(-n // min(TILE, n // TILE_FROM))
+        tile = [F.pmod(F.xxhash64(c), F.lit(side)).cast("int").alias(t) for c, t in (("i", "ti"), ("j", "tj"))]
+        met = pairs.select("i", "j", *tile)
+        need = met.select(F.col("i").alias("blk"), "ti", "tj").unionByName(met.select(F.col("j").alias("blk"), "ti", "tj")).distinct()
+
+        def tiled(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            rows = {r.blk: r for r in held.itertuples()}
+            return pd.concat([f(rows[i], rows[j]) for i, j in zip(asked["i"], asked["j"])])
+
+        return (wide_join(blocks, need, "blk").groupBy("ti", "tj")
+                .cogroup(met.toDF("i", "j", "ui", "uj").groupBy("ui", "uj")).applyInPandas(tiled, schema))
+    a = wide_join(blocks, pairs.select(F.col("i").alias("blk"), "i", "j"), "blk")
+    b = wide_join(blocks, pairs.filter("i <> j").select(F.col("j").alias("blk"), "i", "j"), "blk")
 
     def both(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {r.blk: r for r in pdf.itertuples()}
@@ -188,14 +262,14 @@ def eps_pairs(blocks: DataFrame, eps: float, carry: Sequence[str] = ()) -> DataF
     e2 = float(eps) * float(eps)
 
     def pairs(x, y):
-        d2 = sq_matrix(matrix(x), matrix(y))
-        ia, ib = np.nonzero(d2 <= e2)
+        X, Y = matrix(x), matrix(y)
+        ia, ib = np.nonzero(near_matrix(X, Y, e2))
         ida, idb = np.asarray(x.ids)[ia], np.asarray(y.ids)[ib]
         if x.blk == y.blk:
             keep = ia < ib
             ia, ib, ida, idb = ia[keep], ib[keep], ida[keep], idb[keep]
         swap = np.array([p > q for p, q in zip(ida, idb)], dtype=bool) if ida.dtype == object else ida > idb
-        out = {"src": np.where(swap, idb, ida), "dst": np.where(swap, ida, idb), "dist": np.sqrt(d2[ia, ib])}
+        out = {"src": np.where(swap, idb, ida), "dst": np.where(swap, ida, idb), "dist": np.sqrt(sq_pairs(X, Y, ia, ib))}
         for c in carry:
             ca, cb = np.asarray(getattr(x, c))[ia], np.asarray(getattr(y, c))[ib]
             out[f"src_{c}"], out[f"dst_{c}"] = np.where(swap, cb, ca), np.where(swap, ca, cb)
@@ -203,7 +277,7 @@ def eps_pairs(blocks: DataFrame, eps: float, carry: Sequence[str] = ()) -> DataF
 
     schema = f"src {ident}, dst {ident}, dist double" + "".join(
         f", {side}_{c} {t}" for side in ("src", "dst") for c, t in item.items())
-    return visit(blocks, near_blocks(blocks, eps), pairs, schema)
+    return visit(blocks, near_blocks(blocks, eps), pairs, schema, tiles=False)
 
 
 def forest(links: np.ndarray) -> np.ndarray:

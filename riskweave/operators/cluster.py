@@ -27,7 +27,7 @@ def _weights_within(e2: float):
     import pandas as pd
 
     def count(x, y):
-        near = B.sq_matrix(B.matrix(x), B.matrix(y)) <= e2
+        near = B.near_matrix(B.matrix(x), B.matrix(y), e2)
         wx, wy = np.asarray(x.w), np.asarray(y.w)
         out = [pd.DataFrame({"blk": x.blk, "pos": np.arange(len(wx)), "nw": near @ wy})]
         if x.blk != y.blk:
@@ -41,7 +41,7 @@ def _links(e2: float):
     import pandas as pd
 
     def link(x, y):
-        near = B.sq_matrix(B.matrix(x), B.matrix(y)) <= e2
+        near = B.near_matrix(B.matrix(x), B.matrix(y), e2)
         cx, cy = np.asarray(x.core, dtype=bool), np.asarray(y.core, dtype=bool)
         ids = np.concatenate([np.asarray(x.ids), np.asarray(y.ids)])
         n = len(cx)

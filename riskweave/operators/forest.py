@@ -29,17 +29,10 @@ def _nearest_foreign(e2: float):
     def find(x, y):
         cx, cy = np.asarray(x.comp), np.asarray(y.comp)
         ix, iy = np.asarray(x.ids), np.asarray(y.ids)
-        d2 = B.sq_matrix(B.matrix(x), B.matrix(y))
-        d2[(cx[:, None] == cy[None, :]) | (d2 > e2)] = np.inf
-        lo, hi = np.minimum(ix[:, None], iy[None, :]), np.maximum(ix[:, None], iy[None, :])
-        best = d2.min(1)
-        rows = np.flatnonzero(np.isfinite(best))
-        out = []
-        for i in rows:                                    # equal lengths: the least pair of ids
-            js = np.flatnonzero(d2[i] == best[i])
-            j = js[np.lexsort((hi[i, js], lo[i, js]))[0]]
-            out.append((int(cx[i]), best[i], int(lo[i, j]), int(hi[i, j]), int(cy[j])))
-        edges = pd.DataFrame(out, columns=["c", "d2", "a", "b", "foreign"])
+        i, j, d2 = B.nearest_pairs(B.matrix(x), B.matrix(y), cx[:, None] != cy[None, :], e2)
+        lo, hi = np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])
+        edges = pd.DataFrame({"c": cx[i], "d2": d2, "a": lo, "b": hi, "foreign": cy[j]})
+        # equal lengths: the least pair of ids
         return edges.sort_values(["c", "d2", "a", "b"]).drop_duplicates("c") if len(edges) else edges
     return find
 

@@ -100,3 +100,32 @@ def test_euler_curve(spark):
     row = FO.euler_curve(spark.range(400), hub, [1.0]).first()
     assert (row.n_edges, row.n_triangles) == (400, 1)
     assert FO.euler_curve(spark.range(5), hub.filter("dist > 9"), [1.0]).first().euler == 5
+
+
+def test_screened_distances_decide_as_the_sum_by_dimensions():
+    rng = np.random.default_rng(3)
+    for d, scale, shift in ((7, 1.0, 0.0), (64, 0.1, 0.0), (20, 1e6, 3e7)):
+        X = np.round(rng.normal(size=(40, d)), 1) * scale + shift
+        Y = np.vstack([X[:20], np.round(rng.normal(size=(30, d)), 1) * scale + shift])
+        exact = B.sq_matrix(X, Y)
+        for e2 in rng.choice(exact.ravel(), 20):
+            assert np.array_equal(B.near_matrix(X, Y, e2), exact <= e2)
+            allowed = rng.random(exact.shape) < 0.7
+            d2 = np.where(allowed & (exact <= e2), exact, np.inf)
+            want = np.argwhere((d2 == d2.min(1)[:, None]) & np.isfinite(d2))
+            i, j, v = B.nearest_pairs(X, Y, allowed, e2)
+            assert np.array_equal(np.stack([i, j], axis=1), want) and np.array_equal(v, exact[i, j])
+
+
+def test_tiles_visit_every_pair_once(spark, monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(B, "TILE_FROM", 4)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=7)]) for i in range(400)], "id long, features array<double>")
+    blocks = B.pack(df, "id", rows=16)
+    pairs = B.near_blocks(blocks, 1.5)
+    seen = lambda x, y: pd.DataFrame({"i": [x.blk], "j": [y.blk]})
+    got = [tuple(r) for r in B.visit(blocks, pairs, seen, "i long, j long").collect()]
+    assert blocks.count() >= 2 * B.TILE_FROM and sorted(got) == sorted((r.i, r.j) for r in pairs.collect())
+    want = {(a, b) for a, b in zip(*np.nonzero(B.sq_matrix(*[np.array([r.features for r in df.orderBy("id").collect()])] * 2) <= 2.25)) if a < b}
+    assert {(r.src, r.dst) for r in B.eps_pairs(blocks, 1.5).collect()} == want
