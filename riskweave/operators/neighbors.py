@@ -336,19 +336,22 @@ def pack_blocks(df: DataFrame, id_col: str, label: str, features: str = "feature
     return cut_lineage(src.mapInPandas(pack, schema).withColumn("blk", F.monotonically_increasing_id()))
 
 
-def pair_blocks(left: DataFrame, right: DataFrame, score, schema: str, per_cell: int = 16) -> DataFrame:
+CELL_PAIRS, MIN_CELLS = 256, 64      # pairs of blocks a cell holds at most; cells there are at least
+
+
+def pair_blocks(left: DataFrame, right: DataFrame, score, schema: str) -> DataFrame:
     """Apply ``score(left block, right block) -> pandas frame`` to every pair of blocks.
 
     Fragment and replicate on a grid of side s: a left block takes one grid
     row and is copied to its s cells, a right block takes one column, and the
-    two meet by co-grouping on the cell. A cell holds about ``per_cell``
-    pairs, so a few blocks of each side, whatever the number of blocks; work
-    spreads over s * s keys and a block is shipped s times, not once per
-    partner.
+    two meet by co-grouping on the cell. A cell holds about ``CELL_PAIRS``
+    pairs, so about 16 blocks of each side, whatever the number of blocks (fewer
+    where there would be less than ``MIN_CELLS`` cells); work spreads over
+    s * s keys and a block is shipped s times, not once per partner.
     """
     import pandas as pd
     n = max(left.count(), 1) * max(right.count(), 1)
-    side = int(np.ceil(np.sqrt(n / per_cell)))
+    side = int(np.ceil(np.sqrt(n / min(CELL_PAIRS, max(16, n / MIN_CELLS)))))
     every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     own = F.pmod(F.xxhash64("blk"), F.lit(side)).cast("int")
     a = left.select("*", own.alias("_row")).select("*", every.alias("_col"))
