@@ -139,6 +139,7 @@ def wcss(df: DataFrame, group: str, features: str = "features") -> DataFrame:
 
 # K1 / K3 / K4 ----------------------------------------------------------------------
 PARTITION_ROWS = 65_536      # rows of one K-Means partition
+MAX_STARTS = 16              # starts under way at once: each keeps its centres on the driver
 
 
 def _kmeans_rows(df: DataFrame, id_col: str, features: str) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +152,10 @@ def _kmeans_rows(df: DataFrame, id_col: str, features: str) -> tuple[DataFrame,
     return rows, data
 
 
-def _kmeans_starts(data: DataFrame, starts: Sequence[tuple[int, int]], max_iter: int, tol: float, parallelism: int):
-    """(model, training cost) of every (k, seed), ``parallelism`` jobs at a time."""
+def _kmeans_starts(data: DataFrame, starts: Sequence[tuple[int, int]], max_iter: int, tol: float,
+                   parallelism: int | None):
+    """(model, training cost) of every (k, seed), ``parallelism`` jobs at a time (by default one a core, as
+    a start over few partitions leaves the other cores idle)."""
     from multiprocessing.pool import ThreadPool
 
     from pyspark import inheritable_thread_target
@@ -163,19 +166,20 @@ def _kmeans_starts(data: DataFrame, starts: Sequence[tuple[int, int]], max_iter:
                        initMode="k-means||").fit(data)
         return model, model.summary.trainingCost
 
-    with ThreadPool(max(1, min(parallelism, len(starts)))) as pool:
+    jobs = parallelism or max(4, data.sparkSession.sparkContext.defaultParallelism)
+    with ThreadPool(max(1, min(jobs, MAX_STARTS, len(starts)))) as pool:
         return pool.map(inheritable_thread_target(data.sparkSession)(start), starts, chunksize=1)
 
 
 def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
-           features: str = "features", tol: float = 1e-4, parallelism: int = 4
+           features: str = "features", tol: float = 1e-4, parallelism: int | None = None
            ) -> tuple[DataFrame, np.ndarray, float]:
     """K1: MLlib k-means|| restarted ``n_init`` times, best training cost kept.
 
     k-means|| draws per partition, so rows are dealt by id hash into
     partitions of about ``PARTITION_ROWS`` rows, sorted by id: neither the
     caller's partitioning nor the number of cores changes the answer. Starts
-    are independent jobs, ``parallelism`` of them at a time. Clusters are
+    are independent jobs, ``parallelism`` of them at a time (one a core by default). Clusters are
     relabelled by sorted centre order; equal costs keep the earliest start.
     Returns (assignments (id, cluster), centres k x d, wcss).
     """
@@ -191,7 +195,7 @@ def kmeans(df: DataFrame, id_col: str, k: int, seed: int = 42, n_init: int = 10,
 
 
 def elbow(df: DataFrame, id_col: str, k_values: Sequence[int], seed: int = 42, n_init: int = 3,
-          features: str = "features", max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
+          features: str = "features", max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None) -> DataFrame:
     """K3: WCSS per k: the best of ``n_init`` starts each, all on one copy of the input."""
     spark = df.sparkSession
     ks = [int(k) for k in k_values]

@@ -192,3 +192,21 @@ def test_elbow_equals_kmeans_and_queries_try_the_whole_curve(spark, monkeypatch)
     assert asked == [(list(range(2, 31)), 10)] * 2
     with pytest.raises(Asked, match="^10$"):
         QR._four_methods(spark, "")
+
+
+def test_elbow_does_not_depend_on_parallel_starts(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=2)]) for i in range(200)], "id long, features array<double>")
+    one = K.elbow(df, "id", range(2, 4), n_init=2, parallelism=1).collect()
+    assert K.elbow(df, "id", range(2, 4), n_init=2, parallelism=None).collect() == one
+
+
+def test_grid_of_blocks_meets_every_pair_once_in_few_cells(spark):
+    import pandas as pd
+    df = spark.range(1600).select("id", F.lit(0).alias("y"), F.array(F.col("id").cast("double")).alias("features"))
+    blocks = N.pack_blocks(df.coalesce(1), "id", "y", rows=10)
+    assert blocks.count() == 160
+    met = lambda x, y: pd.DataFrame({"i": [x.blk], "j": [y.blk], "row": [x._row], "col": [x._col]})
+    got = N.pair_blocks(blocks, blocks, met, "i long, j long, row int, col int").toPandas()
+    assert len(got) == 160 * 160 == len(got.drop_duplicates(["i", "j"]))
+    assert len(got.drop_duplicates(["row", "col"])) <= 160 * 160 // 200
