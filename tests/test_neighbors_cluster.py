@@ -206,7 +206,8 @@ def test_grid_of_blocks_meets_every_pair_once_in_few_cells(spark):
     df = spark.range(1600).select("id", F.lit(0).alias("y"), F.array(F.col("id").cast("double")).alias("features"))
     blocks = N.pack_blocks(df.coalesce(1), "id", "y", rows=10)
     assert blocks.count() == 160
-    met = lambda x, y: pd.DataFrame({"i": [x.blk], "j": [y.blk], "row": [x._row], "col": [x._col]})
+    # the last two columns of a copy are its cell
+    met = lambda x, y: pd.DataFrame({"i": [x.blk], "j": [y.blk], "row": [x[-2]], "col": [x[-1]]})
     got = N.pair_blocks(blocks, blocks, met, "i long, j long, row int, col int").toPandas()
     assert len(got) == 160 * 160 == len(got.drop_duplicates(["i", "j"]))
     assert len(got.drop_duplicates(["row", "col"])) <= 160 * 160 // 200
