@@ -36,7 +36,7 @@ from riskweave.llm import textbits as tb
 
 # Fixed value: the split pattern of this kind of vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TABLE_LIMIT = 350_000
+TABLE_LIMIT = 200_000                            # of each half of a worker's table
 NEVER = 1 << 64                                  # above every packed rank: no merge
 FORCED = NEVER + 1                               # and no token holds this pair of bytes: a certain cut
 _CODECS: dict[str, Codec] = {}                   # per worker process, so that its tables outlive a task
@@ -62,9 +62,8 @@ class Codec:
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.first = [vocab[c] for c in letters]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.packed = {a << 32 | b: rank << 32 | new for (a, b), (rank, new) in self.merge.items()}
+        self.packed = {vocab[a] << 32 | vocab[b]: rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(merges)}
         self.bytes_of = {i: bytes(to_byte[c] for c in s) for s, i in vocab.items()}
         self.pairs = [FORCED] * (1 << 16)                # what a pair of bytes merges to, if a token holds it at all
         for token in self.bytes_of.values():
@@ -72,17 +71,18 @@ class Codec:
                 self.pairs[a << 8 | b] = self.packed.get(self.first[a] << 32 | self.first[b], NEVER)
         self.key = hashlib.sha256(repr((sorted(vocab.items()), merges, sorted(self.added.items()))).encode()).hexdigest()
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.names = {i: f"{i}," for i in self.bytes_of}
+        self.names = {i: b"%d," % i for i in self.bytes_of}
         self._start()
 
     def _start(self):
         self.split = regex.compile(SPLIT)
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}                   # pieces of the part at hand that decode to other bytes
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "around", "pieces", "older")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "around", "pieces", "older", "odd")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -105,23 +105,23 @@ class Codec:
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, merge = len(ids), self.merge
+        n, merge = len(ids), self.packed
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i] if ids[i] == a else n
             if ids[i] != a or j >= n or ids[j] != b:
                 continue                                    # one of the two has been merged meanwhile
-            ids[i], ids[j] = merge[a, b][1], -1
+            ids[i], ids[j] = best & 0xFFFFFFFF, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merge.get((ids[i], ids[k])):
-                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
-            if (h := before[i]) >= 0 and (m := merge.get((ids[h], ids[i]))):
-                heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
+                if (m := merge.get(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (m, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (m := merge.get(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (m, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -146,13 +146,17 @@ class Codec:
                 return out
             lo = hi + 1
 
-    def _known(self, piece: str) -> tuple[str, bytes]:
-        """The ids of a piece as text with a comma after each, and the bytes they decode to."""
+    def _known(self, piece: str) -> bytes:
+        """The ids of a piece as text with a comma after each. What they decode to is kept, in ``odd``,
+        only where it is not the piece itself; such a piece is never held in the table."""
         got = self.older.get(piece)
         if got is None:
             ids = self.encode_piece(piece)
             name, token = self.names, self.bytes_of
-            got = "".join([name[i] for i in ids]), b"".join([token[i] for i in ids])
+            got = b"".join([name[i] for i in ids])
+            if (raw := b"".join([token[i] for i in ids])) != piece.encode():
+                self.odd[piece] = raw
+                return got
         if len(piece) <= 64:
             if len(self.pieces) >= TABLE_LIMIT:            # the older half goes, pieces in use come back
                 self.older, self.pieces = self.pieces, {}
@@ -181,15 +185,18 @@ class Codec:
         for part in self.parts(text):
             if part in self.added:
                 i = self.added[part]
-                names.append(f"{i},")
+                names.append(self.names[i])
                 raw.append(self.bytes_of[i])
                 continue
             pieces = self.split.findall(part)
-            table = self.pieces
-            known = [table.get(p) or self._known(p) for p in pieces]
-            names += [k[0] for k in known]
-            raw += [k[1] for k in known]
-        return "".join(names)[:-1], b"".join(raw).decode("utf-8", "replace")
+            for p in pieces:                             # the table may turn over in between
+                names.append(self.pieces.get(p) or self._known(p))
+            if self.odd:
+                raw += [self.odd.get(p) or p.encode() for p in pieces]
+                self.odd.clear()
+            else:
+                raw.append("".join(pieces).encode())
+        return b"".join(names)[:-1].decode(), b"".join(raw).decode("utf-8", "replace")
 
 
 def unsupported(spec: dict) -> list[str]:

@@ -54,7 +54,7 @@ HOT_ROWS = 10_000                    # rows of one shingle that one block should
 
 def _sets(column: pa.Array, size: int):
     """Per chunk: first row, number of texts, and sorted distinct (text, shingle hash)."""
-    for row, buf, offs in tb.chunks(column, 1 << 20):
+    for row, buf, offs in tb.chunks(column, 1 << 18):
         text, h = tb.shingle_hashes(tb.Words(buf, offs), size)
         text, h = tb.distinct_pairs(text, h)
         yield row, len(offs) - 1, text, h

@@ -101,6 +101,26 @@ def test_table_limit(monkeypatch):
     assert c.round_trip(text) == CODEC.round_trip(text) and len(c.pieces) <= 3 and len(c.older) <= 3
 
 
+def test_table_stays_small():
+    import tracemalloc
+    c = bpe.load(PATH)
+    text = "".join(f" {k:05d}q" for k in range(20_000)).translate(str.maketrans("0123456789", "abcdefghij"))
+    tracemalloc.start()
+    c.round_trip(text)
+    held = tracemalloc.get_traced_memory()[0] / len(c.pieces)
+    tracemalloc.stop()
+    assert len(c.pieces) == 20_000 and held * 2 * bpe.TABLE_LIMIT < 90e6
+
+
+def test_pieces_that_decode_to_other_bytes():
+    c = bpe.load(PATH)
+    (i,) = c.encode(" the")
+    c.bytes_of[i] = b"<the>"
+    for text in (" the cat the", " the", "no such piece", " the<|endoftext|> the"):
+        assert c.round_trip(text) == (",".join(map(str, c.encode(text))), c.decode(c.encode(text)))
+        assert " the" not in c.pieces and not c.odd
+
+
 def test_report(spark):
     rows = [(1, "Hello world"), (2, None), (3, ""), (3, "again"), (None, "x" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'z' as ids")
