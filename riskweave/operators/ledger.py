@@ -4,10 +4,9 @@ SURVEY Q1-Q4 with A1-A3, J1, J2, J8, U1-U3, P1-P10.
 
 Shuffle plan of ``customer_risk`` (checked with ``explain``):
   * registries: union -> one window on cif_nif (partial WindowGroupLimit);
-  * invoices: union -> join to customers on customer number (AQE may
-    broadcast the customer side when its measured size is under the
-    threshold, else sort-merge with skew splitting) -> dedupe window on the
-    invoice key -> aggregate per (cif_nif, invoice) -> aggregate per cif_nif.
+  * invoices: union -> join to customers on customer number (sort-merge with
+    skew splitting; customers grow with the input, so they are never
+    broadcast) -> dedupe window on the invoice key -> aggregate per (cif_nif, invoice) -> aggregate per cif_nif.
     Both aggregates are partial (map-side combine), so a customer with a
     third of all invoices reaches its reducer as one row per map task;
   * the final left joins are all on cif_nif against one-row-per-key sides.
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import exprs as X
 from riskweave.operators.dedupe import dedupe_by_priority, latest_attributes, latest_by
+from riskweave.operators.neighbors import wide_join
 
 
 # U1 / U2 / U3 ----------------------------------------------------------------
@@ -93,7 +93,7 @@ def ledger_join(entries: DataFrame, customers: DataFrame, entry_key: str = "cust
                 customer_key: str = "no_", extra_keys: Sequence[str] = ()) -> DataFrame:
     """Inner equi-join of ledger entries to their customer table."""
     cond = [entries[entry_key] == customers[customer_key]] + [entries[k] == customers[k] for k in extra_keys]
-    return entries.join(customers.drop(*extra_keys), cond, "inner")
+    return wide_join(entries, customers.drop(*extra_keys), cond)
 
 
 INVOICE_COLUMNS = ["cif_nif", "codigo_cliente", "numero_factura", "fecha_vencimiento",
@@ -281,9 +281,9 @@ def customer_risk(master: DataFrame, invoices: DataFrame, crm: DataFrame | None
     if rating is None:
         rating = spark.createDataFrame([], "cif_nif string, tipo string, cnae string, fecha_creacion date")
     aggs = invoice_aggregates(invoices, crit)
-    j = (master.join(crm, "cif_nif", "left")
-               .join(rating.withColumnRenamed("cnae", "cnae_rating"), "cif_nif", "left")
-               .join(aggs, "cif_nif", "left"))
+    j = wide_join(master, crm, "cif_nif", "left")
+    j = wide_join(j, rating.withColumnRenamed("cnae", "cnae_rating"), "cif_nif", "left")
+    j = wide_join(j, aggs, "cif_nif", "left")
     tipo_r = F.col("tipo")
     sector = X.first_non_null("cnae_bc", "cnae_rating", "cnae_salesforce")
     created = X.first_non_null(F.col("fecha_creacion"), F.try_to_date(F.col("fecha_constitucion_salesforce")))

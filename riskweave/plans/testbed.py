@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import ledger as L
 from riskweave.operators.joins import lookup_join, snowflake_join
+from riskweave.operators.neighbors import wide_join
 
 REPORT_DATE = "2001-09-30"
 SOURCE_PRIORITY = {"A": 1, "B": 2, "C": 3}
@@ -121,7 +122,7 @@ def crm_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     c = customers(spark, sf_dir).select("no_", "vat_registration_no_")
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("sector_id"), F.col("n_name").alias("sector_name"))
-    acc = (e.join(c, e.user_id == c.no_, "inner")
+    acc = (wide_join(e, c, e.user_id == c.no_)
             .select(F.col("vat_registration_no_").alias("document_number"),
                     (F.col("user_id") % 25).cast("int").alias("sector_id"),
                     F.col("ts").cast("string").alias("incorporation_date"),
