@@ -8,23 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_SHARES = 64
+NULL_SHARES = 1 << 14      # only rows without a key are dealt, so a large number costs nothing
+
+
+def _none_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
 
 
 def left_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None) -> DataFrame:
     """Left join on ``on`` (= ``right_on``); the rows without a key are dealt over NULL_SHARES tasks.
 
-    With one key name the key comes back once, as in ``join(..., on)``."""
+    With one key name the key comes back once, as in ``join(..., on)``. The right side's share is
+    always 0 but spelled as a hash: Spark does not join on a constant, so a literal would leave
+    the rows without a key together."""
     same = right_on is None or right_on == on
     simple = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
     share = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*simple), F.lit(NULL_SHARES))).otherwise(F.lit(0))
     a = left.withColumn("_share", share.cast("int"))
     if same:
-        return a.join(right.withColumn("_share", F.lit(0)), [on, "_share"], "left").drop("_share")
-    b = right.withColumn("_share_r", F.lit(0))
+        return a.join(right.withColumn("_share", _none_of(on)), [on, "_share"], "left").drop("_share")
+    b = right.withColumn("_share_r", _none_of(right_on))
     return a.join(b, (F.col(on) == F.col(right_on)) & (F.col("_share") == F.col("_share_r")), "left").drop("_share", "_share_r")
 
 
