@@ -201,15 +201,20 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     left; there is no round limit. The per-round maps are then composed from
     the last to the first, and each component takes its least id.
 
+    Before the first round every run of ``SMALL_GRAPH`` edges of a partition is replaced by stars
+    over its own components, in place: edges that lie together, or repeat, are contracted
+    without a shuffle.
+
     A hub with very many edges costs one row per map task in the partial
     aggregate; the joins that rewrite edges read written tables on both
     sides, so AQE can split a hub's rows. Rows with a null end and loops are
     ignored; every vertex of ``vertices`` comes back once.
     """
-    e = (edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-              .filter(F.col("a") != F.col("b"))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    e = cut_lineage(e)
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
+    if edges.schema[src].dataType.simpleString() in ("bigint", "int", "string") and edges.schema[src].dataType == edges.schema[dst].dataType:
+        e = cut_lineage(_local_stars(e))
+    else:
+        e = cut_lineage(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
         rnd = F.lit(len(maps))
@@ -274,6 +279,50 @@ def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Seque
 SMALL_GRAPH = 1 << 17      # edges that one task may hold
 
 
+def _least_code(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least node of the component of each of n nodes, with an edge from every a to its b."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        after = least.copy()
+        np.minimum.at(after, least[a], low)
+        np.minimum.at(after, least[b], low)
+        after = after[after]
+        if np.array_equal(after, least):
+            return least
+        least = after
+
+
+def _local_stars(e: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of ``e``: every run of about ``SMALL_GRAPH`` rows of a partition becomes
+    a star per component, around the vertex that is first in the order of the first round."""
+    import pandas as pd
+    kind, most = e.schema["a"].dataType.simpleString(), SMALL_GRAPH
+
+    def star(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, first, code = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_index=True, return_inverse=True)
+        order = np.argsort(np.concatenate([pdf["ha"], pdf["hb"]])[first], kind="stable")      # ids are sorted: ties by id
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        least = _least_code(*place[code].reshape(2, -1), len(ids))
+        named, far = ids[order], np.flatnonzero(least != np.arange(len(ids)))
+        return pd.DataFrame({"a": named[least[far]], "b": named[far]})
+
+    def stars(it):
+        held, n = [], 0
+        for pdf in it:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= most:
+                yield star(pd.concat(held))
+                held, n = [], 0
+        if n:
+            yield star(pd.concat(held))
+
+    rnd = F.lit(0)
+    return e.select("a", "b", F.xxhash64(rnd, "a").alias("ha"), F.xxhash64(rnd, "b").alias("hb")).mapInPandas(stars, f"a {kind}, b {kind}")
+
+
 def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: str = "src", dst: str = "dst",
                small: int = SMALL_GRAPH) -> DataFrame:
     """``connected_components``, without its rounds where the graph has at most ``small`` edges: then
@@ -287,16 +336,7 @@ def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: s
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, code = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
         a, b = code.reshape(-1, 2).T
-        least = np.arange(len(ids))                        # ids are sorted: the least code is the least id
-        while True:
-            low = np.minimum(least[a], least[b])
-            after = least.copy()
-            np.minimum.at(after, least[a], low)
-            np.minimum.at(after, least[b], low)
-            after = after[after]
-            if np.array_equal(after, least):
-                return pd.DataFrame({"v": ids, "component": ids[least]})
-            least = after
+        return pd.DataFrame({"v": ids, "component": ids[_least_code(a, b, len(ids))]})  # ids are sorted: the least code is the least id
 
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     named = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(label, f"v {simple}, component {simple}")

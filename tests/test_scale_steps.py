@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import joins as J
+from riskweave.operators import neighbors as N
 
 
 @pytest.fixture
@@ -26,3 +27,25 @@ def test_rows_without_a_key_are_joined_in_many_tasks(shuffled, right_on):
     assert [tuple(r) for r in out.filter("v is not null").select("id", "v").orderBy("id", "v").collect()] == [(0, "a"), (10, "b"), (10, "c")]
     held = out.filter("key is null").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(held) == 8 and max(r["count"] for r in held) < 1200       # 3600 in one partition before
+
+
+def test_edges_that_lie_together_are_contracted_in_place(spark, monkeypatch):
+    chains = [(1000 * c + i, 1000 * c + i + 1) for c in range(20) for i in range(300)]
+    edges = spark.createDataFrame(chains, "src long, dst long").repartition(4, F.floor(F.col("src") / 1000))
+    rounds, real = [], N.both_directions
+    monkeypatch.setattr(N, "both_directions", lambda *a, **k: rounds.append(1) or real(*a, **k))
+    verts = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    got = {r["id"]: r["component"] for r in N.connected_components(verts, edges).collect()}
+    assert got == {1000 * c + i: 1000 * c for c in range(20) for i in range(301)}
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string", "decimal(10,0)"])
+def test_components_of_any_id_with_loops_repeats_and_nulls(spark, monkeypatch, kind):
+    monkeypatch.setattr(N, "SMALL_GRAPH", 3)
+    rows = [(1, 2), (2, 1), (2, 3), (3, 3), (5, 4), (None, 4), (6, None), (7, 8), (8, 9), (9, 7), (9, 3)]
+    edges = spark.createDataFrame(rows, "src long, dst long").select(F.col("src").cast(kind), F.col("dst").cast(kind)).repartition(3)
+    verts = spark.range(1, 11).select(F.col("id").cast(kind))
+    got = {int(r["id"]): int(r["component"]) for r in N.connected_components(verts, edges).collect()}
+    least = 1
+    assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], least), 4: 4, 5: 4, 6: 6, 10: 10}
