@@ -1,8 +1,12 @@
 """Steps that must not grow with the rows of one key, one task or one vertex."""
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators import forest as FO
 from riskweave.operators import joins as J
 from riskweave.operators import neighbors as N
 
@@ -49,3 +53,30 @@ def test_components_of_any_id_with_loops_repeats_and_nulls(spark, monkeypatch, k
     got = {int(r["id"]): int(r["component"]) for r in N.connected_components(verts, edges).collect()}
     least = 1
     assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], least), 4: 4, 5: 4, 6: 6, 10: 10}
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 60, 7])
+def test_triangles_without_wedges(spark, monkeypatch, cell):
+    monkeypatch.setattr(FO, "WEDGES", 50)
+    rng = np.random.default_rng(8)
+    n, cuts = 40, [0.2, 0.5, 0.9]
+    D = np.triu(rng.random((n, n)), 1)
+    rows = [(f"v{i:02d}", f"v{j:02d}", float(D[i, j])) for i, j in itertools.combinations(range(n), 2)]
+    rows += [r for r in rows if r[0] == "v03"]                           # repeated edges count as often as they come
+    many = np.triu(np.ones((n, n), int), 1)
+    many[3, 4:] = 2
+    pairs = spark.createDataFrame(rows, "src string, dst string, dist double").repartition(3)
+    verts = spark.createDataFrame([(f"v{i:02d}",) for i in range(n)], "id string")
+    got = {r.threshold: (r.n_vertices, r.n_edges, r.n_triangles) for r in FO.euler_curve(verts, pairs, cuts, cell_arcs=cell).collect()}
+    for t in cuts:
+        m = many * (D <= t)
+        tri = sum(int(m[i, j] * m[i, k] * m[j, k]) for i, j, k in itertools.combinations(range(n), 3))
+        assert got[t] == (n, int(m.sum()), tri)
+
+
+def test_an_edge_goes_to_one_cell_per_colour(spark):
+    arcs = spark.createDataFrame([(i, j, 0) for i, j in itertools.combinations(range(60), 2)], "u long, v long, k int")
+    dealt = FO._cells(arcs, 5, 1)
+    assert dealt.count() == 5 * arcs.count()                             # the wedges are 58 / 2 * 2/3 times the edges
+    assert dealt.distinct().count() == dealt.count()
+    assert dealt.select("cell").distinct().count() == 5 * 6 * 7 // 6
