@@ -108,10 +108,19 @@ def matrix(row) -> np.ndarray:
 
 
 def pivots(df: DataFrame, id_col: str, features: str, rows: int) -> np.ndarray:
-    """About four points per block, at most MAX_PIVOTS, picked by a hash of the id."""
+    """About four points per block, at most MAX_PIVOTS, picked by a hash of the id.
+
+    Every task sends the driver as many rows as are wanted in all, so rows whose hash is not among
+    the least are left out first; the pick is the same."""
     n = df.count()
     want = int(min(MAX_PIVOTS, max(1, 4 * n // rows)))
-    some = df.select(features).orderBy(F.xxhash64(F.lit(7), F.col(id_col)), id_col).limit(want).collect()
+    place = F.xxhash64(F.lit(7), F.col(id_col))
+    some, share = [], (want + 8 * want ** 0.5 + 8) / max(n, 1)
+    if share < 1:
+        low = df.select(features, id_col).filter(place <= F.lit(int(share * 2 ** 64) - 2 ** 63))
+        some = low.orderBy(place, id_col).limit(want).collect()
+    if len(some) < want:            # ids that repeat may leave too few
+        some = df.select(features, id_col).orderBy(place, id_col).limit(want).collect()
     return np.array([r[0] for r in some], dtype=float)
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators import blocks as B
 from riskweave.operators import forest as FO
 from riskweave.operators import joins as J
 from riskweave.operators import neighbors as N
@@ -55,6 +56,24 @@ def test_components_of_any_id_with_loops_repeats_and_nulls(spark, monkeypatch, k
     assert got == {**dict.fromkeys([1, 2, 3, 7, 8, 9], least), 4: 4, 5: 4, 6: 6, 10: 10}
 
 
+def test_pivots_send_few_rows_and_pick_the_same(spark, monkeypatch):
+    monkeypatch.setattr(B, "MAX_PIVOTS", 50)
+    df = spark.range(20000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features")).repartition(8)
+    want = df.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(50).collect()
+    asked, real = [], type(df).orderBy
+
+    def order(self, *cols, **how):
+        asked.append(self.count())
+        return real(self, *cols, **how)
+
+    monkeypatch.setattr(type(df), "orderBy", order)
+    assert np.array_equal(B.pivots(df, "id", "features", 16), np.array([r["features"] for r in want]))
+    assert asked and asked[-1] < 250                                     # all 20000 before
+    alike = df.withColumn("id", F.lit(3))                                # every hash equal: none or all pass the filter
+    assert len(B.pivots(alike, "id", "features", 16)) == 50
+    assert B.pivots(df.filter("id < 0"), "id", "features", 16).size == 0
+
+
 @pytest.mark.parametrize("cell", [1 << 20, 60, 7])
 def test_triangles_without_wedges(spark, monkeypatch, cell):
     monkeypatch.setattr(FO, "WEDGES", 50)
