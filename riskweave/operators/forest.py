@@ -144,7 +144,7 @@ def _count_triangles(parts: int, levels: int):
             j = i + 1 + np.arange(len(i)) - np.repeat(upto[a:b] - upto[a], after[a:b])
             low = np.minimum(np.minimum(cu[i], cv[i]), cv[j])
             high = np.maximum(np.maximum(cu[i], cv[i]), cv[j])
-            own = (low * parts + (cu[i] + cv[i] + cv[j] - low - high)) * parts + high == cell
+            own = (v[i] != v[j]) & ((low * parts + (cu[i] + cv[i] + cv[j] - low - high)) * parts + high == cell)
             i, j = i[own], j[own]
             third = np.minimum(v[i], v[j]) * len(names) + np.maximum(v[i], v[j])
             at = np.searchsorted(key, third)

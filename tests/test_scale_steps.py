@@ -99,3 +99,11 @@ def test_an_edge_goes_to_one_cell_per_colour(spark):
     assert dealt.count() == 5 * arcs.count()                             # the wedges are 58 / 2 * 2/3 times the edges
     assert dealt.distinct().count() == dealt.count()
     assert dealt.select("cell").distinct().count() == 5 * 6 * 7 // 6
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 3])
+def test_repeated_ends_of_a_wedge_close_nothing(spark, cell):
+    # two edges to one vertex are no wedge, although that vertex has a loop
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (2, 2, 0.0), (2, 3, 0.5), (1, 3, 0.5)], "src long, dst long, dist double")
+    for rows, tri in ((pairs.filter("src = 1 OR src = dst"), 0), (pairs.filter("src <> dst"), 2)):
+        assert FO.euler_curve(spark.range(1, 4), rows, [1.0], cell_arcs=cell).first().n_triangles == tri
