@@ -24,14 +24,22 @@ def left_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
     With one key name the key comes back once, as in ``join(..., on)``. The right side's share is
     always 0 but spelled as a hash: Spark does not join on a constant, so a literal would leave
     the rows without a key together."""
-    same = right_on is None or right_on == on
+    return left_joins(left, [(right, right_on)], on)
+
+
+def left_joins(left: DataFrame, rights: Sequence[tuple[DataFrame, str | None]], on: str) -> DataFrame:
+    """``left_join`` to several tables (table, its key or None) on one key: the rows are dealt and
+    shuffled once for all of them."""
     simple = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
     share = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*simple), F.lit(NULL_SHARES))).otherwise(F.lit(0))
-    a = left.withColumn("_share", share.cast("int"))
-    if same:
-        return a.join(right.withColumn("_share", _none_of(on)), [on, "_share"], "left").drop("_share")
-    b = right.withColumn("_share_r", _none_of(right_on))
-    return a.join(b, (F.col(on) == F.col(right_on)) & (F.col("_share") == F.col("_share_r")), "left").drop("_share", "_share_r")
+    out = left.withColumn("_share", share.cast("int"))
+    for right, right_on in rights:
+        if right_on is None or right_on == on:
+            out = out.join(right.withColumn("_share", _none_of(on)), [on, "_share"], "left")
+        else:
+            b = right.withColumn("_share_r", _none_of(right_on))
+            out = out.join(b, (F.col(on) == F.col(right_on)) & (F.col("_share") == F.col("_share_r")), "left").drop("_share_r")
+    return out.drop("_share")
 
 
 def lookup_join(left: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.dedupe import argmax_rejoin, latest_per_key_in, latest_request
 from riskweave.operators.ledger import union_all
-from riskweave.operators.joins import left_join
+from riskweave.operators.joins import left_join, left_joins
 
 
 # A4 --------------------------------------------------------------------------------
@@ -92,19 +92,22 @@ def rating_features(t: dict[str, DataFrame], with_offers: bool = True) -> DataFr
         "fecha_constitucion_pt", "ing_explotacion_pt", "importe_neto_pt", "gastos_financieros_pt")
     r = ev.select("id_evaluacion", "fecha_creacion", "id_estado_moroso",
                   F.left(F.col("fecha_creacion").cast("string"), F.lit(7)).alias("ano_mes_creacion"))
-    # most evaluations lack some link of the chain: rows without a key are spread, not joined in one task
-    for table, key in ((req, "id_evaluacion"), (t["client"], "id_cliente"), (t["model_response"], "rating_id"),
-                       (lim, "id_evaluacion"), (t["limits_ge"], "id_evaluacion"), (t["estado_moroso"], "id_estado_moroso"),
-                       (eeff, "id_evaluacion"), (pt, "id_eeff")):
-        r = left_join(r, table, key)
-    if with_offers and "offers" in t:
-        r = left_join(r, t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id"), "rating_id")
     risk = latest_per_key_in(t["risk"], "id_cliente", "fecha_creacion").select(
         F.col("id_cliente").alias("id_cliente_riesgo_vivo"), F.col("riesgo_power").alias("riesgo_vivo_power"),
         F.col("riesgo_gas").alias("riesgo_vivo_gas"), F.col("volumen").alias("volumen_riesgo"),
         F.col("riesgo_power_falcon").alias("riesgo_vivo_power_falcon"),
         F.col("riesgo_eficiencia").alias("riesgo_vivo_eficiencia"))
-    r = left_join(r, risk, "id_cliente", "id_cliente_riesgo_vivo")
+    # most evaluations lack some link of the chain: rows without a key are spread, not joined in one task.
+    # Tables of one key follow each other, so rows are shuffled once a key; those that multiply rows come last
+    r = left_joins(r, [(req, None), (t["limits_ge"], None), (eeff, None)], "id_evaluacion")
+    r = left_join(r, t["estado_moroso"], "id_estado_moroso")
+    r = left_join(r, pt, "id_eeff")
+    r = left_joins(r, [(t["client"], None), (risk, "id_cliente_riesgo_vivo")], "id_cliente")
+    r = left_join(r, lim, "id_evaluacion")
+    rated = [(t["model_response"], None)]
+    if with_offers and "offers" in t:
+        rated.append((t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id"), None))
+    r = left_joins(r, rated, "rating_id")
     return r.select(*RATING_COLUMNS)
 
 

@@ -34,6 +34,17 @@ def test_rows_without_a_key_are_joined_in_many_tasks(shuffled, right_on):
     assert len(held) == 8 and max(r["count"] for r in held) < 1200       # 3600 in one partition before
 
 
+def test_tables_of_one_key_are_joined_after_one_shuffle(shuffled):
+    left = shuffled.range(300).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("key"))
+    one = shuffled.createDataFrame([(1, "a"), (None, "n")], "key long, v string")
+    two = shuffled.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "other long, w string")
+    out = J.left_joins(left, [(one, None), (two, "other")], "key")
+    assert out.columns == ["key", "id", "v", "other", "w"] and out.count() == 301
+    got = out.filter("w is not null").select("key", "id", "v", "other", "w").orderBy("w").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "a", 1, "b"), (1, 1, "a", 1, "c"), (2, 2, None, 2, "d")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3      # one a table
+
+
 def test_edges_that_lie_together_are_contracted_in_place(spark, monkeypatch):
     chains = [(1000 * c + i, 1000 * c + i + 1) for c in range(20) for i in range(300)]
     edges = spark.createDataFrame(chains, "src long, dst long").repartition(4, F.floor(F.col("src") / 1000))
