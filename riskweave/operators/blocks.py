@@ -55,9 +55,12 @@ def near_matrix(X: np.ndarray, Y: np.ndarray, e2: float) -> np.ndarray:
     if X.shape[1] <= EXACT_DIM or not len(X) or not len(Y):
         return sq_matrix(X, Y) <= e2
     d2, slack = _screen(X, Y)
-    near = d2 <= e2
-    i, j = np.nonzero(~((d2 < e2 - slack) | (d2 > e2 + slack)))      # also where the product is not a number
-    near[i, j] = sq_pairs(X, Y, i, j) <= e2
+    if not slack < 1e290:                    # the product may not be a number
+        return sq_matrix(X, Y) <= e2
+    near, maybe = d2 < e2 - slack, d2 <= e2 + slack
+    if np.count_nonzero(near) != np.count_nonzero(maybe):
+        i, j = np.nonzero(maybe & ~near)
+        near[i, j] = sq_pairs(X, Y, i, j) <= e2
     return near
 
 
@@ -84,10 +87,8 @@ def _screen(X: np.ndarray, Y: np.ndarray) -> tuple[np.ndarray, float]:
     mid = X.mean(0)
     X, Y = X - mid, Y - mid
     nx, ny = (X * X).sum(1), (Y * Y).sum(1)
-    d2 = X @ Y.T
-    d2 *= -2
-    d2 += nx[:, None]
-    d2 += ny[None, :]
+    # the squares are two more columns of the product: the matrix is written once
+    d2 = np.column_stack([X, nx, np.ones(len(X))]) @ np.column_stack([-2 * Y, np.ones(len(Y)), ny]).T
     grain = 16 * (X.shape[1] + 4) * np.finfo(float).eps
     shift = float(np.abs(mid).max(initial=0.0)) ** 2 * X.shape[1]  # rounding of the subtraction itself
     return d2, float(grain * (nx.max() + ny.max() + shift))
@@ -233,21 +234,24 @@ def near_blocks(blocks: DataFrame, reach, left: str | None = None, ordered: bool
     return pairs.select("grp", "i", "j")
 
 
-def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str, tiles: bool = True) -> DataFrame:
+def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str, tiles: bool = True,
+          merge: Callable | None = None) -> DataFrame:
     """``f(left row, right row) -> pandas frame`` on every pair (the same row twice where i = j).
-    Pass ``tiles=False`` where the rows of ``f`` may grow with the pairs of points."""
+    Pass ``tiles=False`` where the rows of ``f`` may grow with the pairs of points. ``merge(frame) -> frame``
+    shortens what the pairs of one tile returned before it leaves the task."""
     import pandas as pd
     from riskweave.operators.neighbors import wide_join
     n = blocks.count() if tiles else 0
     if n >= 2 * TILE_FROM:
         side = -(-n // min(TILE, n // TILE_FROM))
-        tile = [F.pmod(F.xxhash64(c), F.lit(side)).cast("int").alias(t) for c, t in (("i", "ti"), ("j", "tj"))]
-        met = pairs.select("i", "j", *tile)
+        ti, tj = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("i", "j"))
+        met = pairs.select("i", "j", F.least(ti, tj).alias("ti"), F.greatest(ti, tj).alias("tj"))  # both orders in one tile
         need = met.select(F.col("i").alias("blk"), "ti", "tj").unionByName(met.select(F.col("j").alias("blk"), "ti", "tj")).distinct()
 
         def tiled(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             rows = {r.blk: r for r in held.itertuples()}
-            return pd.concat([f(rows[i], rows[j]) for i, j in zip(asked["i"], asked["j"])])
+            out = pd.concat([f(rows[i], rows[j]) for i, j in zip(asked["i"], asked["j"])], ignore_index=True)
+            return merge(out) if merge else out
 
         return (wide_join(blocks, need, "blk").groupBy("ti", "tj")
                 .cogroup(met.toDF("i", "j", "ui", "uj").groupBy("ui", "uj")).applyInPandas(tiled, schema))

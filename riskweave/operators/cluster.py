@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators import blocks as B
-from riskweave.operators.neighbors import collapse, components, spread_join, sq_dist, wide_join
+from riskweave.operators.neighbors import collapse, components, least_code, spread_join, sq_dist, wide_join
 from riskweave.session import cut_lineage, drop_scratch
 
 
@@ -60,6 +60,27 @@ def _links(e2: float):
     return link
 
 
+def _joined_links(found):
+    """The links of several pairs of blocks as one forest: a row per core point at most, and the border
+    points next to each of its roots."""
+    import pandas as pd
+    border = found["border"].to_numpy(dtype=bool)
+    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+    ids, code = np.unique(np.concatenate([a[~border], b[~border]]), return_inverse=True)
+    least = least_code(*code.reshape(2, -1), len(ids))
+    far = np.flatnonzero(least != np.arange(len(ids)))
+    out = pd.DataFrame({"a": ids[far], "b": ids[least[far]], "border": False})
+    if not border.any():
+        return out
+    near, root = a[border], b[border].copy()
+    at = np.searchsorted(ids, root)
+    known = at < len(ids)
+    known[known] = ids[at[known]] == root[known]
+    root[known] = ids[least[at[known]]]
+    pair = np.unique(np.stack([near, root], axis=1), axis=0)
+    return pd.concat([out, pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "border": True})])
+
+
 def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: str = "features",
            by: str | None = None, rows: int = B.ROWS) -> DataFrame:
     """DBSCAN with exact semantics, distributed.
@@ -70,7 +91,8 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
        visited twice. First they return the weight near each point: a point
        is core at ``min_samples`` rows or more, its own counted;
     3. then a spanning forest of the core points they link, at most one row per
-       point, and for each other point the forest roots next to it. No pair
+       point, and for each other point the forest roots next to it; the forests
+       of a tile of blocks are joined before they leave the task. No pair
        of points is ever written;
     4. clusters = connected components of the forests;
     5. a border point joins the smallest cluster label among its core
@@ -89,7 +111,7 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
     near = B.visit(blocks, pairs, _weights_within(e2), "blk long, pos int, nw long").groupBy("blk", "pos").agg(F.sum("nw").alias("nw"))
     core = near.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("nw") >= min_samples).alias("c")))).alias("c"))
     cored = cut_lineage(wide_join(blocks, core.select("blk", F.col("c.c").alias("core")), "blk"))
-    found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean"))
+    found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean", merge=_joined_links))
     flags = cored.select(F.explode(F.arrays_zip("ids", "core")).alias("p")).select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"))
     comp = components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
     named = wide_join(comp, points.select("pid", "uid"), "pid")

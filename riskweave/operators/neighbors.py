@@ -206,8 +206,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     without a shuffle.
 
     A hub with very many edges costs one row per map task in the partial
-    aggregate; the joins that rewrite edges read written tables on both
-    sides, so AQE can split a hub's rows. Rows with a null end and loops are
+    aggregate; the joins that rewrite edges shuffle written tables on both
+    sides (a round's table may hold every vertex, so none is broadcast), and AQE
+    can split a hub's rows. Rows with a null end and loops are
     ignored; every vertex of ``vertices`` comes back once.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
@@ -224,8 +225,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
                             F.least("m", F.struct(F.xxhash64(rnd, "a").alias("h"), F.col("a").alias("v")))["v"].alias("to")))
         pick = cut_lineage(pick)
         maps.append(pick)
-        left = e.join(pick.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
-        both = left.join(pick.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").select("x", "y")
+        left = wide_join(e, pick.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+        both = wide_join(left, pick.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").select("x", "y")
         shrunk = cut_lineage(both.filter(F.col("x") != F.col("y"))
                                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         drop_scratch(e)
@@ -236,11 +237,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     roots = maps[-1]
     for m in reversed(maps[:-1]):
         later = roots.select(F.col("v").alias("to"), F.col("to").alias("root"))
-        roots = m.join(later, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
+        roots = wide_join(m, later, "to", "left").select("v", F.coalesce("root", "to").alias("to"))
     roots = cut_lineage(roots)
     least = cut_lineage(roots.groupBy("to").agg(F.min("v").alias("component")))
-    named = roots.join(least, "to").select("v", "component")
-    out = cut_lineage(verts.join(named, "v", "left")
+    named = wide_join(roots, least, "to").select("v", "component")
+    out = cut_lineage(wide_join(verts, named, "v", "left")
                            .select(F.col("v").alias(vertex), F.coalesce("component", "v").alias("component")))
     drop_scratch(e, roots, least, *maps)
     return out
@@ -279,7 +280,7 @@ def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Seque
 SMALL_GRAPH = 1 << 17      # edges that one task may hold
 
 
-def _least_code(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def least_code(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Least node of the component of each of n nodes, with an edge from every a to its b."""
     least = np.arange(n)
     while True:
@@ -304,7 +305,7 @@ def _local_stars(e: DataFrame) -> DataFrame:
         order = np.argsort(np.concatenate([pdf["ha"], pdf["hb"]])[first], kind="stable")      # ids are sorted: ties by id
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
-        least = _least_code(*place[code].reshape(2, -1), len(ids))
+        least = least_code(*place[code].reshape(2, -1), len(ids))
         named, far = ids[order], np.flatnonzero(least != np.arange(len(ids)))
         return pd.DataFrame({"a": named[least[far]], "b": named[far]})
 
@@ -336,12 +337,12 @@ def components(vertices: DataFrame, edges: DataFrame, vertex: str = "id", src: s
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, code = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
         a, b = code.reshape(-1, 2).T
-        return pd.DataFrame({"v": ids, "component": ids[_least_code(a, b, len(ids))]})  # ids are sorted: the least code is the least id
+        return pd.DataFrame({"v": ids, "component": ids[least_code(a, b, len(ids))]})  # ids are sorted: the least code is the least id
 
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     named = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(label, f"v {simple}, component {simple}")
     verts = vertices.select(F.col(vertex).alias("v")).distinct()
-    return cut_lineage(verts.join(named, "v", "left").select(F.col("v").alias(vertex), F.coalesce("component", "v").alias("component")))
+    return cut_lineage(wide_join(verts, named, "v", "left").select(F.col("v").alias(vertex), F.coalesce("component", "v").alias("component")))
 
 
 def pack_blocks(df: DataFrame, id_col: str, label: str, features: str = "features", weight: str | None = None,

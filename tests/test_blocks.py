@@ -129,3 +129,44 @@ def test_tiles_visit_every_pair_once(spark, monkeypatch):
     assert blocks.count() >= 2 * B.TILE_FROM and sorted(got) == sorted((r.i, r.j) for r in pairs.collect())
     want = {(a, b) for a, b in zip(*np.nonzero(B.sq_matrix(*[np.array([r.features for r in df.orderBy("id").collect()])] * 2) <= 2.25)) if a < b}
     assert {(r.src, r.dst) for r in B.eps_pairs(blocks, 1.5).collect()} == want
+
+
+def test_links_of_a_tile_leave_as_one_forest(spark, monkeypatch):
+    """40 blocks in tiles of 8 by 8: what a tile writes grows with its points, not with its pairs of blocks."""
+    monkeypatch.setattr(B, "TILE_FROM", 2)
+    X = np.random.default_rng(4).uniform(size=(320, 2))
+    X[::40] = X[::40] + [1.12, 0.0]                            # some points off the crowd
+    written, real = [], K.cut_lineage
+
+    def keep(df):
+        out = real(df)
+        if out.columns == ["a", "b", "border"]:
+            written.append(out.filter("NOT border").count())
+        return out
+
+    monkeypatch.setattr(K, "cut_lineage", keep)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in K.dbscan(_frame(spark, X), "id", 1.0, 200, rows=8).collect()}
+    lab, core = dbscan(X, 1.0, 200)
+    assert got == {i: (int(lab[i]), bool(core[i])) for i in range(len(X))}
+    assert written and written[0] < 3200                       # about 800 pairs of blocks gave up to 15 rows each
+
+
+def test_joined_links_keep_components_and_border_roots():
+    import pandas as pd
+    rows = [(5, 2, False), (7, 5, False), (9, 5, False), (7, 2, False), (20, 21, False), (30, 7, True), (30, 9, True), (30, 40, True), (31, 20, True)]
+    got = K._joined_links(pd.DataFrame(rows, columns=["a", "b", "border"]))
+    star, border = got[~got["border"].astype(bool)], got[got["border"].astype(bool)]
+    assert set(zip(star["a"], star["b"])) == {(5, 2), (7, 2), (9, 2), (21, 20)}
+    assert set(zip(border["a"], border["b"])) == {(30, 2), (30, 40), (31, 20)}
+    lone = K._joined_links(pd.DataFrame([(30, 40, True)], columns=["a", "b", "border"]))
+    assert [tuple(r) for r in lone[["a", "b"]].to_numpy()] == [(30, 40)]
+    assert not len(K._joined_links(pd.DataFrame({"a": np.zeros(0, int), "b": np.zeros(0, int), "border": np.zeros(0, bool)})))
+
+
+def test_screen_with_values_that_are_not_numbers():
+    X = np.random.default_rng(6).normal(size=(40, 9))
+    for odd in (np.nan, np.inf, 1e200):
+        Y = X.copy()
+        Y[3, 2] = odd
+        with np.errstate(all="ignore"):
+            assert (B.near_matrix(X, Y, 12.0) == (B.sq_matrix(X, Y) <= 12.0)).all()

@@ -76,3 +76,20 @@ def test_small_graphs_give_the_same_labels(spark):
     text = v.selectExpr("cast(id as string) id")
     assert sorted(map(tuple, N.components(text, names).collect())) == sorted(map(tuple, N.connected_components(text, names).collect()))
     assert N.components(v, edges.filter("src < 0")).filter("id = component").count() == 500
+
+
+def test_no_round_table_is_broadcast(spark, monkeypatch):
+    """A round's table may hold every vertex, and its file is far smaller than its rows in memory."""
+    n = 3000
+    ids = list(range(n))
+    random.Random(5).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long")
+    plans, real = [], N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(N, "_local_stars", lambda e: e.select("a", "b"))      # more than one round
+    got = N.connected_components(spark.range(n).select("id"), edges).collect()
+    assert {r["component"] for r in got} == {0} and len(got) == n
+    assert sum("Join" in p for p in plans) > 3 and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    assert N.components(spark.range(n).select("id"), edges, small=n).count() == n
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
