@@ -273,8 +273,12 @@ def collapse(df: DataFrame, id_col: str, features: str = "features", keys: Seque
     pts = df.select(*keys, id_col, features)
     points = cut_lineage(pts.groupBy(*keys, features).agg(F.min(id_col).alias("uid"), F.count(F.lit(1)).alias("w"))
                             .withColumn("pid", F.monotonically_increasing_id()))
-    members = spread_join(pts, points.select(*keys, features, "uid", "pid"), [*keys, features], id_col)
-    return points, members.select(*keys, id_col, "uid", "pid")
+    # a vector of one row is that row's; only shared vectors are copied to meet their rows
+    known = points.dropna(subset=[*keys, features])
+    alone = known.filter("w = 1").select(*keys, F.col("uid").alias(id_col), "uid", "pid")
+    shared = known.filter("w > 1").select(*keys, features, "uid", "pid")
+    members = spread_join(pts, shared, [*keys, features], id_col)
+    return points, alone.unionByName(members.select(*keys, id_col, "uid", "pid"))
 
 
 SMALL_GRAPH = 1 << 17      # edges that one task may hold

@@ -118,3 +118,17 @@ def test_repeated_ends_of_a_wedge_close_nothing(spark, cell):
     pairs = spark.createDataFrame([(1, 2, 0.5), (1, 2, 0.5), (2, 2, 0.0), (2, 3, 0.5), (1, 3, 0.5)], "src long, dst long, dist double")
     for rows, tri in ((pairs.filter("src = 1 OR src = dst"), 0), (pairs.filter("src <> dst"), 2)):
         assert FO.euler_curve(spark.range(1, 4), rows, [1.0], cell_arcs=cell).first().n_triangles == tri
+
+
+def test_only_shared_vectors_are_copied_to_their_rows(shuffled, monkeypatch):
+    rows = [(i, 0, [float(i), 1.0]) for i in range(200)] + [(1000 + i, 0, [5.0, 1.0]) for i in range(30)]
+    rows += [(2000, 1, [5.0, 1.0]), (2001, 1, [-0.0, 0.0]), (2002, 1, [0.0, 0.0]), (3, 1, [float("nan"), 0.0]), (4, 1, None), (None, 1, [7.0, 7.0])]
+    df = shuffled.createDataFrame(rows, "id long, g int, features array<double>")
+    copied, real = [], N.spread_join
+    monkeypatch.setattr(N, "spread_join", lambda left, one, *a, **k: copied.append(one.count()) or real(left, one, *a, **k))
+    points, members = N.collapse(df, "id", "features", ["g"])
+    assert copied == [2] and points.agg(F.sum("w")).first()[0] == 236            # 205 before
+    got = {(r.g, r.id): r.uid for r in members.collect()}
+    want = {(0, i): i for i in range(200)} | {(0, 1000 + i): 5 for i in range(30)}
+    assert got == want | {(1, 2000): 2000, (1, 2001): 2001, (1, 2002): 2001, (1, 3): 3, (1, None): None}
+    assert members.count() == 235 and members.select("pid").distinct().count() == 204
