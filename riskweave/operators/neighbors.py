@@ -202,8 +202,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "i
     the last to the first, and each component takes its least id.
 
     Before the first round every run of ``SMALL_GRAPH`` edges of a partition is replaced by stars
-    over its own components, in place: edges that lie together, or repeat, are contracted
-    without a shuffle.
+    over its own components, in place, together with the stars of the runs before as long as these
+    are few: edges that lie together, or repeat, are contracted without a shuffle.
 
     A hub with very many edges costs one row per map task in the partial
     aggregate; the joins that rewrite edges shuffle written tables on both
@@ -300,18 +300,20 @@ def least_code(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _local_stars(e: DataFrame) -> DataFrame:
     """Edges (a, b) with the components of ``e``: every run of about ``SMALL_GRAPH`` rows of a partition becomes
-    a star per component, around the vertex that is first in the order of the first round."""
+    a star per component, around the vertex that is first in the order of the first round. Stars of
+    few rows meet the rows that follow, so many edges of few vertices leave few rows."""
     import pandas as pd
     kind, most = e.schema["a"].dataType.simpleString(), SMALL_GRAPH
 
     def star(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, first, code = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_index=True, return_inverse=True)
-        order = np.argsort(np.concatenate([pdf["ha"], pdf["hb"]])[first], kind="stable")      # ids are sorted: ties by id
+        place_of = np.concatenate([pdf["ha"], pdf["hb"]])[first]
+        order = np.argsort(place_of, kind="stable")      # ids are sorted: ties by id
         place = np.empty(len(ids), dtype=np.int64)
         place[order] = np.arange(len(ids))
         least = least_code(*place[code].reshape(2, -1), len(ids))
-        named, far = ids[order], np.flatnonzero(least != np.arange(len(ids)))
-        return pd.DataFrame({"a": named[least[far]], "b": named[far]})
+        named, far, place_of = ids[order], np.flatnonzero(least != np.arange(len(ids))), place_of[order]
+        return pd.DataFrame({"a": named[least[far]], "b": named[far], "ha": place_of[least[far]], "hb": place_of[far]})
 
     def stars(it):
         held, n = [], 0
@@ -319,10 +321,13 @@ def _local_stars(e: DataFrame) -> DataFrame:
             held.append(pdf)
             n += len(pdf)
             if n >= most:
-                yield star(pd.concat(held))
-                held, n = [], 0
+                held = [star(pd.concat(held))]
+                n = len(held[0])
+                if 2 * n > most:
+                    yield held[0][["a", "b"]]
+                    held, n = [], 0
         if n:
-            yield star(pd.concat(held))
+            yield star(pd.concat(held))[["a", "b"]]
 
     rnd = F.lit(0)
     return e.select("a", "b", F.xxhash64(rnd, "a").alias("ha"), F.xxhash64(rnd, "b").alias("hb")).mapInPandas(stars, f"a {kind}, b {kind}")

@@ -132,3 +132,19 @@ def test_only_shared_vectors_are_copied_to_their_rows(shuffled, monkeypatch):
     want = {(0, i): i for i in range(200)} | {(0, 1000 + i): 5 for i in range(30)}
     assert got == want | {(1, 2000): 2000, (1, 2001): 2001, (1, 2002): 2001, (1, 3): 3, (1, None): None}
     assert members.count() == 235 and members.select("pid").distinct().count() == 204
+
+
+def test_many_edges_of_few_vertices_leave_few_rows(spark, monkeypatch):
+    """12,000 edges of 300 vertices in one partition, in runs of 1000: one star a partition, not one a run."""
+    monkeypatch.setattr(N, "SMALL_GRAPH", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        i = F.col("id")
+        edges = spark.range(0, 12000, 1, 1).select((3 * F.pmod(F.xxhash64(i), F.lit(100)) + i % 3).alias("a"),
+                                                   (3 * F.pmod(F.xxhash64(i, F.lit(1)), F.lit(100)) + i % 3).alias("b"))
+        left = N._local_stars(edges).collect()
+        assert len(left) == 297                                              # 3564 before
+        got = {r["id"]: r["component"] for r in N.connected_components(spark.range(301), edges, src="a", dst="b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {v: v % 3 if v < 300 else v for v in range(301)}
