@@ -10,10 +10,11 @@ small summaries (one row per block) meet, on (group, salt); a pair of blocks who
 balls are too far apart is never read again.
 
 ``visit`` brings the blocks of surviving pairs together and applies a numpy function to
-every pair. Pairs of many blocks meet in tiles of about ``TILE`` by ``TILE`` blocks, so a
-block travels once per tile, not once per pair. A tile holds some 2 * ``TILE`` * ``rows``
-points, however skewed the data, and no pair of points is written unless the function
-returns it; a function that does is given one pair of blocks at a time.
+every pair. Pairs of many blocks meet in tiles of about ``TILE`` by ``TILE`` blocks that lie
+next to each other in the sorted run, so a block travels once per tile, not once per pair, and
+to few tiles. A tile holds some 2 * ``TILE`` * ``rows`` points, however skewed the data, and
+no pair of points is written unless the function returns it; what it returns leaves the task
+pair of blocks by pair of blocks.
 
 Distances are summed dimension by dimension, left to right, as the SQL definition
 does, so a pair exactly at a threshold is decided the same way.
@@ -32,7 +33,7 @@ from riskweave.session import cut_lineage
 ROWS = 1024          # points of a block
 MAX_PIVOTS = 16384   # bound of the pivot sample, hence of what travels to every task
 TOPS = 128           # pivots of the upper level
-TILE = 8             # blocks a side that meet in one task
+TILE = 16            # blocks a side that meet in one task
 TILE_FROM = 16       # tiles a side there are at least
 SLACK = 1e-9         # relative slack of ball bounds, for rounding in centres and radii
 
@@ -105,7 +106,51 @@ def sq_pairs(X: np.ndarray, Y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.n
 
 def matrix(row) -> np.ndarray:
     """The vectors of a packed block (a row of the frame that ``visit`` hands over)."""
-    return np.frombuffer(row.vecs).reshape(len(row.ids), -1)
+    n = len(row.ids)
+    short = len(row.vecs) < 8 * n * len(row.centre)       # see ``packed``
+    return np.frombuffer(row.vecs, np.float32 if short else np.float64).astype(float, copy=False).reshape(n, -1)
+
+
+def packed(X: np.ndarray) -> bytes:
+    """The vectors of a block, in single precision where that holds the same numbers."""
+    with np.errstate(over="ignore"):
+        short = X.astype(np.float32)
+    return short.tobytes() if np.array_equal(short, X) else X.tobytes()
+
+
+def cells(X: np.ndarray, e2: float) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the rows of X in an order that keeps cells together, and where each cell begins.
+    A box is halved along its widest side until its points are all within ``e2`` (squared) of each other
+    or few."""
+    few = max(8, X.shape[1])
+    done, todo = [], [np.arange(len(X))] if len(X) else []
+    while todo:
+        at = todo.pop()
+        P = X[at]
+        lo, hi = P.min(0), P.max(0)
+        if len(at) > few and gap2(hi[None], lo[None], hi[None], lo[None])[0, 0] > e2:
+            k = int(np.argmax(hi - lo))
+            left = P[:, k] <= lo[k] + (hi[k] - lo[k]) / 2
+            if left.any() and not left.all():
+                todo += [at[~left], at[left]]
+                continue
+        done.append(at)
+    return (np.concatenate(done) if done else np.zeros(0, int)), np.cumsum([0, *map(len, done[:-1])])[:max(len(done), 0)]
+
+
+def boxes(X: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of every cell."""
+    return np.minimum.reduceat(X, first), np.maximum.reduceat(X, first)
+
+
+def gap2(lx: np.ndarray, hx: np.ndarray, ly: np.ndarray, hy: np.ndarray) -> np.ndarray:
+    """Squared gaps of all boxes of x to all boxes of y. Summed as ``sq_matrix`` sums, whose rounding is
+    monotone: no distance of their points is summed to less."""
+    out = np.zeros((len(lx), len(ly)))
+    for k in range(lx.shape[1]):
+        apart = np.maximum(np.maximum(lx[:, k][:, None] - hy[:, k][None, :], ly[:, k][None, :] - hx[:, k][:, None]), 0.0)
+        out += apart * apart
+    return out
 
 
 def pivots(df: DataFrame, id_col: str, features: str, rows: int) -> np.ndarray:
@@ -204,7 +249,7 @@ def pack(df: DataFrame, id_col: str, features: str = "features", carry: Sequence
                 X = np.frombuffer(b"".join(part["vec"])).reshape(len(part), -1)
                 centre = X.mean(0)
                 reach = float(np.sqrt(((X - centre) ** 2).sum(1).max())) if X.shape[1] else 0.0
-                row = {"grp": part["grp"].iloc[0], "n": len(part), "ids": part["id"].to_numpy(), "vecs": X.tobytes(),
+                row = {"grp": part["grp"].iloc[0], "n": len(part), "ids": part["id"].to_numpy(), "vecs": packed(X),
                        "centre": centre, "radius": reach * (1 + SLACK)}
                 done.append(row | {c: part[c].to_numpy() for c in carry})
         return done, pdf.iloc[rest:]
@@ -234,27 +279,48 @@ def near_blocks(blocks: DataFrame, reach, left: str | None = None, ordered: bool
     return pairs.select("grp", "i", "j")
 
 
-def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str, tiles: bool = True,
-          merge: Callable | None = None) -> DataFrame:
+def _places(blocks: DataFrame) -> tuple[int, Callable]:
+    """(blocks, block number -> its place in the sorted run). Block numbers hold the partition that wrote
+    the block and its place there; a row per partition reaches the driver."""
+    part, at = F.shiftright("blk", 33), F.col("blk").bitwiseAND(F.lit((1 << 33) - 1))
+    held = sorted(tuple(r) for r in blocks.groupBy(part).agg(F.count(F.lit(1)), F.max(at) + 1).collect())
+    first = dict(zip([h[0] for h in held], np.cumsum([0, *[h[2] for h in held]]).tolist()))
+    starts = F.array(*[F.lit(first.get(p, 0)).cast("long") for p in range(held[-1][0] + 1)]) if held else F.array(F.lit(0).cast("long"))
+
+    def place(number):
+        return F.element_at(starts, F.shiftright(number, 33).cast("int") + 1) + F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+
+    return sum(h[1] for h in held), place
+
+
+def visit(blocks: DataFrame, pairs: DataFrame, f: Callable, schema: str, merge: Callable | None = None) -> DataFrame:
     """``f(left row, right row) -> pandas frame`` on every pair (the same row twice where i = j).
-    Pass ``tiles=False`` where the rows of ``f`` may grow with the pairs of points. ``merge(frame) -> frame``
-    shortens what the pairs of one tile returned before it leaves the task."""
+    Frames leave the task one by one. ``merge(frame) -> frame`` shortens what the pairs of one tile
+    returned before it leaves the task; pass none where the rows of ``f`` may grow with the pairs of points."""
+    from collections.abc import Iterator
+
     import pandas as pd
     from riskweave.operators.neighbors import wide_join
-    n = blocks.count() if tiles else 0
+    n, place = _places(blocks)
     if n >= 2 * TILE_FROM:
-        side = -(-n // min(TILE, n // TILE_FROM))
-        ti, tj = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("i", "j"))
+        side = min(TILE, n // TILE_FROM)
+        ti, tj = (F.floor(place(c) / F.lit(side)).cast("int") for c in ("i", "j"))
         met = pairs.select("i", "j", F.least(ti, tj).alias("ti"), F.greatest(ti, tj).alias("tj"))  # both orders in one tile
-        need = met.select(F.col("i").alias("blk"), "ti", "tj").unionByName(met.select(F.col("j").alias("blk"), "ti", "tj")).distinct()
-
-        def tiled(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            rows = {r.blk: r for r in held.itertuples()}
-            out = pd.concat([f(rows[i], rows[j]) for i, j in zip(asked["i"], asked["j"])], ignore_index=True)
-            return merge(out) if merge else out
-
-        return (wide_join(blocks, need, "blk").groupBy("ti", "tj")
-                .cogroup(met.toDF("i", "j", "ui", "uj").groupBy("ui", "uj")).applyInPandas(tiled, schema))
+        none = F.lit(None).cast("long").alias("to")
+        need = (met.select(F.col("i").alias("blk"), "ti", "tj", F.col("j").alias("to"))
+                .unionByName(met.select(F.col("j").alias("blk"), "ti", "tj", none))
+                .groupBy("blk", "ti", "tj").agg(F.collect_list("to").alias("partners")))
+
+        def tiled(held):
+            rows = {r.blk: r for pdf in held for r in pdf.itertuples()}
+            out = (f(r, rows[to]) for r in rows.values() for to in r.partners)
+            if not merge:
+                yield from out
+            elif out := list(out):
+                yield merge(pd.concat(out, ignore_index=True))
+
+        tiled.__annotations__ = {"held": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+        return wide_join(blocks, need, "blk").groupBy("ti", "tj").applyInPandas(tiled, schema)
     a = wide_join(blocks, pairs.select(F.col("i").alias("blk"), "i", "j"), "blk")
     b = wide_join(blocks, pairs.filter("i <> j").select(F.col("j").alias("blk"), "i", "j"), "blk")
 
@@ -290,7 +356,7 @@ def eps_pairs(blocks: DataFrame, eps: float, carry: Sequence[str] = ()) -> DataF
 
     schema = f"src {ident}, dst {ident}, dist double" + "".join(
         f", {side}_{c} {t}" for side in ("src", "dst") for c, t in item.items())
-    return visit(blocks, near_blocks(blocks, eps), pairs, schema, tiles=False)
+    return visit(blocks, near_blocks(blocks, eps), pairs, schema)
 
 
 def forest(links: np.ndarray) -> np.ndarray:

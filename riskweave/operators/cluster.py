@@ -22,44 +22,149 @@ def noise_label(dtype: T.DataType):
 
 
 # D1 --------------------------------------------------------------------------------
-def _weights_within(e2: float):
-    """Per point of the two blocks: the rows within eps in the other block (itself included)."""
+def _celled(e2: float):
+    """Blocks with their points in the order of cells, the boxes of the cells, and ``nw``: the rows within eps
+    of each point in its own block."""
+    import pandas as pd
+
+    def one(row):
+        X = B.matrix(row)
+        order, first = B.cells(X, e2)
+        X, w = X[order], np.asarray(row.w)[order]
+        lo, hi = B.boxes(X, first) if len(first) else (X, X)
+        return {"blk": row.blk, "grp": row.grp, "n": row.n, "ids": np.asarray(row.ids)[order], "vecs": B.packed(X), "centre": row.centre,
+                "radius": row.radius, "w": w, "cell": first, "lo": lo.tobytes(), "hi": hi.tobytes(), "nw": B.near_matrix(X, X, e2) @ w}
+
+    def celled(it):
+        for pdf in it:
+            for row in pdf.itertuples():
+                yield pd.DataFrame([one(row)])
+    return celled
+
+
+class _Cells:
+    """The cells of a row of ``_celled``."""
+
+    def __init__(self, row):
+        self.first, self.n = np.asarray(row.cell), len(row.ids)
+        d = len(row.centre)
+        self.lo, self.hi = np.frombuffer(row.lo).reshape(-1, d), np.frombuffer(row.hi).reshape(-1, d)
+        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, self.n)))
+
+    def any(self, flags: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduceat(flags, self.first)
+
+    def near(self, other: _Cells, e2: float) -> np.ndarray:
+        return ~(B.gap2(self.lo, self.hi, other.lo, other.hi) > e2)
+
+
+def _meeting(cells: np.ndarray, x: _Cells, y: _Cells, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of x and y, out of those flagged, in cells that are paired."""
+    return np.flatnonzero(px & cells.any(1)[x.of]), np.flatnonzero(py & cells.any(0)[y.of])
+
+
+def _weights_beyond(e2: float, enough: int):
+    """Per point of one block that has not ``enough`` rows within eps in its own block: those in the other block."""
     import pandas as pd
 
     def count(x, y):
-        near = B.near_matrix(B.matrix(x), B.matrix(y), e2)
-        wx, wy = np.asarray(x.w), np.asarray(y.w)
-        out = [pd.DataFrame({"blk": x.blk, "pos": np.arange(len(wx)), "nw": near @ wy})]
-        if x.blk != y.blk:
-            out.append(pd.DataFrame({"blk": y.blk, "pos": np.arange(len(wy)), "nw": wx @ near}))
+        cx, cy = _Cells(x), _Cells(y)
+        near = cx.near(cy, e2)
+        out = [pd.DataFrame({"blk": np.zeros(0, np.int64), "pos": np.zeros(0, np.int32), "nw": np.zeros(0, np.int64)})]
+        for a, b, ca, cb, cells in ((x, y, cx, cy, near), (y, x, cy, cx, near.T)):
+            free = np.asarray(a.nw) < enough
+            i, j = _meeting(cells & ca.any(free)[:, None], ca, cb, free, np.ones(cb.n, dtype=bool))
+            if len(i) and len(j):
+                nw = B.near_matrix(B.matrix(a)[i], B.matrix(b)[j], e2) @ np.asarray(b.w)[j]
+                out.append(pd.DataFrame({"blk": a.blk, "pos": i[nw > 0], "nw": nw[nw > 0]}))
         return pd.concat(out)
     return count
 
 
+def _summed(found):
+    return found.groupby(["blk", "pos"], as_index=False, sort=False)["nw"].sum()
+
+
+def _rooted(e2: float, enough: int):
+    """Rows of ``_celled`` with ``core``, the ``root`` of every core point among those its block links to it, and the
+    points that are not core (``free``) beside such roots (``beside``). ``more``: (pos, nw) of other blocks."""
+    import pandas as pd
+
+    def one(row):
+        ids, nw = np.asarray(row.ids), np.array(row.nw)
+        if row.more is not None and len(row.more):
+            at = np.array([(m["pos"], m["nw"]) for m in row.more])
+            nw[at[:, 0]] += at[:, 1]
+        core, X = nw >= enough, B.matrix(row)
+        near = B.near_matrix(X, X, e2)
+        root = np.full(len(ids), -1)
+        at = np.flatnonzero(core)
+        root[at] = ids[at][B.forest(near[np.ix_(at, at)])[:len(at)]]
+        free = np.flatnonzero(~core)
+        i, j = np.nonzero(near[np.ix_(free, at)])
+        pair = np.unique(np.stack([ids[free[i]], root[at[j]]], axis=1), axis=0)
+        return {**{c: getattr(row, c) for c in ("blk", "ids", "vecs", "centre", "cell", "lo", "hi")}, "core": core, "root": root,
+                "free": pair[:, 0], "beside": pair[:, 1]}
+
+    def rooted(it):
+        for pdf in it:
+            for row in pdf.itertuples():
+                yield pd.DataFrame([one(row)])
+    return rooted
+
+
 def _links(e2: float):
-    """A spanning forest of the core points of two blocks, and the roots next to other points."""
+    """Links between the roots of two blocks, and the roots of each that lie next to points of the other
+    that are not core."""
     import pandas as pd
 
     def link(x, y):
-        near = B.near_matrix(B.matrix(x), B.matrix(y), e2)
+        kx, ky = _Cells(x), _Cells(y)
+        near = kx.near(ky, e2)
         cx, cy = np.asarray(x.core, dtype=bool), np.asarray(y.core, dtype=bool)
-        ids = np.concatenate([np.asarray(x.ids), np.asarray(y.ids)])
-        n = len(cx)
-        # pairs of points that are not both core neither join nor carry a component
-        root = B.forest(near & cx[:, None] & cy[None, :])
-        live = np.concatenate([cx, cy]) & (ids != ids[root])
-        out = [pd.DataFrame({"a": ids[live], "b": ids[root][live], "border": False})]
-        sides = [(np.flatnonzero(~cx), near, cy, root[n:], 0), (np.flatnonzero(~cy), near.T, cx, root[:n], n)]
-        for free, hit, core, roots, at in sides[:1 if x.blk == y.blk else 2]:
-            if not len(free) or not core.any():
+        X, Y, rx, ry = B.matrix(x), B.matrix(y), np.asarray(x.root), np.asarray(y.root)
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "border": np.zeros(0, bool)})]
+        live = near & (kx.any(cx)[:, None] & ky.any(cy)[None, :]) if cx.any() and cy.any() else np.zeros_like(near)
+        if live.any():
+            roots, code = np.unique(np.concatenate([rx, ry]), return_inverse=True)
+            ax, ay, m = code[:len(rx)], code[len(rx):], len(roots)
+            # one core point a cell stands for the cell: what such points join need not be looked at again
+            ca, cb = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+            pa, pb = _one_of(cx, kx)[ca], _one_of(cy, ky)[cb]
+            i, j = np.nonzero(B.near_matrix(X[pa], Y[pb], e2))
+            pairs = [np.unique(ax[pa[i]] * m + ay[pb[j]])]
+            least = least_code(*np.divmod(pairs[0], m), m)
+            # the least and greatest label of a cell's core points; several labels are never settled
+            one, two = (_label_range(least[c], core, k, m) for c, core, k in ((ax, cx, kx), (ay, cy, ky)))
+            alike = (one[0] == one[1])[:, None] & (two[0] == two[1])[None, :] & (one[0][:, None] == two[0][None, :])
+            i, j = _meeting(live & ~alike, kx, ky, cx, cy)
+            if len(i) and len(j):
+                a, b = np.nonzero(B.near_matrix(X[i], Y[j], e2) & (least[ax[i]][:, None] != least[ay[j]][None, :]))
+                pairs.append(np.unique(ax[i[a]] * m + ay[j[b]]))
+            a, b = np.divmod(np.concatenate(pairs), m)
+            out.append(pd.DataFrame({"a": roots[a], "b": roots[b], "border": False}))
+        for free, core, ka, kb, cells, P, Q, ids, root in ((~cx, cy, kx, ky, near, X, Y, x.ids, ry), (~cy, cx, ky, kx, near.T, Y, X, y.ids, rx)):
+            if not free.any() or not core.any():
                 continue
-            i, j = np.nonzero(hit[free][:, core])
-            pair = np.unique(np.stack([ids[at + free[i]], ids[roots[core][j]]], axis=1), axis=0)
-            out.append(pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "border": True}))
+            i, j = _meeting(cells & (ka.any(free)[:, None] & kb.any(core)[None, :]), ka, kb, free, core)
+            if len(i) and len(j):
+                a, b = np.nonzero(B.near_matrix(P[i], Q[j], e2))
+                pair = np.unique(np.stack([np.asarray(ids)[i[a]], root[j[b]]], axis=1), axis=0)
+                out.append(pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1], "border": True}))
         return pd.concat(out)
     return link
 
 
+def _one_of(flags: np.ndarray, cells: _Cells) -> np.ndarray:
+    """The place of the first flagged point of every cell (of no meaning where it has none)."""
+    at = np.minimum.reduceat(np.where(flags, np.arange(len(flags)), len(flags)), cells.first)
+    return np.minimum(at, len(flags) - 1)
+
+
+def _label_range(label: np.ndarray, flags: np.ndarray, cells: _Cells, top: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.minimum.reduceat(np.where(flags, label, top), cells.first), np.maximum.reduceat(np.where(flags, label, -1), cells.first))
+
+
 def _joined_links(found):
     """The links of several pairs of blocks as one forest: a row per core point at most, and the border
     points next to each of its roots."""
@@ -87,14 +192,15 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
 
     1. identical vectors collapse to one weighted point (exact: they are
        within eps of each other and of the same neighbours);
-    2. points lie in metric blocks; block pairs whose balls come within eps are
-       visited twice. First they return the weight near each point: a point
-       is core at ``min_samples`` rows or more, its own counted;
-    3. then a spanning forest of the core points they link, at most one row per
-       point, and for each other point the forest roots next to it; the forests
-       of a tile of blocks are joined before they leave the task. No pair
-       of points is ever written;
-    4. clusters = connected components of the forests;
+    2. points lie in metric blocks, and in small cells inside a block. Every block counts the
+       weight near its points: a point is core at ``min_samples`` rows or more, its own
+       counted. Only points that have fewer in their own block look into the blocks whose
+       balls come within eps, and there into the cells whose boxes do;
+    3. core points that a block links take one root. Blocks within eps then link roots: a cell
+       is looked at no further where its roots are joined already. Other points bring the
+       roots of core points next to them. What a tile of blocks finds is joined
+       before it leaves the task. No pair of points is ever written;
+    4. clusters = connected components of the linked roots;
     5. a border point joins the smallest cluster label among its core
        neighbours (the reference's choice depended on scan order);
     6. cluster label = least id among the cluster's core points; noise = -1.
@@ -106,24 +212,39 @@ def dbscan(df: DataFrame, id_col: str, eps: float, min_samples: int, features: s
     keys = [by] if by else []
     points, members = collapse(df, id_col, features, keys)
     blocks = B.pack(points, "pid", features, ["w"], by=by, rows=rows)
-    pairs = cut_lineage(B.near_blocks(blocks, eps))
     e2 = float(eps) * float(eps)
-    near = B.visit(blocks, pairs, _weights_within(e2), "blk long, pos int, nw long").groupBy("blk", "pos").agg(F.sum("nw").alias("nw"))
-    core = near.groupBy("blk").agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("nw") >= min_samples).alias("c")))).alias("c"))
-    cored = cut_lineage(wide_join(blocks, core.select("blk", F.col("c.c").alias("core")), "blk"))
-    found = cut_lineage(B.visit(cored, pairs, _links(e2), "a long, b long, border boolean", merge=_joined_links))
-    flags = cored.select(F.explode(F.arrays_zip("ids", "core")).alias("p")).select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"))
-    comp = components(flags.filter("is_core").select("pid"), found.filter("NOT border"), "pid", "a", "b")
-    named = wide_join(comp, points.select("pid", "uid"), "pid")
+    held = ("blk long, ids array<long>, vecs binary, centre array<double>, cell array<int>, lo binary, hi binary")
+    celled = cut_lineage(blocks.select("blk", "grp", "n", "ids", "vecs", "centre", "radius", "w").mapInPandas(
+        _celled(e2), f"{held}, grp {blocks.schema['grp'].dataType.simpleString()}, n int, radius double, w array<long>, nw array<long>"))
+    drop_scratch(blocks)
+    pairs = cut_lineage(B.near_blocks(celled, eps).filter("i <> j"))
+    short = celled.filter(F.exists("nw", lambda v: v < min_samples)).select("blk", F.lit(True).alias("short"))
+    asked = (wide_join(wide_join(pairs, short.toDF("i", "si"), "i", "left"), short.toDF("j", "sj"), "j", "left")
+             .filter("si OR sj").select("grp", "i", "j"))
+    sent = celled.drop("grp", "n", "radius")
+    more = (B.visit(sent, asked, _weights_beyond(e2, min_samples), "blk long, pos int, nw long", merge=_summed)
+            .groupBy("blk", "pos").agg(F.sum("nw").alias("nw")).groupBy("blk").agg(F.collect_list(F.struct("pos", "nw")).alias("more")))
+    cored = cut_lineage(wide_join(sent.drop("w"), more, "blk", "left").mapInPandas(
+        _rooted(e2, min_samples), f"{held}, core array<boolean>, root array<long>, free array<long>, beside array<long>"))
+    drop_scratch(celled)
+    found = cut_lineage(B.visit(cored.drop("free", "beside"), pairs, _links(e2), "a long, b long, border boolean", merge=_joined_links))
+    flags = (cored.select(F.explode(F.arrays_zip("ids", "core", "root")).alias("p"))
+             .select(F.col("p.ids").alias("pid"), F.col("p.core").alias("is_core"), F.col("p.root").alias("root")))
+    cores = flags.filter("is_core")
+    least = cut_lineage(wide_join(cores.select("pid", "root"), points.select("pid", "uid"), "pid").groupBy("root").agg(F.min("uid").alias("uid")))
+    comp = components(least.select("root"), found.filter("NOT border"), "root", "a", "b")
+    named = wide_join(comp, least, "root")
     label = named.groupBy("component").agg(F.min("uid").alias("label"))
-    named = cut_lineage(spread_join(named.select("pid", "component"), label, ["component"], "pid").select("pid", "label"))
-    # a root may be near many border points: its label is copied to SALTS keys
-    border = (spread_join(found.filter("border"), named.withColumnRenamed("pid", "b"), ["b"], "a")
-              .groupBy(F.col("a").alias("pid")).agg(F.min("label").alias("near_label")))
-    lab = (wide_join(wide_join(flags, named, "pid", "left"), border, "pid", "left")
-           .select("pid", "is_core", F.coalesce("label", "near_label", noise_label(id_type)).alias("cluster")))
+    named = cut_lineage(spread_join(named.select("root", "component"), label, ["component"], "root").select("root", "label"))
+    # a root may be near many border points, and hold most core points: its label is copied to SALTS keys
+    beside = (cored.select(F.explode(F.arrays_zip("free", "beside")).alias("p")).select(F.col("p.free").alias("pid"), F.col("p.beside").alias("root"))
+              .unionByName(found.filter("border").select(F.col("a").alias("pid"), F.col("b").alias("root"))))
+    border = spread_join(beside, named, ["root"], "pid").groupBy("pid").agg(F.min("label").alias("label"))
+    lab = (spread_join(cores, named, ["root"], "pid").select("pid", "is_core", "label")
+           .unionByName(wide_join(flags.filter("NOT is_core").select("pid", "is_core"), border, "pid", "left"))
+           .select("pid", "is_core", F.coalesce("label", noise_label(id_type)).alias("cluster")))
     out = cut_lineage(spread_join(members, lab, ["pid"], id_col).select(*keys, id_col, "cluster", "is_core"))
-    drop_scratch(points, blocks, pairs, cored, found, named, comp)
+    drop_scratch(points, pairs, cored, found, least, named, comp)
     return out
 
 

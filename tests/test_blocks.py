@@ -170,3 +170,66 @@ def test_screen_with_values_that_are_not_numbers():
         Y[3, 2] = odd
         with np.errstate(all="ignore"):
             assert (B.near_matrix(X, Y, 12.0) == (B.sq_matrix(X, Y) <= 12.0)).all()
+
+
+def _block_rows(X, number, e2, enough):
+    import pandas as pd
+    row = pd.DataFrame([{"blk": number, "grp": 0, "n": len(X), "ids": np.arange(len(X)) + 10_000 * number, "vecs": B.packed(X),
+                         "centre": X.mean(0), "radius": 9.0, "w": np.ones(len(X), dtype=np.int64)}])
+    celled = next(K._celled(e2)(iter([row])))
+    return next(celled.itertuples()), next(next(K._rooted(e2, enough)(iter([celled.assign(more=None)]))).itertuples())
+
+
+def test_blocks_look_only_into_near_cells(monkeypatch):
+    """Two crowded blocks side by side and one far off point each: settled points are not counted again, and one
+    link joins the crowds."""
+    rng = np.random.default_rng(9)
+    sides = [np.vstack([rng.uniform(0, 4, (600, 2)) + [shift, 0.0], [[shift, 30.0]]]) for shift in (0.0, 4.0)]
+    (cx, x), (cy, y) = (_block_rows(P, k, 0.25, 5) for k, P in enumerate(sides))
+    seen, real = [], B.near_matrix
+    monkeypatch.setattr(B, "near_matrix", lambda X, Y, e2: seen.append(len(X) * len(Y)) or real(X, Y, e2))
+    assert not len(K._weights_beyond(0.25, 5)(cx, cy)) and not seen
+    got = K._links(0.25)(x, y)
+    assert sum(seen) < 30_000                                  # 361,201 pairs in each visit before
+    assert [tuple(r) for r in got.to_numpy()] == [(x.root[0], y.root[0], False)]
+
+
+@pytest.mark.parametrize("seed,enough", [(1, 2), (2, 4), (3, 7), (4, 40)])
+def test_dbscan_of_crowds_rings_and_odd_points(spark, monkeypatch, seed, enough):
+    monkeypatch.setattr(B, "TILE_FROM", 3)
+    rng = np.random.default_rng(seed)
+    turn = rng.uniform(0, 2 * np.pi, 90)
+    X = np.vstack([rng.normal(0, 0.2, (70, 2)), rng.normal(3, 0.6, (60, 2)), 4 * np.stack([np.cos(turn), np.sin(turn)], 1),
+                   rng.uniform(-6, 6, (40, 2)), np.zeros((9, 2)), np.array(list(itertools.product(range(-7, -3), range(5))), dtype=float)])
+    X = np.round(np.hstack([X, rng.integers(0, 2, (len(X), 1)) * 0.4]), 3)
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in K.dbscan(_frame(spark, X), "id", 1.0, enough, rows=16).collect()}
+    lab, core = dbscan(X, 1.0, enough)
+    assert got == {i: (int(lab[i]), bool(core[i])) for i in range(len(X))}
+
+
+def test_cells_and_gaps_hold_for_odd_numbers():
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(size=(50, 9)), np.zeros((30, 9)), [[1e200] * 9]])
+    for P in (X, np.vstack([X, [[np.nan] * 9, [np.inf] * 9]])):
+        with np.errstate(all="ignore"):
+            order, first = B.cells(P, 4.0)
+            Q = P[order]
+            gap = B.gap2(*B.boxes(Q, first), *B.boxes(Q, first))
+            near = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(P))))
+            i, j = np.nonzero(B.sq_matrix(Q, Q) <= 4.0)
+            assert sorted(order) == list(range(len(P))) and not (gap[near[i], near[j]] > 4.0).any()
+            assert np.array_equal(np.frombuffer(B.packed(P)).reshape(P.shape), P, equal_nan=True)
+    assert len(B.cells(X, 4.0)[1]) > 3
+    assert len(B.packed(np.round(X[:9] * 8))) == 4 * 81
+
+
+def test_a_block_travels_once_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(B, "TILE_FROM", 2)
+    X = np.random.default_rng(7).normal(size=(512, 12))
+    blocks = B.pack(_frame(spark, X), "id", rows=8)
+    sent, real = [], N.wide_join
+    monkeypatch.setattr(N, "wide_join", lambda *a, **k: sent.append(real(*a, **k).count()) or real(*a, **k))
+    got = {(r.src, r.dst) for r in B.eps_pairs(blocks, 2.5).collect()}
+    want, _ = pairs_within(X, 2.5)
+    n = blocks.count()
+    assert got == want and n >= 64 and sum(sent) < 8 * n       # 4,160 blocks travelled before
