@@ -69,23 +69,26 @@ def latest_request(requests: DataFrame, group_key: str, id_col: str, keep: Colum
     """Correlated ``id = (SELECT MAX(id) ... same group)`` then a filter.
 
     MAX is taken over *all* requests of the group before ``keep`` is applied,
-    so a group whose newest request fails the filter yields nothing.
+    so a group whose newest request fails the filter yields nothing. No id exceeds
+    the maximum, so ``>=`` says the same as ``=`` but is no join key: requests that
+    already lie by group are not shuffled again by (group, id).
     """
     mx = requests.groupBy(group_key).agg(F.max(id_col).alias("_max_id"))
     return (requests.join(mx, group_key, "inner")
-                    .filter((F.col(id_col) == F.col("_max_id")) & keep)
+                    .filter((F.col(id_col) >= F.col("_max_id")) & keep)
                     .drop("_max_id"))
 
 
-def argmax_rejoin(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """MAX(id) per key, joined back for the whole row.
+def argmax_rejoin(df: DataFrame, key: str | Sequence[str], id_col: str) -> DataFrame:
+    """MAX(id) per key (or keys), joined back for the whole row.
 
     ``max_by(struct, id)`` keeps the row in one aggregate (no second scan,
     no join); ids are unique per key in the reference, so no tie exists.
     """
-    others = [c for c in df.columns if c not in (key,)]
-    agg = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(id_col)).alias("_row"))
-    return agg.select(key, "_row.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    others = [c for c in df.columns if c not in keys]
+    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(id_col)).alias("_row"))
+    return agg.select(*keys, "_row.*")
 
 
 def sample_key(id_col: str, seed: int) -> Column:

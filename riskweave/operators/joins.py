@@ -18,6 +18,12 @@ def _none_of(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
 
 
+def keyed(right: DataFrame, on: str) -> DataFrame:
+    """The rows of a right side that have a key, with the share of ``left_joins``: grouped by ``on`` and ``_share``
+    they are joined without a second shuffle."""
+    return right.filter(F.col(on).isNotNull()).withColumn("_share", _none_of(on))
+
+
 def left_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None) -> DataFrame:
     """Left join on ``on`` (= ``right_on``); the rows without a key are dealt over NULL_SHARES tasks.
 
@@ -29,13 +35,13 @@ def left_join(left: DataFrame, right: DataFrame, on: str, right_on: str | None =
 
 def left_joins(left: DataFrame, rights: Sequence[tuple[DataFrame, str | None]], on: str) -> DataFrame:
     """``left_join`` to several tables (table, its key or None) on one key: the rows are dealt and
-    shuffled once for all of them."""
+    shuffled once for all of them. A table may have its share already (``keyed``)."""
     simple = [F.col(f"`{f.name}`") for f in left.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
     share = F.when(F.col(on).isNull(), F.pmod(F.xxhash64(*simple), F.lit(NULL_SHARES))).otherwise(F.lit(0))
     out = left.withColumn("_share", share.cast("int"))
     for right, right_on in rights:
         if right_on is None or right_on == on:
-            out = out.join(right.withColumn("_share", _none_of(on)), [on, "_share"], "left")
+            out = out.join(right if "_share" in right.columns else right.withColumn("_share", _none_of(on)), [on, "_share"], "left")
         else:
             b = right.withColumn("_share_r", _none_of(right_on))
             out = out.join(b, (F.col(on) == F.col(right_on)) & (F.col("_share") == F.col("_share_r")), "left").drop("_share_r")

@@ -5,7 +5,9 @@ sides (latest request, per-business limits, latest statements), then the
 optional offers side and the latest live-risk rows (all ties kept). Every
 side is reduced to its join key's grain before the join, so only the fan
 outs the warehouse query itself has (limits per tranche/business, offers,
-live-risk ties) multiply rows.
+live-risk ties) multiply rows. A table whose key another side brings is
+joined to that side first, so evaluations are shuffled once, before they
+grow wide and before anything multiplies them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.dedupe import argmax_rejoin, latest_per_key_in, latest_request
 from riskweave.operators.ledger import union_all
-from riskweave.operators.joins import left_join, left_joins
+from riskweave.operators.joins import keyed, left_join, left_joins
+from riskweave.operators.neighbors import wide_join
 
 
 # A4 --------------------------------------------------------------------------------
@@ -85,29 +88,36 @@ def rating_features(t: dict[str, DataFrame], with_offers: bool = True) -> DataFr
     from riskweave.functions.exprs import pt_financials
     ev = t["evaluation"]
     req = latest_requests(t["request"])
-    lim = group_max(t["limits_neg"], ["id_evaluacion", "id_tramo", "id_negocio"], ["volumen", "volumen_maximo", "precio"])
-    eeff = argmax_rejoin(t["eeff"], "id_evaluacion", "id_eeff")
+    # dealt by the evaluation alone, so that they need not be dealt again to be joined
+    lim = group_max(keyed(t["limits_neg"], "id_evaluacion").repartition("id_evaluacion", "_share"),
+                    ["id_evaluacion", "_share", "id_tramo", "id_negocio"], ["volumen", "volumen_maximo", "precio"])
+    statements = keyed(t["eeff"], "id_evaluacion")
+    eeff = argmax_rejoin(statements, ["id_evaluacion", "_share"], "id_eeff")
+    own = argmax_rejoin(statements.select("id_evaluacion", "_share", "id_eeff"), ["id_evaluacion", "_share"], "id_eeff").drop("_share")
     pt = pt_financials(argmax_rejoin(t["eeff_pt"], "id_eeff", "id_eeff_pt")).select(
         "id_eeff", "result_antes_imp_pt", "fecha_balance_pt", "total_pasivo_pt", "fondos_propios_pt",
         "fecha_constitucion_pt", "ing_explotacion_pt", "importe_neto_pt", "gastos_financieros_pt")
-    r = ev.select("id_evaluacion", "fecha_creacion", "id_estado_moroso",
-                  F.left(F.col("fecha_creacion").cast("string"), F.lit(7)).alias("ano_mes_creacion"))
+    r = ev.select("id_evaluacion", "fecha_creacion", "id_estado_moroso")
     risk = latest_per_key_in(t["risk"], "id_cliente", "fecha_creacion").select(
         F.col("id_cliente").alias("id_cliente_riesgo_vivo"), F.col("riesgo_power").alias("riesgo_vivo_power"),
         F.col("riesgo_gas").alias("riesgo_vivo_gas"), F.col("volumen").alias("volumen_riesgo"),
         F.col("riesgo_power_falcon").alias("riesgo_vivo_power_falcon"),
         F.col("riesgo_eficiencia").alias("riesgo_vivo_eficiencia"))
-    # most evaluations lack some link of the chain: rows without a key are spread, not joined in one task.
-    # Tables of one key follow each other, so rows are shuffled once a key; those that multiply rows come last
-    r = left_joins(r, [(req, None), (t["limits_ge"], None), (eeff, None)], "id_evaluacion")
-    r = left_join(r, t["estado_moroso"], "id_estado_moroso")
-    r = left_join(r, pt, "id_eeff")
-    r = left_joins(r, [(t["client"], None), (risk, "id_cliente_riesgo_vivo")], "id_cliente")
-    r = left_join(r, lim, "id_evaluacion")
+    # many rows lack some link of the chain: rows without a key are spread, not joined in one task.
+    # (a left join b) left join c on a key of b is a left join (b left join c): what hangs on the rating id, the
+    # client or the statement is joined to the narrow side that has it (an evaluation has one statement at most)
+    pt = wide_join(own, pt, "id_eeff").drop("id_eeff")
     rated = [(t["model_response"], None)]
     if with_offers and "offers" in t:
-        rated.append((t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id"), None))
-    r = left_joins(r, rated, "rating_id")
+        # no column of an offer is kept: it multiplies rows, at the very end
+        rated.append((t["offers"].groupBy(F.col("rating_id_crm_falcon").alias("rating_id")).agg(F.count(F.lit(1)).cast("int").alias("_offers")), None))
+    req = left_joins(req, rated, "rating_id")
+    req = left_joins(req, [(t["client"], None), (risk, "id_cliente_riesgo_vivo")], "id_cliente")
+    r = left_join(r, t["estado_moroso"], "id_estado_moroso")
+    r = left_joins(r, [(req, None), (t["limits_ge"], None), (eeff, None), (pt, None), (lim, None)], "id_evaluacion")
+    r = r.withColumn("ano_mes_creacion", F.left(F.col("fecha_creacion").cast("string"), F.lit(7)))
+    if len(rated) > 1:
+        r = r.withColumn("_offer", F.explode(F.array_repeat(F.lit(0), F.coalesce("_offers", F.lit(1)))))
     return r.select(*RATING_COLUMNS)
 
 

@@ -148,3 +148,74 @@ def test_many_edges_of_few_vertices_leave_few_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {v: v % 3 if v < 300 else v for v in range(301)}
+
+
+def _rating_tables(spark):
+    """Small rating tables with missing links, repeated evaluations, ties and null keys."""
+    from datetime import date
+    def frame(rows, cols):
+        return spark.createDataFrame(rows, cols)
+    day = [date(2024, m, 1) for m in range(1, 13)]
+    ev = [(i % 45 if i % 11 else None, day[i % 12], i % 4 if i % 5 else None) for i in range(60)]
+    req = [(10 * e + (k if e % 7 else 3), e if e % 10 else None, e % 6 if e % 4 else None, (e + k) % 5 if k else None, "AB"[k % 2], "z" * k,
+            "TRUE" if (e + k) % 3 else "FALSE", None if k < 3 else 1, k, 0.5) for e in range(50) for k in range(4)]
+    pt = ["capital_realizado", "acoes_propias", "outros_inst_cap_propio", "premios_emissao", "reservas_legais", "outras_reservas",
+          "result_transitados", "resultado_liquido", "dividendos_antecipados"]
+    number = ", ".join(f"{c} double" for c in pt)
+    return {
+        "evaluation": frame(ev, "id_evaluacion long, fecha_creacion date, id_estado_moroso int"),
+        "request": frame(req, "id_rating_request long, id_evaluacion long, id_cliente long, rating_id long, estado string, estado_detalle string, "
+                              "last_request string, id_input_custom_data long, grade int, pd double"),
+        "client": frame([(i, f"N{i}", "z", "PERSON") for i in (0, 1, 1, 2, 4)] + [(None, "x", "x", "x")],
+                        "id_cliente long, cif_nif string, zona_geografica string, tipo_persona string"),
+        "model_response": frame([(0, 0.1), (1, 0.2), (2, 0.3), (None, 0.9)], "rating_id long, pd_new double"),
+        "limits_neg": frame([(e if e % 9 else None, e % 3, "AB"[k % 2], float(e), float(k), 0.1) for e in range(0, 44, 2) for k in range(3)],
+                            "id_evaluacion long, id_tramo int, id_negocio string, volumen double, volumen_maximo double, precio double"),
+        "limits_ge": frame([(e, 1.5, 2.0) for e in (1, 2, 2, 3, None)], "id_evaluacion long, limite_total_concedido double, limite_disponible_ge double"),
+        "estado_moroso": frame([(0, True, False, 1.0, True), (2, False, True, 2.0, False)],
+                               "id_estado_moroso int, concurso boolean, burofax boolean, deuda_asnef double, asnef boolean"),
+        "eeff": frame([(10 * e + s if s < 3 else None, e if e % 8 else None, f"c{s}", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, day[s], day[s], day[s]) for e in range(40) for s in range(1, 4)],
+                      "id_eeff long, id_evaluacion long, codigo_cnae string, gastos_financieros double, ing_explotacion double, result_antes_imp double, "
+                      "importe_neto double, total_pasivo double, fondos_propios double, fecha_balance date, fecha_constitucion date, fecha_contratacion date"),
+        "eeff_pt": frame([(100 * e + s, 10 * e + 2 if e % 6 else None, 1.0 * e, day[s], 2.0, day[s], 3.0, *[float(s + j) for j in range(9)], 1.0, 2.0, 3.0, 4.0)
+                          for e in range(0, 40, 3) for s in range(2)],
+                         f"id_eeff_pt long, id_eeff long, result_antes_imp_pt double, fecha_balance_pt date, total_pasivo_pt double, fecha_constitucion_pt date, "
+                         f"importe_neto_pt double, {number}, vendas_e_serv_prestados double, outros_rendimentos double, juros_e_rend_obtidos double, juros_e_gastos_suport double"),
+        "risk": frame([(c if c != 3 else None, day[m], 1.0 * m, 2.0, 3.0, 4.0, float(k)) for c in range(6) for m in (1, 2) for k in range(2)],
+                      "id_cliente long, fecha_creacion date, riesgo_power double, riesgo_gas double, riesgo_power_falcon double, riesgo_eficiencia double, volumen double"),
+        "offers": frame([(r, f"o{k}") for r in (0, 1, None) for k in range(3)], "rating_id_crm_falcon long, cups string")}
+
+
+@pytest.mark.parametrize("with_offers", [True, False])
+def test_rating_features_are_shuffled_before_they_grow_wide(shuffled, with_offers):
+    """The same rows as plain joins in the order of the warehouse query; no shuffle holds columns of two fan-outs."""
+    from riskweave.functions.exprs import pt_financials
+    from riskweave.operators import rating as RT
+    from riskweave.operators.dedupe import argmax_rejoin, latest_per_key_in
+    t = _rating_tables(shuffled)
+    out = RT.rating_features(t, with_offers)
+    risk = latest_per_key_in(t["risk"], "id_cliente", "fecha_creacion").toDF(
+        "id_cliente_riesgo_vivo", "_d", "riesgo_vivo_power", "riesgo_vivo_gas", "riesgo_vivo_power_falcon", "riesgo_vivo_eficiencia", "volumen_riesgo")
+    pt = pt_financials(argmax_rejoin(t["eeff_pt"], "id_eeff", "id_eeff_pt"))
+    want = (t["evaluation"].withColumn("ano_mes_creacion", F.left(F.col("fecha_creacion").cast("string"), F.lit(7)))
+            .join(RT.latest_requests(t["request"]), "id_evaluacion", "left")
+            .join(RT.group_max(t["limits_neg"], ["id_evaluacion", "id_tramo", "id_negocio"], ["volumen", "volumen_maximo", "precio"]), "id_evaluacion", "left")
+            .join(t["limits_ge"], "id_evaluacion", "left").join(t["estado_moroso"], "id_estado_moroso", "left")
+            .join(argmax_rejoin(t["eeff"], "id_evaluacion", "id_eeff"), "id_evaluacion", "left")
+            .join(pt, "id_eeff", "left").join(t["client"], "id_cliente", "left")
+            .join(risk, F.col("id_cliente") == F.col("id_cliente_riesgo_vivo"), "left").join(t["model_response"], "rating_id", "left"))
+    if with_offers:
+        want = want.join(t["offers"].withColumnRenamed("rating_id_crm_falcon", "rating_id"), "rating_id", "left")
+    rows = lambda df: sorted(map(str, df.select(*RT.RATING_COLUMNS).collect()))
+    assert rows(out) == rows(want)
+    full = ("pd_new", "cif_nif", "volumen_maximo", "limite_disponible_ge", "concurso", "fondos_propios", "fondos_propios_pt", "riesgo_vivo_gas")
+    assert min(out.agg(*[F.count(c) for c in full]).first()) > 0
+    plan = out._jdf.queryExecution().executedPlan()
+    wide, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "Exchange" in node.nodeName():
+            names = {node.output().apply(i).name() for i in range(node.output().size())}
+            wide = max(wide, len(names & set(RT.RATING_COLUMNS)))
+    assert wide < 25                                                     # 48 before
