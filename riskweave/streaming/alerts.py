@@ -7,7 +7,8 @@ point within eps (ties -> least core id) - an equi-join on grid cells of
 the principal axes with an exact distance check, so the core set is never
 shipped whole to a task; a cell of many cores is split into buckets that
 every probe visits, and a cell of many probes takes as many copies of its
-cores - and gets a level: rate > 50 % high, 10-50 %
+cores; a vector that is a core's own is settled by an equi-join on the
+vector - and gets a level: rate > 50 % high, 10-50 %
 medium (both ends inclusive), < 10 % low, no core point within eps ->
 review (outlier).
 
@@ -95,9 +96,12 @@ def risk_alerts(new: DataFrame, model: AlertModel, id_col: str) -> DataFrame:
     dim = model.axes.shape[1]
     offs = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product((-1, 0, 1), repeat=m)])
     cells = F.array(*[F.floor(dot(F.col("features"), a) / F.lit(model.eps)).cast("long") for a in model.axes])
-    # score each distinct vector once; rows join back on the vector
+    # score each distinct vector once; rows join back on the vector. A vector that is a core's has no nearer core
     uniq = z.select("features").distinct()
-    probe = uniq.select(F.col("features").alias("_f"),
+    found = ["core_id", "cluster", "tasa"]
+    same = wide_join(uniq, model.cores.select("features", *found), "features").select(
+        F.col("features").alias("_f"), F.struct(F.lit(0.0).alias("_d2"), *found).alias("_b"))
+    probe = wide_join(uniq, model.cores.select("features"), "features", "left_anti").select(F.col("features").alias("_f"),
                         F.explode(F.transform(offs, lambda off: F.zip_with(cells, off, lambda x, y: x + y))).alias("_cell"))
     # both sides of a hot cell are split: its cores into _nb buckets, its probes into _np shares
     shares = (probe.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(MAX_PROBES)).cast("int").alias("_np"))
@@ -111,6 +115,7 @@ def risk_alerts(new: DataFrame, model: AlertModel, id_col: str) -> DataFrame:
     d2 = sq_dist(F.col("_f"), F.col("features"), dim)
     near = (cand.withColumn("_d2", d2).filter(F.col("_d2") <= F.lit(model.eps * model.eps))
                 .groupBy("_f").agg(F.min(F.struct("_d2", "core_id", "cluster", "tasa")).alias("_b")))
+    near = near.unionByName(same)
     out = spread_join(z, near.withColumnRenamed("_f", "features"), ["features"], id_col, "left")
     rate = F.col("_b.tasa")
     acts = F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv])

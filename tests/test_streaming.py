@@ -35,3 +35,15 @@ def test_replayed_batch_is_stored_once(spark):
     for _ in range(2):
         AL.write_alert_batch(df, 7, model, "id", out)
     assert spark.read.parquet(out).groupBy("batch_id").count().collect()[0]["count"] == 40
+
+
+def test_vectors_of_cores_are_not_compared(spark, monkeypatch):
+    rows = [(i, i % 3 == 0, [float(i % 40) / 100, -0.0 if i % 2 else 0.0]) for i in range(80)] + [(100, True, [0.885, 0.0]), (101, False, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, label boolean, features array<double>")
+    model = AL.fit_alert_model(df, "id", "label", None, 0.5, 5)
+    met, real = [], AL.spread_join
+    monkeypatch.setattr(AL, "spread_join", lambda left, *a, **k: met.append(left.count()) or real(left, *a, **k))
+    got = {r.id: r for r in AL.risk_alerts(df, model, "id").collect()}
+    assert met[0] == 18                                        # cells of two vectors; of 42 before
+    assert all(got[i].distance == 0.0 and got[i].cluster == 0 for i in range(80))
+    assert abs(got[100].distance - 0.495) < 1e-12 and got[101].nivel == "revisar" and got[101].distance is None
