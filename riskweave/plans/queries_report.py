@@ -146,7 +146,7 @@ def _fixed_methods(spark, sf):
     stacked = cut_lineage(RP.stack_labelings({
         "dbscan": K.dbscan(d, "id", LOWD_EPS, LOWD_MIN).select("id", "cluster"),
         "letter": d.select("id", F.substring("id", 1, 1)), "cover": cover}, {"dbscan": "-1"}))
-    return RP.predictive_metrics(stacked, d, "label").unionByName(RP.quality_metrics(stacked, d, ["dbscan", "letter"]))
+    return d, RP.predictive_metrics(stacked, d, "label").unionByName(RP.quality_metrics(stacked, d, ["dbscan", "letter"]))
 
 
 _FIXED_CTES = _DB_LOWD + f""",
@@ -188,7 +188,7 @@ SELECT metric, round(max(value) FILTER (method = 'dbscan'), 6) AS dbscan, round(
        round(max(value) FILTER (method = 'cover'), 6) AS cover FROM lm GROUP BY metric""", _FIXED_CTES))
 def q_method_comparison_fixed(spark, sf):
     names = ["dbscan", "letter", "cover"]
-    return RP.method_comparison(_fixed_methods(spark, sf), names).select("metric", *[_r(n) for n in names])
+    return RP.method_comparison(_fixed_methods(spark, sf)[1], names).select("metric", *[_r(n) for n in names])
 
 
 @register("executive_summary_fixed", O.with_risk("""
@@ -196,5 +196,6 @@ SELECT CAST(n AS BIGINT) AS n_total, CAST(p AS BIGINT) AS n_morosos, round(100.0
 FROM tot, (SELECT arg_max(method, (value, method)) AS best_method, round(max(value), 6) AS best_f1 FROM lm
            WHERE metric = 'f1_score' AND value IS NOT NULL)""", _FIXED_CTES))
 def q_executive_summary_fixed(spark, sf):
-    out = RP.executive_summary(RP.label_balance(lowd(spark, sf), "label"), _fixed_methods(spark, sf))
+    d, metrics = _fixed_methods(spark, sf)          # the customers are built once
+    out = RP.executive_summary(RP.label_balance(d, "label"), metrics)
     return out.select("n_total", "n_morosos", _r("pct_morosos"), "best_method", _r("best_f1"))
